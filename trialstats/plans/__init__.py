@@ -1,0 +1 @@
+"""Bindings of the operators to concrete tables, and the registered queries."""

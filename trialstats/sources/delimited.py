@@ -1,0 +1,114 @@
+"""Participant log files: preamble lines, a header line, separated values.
+
+Files are read as splittable lines, never as one string per file, so a single
+huge log spreads over as many tasks as it has blocks.  Each line carries its
+file and a line number that grows along the file; the header of a file is its
+line number ``skip``.
+"""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from trialstats.operators.joins import natural_join
+
+LOG_KINDS = {"instances": "InstancesInfo.txt", "trials": "TrialInfo.txt", "times": "TimeStamps.txt"}
+# Preamble lines before the header, per kind of log.
+PREAMBLE = {"instances": 1, "trials": 1, "times": 2}
+
+
+def log_glob(folder: str, kind: str) -> str:
+    return f"{folder.rstrip('/')}/*{LOG_KINDS[kind]}"
+
+
+def base_name(path: Column) -> Column:
+    return F.substring_index(path, "/", -1)
+
+
+def participant_from_path(path: Column) -> Column:
+    """Text before the first underscore of the file name."""
+    return F.substring_index(base_name(path), "_", 1)
+
+
+def clean_name(name: Column) -> Column:
+    """Header text to a column name: odd characters become dots, a leading digit gets an X."""
+    dotted = F.regexp_replace(F.trim(name), "[^A-Za-z0-9._]", ".")
+    return F.regexp_replace(dotted, "^([0-9])", "X$1")
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line_no, value) for every line of every matching file.
+
+    Row ids count up by one within a file block, so a line's number is its
+    distance from the first line of its block plus the byte offset at which the
+    block starts.  In the first block that is the exact line number; in later
+    blocks it exceeds every number before it, as a line takes at least a byte.
+    """
+    raw = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("block_start"),
+        F.monotonically_increasing_id().alias("row_id"),
+        "value",
+    )
+    first = raw.groupBy("path", "block_start").agg(F.min("row_id").alias("first_id"))
+    return natural_join(raw, first, on=["path", "block_start"]).select(
+        "path", (F.col("block_start") + F.col("row_id") - F.col("first_id")).alias("line_no"), "value"
+    )
+
+
+def parse_lines(
+    lines: DataFrame, schema: T.StructType, sep: str = ";", skip: int = 1, mapping: dict[str, str] | None = None
+) -> DataFrame:
+    """Typed columns from (path, line_no, value) lines.
+
+    Columns are matched to each file's own header by name, so files may order
+    them differently or lack some (NULL there).  Short rows are padded with
+    NULL, blank lines skipped, and empty, ``NA`` or unparsable numbers are NULL.
+    ``mapping`` gives the header name behind a schema field where they differ.
+    """
+    split = re.escape(sep)
+    headers = lines.filter(F.col("line_no") == skip).select(
+        "path", F.transform(F.split("value", split), clean_name).alias("names")
+    )
+    body = lines.filter((F.col("line_no") > skip) & (F.trim("value") != "")).select(
+        "path", "line_no", F.split("value", split).alias("fields")
+    )
+    joined = natural_join(body, headers, on=["path"])
+    outputs = []
+    for field in schema.fields:
+        source = (mapping or {}).get(field.name, field.name)
+        position = F.array_position("names", F.lit(source))
+        text = F.when(position > 0, F.get("fields", (position - 1).cast("int")))
+        text = F.when(text != "NA", text)
+        if not isinstance(field.dataType, T.StringType):
+            text = F.trim(text).try_cast(field.dataType)
+        outputs.append(text.alias(field.name))
+    return joined.select("path", "line_no", *outputs)
+
+
+def read_delimited(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    sep: str = ";",
+    skip: int = 1,
+    mapping: dict[str, str] | None = None,
+) -> DataFrame:
+    """All files under a glob as one frame, tagged with path, line number and participant."""
+    parsed = parse_lines(read_lines(spark, path), schema, sep, skip, mapping)
+    return parsed.withColumn("participant_id", participant_from_path(F.col("path")))
+
+
+def repair_header(df: DataFrame, shifted: dict[str, str]) -> DataFrame:
+    """Undo a header with one name too many.
+
+    ``shifted`` maps each wrong name to the name its values belong to.  The
+    target columns hold nothing of their own and are replaced.
+    """
+    wrong, right = set(shifted), set(shifted.values())
+    keep = [c for c in df.columns if c not in wrong | right]
+    return df.select(*keep, *[F.col(old).alias(new) for old, new in shifted.items()])
