@@ -129,9 +129,8 @@ def cor_test_by_group(df: DataFrame, x: str, y: str, by: str) -> DataFrame:
 def cor_test_long(df: DataFrame, x: str, y: str, by: str) -> DataFrame:
     """The estimate and p-value of each group as two rows."""
     wide = cor_test_by_group(df, x, y, by)
-    return wide.select(by, F.col("estimate"), F.col("p_value").alias("`p.value`".strip("`"))).unpivot(
-        by, ["estimate", "`p.value`"], "description", "correlation"
-    )
+    long = wide.unpivot(by, ["estimate", "p_value"], "description", "correlation")
+    return long.replace("p_value", "p.value", "description")
 
 
 def cor_matrix(df: DataFrame, columns: list[str]) -> DataFrame:

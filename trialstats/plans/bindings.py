@@ -94,10 +94,9 @@ def analysis(
     with_demographics: bool = False,
 ) -> DataFrame:
     """The trial-level table every summary and model starts from."""
-    out = natural_join(
-        trial_info(spark, folder, participant or with_demographics),
-        instance_info(spark, folder).dropDuplicates(),
-    )
+    # part holds one row per instance, so unlike instance logs it needs no
+    # de-duplication before the join.
+    out = natural_join(trial_info(spark, folder, participant or with_demographics), instance_info(spark, folder))
     if with_complexity:
         out = natural_join(out, complexity(spark, folder))
     if with_demographics:
