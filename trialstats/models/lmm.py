@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialstats.models.optimise import newton_values, zoom
+from trialstats.models.optimise import newton_values, root
 from trialstats.models.reduce import LOCAL_ROWS, Kernel, SumOverRows
 from trialstats.models.spec import (
     INTERCEPT,
@@ -84,6 +84,22 @@ def _correction_kernel(layout: Layout, factors: list[np.ndarray]) -> Kernel:
     return kernel
 
 
+def _ratio_kernel(layout: Layout, ratios: np.ndarray) -> Kernel:
+    """Change with the variance ratio of the log-determinant and of the correction."""
+
+    def kernel(block: np.ndarray) -> np.ndarray:
+        zz, count, outer = layout.parts(block)
+        size = zz[:, 0, 0]
+        out = []
+        for ratio in ratios:
+            out.append([count @ (size / (1 + ratio * size))])
+            weight = 1 / (1 + ratio * size) ** 2
+            out.append(np.einsum("r,rij->ij", weight, outer[:, 0, :, 0, :]).ravel())
+        return np.concatenate(out)
+
+    return kernel
+
+
 class GroupMoments:
     """Merged cross-products of [1, X, y] per group, and sums over them."""
 
@@ -159,6 +175,28 @@ class GroupMoments:
     def criterion(self, factors: list[np.ndarray]) -> np.ndarray:
         return np.array([self.reml(*c) for c in self.corrections(factors)])
 
+    def reml_slopes(self, ratios: np.ndarray) -> np.ndarray:
+        """Derivative of the random-intercept criterion in the variance ratio."""
+        corrections = self.corrections([np.array([[math.sqrt(r)]]) for r in ratios])
+        changes = self.table.sum(_ratio_kernel(self.layout, ratios)).reshape(len(ratios), 1 + self.width**2)
+        out = []
+        for (_, correction), change in zip(corrections, changes, strict=True):
+            inverse, beta, rss = self.generalised(correction)
+            moved = -change[1:].reshape(self.width, self.width)
+            residual = np.append(-beta, 1.0)
+            relative = residual @ moved @ residual / rss
+            out.append((self.n - self.p) * relative + change[0] + np.sum(inverse * moved[: self.p, : self.p]))
+        return np.array(out)
+
+    def best_ratio(self) -> float:
+        """Variance ratio at the REML minimum: nearest grid value, then the root of the slope."""
+        grid = np.concatenate([[0.0], np.geomspace(1e-8, 1e8, 129)])
+        best = int(np.argmin(self.criterion([np.array([[math.sqrt(r)]]) for r in grid])))
+        low, high = grid[max(best - 1, 0)], grid[min(best + 1, len(grid) - 1)]
+        if low == 0.0 and self.reml_slopes(np.array([0.0]))[0] >= 0:
+            return 0.0
+        return root(self.reml_slopes, low, high)
+
     def slope_map(self) -> np.ndarray:
         """Effects on (1, standardised slope) to effects on (1, slope)."""
         mean = self.gram[0, self.slope] / self.n
@@ -175,7 +213,7 @@ def fit_lmm(df: DataFrame, spec: ModelSpec, levels: Levels | None = None, local_
     with GroupMoments(df, spec, levels, local_rows) as data:
         converged = True
         if data.q == 1:
-            factor = np.array([[zoom(lambda t: data.criterion([np.array([[v]]) for v in t[:, 0]]))]])
+            factor = np.array([[math.sqrt(data.best_ratio())]])
         else:
             to_raw = data.slope_map()
 
@@ -222,6 +260,6 @@ def reml_profile(df: DataFrame, spec: ModelSpec, ratios: list[float], levels: Le
             ratios, data.corrections([np.array([[math.sqrt(r)]]) for r in ratios]), strict=True
         ):
             _, beta, rss = data.generalised(correction)
-            rows.append((ratio, *map(float, beta), rss / (data.n - data.p), float(data.reml(logdet, correction))))
+            rows.append((ratio, *map(float, beta), float(rss) / (data.n - data.p), float(data.reml(logdet, correction))))
     betas = "".join(f", beta{i} double" for i in range(data.p))
     return df.sparkSession.createDataFrame(rows, f"ratio double{betas}, sigma2 double, reml double")

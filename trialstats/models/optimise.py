@@ -16,17 +16,16 @@ ValuesAndGradients = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]
 STEP_LENGTHS = np.array([1.0, 0.5, 0.25, 0.1, 0.02])
 
 
-def zoom(evaluate: Values, rounds: int = 14, points: int = 17) -> float:
-    """Minimum over [0, inf) of a function of one scale parameter, by shrinking grids."""
-    grid = np.concatenate([[0.0], np.geomspace(1e-4, 1e4, 4 * points)])
+def root(slopes: Values, low: float, high: float, points: int = 17, rounds: int = 40) -> float:
+    """Zero of a function rising from negative to positive, by repeated subdivision."""
     for _ in range(rounds):
-        values = evaluate(grid[:, None])
-        best = int(np.argmin(values))
-        low, high = grid[max(best - 1, 0)], grid[min(best + 1, len(grid) - 1)]
-        if high - low <= 1e-9 * max(high, 1e-3):
-            break
         grid = np.linspace(low, high, points)
-    return float(grid[best])
+        rising = np.flatnonzero(slopes(grid[1:-1]) > 0)
+        first = int(rising[0]) + 1 if len(rising) else points - 1
+        low, high = grid[first - 1], grid[first]
+        if high - low <= 1e-13 * high:
+            break
+    return float((low + high) / 2)
 
 
 def _descent(gradient: np.ndarray, hessian: np.ndarray) -> np.ndarray:

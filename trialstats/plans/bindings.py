@@ -69,7 +69,7 @@ def demographics(spark: SparkSession, folder: str) -> DataFrame:
     people = natural_join(table(spark, folder, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment"), nations)
     return people.select(
         F.col("c_custkey").alias("participant_id"),
-        F.when(nation % 2 == 0, "Female").otherwise("Male").alias("Gender"),
+        F.when(F.col("c_custkey") % 2 == 0, "Female").otherwise("Male").alias("Gender"),
         (F.floor(F.col("c_acctbal") / 100) % 50 + 18).cast("double").alias("Age"),
         F.floor(F.col("c_acctbal") / 1000).cast("double").alias("Years_of_study"),
         F.when(F.col("c_mktsegment") == "BUILDING", "Commerce").otherwise(F.col("c_mktsegment")).alias("Degree"),
@@ -77,13 +77,23 @@ def demographics(spark: SparkSession, folder: str) -> DataFrame:
         .when(F.col("n_regionkey") == 2, "Late_Afternoon")
         .otherwise("Morning")
         .alias("Time_of_day"),
-        (nation % 4).alias("Total"),
-        *[F.expr(f"cast((c_nationkey div {1 << k}) % 2 as int)").alias(s) for k, s in enumerate(STRATEGIES)],
+        (nation % 3).alias("Total"),
+        *[F.getbit(nation, F.lit(bit)).cast("int").alias(name) for name, bit in STRATEGY_BITS.items()],
     )
 
 
-# Reported strategies, one 0/1 column each.
-STRATEGIES = ("Process_Elimination", "Brute_Force", "Uniform_Signs")
+# Reported strategies, one 0/1 column each, read from the bits of the nation key.
+STRATEGY_BITS = {
+    "Greedy": 0,
+    "Feasible": 1,
+    "Large_Items": 2,
+    "Prioritising_Properties": 3,
+    "Process_Elimination": 0,
+    "Brute_Force": 1,
+    "Uniform_Signs": 2,
+    "Convex_Hull": 2,
+    "Nearest_Neighbour": 3,
+}
 
 
 def analysis(
@@ -102,7 +112,7 @@ def analysis(
     if with_demographics:
         flags = recode.demographic_flags()
         people = demographics(spark, folder).withColumns(flags)
-        out = natural_join(out, people.select("participant_id", "Age", *flags, *STRATEGIES))
+        out = natural_join(out, people.select("participant_id", "Age", *flags, *STRATEGY_BITS))
     return derive(out)
 
 
@@ -141,18 +151,17 @@ SELECT o_custkey AS participant_id,
        CASE WHEN l_returnflag = 'A' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS correct,
        l_quantity AS TimeOnTask, CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS randomYes
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
-SQL_DEMOGRAPHICS = """
+_SQL_STRATEGIES = ", ".join(f"CAST((c_nationkey >> {bit}) & 1 AS INTEGER) AS {name}" for name, bit in STRATEGY_BITS.items())
+SQL_DEMOGRAPHICS = f"""
 SELECT c_custkey AS participant_id,
-       CASE WHEN c_nationkey % 2 = 0 THEN 'Female' ELSE 'Male' END AS Gender,
+       CASE WHEN c_custkey % 2 = 0 THEN 'Female' ELSE 'Male' END AS Gender,
        CAST(CAST(floor(c_acctbal / 100) AS BIGINT) % 50 + 18 AS DOUBLE) AS Age,
        CAST(floor(c_acctbal / 1000) AS DOUBLE) AS Years_of_study,
        CASE WHEN c_mktsegment = 'BUILDING' THEN 'Commerce' ELSE c_mktsegment END AS Degree,
        CASE WHEN n_regionkey <= 1 THEN 'Early_Afternoon' WHEN n_regionkey = 2 THEN 'Late_Afternoon'
             ELSE 'Morning' END AS Time_of_day,
-       c_nationkey % 4 AS Total,
-       CAST(c_nationkey % 2 AS INTEGER) AS Process_Elimination,
-       CAST((c_nationkey // 2) % 2 AS INTEGER) AS Brute_Force,
-       CAST((c_nationkey // 4) % 2 AS INTEGER) AS Uniform_Signs
+       c_nationkey % 3 AS Total,
+       {_SQL_STRATEGIES}
 FROM customer JOIN nation ON c_nationkey = n_nationkey"""
 SQL_FLAGS = f"""
 SELECT participant_id, Age,
@@ -162,7 +171,7 @@ SELECT participant_id, Age,
        CAST(Time_of_day = 'Early_Afternoon' AS INTEGER) AS Early_Afternoon,
        CAST(Time_of_day = 'Late_Afternoon' AS INTEGER) AS Late_Afternoon,
        CASE WHEN Total > 1 THEN 1 WHEN Total <= 1 THEN 0 END AS MultipleStrategies,
-       Process_Elimination, Brute_Force, Uniform_Signs
+       {', '.join(STRATEGY_BITS)}
 FROM ({SQL_DEMOGRAPHICS})"""
 SQL_REGION = """CASE WHEN type = 6 THEN 'Under-Constrained' WHEN type = 5 THEN 'Over-Constrained'
             WHEN type <= 2 THEN 'Phase Transition - EASY'

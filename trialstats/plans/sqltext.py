@@ -31,29 +31,134 @@ def t_p(t: str, df: str) -> str:
     return f"(1 - 2 * {constant} * {simpson(f'pow(cos(u), {df} - 1)', '0.0::DOUBLE', bound, 2000)})"
 
 
-def invert(source: str, size: int, prefix: str, rhs: bool = True) -> tuple[str, str]:
-    """CTEs that invert the symmetric matrix a_i_j (i <= j) of the one-row CTE ``source``.
+def term_sql(term: str) -> str:
+    """Numeric SQL expression of a model term."""
+    if term == "InPhaseTransitionYes":
+        return "CASE WHEN InPhaseTransition = 'Yes' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
+    return f"CAST({term} AS DOUBLE)"
 
-    Gauss-Jordan elimination, one CTE per pivot.  Returns the CTE text and the
-    name of the last one, which has columns v_i_j of the inverse; other columns
-    of ``source`` are joined back by the caller.
+
+def design(rows: str, outcome: str, terms: list[str]) -> str:
+    """Model frame x0 (intercept), x1.., y of complete rows."""
+    xs = ", ".join(["1.0::DOUBLE AS x0"] + [f"{term_sql(t)} AS x{i}" for i, t in enumerate(terms, 1)])
+    whole = " AND ".join(f"x{i} IS NOT NULL" for i in range(len(terms) + 1))
+    return f"SELECT * FROM (SELECT {xs}, CAST({outcome} AS DOUBLE) AS y FROM ({rows})) WHERE {whole} AND y IS NOT NULL"
+
+
+def invert(wide: str, size: int, prefix: str) -> tuple[str, str]:
+    """CTEs that invert the symmetric matrix a_i_j (i <= j) of the one-row CTE ``wide``.
+
+    Gauss-Jordan elimination on a long table (i, j, v) with the identity
+    appended; the returned CTE holds the inverse as (i, j, v).
     """
-    parts = []
-    first = ", ".join(
-        [f"a_{min(i, j)}_{max(i, j)} AS m_{i}_{j}" for i in range(size) for j in range(size)]
-        + [f"{1.0 if i == j else 0.0}::DOUBLE AS v_{i}_{j}" for i in range(size) for j in range(size)]
+    cells = " UNION ALL ".join(
+        [f"SELECT {i} AS i, {j} AS j, a_{min(i, j)}_{max(i, j)} AS v FROM {wide}" for i in range(size) for j in range(size)]
+        + [f"SELECT {i}, {size + j}, {1.0 if i == j else 0.0}::DOUBLE" for i in range(size) for j in range(size)]
     )
-    parts.append(f"{prefix}_e0 AS MATERIALIZED (SELECT {first} FROM {source})")
+    parts = [f"{prefix}_e0 AS MATERIALIZED ({cells})"]
     for k in range(size):
-        cells = []
-        for name in ("m", "v"):
-            for i in range(size):
-                for j in range(size):
-                    pivot = f"{name}_{k}_{j} / m_{k}_{k}"
-                    cells.append(
-                        f"{pivot} AS {name}_{i}_{j}"
-                        if i == k
-                        else f"{name}_{i}_{j} - m_{i}_{k} * {pivot} AS {name}_{i}_{j}"
-                    )
-        parts.append(f"{prefix}_e{k + 1} AS MATERIALIZED (SELECT {', '.join(cells)} FROM {prefix}_e{k})")
-    return ",\n".join(parts), f"{prefix}_e{size}"
+        e = f"{prefix}_e{k}"
+        parts.append(
+            f"""{prefix}_e{k + 1} AS MATERIALIZED (SELECT a.i, a.j,
+      CASE WHEN a.i = {k} THEN q.v / d.v ELSE a.v - p.v * q.v / d.v END AS v
+    FROM {e} a JOIN {e} q ON q.i = {k} AND q.j = a.j JOIN {e} p ON p.j = {k} AND p.i = a.i
+         JOIN {e} d ON d.i = {k} AND d.j = {k})"""
+        )
+    parts.append(f"{prefix}_inv AS MATERIALIZED (SELECT i, j - {size} AS j, v FROM {prefix}_e{size} WHERE j >= {size})")
+    return ",\n".join(parts), f"{prefix}_inv"
+
+
+def _products(size: int, weight: str = "") -> str:
+    return ", ".join(f"sum({weight}x{i} * x{j}) AS a_{i}_{j}" for i in range(size) for j in range(i, size))
+
+
+def _labels(names: list[str]) -> str:
+    return "(VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(names)) + ") AS labels(i, term)"
+
+
+STARS = "CASE WHEN {p} < 0.01 THEN '***' WHEN {p} < 0.05 THEN '**' WHEN {p} < 0.1 THEN '*' ELSE '' END"
+
+
+def _tidy(model: str, p: str) -> str:
+    return f"""SELECT '{model}' AS model, term, round(estimate, 6) AS estimate, round(std_error, 6) AS std_error,
+      round(statistic, 5) AS statistic, round(p, 6) AS p_value, {STARS.format(p="p")} AS stars
+    FROM (SELECT *, {p} AS p FROM (SELECT *, estimate / std_error AS statistic FROM est))"""
+
+
+def ols(model: str, rows: str, outcome: str, terms: list[str]) -> str:
+    """Coefficient table of a least squares fit."""
+    size = len(terms) + 1
+    solve, inverse = invert("s", size, "m")
+    rhs = " UNION ALL ".join(f"SELECT {i} AS i, b_{i} AS v FROM s" for i in range(size))
+    return f"""SELECT * FROM (WITH f AS ({design(rows, outcome, terms)}),
+  s AS MATERIALIZED (SELECT {_products(size)}, {", ".join(f"sum(x{i} * y) AS b_{i}" for i in range(size))},
+       sum(y * y) AS yy, count(*)::DOUBLE AS n FROM f),
+  {solve}, rhs AS ({rhs}),
+  beta AS MATERIALIZED (SELECT a.i, sum(a.v * rhs.v) AS v FROM {inverse} a JOIN rhs ON rhs.i = a.j GROUP BY a.i),
+  fit AS MATERIALIZED (SELECT (SELECT yy - sum(beta.v * rhs.v) FROM beta JOIN rhs USING (i)) / (n - {size}) AS s2, n - {size} AS df FROM s),
+  est AS MATERIALIZED (SELECT term, beta.v AS estimate, sqrt(s2 * d.v) AS std_error, df
+       FROM beta JOIN {_labels(["(Intercept)", *terms])} USING (i) JOIN {inverse} d ON d.i = beta.i AND d.j = beta.i, fit)
+  {_tidy(model, t_p("statistic", "df"))})"""
+
+
+def ols_fit(model: str, rows: str, outcome: str, terms: list[str]) -> str:
+    """n, sigma, R2, adjusted R2, F, log-likelihood, AIC, BIC of a least squares fit."""
+    size = len(terms) + 1
+    solve, inverse = invert("s", size, "m")
+    rhs = " UNION ALL ".join(f"SELECT {i} AS i, b_{i} AS v FROM s" for i in range(size))
+    return f"""SELECT * FROM (WITH f AS ({design(rows, outcome, terms)}),
+  s AS MATERIALIZED (SELECT {_products(size)}, {", ".join(f"sum(x{i} * y) AS b_{i}" for i in range(size))},
+       sum(y * y) AS yy, count(*)::DOUBLE AS n, sum(y) AS sy FROM f),
+  {solve}, rhs AS ({rhs}),
+  w AS (SELECT n, yy - sy * sy / n AS tss, yy - (SELECT sum(l.v * a.v * r.v) FROM {inverse} a JOIN rhs l ON l.i = a.i JOIN rhs r ON r.i = a.j) AS rss FROM s),
+  g AS (SELECT *, -n / 2 * (ln(2 * pi()) + ln(rss / n) + 1) AS loglik FROM w)
+  SELECT '{model}' AS model, n::BIGINT AS n, round(sqrt(rss / (n - {size})), 6) AS sigma, round(1 - rss / tss, 6) AS r2,
+    round(1 - rss / tss * (n - 1) / (n - {size}), 6) AS adj_r2, round((tss - rss) / {size - 1} / (rss / (n - {size})), 6) AS f,
+    round(loglik, 4) AS loglik, round(-2 * loglik + 2 * {size + 1}, 4) AS aic, round(-2 * loglik + ln(n) * {size + 1}, 4) AS bic FROM g)"""
+
+
+NEWTON_ROUNDS = 8
+
+
+def _newton(rows: str, outcome: str, terms: list[str]) -> str:
+    """CTEs pat (patterns) and b0 .. bK (coefficients, one row each)."""
+    size = len(terms) + 1
+    xs = ", ".join(f"x{i}" for i in range(size))
+    parts = [
+        f"pat AS MATERIALIZED (SELECT {xs}, count(*)::DOUBLE AS m, sum(y) AS s FROM ({design(rows, outcome, terms)}) GROUP BY ALL)",
+        "b0 AS (SELECT " + ", ".join(f"0.0::DOUBLE AS b_{i}" for i in range(size)) + ")",
+    ]
+    for k in range(NEWTON_ROUNDS):
+        eta = " + ".join(f"b_{i} * x{i}" for i in range(size))
+        parts.append(f"p{k} AS (SELECT pat.*, 1 / (1 + exp(-({eta}))) AS mu FROM pat, b{k})")
+        scores = ", ".join(f"sum(x{i} * (s - m * mu)) AS g_{i}" for i in range(size))
+        parts.append(f"s{k} AS MATERIALIZED (SELECT {_products(size, 'm * mu * (1 - mu) * ')}, {scores} FROM p{k})")
+        solve, inverse = invert(f"s{k}", size, f"n{k}")
+        parts.append(solve)
+        rhs = " UNION ALL ".join(f"SELECT {i} AS i, g_{i} AS v FROM s{k}" for i in range(size))
+        parts.append(
+            f"d{k} AS MATERIALIZED (SELECT a.i, sum(a.v * r.v) AS v FROM {inverse} a JOIN ({rhs}) r ON r.i = a.j GROUP BY a.i)"
+        )
+        moved = ", ".join(f"b_{i} + (SELECT v FROM d{k} WHERE i = {i}) AS b_{i}" for i in range(size))
+        parts.append(f"b{k + 1} AS MATERIALIZED (SELECT {moved} FROM b{k})")
+    return ",\n".join(parts)
+
+
+def logit(model: str, rows: str, outcome: str, terms: list[str]) -> str:
+    """Coefficient table of a logistic fit."""
+    last = NEWTON_ROUNDS
+    entries = " UNION ALL ".join(f"SELECT {i} AS i, b_{i} AS v FROM b{last}" for i in range(len(terms) + 1))
+    return f"""SELECT * FROM (WITH {_newton(rows, outcome, terms)},
+  est AS MATERIALIZED (SELECT term, b.v AS estimate, sqrt(d.v) AS std_error FROM ({entries}) b
+       JOIN {_labels(["(Intercept)", *terms])} USING (i) JOIN n{last - 1}_inv d ON d.i = b.i AND d.j = b.i)
+  {_tidy(model, normal_p("statistic"))})"""
+
+
+def logit_fit(model: str, rows: str, outcome: str, terms: list[str]) -> str:
+    """n, log-likelihood, deviance, AIC, BIC of a logistic fit."""
+    size = len(terms) + 1
+    eta = " + ".join(f"b_{i} * x{i}" for i in range(size))
+    return f"""SELECT * FROM (WITH {_newton(rows, outcome, terms)},
+  l AS (SELECT sum(s * eta - m * ln(1 + exp(eta))) AS loglik, sum(m) AS n FROM (SELECT pat.*, {eta} AS eta FROM pat, b{NEWTON_ROUNDS}))
+  SELECT '{model}' AS model, n::BIGINT AS n, round(loglik, 4) AS loglik, round(-2 * loglik, 4) AS deviance,
+    round(-2 * loglik + 2 * {size}, 4) AS aic, round(-2 * loglik + {size} * ln(n), 4) AS bic FROM l)"""
