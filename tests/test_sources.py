@@ -1,0 +1,98 @@
+"""Log parsing: headers, preambles, ragged lines, block boundaries; side tables."""
+
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from trialstats.sources import delimited, tables
+
+SCHEMA = T.StructType(
+    [
+        T.StructField("block", T.IntegerType()),
+        T.StructField("score", T.DoubleType()),
+        T.StructField("note", T.StringType()),
+        T.StructField("flag", T.IntegerType()),
+    ]
+)
+MAPPING = {"flag": "flag.1.yes."}
+
+
+@pytest.fixture()
+def logs(tmp_path):
+    (tmp_path / "p1_a_TrialInfo.txt").write_text(
+        'made by the task\nblock;score;note;flag(1:yes)\n1;2.5;"q";1\n2;NA;NA;0\n3;;;\n4\n\n5;bad;x;1;extra\n\n'
+    )
+    (tmp_path / "p2_a_TrialInfo.txt").write_text("preamble;with;sep\nnote;block\r\nhello;7\r\n")
+    (tmp_path / "p3_a_TimeStamps.txt").write_text("a\nb\nblock\n1\n")
+    return tmp_path
+
+
+WANT = [
+    ("p1", 1, 2.5, '"q"', 1),
+    ("p1", 2, None, None, 0),
+    ("p1", 3, None, "", None),
+    ("p1", 4, None, None, None),
+    ("p1", 5, None, "x", 1),
+    ("p2", 7, None, "hello", None),
+]
+
+
+@pytest.mark.parametrize("whole_bytes", [delimited.WHOLE_FILE_BYTES, 0, 60])
+def test_read_delimited(spark, logs, whole_bytes):
+    """The same rows whether files are read whole, by lines, or some each way."""
+    path = delimited.log_glob(str(logs), "trials")
+    df = delimited.read_delimited(spark, path, SCHEMA, skip=1, mapping=MAPPING, whole_bytes=whole_bytes)
+    got = [tuple(r) for r in df.orderBy("participant_id", "line_no").select("participant_id", *SCHEMA.names).collect()]
+    assert got == WANT
+
+
+def test_lines_across_blocks(spark, tmp_path):
+    """A file split into many blocks keeps its header and its line order."""
+    n = 400
+    (tmp_path / "p9_TrialInfo.txt").write_text("pre\nblock;note\n" + "".join(f"{i};row {i}\n" for i in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    try:
+        path = delimited.log_glob(str(tmp_path), "trials")
+        df = delimited.read_delimited(spark, path, SCHEMA, whole_bytes=0).persist()
+        rows = df.orderBy("line_no").select("block", "note").collect()
+        assert df.rdd.getNumPartitions() > 1
+        df.unpersist()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [tuple(r) for r in rows] == [(i, f"row {i}") for i in range(n)]
+
+
+def test_clean_name(spark):
+    names = ["randomYes(1=Left No/Right Yes)", "Large Items (money)", "2nd", "ok_name.x"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    got = [r[0] for r in df.select(delimited.clean_name(F.col("n"))).collect()]
+    assert got == ["randomYes.1.Left.No.Right.Yes.", "Large.Items..money.", "X2nd", "ok_name.x"]
+
+
+def test_participant_from_path(spark):
+    df = spark.createDataFrame([("file:/a_b/c/p12_x_TrialInfo.txt",), ("solo.txt",)], "p string")
+    got = [r[0] for r in df.select(delimited.participant_from_path(F.col("p"))).collect()]
+    assert got == ["p12", "solo.txt"]
+
+
+def test_repair_header(spark):
+    df = spark.createDataFrame([(1, 2, "Trial", 350.0, None)], "block int, trial int, instanceNumber string, eventType double, elapsedTime double")
+    got = delimited.repair_header(df, {"eventType": "elapsedTime", "instanceNumber": "eventType"})
+    assert got.first().asDict() == {"block": 1, "trial": 2, "eventType": "Trial", "elapsedTime": 350.0}
+
+
+def test_csv_by_name_and_complexity(spark, tmp_path):
+    (tmp_path / "c.csv").write_text("decisions,instanceNumber,other,propagations\n7,1,x,20.5\nNA,2,y,\n")
+    got = tables.load_complexity(spark, str(tmp_path / "c.csv")).orderBy("instanceNumber").collect()
+    assert [tuple(r) for r in got] == [(1, 20.5, 7.0), (2, None, None)]
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+def test_write_summary(spark, tmp_path, fmt):
+    df = spark.createDataFrame([("p1", 0.5), ("p2", None)], "participant_id string, accuracy double")
+    out = str(tmp_path / "out")
+    tables.write_summary(df, out, fmt)
+    back = spark.read.parquet(out) if fmt == "parquet" else tables.read_csv(spark, out, df.schema)
+    assert sorted(map(tuple, back.collect())) == [("p1", 0.5), ("p2", None)]
+    with pytest.raises(ValueError):
+        tables.write_summary(df, out, "xlsx")

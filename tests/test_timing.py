@@ -1,0 +1,49 @@
+"""Time on task, with and without cut logs."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from trialstats.operators.timing import time_on_task
+
+
+def events(spark, rows):
+    return spark.createDataFrame(rows, "participant_id string, line_no int, eventType string, elapsedTime double")
+
+
+def test_gap_to_next_event_of_the_same_participant(spark):
+    log = events(
+        spark,
+        [("a", 1, "Trial", 1000.0), ("a", 2, "Rest", 3500.0), ("a", 3, "Trial", 4000.0), ("b", 1, "Rest", 100.0), ("b", 2, "Trial", 700.0)],
+    )
+    got = {(r["participant_id"], r["line_no"]): r["TimeOnTask"] for r in time_on_task(log).collect()}
+    assert got == {("a", 1): 2.5, ("a", 2): 0.5, ("a", 3): None, ("b", 1): 0.6, ("b", 2): None}
+
+
+@pytest.mark.parametrize("hot_rows", [5, 40, 400])
+def test_cut_logs_give_the_same_gaps(spark, hot_rows):
+    """One participant holds a third of all events; ties and NULL times included."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(3000):
+        who = "hot" if i % 3 == 0 else f"p{rng.randrange(30)}"
+        when = None if rng.random() < 0.01 else float(rng.randrange(2000))
+        rows.append((who, i, "Trial", when))
+    log = events(spark, rows).repartition(7)
+    plain = time_on_task(log)
+    cut = time_on_task(log, hot_rows=hot_rows)
+    assert cut.columns == plain.columns
+    assert plain.exceptAll(cut).isEmpty() and cut.exceptAll(plain).isEmpty()
+
+
+def test_concatenated_differences_on_a_well_formed_log(spark):
+    """Differences over the concatenated file equal the per-participant gaps
+    wherever the last event of a participant is not a trial."""
+    rows = [("a", i, "Trial" if i % 2 else "Rest", float(1000 * i + 7 * i * i)) for i in range(9)]
+    rows += [("b", i, "Trial" if i % 2 else "Rest", float(500 * i + 11 * i * i)) for i in range(9)]
+    expected = {
+        (p, n): (rows[k + 1][3] - t) / 1000 for k, (p, n, e, t) in enumerate(rows[:-1]) if e == "Trial"
+    }
+    got = time_on_task(events(spark, rows)).filter(F.col("eventType") == "Trial").collect()
+    assert {(r["participant_id"], r["line_no"]): r["TimeOnTask"] for r in got} == expected

@@ -166,7 +166,7 @@ class LaplaceData:
         self.mean, self.spread = mean, spread
 
     def _lay_out(self, merged: DataFrame, hot_patterns: int) -> None:
-        hot = runtime.hot_keys(merged, ["g"], hot_patterns)
+        (hot,) = runtime.hot_keys(merged, [["g"]], hot_patterns)
         slices = max(2, math.ceil(max(hot.values(), default=0) / hot_patterns))
         number = F.lit(-1)
         if hot:

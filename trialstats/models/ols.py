@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialstats.functions.distributions import f_upper
+from trialstats.models.reduce import Kernel, sum_over_frame
 from trialstats.models.spec import (
     INTERCEPT,
     Fit,
@@ -21,8 +22,9 @@ from trialstats.models.spec import (
     unpack,
 )
 
-# Sums computed per aggregation; more are spread over several scans.
-SUMS_PER_SCAN = 400
+# Up to this many sums the cross-products are one SQL aggregation.  Beyond it the
+# generated code grows too large to be compiled, and array products in the tasks win.
+SUMS_IN_SQL = 60
 
 
 def fit_ols(df: DataFrame, specs: list[ModelSpec], levels: Levels | None = None) -> list[Fit]:
@@ -33,31 +35,54 @@ def fit_ols(df: DataFrame, specs: list[ModelSpec], levels: Levels | None = None)
     # One column per distinct term and outcome, shared by all models.
     columns = {t: c for terms in designs for t, c in terms.items()}
     columns.update({f"y:{s.outcome}": F.col(s.outcome).cast("double") for s in specs})
-    index = {t: f"c{i}" for i, t in enumerate(columns)}
-    frame = df.select(*[c.alias(index[t]) for t, c in columns.items()])
+    where = {t: i for i, t in enumerate(columns)}
+    frame = df.select(*[c.alias(f"c{i}") for i, c in enumerate(columns.values())])
+    uses = [[where[t] for t in terms] + [where[f"y:{s.outcome}"]] for s, terms in zip(specs, designs, strict=True)]
+    if sum((len(u) + 1) * (len(u) + 2) // 2 for u in uses) <= SUMS_IN_SQL:
+        grams = _grams_in_sql(frame, uses)
+    else:
+        grams = _grams_in_tasks(frame, uses)
+    return [
+        from_gram(spec, [INTERCEPT, *terms], gram)
+        for spec, terms, gram in zip(specs, designs, grams, strict=True)
+    ]
 
-    sums, layout = {}, []
-    for m, (spec, terms) in enumerate(zip(specs, designs, strict=True)):
-        used = [index[t] for t in terms] + [index[f"y:{spec.outcome}"]]
+
+def _grams_in_sql(frame: DataFrame, uses: list[list[int]]) -> list[np.ndarray]:
+    sums = []
+    for use in uses:
         complete = F.lit(True)
-        for c in used:
-            complete = complete & F.col(c).isNotNull()
-        vector = [F.lit(1.0)] + [F.col(c) for c in used]
-        cells = {}
-        for i, j in triangle(len(vector)):
-            cells[i, j] = f"s{m}_{i}_{j}"
-            sums[cells[i, j]] = F.sum(F.when(complete, vector[i] * vector[j]))
-        layout.append((len(vector), cells))
-
-    values: dict[str, float] = {}
-    items = list(sums.items())
-    for start in range(0, len(items), SUMS_PER_SCAN):
-        values.update(frame.agg(*[c.alias(k) for k, c in items[start : start + SUMS_PER_SCAN]]).first().asDict())
-    fits = []
-    for spec, terms, (size, cells) in zip(specs, designs, layout, strict=True):
-        gram = unpack([values[cells[ij]] for ij in triangle(size)], size)
-        fits.append(from_gram(spec, [INTERCEPT, *terms], gram))
-    return fits
+        for c in use:
+            complete = complete & F.col(f"c{c}").isNotNull()
+        vector = [F.lit(1.0)] + [F.col(f"c{c}") for c in use]
+        sums.append([F.sum(F.when(complete, vector[i] * vector[j])) for i, j in triangle(len(vector))])
+    row = frame.agg(*[c.alias(f"s{m}_{i}") for m, cells in enumerate(sums) for i, c in enumerate(cells)]).first()
+    return [unpack([row[f"s{m}_{i}"] for i in range(len(cells))], len(uses[m]) + 1) for m, cells in enumerate(sums)]
+
+
+def _grams_in_tasks(frame: DataFrame, uses: list[list[int]]) -> list[np.ndarray]:
+    flat, start, out = sum_over_frame(frame, _gram_kernel(uses)), 0, []
+    for use in uses:
+        size = len(use) + 1
+        out.append(flat[start : start + size * size].reshape(size, size))
+        start += size * size
+    return out
+
+
+def _gram_kernel(uses: list[list[int]]) -> Kernel:
+    def kernel(block: np.ndarray) -> np.ndarray:
+        parts = []
+        missing = np.isnan(block)
+        for use in uses:
+            part = block[:, use]
+            gaps = missing[:, use].any(axis=1)
+            if gaps.any():
+                part = part[~gaps]
+            x = np.column_stack([np.ones(len(part)), part])
+            parts.append((x.T @ x).ravel())
+        return np.concatenate(parts)
+
+    return kernel
 
 
 def from_gram(spec: ModelSpec, terms: list[str], gram: np.ndarray) -> Fit:

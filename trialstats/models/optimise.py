@@ -67,25 +67,36 @@ def newton_values(evaluate: Values, start: np.ndarray, h: float = 1e-3, rounds:
 
 
 def newton_gradients(
-    evaluate: ValuesAndGradients, start: np.ndarray, h: float = 1e-4, rounds: int = 40
+    evaluate: ValuesAndGradients, start: np.ndarray, h: float = 1e-4, rounds: int = 60
 ) -> tuple[np.ndarray, float, np.ndarray, bool]:
     """Newton's method with the Hessian differenced from a batch of gradients.
 
-    Returns the minimiser, its value, the Hessian there and whether it converged.
+    Each request holds the stencil around the full Newton step and a few shorter
+    steps, so a round that accepts the full step costs a single job.  Returns the
+    minimiser, its value, the Hessian there and whether it converged.
     """
     x, k = start.copy(), len(start)
+    offsets = np.vstack([np.zeros(k), h * np.eye(k), -h * np.eye(k)])
+    shorter = STEP_LENGTHS[1:, None]
+    f, g = evaluate(x + offsets)
+    stalled = 0
     for _ in range(rounds):
-        stencil = np.vstack([x, x + h * np.eye(k), x - h * np.eye(k)])
-        f, g = evaluate(stencil)
-        hessian = (g[1 : k + 1] - g[k + 1 :]) / (2 * h)
+        hessian = (g[1 : k + 1] - g[k + 1 : 2 * k + 1]) / (2 * h)
         hessian = (hessian + hessian.T) / 2
         step = _descent(g[0], hessian)
         step *= min(1.0, 2.0 / max(np.abs(step).max(), 1e-300))
-        if np.abs(g[0] @ step) < 1e-9 * max(1.0, abs(f[0]) * 1e-4) and np.abs(step).max() < 1e-5:
+        small = np.abs(step).max() < 1e-5 and np.abs(g[0] @ step) < 1e-9 * max(1.0, abs(f[0]) * 1e-4)
+        if small or stalled == 2:
             return x, float(f[0]), hessian, True
-        trial, _ = evaluate(x + STEP_LENGTHS[:, None] * step)
-        best = int(np.argmin(trial))
-        if trial[best] >= f[0]:
+        trial, slopes = evaluate(np.vstack([x + step + offsets, x + shorter * step]))
+        short = trial[len(offsets) :]
+        best = int(np.argmin(short))
+        if trial[0] < f[0] and trial[0] <= short[best]:
+            gain, x, f, g = f[0] - trial[0], x + step, trial, slopes
+        elif short[best] < f[0]:
+            gain, x = f[0] - short[best], x + shorter[best] * step
+            f, g = evaluate(x + offsets)
+        else:
             return x, float(f[0]), hessian, bool(np.abs(step).max() < 1e-4)
-        x = x + STEP_LENGTHS[best] * step
+        stalled = stalled + 1 if gain < 1e-6 else 0
     return x, float(f[0]), hessian, False

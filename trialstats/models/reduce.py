@@ -21,6 +21,27 @@ LOCAL_ROWS = 20_000
 Kernel = Callable[[np.ndarray], np.ndarray]
 
 
+def sum_over_frame(frame: DataFrame, kernel: Kernel) -> np.ndarray:
+    """Sum over all tasks of ``kernel`` applied to Arrow batches of the numeric ``frame``."""
+    columns = frame.columns
+
+    def per_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for batch in batches:
+            if len(batch):
+                part = kernel(batch[columns].to_numpy(dtype=float))
+                total = part if total is None else total + part
+        if total is not None:
+            yield pd.DataFrame({"at": np.arange(len(total)), "part": total})
+
+    parts = frame.mapInPandas(per_task, "at long, part double")
+    sums = parts.groupBy("at").agg(F.sum("part").alias("part")).collect()
+    out = np.zeros(len(sums))
+    for row in sums:
+        out[row["at"]] = row["part"]
+    return out
+
+
 class SumOverRows:
     """Numeric rows, kept on the cluster unless they are few."""
 
@@ -43,20 +64,4 @@ class SumOverRows:
         """``kernel`` maps (rows, columns) to a vector; returns the sum over all rows."""
         if self._local is not None:
             return kernel(self._local)
-        columns = self.columns
-
-        def per_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = None
-            for batch in batches:
-                if len(batch):
-                    part = kernel(batch[columns].to_numpy(dtype=float))
-                    total = part if total is None else total + part
-            if total is not None:
-                yield pd.DataFrame({"at": np.arange(len(total)), "part": total})
-
-        parts = self._frame.mapInPandas(per_task, "at long, part double")
-        sums = parts.groupBy("at").agg(F.sum("part").alias("part")).collect()
-        out = np.zeros(len(sums))
-        for row in sums:
-            out[row["at"]] = row["part"]
-        return out
+        return sum_over_frame(self._frame, kernel)

@@ -41,12 +41,12 @@ def factor_levels(df: DataFrame, names: list[str], known: Levels | None = None)
     text = {f.name for f in df.schema if isinstance(f.dataType, T.StringType)}
     found = {n: sorted(known[n]) for n in names if known and n in known}
     todo = [n for n in names if n in text and n not in found]
-    if todo:
-        row = df.agg(*[F.collect_set(n).alias(n) for n in todo]).first()
-        found.update({n: sorted(row[n]) for n in todo})
+    for n in todo:
+        rows = df.select(n).filter(F.col(n).isNotNull()).distinct().limit(MAX_LEVELS + 1).collect()
+        found[n] = sorted(row[n] for row in rows)
     for n, levels in found.items():
         if not 2 <= len(levels) <= MAX_LEVELS:
-            raise ValueError(f"factor {n} has {len(levels)} levels")
+            raise ValueError(f"factor {n} must have 2 to {MAX_LEVELS} levels")
     return found
 
 

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from trialstats import runtime
 
 
+SLICE = "__slice"
+
+
 def shared_columns(left: DataFrame, right: DataFrame) -> list[str]:
     names = [c for c in left.columns if c in set(right.columns)]
     if not names:
@@ -32,26 +35,50 @@ def natural_join(
     its right rows are repeated once per slice.  Other keys keep one slice.
     """
     keys = on or shared_columns(left, right)
+    if runtime.is_small(right, broadcast_bytes):
+        return _join(left, F.broadcast(right), keys)
+    (hot,) = runtime.hot_keys(left, [keys], hot_rows)
+    return _sliced_join(left, right, keys, hot, hot_rows)
+
+
+def star_join(
+    fact: DataFrame,
+    *dimensions: DataFrame,
+    broadcast_bytes: int = runtime.BROADCAST_BYTES,
+    hot_rows: int = runtime.HOT_ROWS,
+) -> DataFrame:
+    """Natural join of one large frame with several others, in the given order.
+
+    Works like repeated ``natural_join``, but the hot keys of all dimensions too
+    large to broadcast are found in one pass over the key columns of ``fact``
+    itself, not over the results of earlier joins.
+    """
+    keys = [shared_columns(fact, d) for d in dimensions]
+    small = [runtime.is_small(d, broadcast_bytes) for d in dimensions]
+    large = [k for k, fits in zip(keys, small, strict=True) if not fits]
+    hot = iter(runtime.hot_keys(fact, large, hot_rows) if large else [])
+    out = fact
+    for d, k, fits in zip(dimensions, keys, small, strict=True):
+        out = _join(out, F.broadcast(d), k) if fits else _sliced_join(out, d, k, next(hot), hot_rows)
+    return out
+
+
+def _sliced_join(left: DataFrame, right: DataFrame, keys: list[str], hot: dict[int, int], hot_rows: int) -> DataFrame:
+    if not hot:
+        return _join(left, right, keys)
+    return _join(*_slice(left, right, keys, hot, hot_rows), [*keys, SLICE]).drop(SLICE)
+
+
+def _join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     overlap = set(left.columns) & set(right.columns) - set(keys)
     if overlap:
         raise ValueError(f"columns on both sides but not join keys: {sorted(overlap)}")
-
-    join_keys = list(keys)
-    if runtime.is_small(right, broadcast_bytes):
-        right = F.broadcast(right)
-    else:
-        hot = runtime.hot_keys(left, keys, hot_rows)
-        if hot:
-            left, right = _slice(left, right, keys, hot, hot_rows)
-            join_keys.append("__slice")
-
-    renamed = right.withColumnsRenamed({k: f"__right_{k}" for k in join_keys})
-    condition = None
-    for k in join_keys:
-        same = left[k].eqNullSafe(renamed[f"__right_{k}"])
-        condition = same if condition is None else condition & same
-    left_rest = [c for c in left.columns if c not in join_keys]
-    right_rest = [c for c in right.columns if c not in join_keys]
+    renamed = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & left[k].eqNullSafe(renamed[f"__right_{k}"])
+    left_rest = [c for c in left.columns if c not in keys]
+    right_rest = [c for c in right.columns if c not in keys]
     return left.join(renamed, condition, "inner").select(*keys, *left_rest, *right_rest)
 
 
@@ -62,10 +89,10 @@ def _slice(
     is_hot = runtime.key_hash(keys).isin(*hot)
     row_hash = F.xxhash64(*[F.col(c) for c in left.columns])
     cut_left = left.withColumn(
-        "__slice", F.when(is_hot, F.pmod(row_hash, F.lit(slices)).cast("int")).otherwise(F.lit(0))
+        SLICE, F.when(is_hot, F.pmod(row_hash, F.lit(slices)).cast("int")).otherwise(F.lit(0))
     )
-    every = F.array(*[F.lit(i) for i in range(slices)])
-    cut_right = right.withColumn("__slice", F.explode(F.when(is_hot, every).otherwise(F.array(F.lit(0)))))
+    every = F.sequence(F.lit(0), F.lit(slices - 1))
+    cut_right = right.withColumn(SLICE, F.explode(F.when(is_hot, every).otherwise(F.array(F.lit(0)))))
     return cut_left, cut_right
 
 

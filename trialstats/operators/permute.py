@@ -28,7 +28,7 @@ def _positions(df: DataFrame, key: str, salt: str, name: str, digits: int) -> Da
     )
 
 
-def shuffle_column(df: DataFrame, key: str, column: str, seed: int = 0, digits: int = 3) -> DataFrame:
+def shuffle_column(df: DataFrame, key: str, column: str, seed: int = 0, digits: int = 4) -> DataFrame:
     """Reassign the values of ``column`` to rows by a seeded random permutation.
 
     ``key`` must identify rows.  Rows and values are numbered in two unrelated

@@ -64,7 +64,7 @@ def _time_cuts(events: DataFrame, participant: str, elapsed: str, hot_rows: int)
     The sketch bounds the number of participants, MAX_SLICES the cuts of each,
     so the frame is small enough to broadcast whatever the size of the log.
     """
-    hot = runtime.hot_keys(events, [participant], hot_rows)
+    (hot,) = runtime.hot_keys(events, [[participant]], hot_rows)
     if not hot:
         return None
     slices = min(MAX_SLICES, max(2, math.ceil(max(hot.values()) / hot_rows)))

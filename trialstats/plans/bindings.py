@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialstats.operators import recode
-from trialstats.operators.joins import natural_join
+from trialstats.operators.joins import natural_join, star_join
 
 TASK = "sat"
 # Task behind each order status.
@@ -40,7 +40,14 @@ def complexity(spark: SparkSession, folder: str) -> DataFrame:
 
 def trial_info(spark: SparkSession, folder: str, participant: bool = False) -> DataFrame:
     """Trials; the participant and the task come from orders and cost a join."""
-    trials = table(spark, folder, "lineitem").select(
+    trials = _trials(spark, folder)
+    if not participant:
+        return trials.drop("session")
+    return natural_join(trials, sessions(spark, folder)).drop("session")
+
+
+def _trials(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias("session"),
         (F.col("l_orderkey") % 3 + 1).cast("int").alias("block"),
         F.col("l_linenumber").alias("trial"),
@@ -49,15 +56,16 @@ def trial_info(spark: SparkSession, folder: str, participant: bool = False) -> D
         F.col("l_quantity").alias("TimeOnTask"),
         F.when(F.col("l_linestatus") == "F", 1).otherwise(0).alias("randomYes"),
     )
-    if not participant:
-        return trials.drop("session")
+
+
+def sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """Participant and task of each session."""
     status = F.create_map(*[F.lit(v) for pair in TASK_OF_STATUS.items() for v in pair])
-    sessions = table(spark, folder, "orders").select(
+    return table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("session"),
         F.col("o_custkey").alias("participant_id"),
         status[F.col("o_orderstatus")].alias("task"),
     )
-    return natural_join(trials, sessions).drop("session")
 
 
 def demographics(spark: SparkSession, folder: str) -> DataFrame:
@@ -103,17 +111,24 @@ def analysis(
     with_complexity: bool = False,
     with_demographics: bool = False,
 ) -> DataFrame:
-    """The trial-level table every summary and model starts from."""
-    # part holds one row per instance, so unlike instance logs it needs no
-    # de-duplication before the join.
-    out = natural_join(trial_info(spark, folder, participant or with_demographics), instance_info(spark, folder))
+    """The trial-level table every summary and model starts from.
+
+    Instance properties are joined with each other, and participants with their
+    sessions, before either meets the trials: the large table is joined at most
+    twice.  part holds one row per instance, so it needs no de-duplication.
+    """
+    instances = instance_info(spark, folder)
     if with_complexity:
-        out = natural_join(out, complexity(spark, folder))
-    if with_demographics:
-        flags = recode.demographic_flags()
-        people = demographics(spark, folder).withColumns(flags)
-        out = natural_join(out, people.select("participant_id", "Age", *flags, *STRATEGY_BITS))
-    return derive(out)
+        instances = natural_join(instances, complexity(spark, folder))
+    dimensions = [instances]
+    if participant or with_demographics:
+        people = sessions(spark, folder)
+        if with_demographics:
+            flags = recode.demographic_flags()
+            covariates = demographics(spark, folder).withColumns(flags)
+            people = natural_join(people, covariates.select("participant_id", "Age", *flags, *STRATEGY_BITS))
+        dimensions.append(people)
+    return derive(star_join(_trials(spark, folder), *dimensions).drop("session"))
 
 
 def derive(df: DataFrame, task: str = TASK) -> DataFrame:

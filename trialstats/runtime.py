@@ -37,15 +37,27 @@ def key_hash(columns: list[str]) -> Column:
     return F.xxhash64(*[F.col(c) for c in columns])
 
 
-def hot_keys(df: DataFrame, columns: list[str], hot_rows: int = HOT_ROWS) -> dict[int, int]:
-    """Hash and approximate row count of each key with more than ``hot_rows`` rows.
+def hot_keys(df: DataFrame, key_sets: list[list[str]], hot_rows: int = HOT_ROWS) -> list[dict[int, int]]:
+    """Per key set: hash and approximate row count of each key with more than ``hot_rows`` rows.
 
-    One aggregation with map-side combine; the result is a single row of at
-    most HOT_KEYS entries whatever the number of rows or keys.
+    One aggregation with map-side combine for all key sets; the result is a
+    single row of at most HOT_KEYS entries each, whatever the size of the data.
     """
-    sketch = f"approx_top_k(key, {HOT_KEYS}, {SKETCH_ITEMS})"
-    row = df.select(key_hash(columns).alias("key")).agg(F.expr(sketch).alias("top")).first()
-    return {item["item"]: item["count"] for item in (row["top"] or []) if item["count"] > hot_rows}
+    names = [f"key{i}" for i in range(len(key_sets))]
+    hashed = df.select(*[key_hash(columns).alias(n) for n, columns in zip(names, key_sets, strict=True)])
+    row = hashed.agg(*[F.expr(f"approx_top_k({n}, {HOT_KEYS}, {SKETCH_ITEMS})").alias(n) for n in names]).first()
+    return [{item["item"]: item["count"] for item in (row[n] or []) if item["count"] > hot_rows} for n in names]
+
+
+def measured(df: DataFrame) -> DataFrame:
+    """Compute and keep ``df``, so that its size estimate is its real size.
+
+    For small frames derived from large ones, whose estimate would otherwise be
+    that of their source.
+    """
+    kept = df.persist()
+    kept.count()
+    return kept
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:

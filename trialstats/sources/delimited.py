@@ -1,9 +1,10 @@
 """Participant log files: preamble lines, a header line, separated values.
 
-Files are read as splittable lines, never as one string per file, so a single
-huge log spreads over as many tasks as it has blocks.  Each line carries its
-file and a line number that grows along the file; the header of a file is its
-line number ``skip``.
+Small files are read whole, one row per file, and split in place: their header
+is at hand and nothing is shuffled.  Files above a size limit are read as
+splittable lines, so a single huge log spreads over as many tasks as it has
+blocks.  Each line carries its file and a line number that grows along the
+file; the header of a file is its line number ``skip``.
 """
 
 from __future__ import annotations
@@ -14,11 +15,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trialstats import runtime
 from trialstats.operators.joins import natural_join
 
 LOG_KINDS = {"instances": "InstancesInfo.txt", "trials": "TrialInfo.txt", "times": "TimeStamps.txt"}
 # Preamble lines before the header, per kind of log.
 PREAMBLE = {"instances": 1, "trials": 1, "times": 2}
+# Files up to this size are read as a single row.
+WHOLE_FILE_BYTES = 32 * 1024 * 1024
 
 
 def log_glob(folder: str, kind: str) -> str:
@@ -40,26 +44,49 @@ def clean_name(name: Column) -> Column:
     return F.regexp_replace(dotted, "^([0-9])", "X$1")
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line_no, value) for every line of every matching file.
+def read_lines(spark: SparkSession, path: str, above: int = 0) -> DataFrame:
+    """(path, line_no, value) for every line of the files larger than ``above`` bytes.
 
     Row ids count up by one within a file block, so a line's number is its
     distance from the first line of its block plus the byte offset at which the
     block starts.  In the first block that is the exact line number; in later
     blocks it exceeds every number before it, as a line takes at least a byte.
     """
-    raw = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("block_start"),
-        F.monotonically_increasing_id().alias("row_id"),
-        "value",
+    raw = (
+        spark.read.text(path)
+        .filter(F.col("_metadata.file_size") > above)
+        .select(
+            F.col("_metadata.file_path").alias("path"),
+            F.col("_metadata.file_block_start").alias("block_start"),
+            F.monotonically_increasing_id().alias("row_id"),
+            "value",
+        )
     )
-    first = raw.groupBy("path", "block_start").agg(F.min("row_id").alias("first_id"))
+    # One row per file block.
+    first = runtime.measured(raw.groupBy("path", "block_start").agg(F.min("row_id").alias("first_id")))
     return natural_join(raw, first, on=["path", "block_start"]).select(
         "path", (F.col("block_start") + F.col("row_id") - F.col("first_id")).alias("line_no"), "value"
     )
 
 
+def _columns(schema: T.StructType, mapping: dict[str, str] | None) -> list[Column]:
+    """Schema fields out of ``fields``, located by name in ``names``."""
+    outputs = []
+    for field in schema.fields:
+        source = (mapping or {}).get(field.name, field.name)
+        position = F.array_position("names", F.lit(source))
+        text = F.when(position > 0, F.get("fields", (position - 1).cast("int")))
+        text = F.when(text != "NA", text)
+        if not isinstance(field.dataType, T.StringType):
+            text = F.trim(text).try_cast(field.dataType)
+        outputs.append(text.alias(field.name))
+    return outputs
+
+
+def _names(line: Column, split: str) -> Column:
+    return F.transform(F.split(line, split), clean_name)
+
+
 def parse_lines(
     lines: DataFrame, schema: T.StructType, sep: str = ";", skip: int = 1, mapping: dict[str, str] | None = None
 ) -> DataFrame:
@@ -71,23 +98,28 @@ def parse_lines(
     ``mapping`` gives the header name behind a schema field where they differ.
     """
     split = re.escape(sep)
-    headers = lines.filter(F.col("line_no") == skip).select(
-        "path", F.transform(F.split("value", split), clean_name).alias("names")
+    # One row per file, kept so that the join knows its real size.
+    headers = runtime.measured(
+        lines.filter(F.col("line_no") == skip).select("path", _names(F.col("value"), split).alias("names"))
     )
     body = lines.filter((F.col("line_no") > skip) & (F.trim("value") != "")).select(
         "path", "line_no", F.split("value", split).alias("fields")
     )
-    joined = natural_join(body, headers, on=["path"])
-    outputs = []
-    for field in schema.fields:
-        source = (mapping or {}).get(field.name, field.name)
-        position = F.array_position("names", F.lit(source))
-        text = F.when(position > 0, F.get("fields", (position - 1).cast("int")))
-        text = F.when(text != "NA", text)
-        if not isinstance(field.dataType, T.StringType):
-            text = F.trim(text).try_cast(field.dataType)
-        outputs.append(text.alias(field.name))
-    return joined.select("path", "line_no", *outputs)
+    return natural_join(body, headers, on=["path"]).select("path", "line_no", *_columns(schema, mapping))
+
+
+def parse_files(
+    files: DataFrame, schema: T.StructType, sep: str = ";", skip: int = 1, mapping: dict[str, str] | None = None
+) -> DataFrame:
+    """Like ``parse_lines`` for (path, value) rows that hold a whole file each."""
+    split = re.escape(sep)
+    lines = files.select("path", F.split("value", "\r?\n").alias("lines"))
+    headed = lines.select(
+        "path", _names(F.get("lines", F.lit(skip)), split).alias("names"), F.posexplode("lines").alias("line_no", "line")
+    )
+    body = headed.filter((F.col("line_no") > skip) & (F.trim("line") != ""))
+    fields = body.select("path", F.col("line_no").cast("long"), "names", F.split("line", split).alias("fields"))
+    return fields.select("path", "line_no", *_columns(schema, mapping))
 
 
 def read_delimited(
@@ -97,9 +129,18 @@ def read_delimited(
     sep: str = ";",
     skip: int = 1,
     mapping: dict[str, str] | None = None,
+    whole_bytes: int = WHOLE_FILE_BYTES,
 ) -> DataFrame:
-    """All files under a glob as one frame, tagged with path, line number and participant."""
-    parsed = parse_lines(read_lines(spark, path), schema, sep, skip, mapping)
+    """All files under a glob as one frame, tagged with path, line number and participant.
+
+    The size test is on file metadata, so it selects files before any is opened.
+    """
+    size = F.col("_metadata.file_size")
+    whole = spark.read.text(path, wholetext=True).filter(size <= whole_bytes)
+    parsed = parse_files(whole.select(F.col("_metadata.file_path").alias("path"), "value"), schema, sep, skip, mapping)
+    if not spark.read.text(path).filter(size > whole_bytes).isEmpty():
+        lines = read_lines(spark, path, above=whole_bytes)
+        parsed = parsed.unionByName(parse_lines(lines, schema, sep, skip, mapping))
     return parsed.withColumn("participant_id", participant_from_path(F.col("path")))
 
 
