@@ -1,0 +1,119 @@
+"""Tail probabilities against published values; tests against closed forms."""
+
+import math
+
+import numpy as np
+import pytest
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import ChiSquareTest
+
+from trialstats.functions import distributions as dist
+from trialstats.inference import significance as sig
+
+
+def test_published_critical_values():
+    assert math.isclose(dist.normal_two_sided(1.959963984540054), 0.05, rel_tol=1e-12)
+    assert math.isclose(dist.t_two_sided(2.228138852, 10), 0.05, rel_tol=1e-8)
+    assert math.isclose(dist.t_two_sided(12.70620474, 1), 0.05, rel_tol=1e-8)
+    assert math.isclose(dist.chi2_upper(3.841458821, 1), 0.05, rel_tol=1e-8)
+    assert math.isclose(dist.chi2_upper(18.30703805, 10), 0.05, rel_tol=1e-8)
+    assert math.isclose(dist.f_upper(4.964602744, 1, 10), 0.05, rel_tol=1e-8)
+    assert math.isclose(dist.t_quantile(0.975, 10), 2.228138852, rel_tol=1e-8)
+    assert dist.t_two_sided(0.0, 5) == 1.0 and dist.chi2_upper(0.0, 3) == 1.0
+    assert dist.t_two_sided(None, 5) is None and dist.normal_two_sided(math.nan) is None
+
+
+def table(spark, counts):
+    rows = [(f"r{i}", f"c{j}") for i, line in enumerate(counts) for j, n in enumerate(line) for _ in range(n)]
+    return spark.createDataFrame([*rows, ("r0", None), (None, "c0")], "a string, b string")
+
+
+def expected(counts):
+    o = np.array(counts, float)
+    e = o.sum(1, keepdims=True) * o.sum(0, keepdims=True) / o.sum()
+    return o, e
+
+
+@pytest.mark.parametrize("counts", [[[12, 5], [7, 9]], [[8, 0], [3, 6]], [[10, 10], [10, 11]]])
+def test_chi2_two_by_two(spark, counts):
+    o, e = expected(counts)
+    gap = np.abs(o - e)
+    yates = ((gap - min(0.5, gap.min())) ** 2 / e).sum()
+    row = sig.chi2_test(table(spark, counts), "a", "b").first()
+    assert math.isclose(row["statistic"], yates, rel_tol=1e-10, abs_tol=1e-12) and row["df"] == 1
+    plain = sig.chi2_test(table(spark, counts), "a", "b", yates=False).first()
+    assert math.isclose(plain["statistic"], (gap**2 / e).sum(), rel_tol=1e-10)
+
+
+def test_chi2_larger_tables_match_mllib(spark):
+    counts = [[12, 5, 9], [7, 9, 0]]
+    row = sig.chi2_test(table(spark, counts), "a", "b").first()
+    rows = [(float(i), float(j)) for i, line in enumerate(counts) for j, n in enumerate(line) for _ in range(n)]
+    df = VectorAssembler(inputCols=["b"], outputCol="f").transform(spark.createDataFrame(rows, "a double, b double"))
+    want = ChiSquareTest.test(df, "f", "a").first()
+    assert math.isclose(row["statistic"], want["statistics"][0], rel_tol=1e-10)
+    assert math.isclose(row["p_value"], want["pValues"][0], rel_tol=1e-8) and row["df"] == 2
+
+
+def test_chi2_degenerate(spark):
+    row = sig.chi2_test(table(spark, [[3, 4]]), "a", "b").first()
+    assert row["statistic"] is None and row["p_value"] is None
+
+
+def test_welch(spark):
+    x, y = [4.0, 5.5, 6.1, 7.0], [1.0, 9.0, 3.5, 4.5, 6.0, 2.0]
+    df = spark.createDataFrame([("a", v) for v in x] + [("b", v) for v in y] + [("a", None)], "g string, y double")
+    row = sig.welch_t(df, "y", "g").first()
+    ex, ey = np.var(x, ddof=1) / len(x), np.var(y, ddof=1) / len(y)
+    t = (np.mean(x) - np.mean(y)) / math.sqrt(ex + ey)
+    df_ = (ex + ey) ** 2 / (ex**2 / (len(x) - 1) + ey**2 / (len(y) - 1))
+    assert math.isclose(row["statistic"], t) and math.isclose(row["df"], df_)
+    assert math.isclose(row["p_value"], dist.t_two_sided(t, df_))
+    half = dist.t_quantile(0.975, df_) * math.sqrt(ex + ey)
+    assert math.isclose(row["conf_low"], np.mean(x) - np.mean(y) - half)
+    assert (row["group1"], row["group2"]) == ("a", "b")
+
+
+def test_welch_edge_groups(spark):
+    one = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("b", 3.0)], "g string, y double")
+    assert sig.welch_t(one, "y", "g").first()["statistic"] is None
+    three = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 3.0)], "g string, y double")
+    assert sig.welch_t(three, "y", "g").isEmpty()
+
+
+def correlated(spark):
+    rows = [("n2", 1.0, 2.0), ("n2", 2.0, 1.0)]
+    rows += [("n3", 1.0, 2.0), ("n3", 2.0, 1.0), ("n3", 4.0, 5.0)]
+    rows += [("flat", 3.0, float(i)) for i in range(5)]
+    rows += [("gap", float(i), float(i * i % 7)) for i in range(8)] + [("gap", None, 1.0)]
+    return spark.createDataFrame(rows, "g string, x double, y double")
+
+
+def test_correlation_propagates_or_drops_missing(spark):
+    plain = {r["g"]: r["correlation"] for r in sig.cor_by_group(correlated(spark), "x", "y", "g").collect()}
+    assert plain["gap"] is None and plain["flat"] is None and math.isclose(plain["n2"], -1.0)
+    tests = {r["g"]: r for r in sig.cor_test_by_group(correlated(spark), "x", "y", "g").collect()}
+    x = np.arange(8.0)
+    r = np.corrcoef(x, x * x % 7)[0, 1]
+    row = tests["gap"]
+    t = r * math.sqrt(6) / math.sqrt(1 - r * r)
+    assert math.isclose(row["estimate"], r) and math.isclose(row["statistic"], t) and row["df"] == 6
+    assert math.isclose(row["p_value"], dist.t_two_sided(t, 6))
+    assert math.isclose(row["conf_high"], math.tanh(math.atanh(r) + 1.959963984540054 / math.sqrt(5)))
+    # Three pairs have a test but no interval, two have neither.
+    assert tests["n3"]["p_value"] is not None and tests["n3"]["conf_low"] is None
+    assert "n2" not in tests and tests["flat"]["estimate"] is None
+
+
+def test_cor_test_long(spark):
+    got = {(r["g"], r["description"]): r["correlation"] for r in sig.cor_test_long(correlated(spark), "x", "y", "g").collect()}
+    assert set(k for _, k in got) == {"estimate", "p.value"} and len(got) == 6
+
+
+def test_cor_matrix_is_listwise(spark):
+    rows = [(1.0, 2.0, 3.0), (2.0, 1.0, 5.0), (3.0, 5.0, 1.0), (4.0, 3.0, 2.5), (None, 9.0, 9.0)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    got = {(r["row"], r["col"]): (r["r"], r["n"]) for r in sig.cor_matrix(df, ["a", "b", "c"]).collect()}
+    full = np.corrcoef(np.array(rows[:4]).T)
+    assert math.isclose(got["b", "a"][0], full[1, 0]) and math.isclose(got["c", "b"][0], full[2, 1])
+    assert {n for _, n in got.values()} == {4}

@@ -96,9 +96,10 @@ def _both(x: str, y: str) -> Column:
 
 
 def _correlation(x: str, y: str) -> Column:
-    """NULL, not NaN, where a column is constant."""
-    r = F.corr(x, y)
-    return F.when(~F.isnan(r), r)
+    """Pearson correlation of the complete pairs; NULL where a column is constant."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    spread = F.stddev_pop(F.when(both, F.col(x))) * F.stddev_pop(F.when(both, F.col(y)))
+    return F.try_divide(F.covar_pop(x, y), spread)
 
 
 def cor_by_group(df: DataFrame, x: str, y: str, by: str) -> DataFrame:

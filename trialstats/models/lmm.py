@@ -25,7 +25,7 @@ from trialstats.models.spec import (
     ModelSpec,
     factor_levels,
     predictor_columns,
-    scaled_inverse,
+    solve_normal,
     triangle,
     unpack,
 )
@@ -161,11 +161,7 @@ class GroupMoments:
 
     def generalised(self, correction: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
         """Generalised least squares: inverse of X'VX, coefficients, residual sum."""
-        left = self.gram - correction
-        p = self.p
-        inverse = scaled_inverse(left[:p, :p])
-        beta = inverse @ left[:p, p]
-        return inverse, beta, max(left[p, p] - left[:p, p] @ beta, 0.0)
+        return solve_normal(self.gram - correction)
 
     def reml(self, logdet: float, correction: np.ndarray) -> float:
         inverse, _, rss = self.generalised(correction)

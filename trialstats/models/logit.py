@@ -119,6 +119,7 @@ def _newton(specs, designs, uses, table: SumOverRows) -> list[Fit]:
             # Half the squared Newton decrement bounds the gain still possible.
             if score @ step < 1e-14 * (abs(part[0]) + 1) and gained < 1e-8 * (abs(part[0]) + 1):
                 done[k] = True
+                best[k] = (part[0], beta[k] + step)
             beta[k] = beta[k] + step
     return [_finish(specs[k], [INTERCEPT, *designs[k]], best[k], sums[k], done[k]) for k in range(len(specs))]
 

@@ -17,7 +17,7 @@ from trialstats.models.spec import (
     ModelSpec,
     factor_levels,
     predictor_columns,
-    scaled_inverse,
+    solve_normal,
     triangle,
     unpack,
 )
@@ -91,9 +91,7 @@ def from_gram(spec: ModelSpec, terms: list[str], gram: np.ndarray) -> Fit:
     n = int(round(gram[0, 0]))
     if n <= p:
         raise ValueError(f"{spec.name}: {n} complete rows for {p} coefficients")
-    inverse = scaled_inverse(gram[:p, :p])
-    estimate = inverse @ gram[:p, p]
-    rss = max(gram[p, p] - gram[:p, p] @ estimate, 0.0)
+    inverse, estimate, rss = solve_normal(gram)
     tss = gram[p, p] - gram[0, p] ** 2 / n
     df = n - p
     s2 = rss / df

@@ -81,10 +81,14 @@ class Fit:
         return np.sqrt(np.clip(np.diag(self.covariance), 0.0, None))
 
 
-def scaled_inverse(a: np.ndarray) -> np.ndarray:
-    """Inverse of a symmetric matrix, scaled to unit diagonal before inverting."""
+def scaled_inverse(a: np.ndarray, size: np.ndarray | None = None) -> np.ndarray:
+    """Inverse of a symmetric matrix, scaled to unit diagonal before inverting.
+
+    ``size`` is what a diagonal entry of pure rounding error is compared with.
+    """
     diagonal = np.diag(a)
-    if np.any(diagonal <= 0) or not np.all(np.isfinite(a)):
+    floor = 0.0 if size is None else 1e-14 * np.abs(size)
+    if np.any(diagonal <= floor) or not np.all(np.isfinite(a)):
         raise np.linalg.LinAlgError("singular cross-product matrix: a predictor is constant")
     s = 1.0 / np.sqrt(diagonal)
     scaled = a * s[:, None] * s[None, :]
@@ -93,6 +97,26 @@ def scaled_inverse(a: np.ndarray) -> np.ndarray:
     return np.linalg.inv(scaled) * s[:, None] * s[None, :]
 
 
+def solve_normal(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Inverse, coefficients and residual sum from cross-products of [1, X, y].
+
+    The intercept is eliminated first.  That centres the other columns, without
+    which a predictor far from zero would cost most of the available digits.
+    """
+    p = len(gram) - 1
+    means = gram[0, 1:] / gram[0, 0]
+    centred = gram[1:, 1:] - np.outer(means, gram[0, 1:])
+    centred = (centred + centred.T) / 2
+    inner = scaled_inverse(centred[:-1, :-1], np.diag(gram)[1:-1]) if p > 1 else np.zeros((0, 0))
+    slopes = inner @ centred[:-1, -1]
+    inverse = np.empty((p, p))
+    inverse[1:, 1:] = inner
+    inverse[0, 1:] = inverse[1:, 0] = -inner @ means[:-1]
+    inverse[0, 0] = 1 / gram[0, 0] + means[:-1] @ inner @ means[:-1]
+    beta = np.concatenate([[means[-1] - means[:-1] @ slopes], slopes])
+    return inverse, beta, max(float(centred[-1, -1] - centred[:-1, -1] @ slopes), 0.0)
+
+
 def triangle(size: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(size) for j in range(i, size)]
 
