@@ -45,15 +45,17 @@ def design(rows: str, outcome: str, terms: list[str]) -> str:
     return f"SELECT * FROM (SELECT {xs}, CAST({outcome} AS DOUBLE) AS y FROM ({rows})) WHERE {whole} AND y IS NOT NULL"
 
 
-def invert(wide: str, size: int, prefix: str) -> tuple[str, str]:
-    """CTEs that invert the symmetric matrix a_i_j (i <= j) of the one-row CTE ``wide``.
+def solve(wide: str, size: int, rhs: str, prefix: str) -> str:
+    """CTEs that solve and invert the symmetric matrix a_i_j (i <= j) of the one-row CTE ``wide``.
 
-    Gauss-Jordan elimination on a long table (i, j, v) with the identity
-    appended; the returned CTE holds the inverse as (i, j, v).
+    Gauss-Jordan elimination on a long table (i, j, v) with the identity and the
+    right-hand side columns ``rhs``_i appended.  CTE <prefix>_inv then holds the
+    inverse as (i, j, v) and <prefix>_sol the solution as (i, v).
     """
     cells = " UNION ALL ".join(
         [f"SELECT {i} AS i, {j} AS j, a_{min(i, j)}_{max(i, j)} AS v FROM {wide}" for i in range(size) for j in range(size)]
         + [f"SELECT {i}, {size + j}, {1.0 if i == j else 0.0}::DOUBLE" for i in range(size) for j in range(size)]
+        + [f"SELECT {i}, {2 * size}, {rhs}_{i} FROM {wide}" for i in range(size)]
     )
     parts = [f"{prefix}_e0 AS MATERIALIZED ({cells})"]
     for k in range(size):
@@ -64,8 +66,10 @@ def invert(wide: str, size: int, prefix: str) -> tuple[str, str]:
     FROM {e} a JOIN {e} q ON q.i = {k} AND q.j = a.j JOIN {e} p ON p.j = {k} AND p.i = a.i
          JOIN {e} d ON d.i = {k} AND d.j = {k})"""
         )
-    parts.append(f"{prefix}_inv AS MATERIALIZED (SELECT i, j - {size} AS j, v FROM {prefix}_e{size} WHERE j >= {size})")
-    return ",\n".join(parts), f"{prefix}_inv"
+    last = f"{prefix}_e{size}"
+    parts.append(f"{prefix}_inv AS MATERIALIZED (SELECT i, j - {size} AS j, v FROM {last} WHERE j BETWEEN {size} AND {2 * size - 1})")
+    parts.append(f"{prefix}_sol AS MATERIALIZED (SELECT i, v FROM {last} WHERE j = {2 * size})")
+    return ",\n".join(parts)
 
 
 def _products(size: int, weight: str = "") -> str:
@@ -85,32 +89,31 @@ def _tidy(model: str, p: str) -> str:
     FROM (SELECT *, {p} AS p FROM (SELECT *, estimate / std_error AS statistic FROM est))"""
 
 
+def _least_squares(rows: str, outcome: str, terms: list[str]) -> str:
+    """CTEs of a least squares fit: sums s, m_inv, m_sol, and residuals taken row by row."""
+    size = len(terms) + 1
+    fitted = " + ".join(f"b_{i} * x{i}" for i in range(size))
+    wide = ", ".join(f"max(v) FILTER (i = {i}) AS b_{i}" for i in range(size))
+    return f"""f AS MATERIALIZED ({design(rows, outcome, terms)}),
+  s AS MATERIALIZED (SELECT {_products(size)}, {", ".join(f"sum(x{i} * y) AS b_{i}" for i in range(size))}, count(*)::DOUBLE AS n, avg(y) AS ybar FROM f),
+  {solve("s", size, "b", "m")}, wide AS (SELECT {wide} FROM m_sol),
+  w AS MATERIALIZED (SELECT any_value(n) AS n, sum((y - ({fitted})) * (y - ({fitted}))) AS rss, sum((y - ybar) * (y - ybar)) AS tss
+        FROM f, wide, (SELECT n, ybar FROM s))"""
+
+
 def ols(model: str, rows: str, outcome: str, terms: list[str]) -> str:
     """Coefficient table of a least squares fit."""
     size = len(terms) + 1
-    solve, inverse = invert("s", size, "m")
-    rhs = " UNION ALL ".join(f"SELECT {i} AS i, b_{i} AS v FROM s" for i in range(size))
-    return f"""SELECT * FROM (WITH f AS ({design(rows, outcome, terms)}),
-  s AS MATERIALIZED (SELECT {_products(size)}, {", ".join(f"sum(x{i} * y) AS b_{i}" for i in range(size))},
-       sum(y * y) AS yy, count(*)::DOUBLE AS n FROM f),
-  {solve}, rhs AS ({rhs}),
-  beta AS MATERIALIZED (SELECT a.i, sum(a.v * rhs.v) AS v FROM {inverse} a JOIN rhs ON rhs.i = a.j GROUP BY a.i),
-  fit AS MATERIALIZED (SELECT (SELECT yy - sum(beta.v * rhs.v) FROM beta JOIN rhs USING (i)) / (n - {size}) AS s2, n - {size} AS df FROM s),
-  est AS MATERIALIZED (SELECT term, beta.v AS estimate, sqrt(s2 * d.v) AS std_error, df
-       FROM beta JOIN {_labels(["(Intercept)", *terms])} USING (i) JOIN {inverse} d ON d.i = beta.i AND d.j = beta.i, fit)
+    return f"""SELECT * FROM (WITH {_least_squares(rows, outcome, terms)},
+  est AS MATERIALIZED (SELECT term, beta.v AS estimate, sqrt(rss / (n - {size}) * d.v) AS std_error, n - {size} AS df
+       FROM m_sol beta JOIN {_labels(["(Intercept)", *terms])} USING (i) JOIN m_inv d ON d.i = beta.i AND d.j = beta.i, w)
   {_tidy(model, t_p("statistic", "df"))})"""
 
 
 def ols_fit(model: str, rows: str, outcome: str, terms: list[str]) -> str:
     """n, sigma, R2, adjusted R2, F, log-likelihood, AIC, BIC of a least squares fit."""
     size = len(terms) + 1
-    solve, inverse = invert("s", size, "m")
-    rhs = " UNION ALL ".join(f"SELECT {i} AS i, b_{i} AS v FROM s" for i in range(size))
-    return f"""SELECT * FROM (WITH f AS ({design(rows, outcome, terms)}),
-  s AS MATERIALIZED (SELECT {_products(size)}, {", ".join(f"sum(x{i} * y) AS b_{i}" for i in range(size))},
-       sum(y * y) AS yy, count(*)::DOUBLE AS n, sum(y) AS sy FROM f),
-  {solve}, rhs AS ({rhs}),
-  w AS (SELECT n, yy - sy * sy / n AS tss, yy - (SELECT sum(l.v * a.v * r.v) FROM {inverse} a JOIN rhs l ON l.i = a.i JOIN rhs r ON r.i = a.j) AS rss FROM s),
+    return f"""SELECT * FROM (WITH {_least_squares(rows, outcome, terms)},
   g AS (SELECT *, -n / 2 * (ln(2 * pi()) + ln(rss / n) + 1) AS loglik FROM w)
   SELECT '{model}' AS model, n::BIGINT AS n, round(sqrt(rss / (n - {size})), 6) AS sigma, round(1 - rss / tss, 6) AS r2,
     round(1 - rss / tss * (n - 1) / (n - {size}), 6) AS adj_r2, round((tss - rss) / {size - 1} / (rss / (n - {size})), 6) AS f,
@@ -133,13 +136,8 @@ def _newton(rows: str, outcome: str, terms: list[str]) -> str:
         parts.append(f"p{k} AS (SELECT pat.*, 1 / (1 + exp(-({eta}))) AS mu FROM pat, b{k})")
         scores = ", ".join(f"sum(x{i} * (s - m * mu)) AS g_{i}" for i in range(size))
         parts.append(f"s{k} AS MATERIALIZED (SELECT {_products(size, 'm * mu * (1 - mu) * ')}, {scores} FROM p{k})")
-        solve, inverse = invert(f"s{k}", size, f"n{k}")
-        parts.append(solve)
-        rhs = " UNION ALL ".join(f"SELECT {i} AS i, g_{i} AS v FROM s{k}" for i in range(size))
-        parts.append(
-            f"d{k} AS MATERIALIZED (SELECT a.i, sum(a.v * r.v) AS v FROM {inverse} a JOIN ({rhs}) r ON r.i = a.j GROUP BY a.i)"
-        )
-        moved = ", ".join(f"b_{i} + (SELECT v FROM d{k} WHERE i = {i}) AS b_{i}" for i in range(size))
+        parts.append(solve(f"s{k}", size, "g", f"n{k}"))
+        moved = ", ".join(f"b_{i} + (SELECT v FROM n{k}_sol WHERE i = {i}) AS b_{i}" for i in range(size))
         parts.append(f"b{k + 1} AS MATERIALIZED (SELECT {moved} FROM b{k})")
     return ",\n".join(parts)
 
