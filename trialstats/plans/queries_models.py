@@ -254,28 +254,7 @@ def lmm_time_pt_profile(spark, d):
     return rounded(profile.withColumn("reml", F.round("reml", 4)))
 
 
-def _sql_lmm() -> str:
-    """REML optimum by narrowing a grid of ratios around its best value, round by round."""
-    steps, rounds = 32, 9
-    parts = [_SQL_GROUPS, "g0 AS MATERIALIZED (SELECT 0.0::DOUBLE AS r UNION ALL SELECT pow(10, -6 + i / 8.0) FROM generate_series(0, 80) AS q(i))"]
-    for k in range(rounds):
-        parts.append(f"v{k} AS MATERIALIZED ({_SQL_REML.format(ratios=f'g{k}')})")
-        parts.append(f"w{k} AS MATERIALIZED (SELECT arg_min(r, reml) AS best FROM v{k})")
-        parts.append(
-            f"""l{k} AS MATERIALIZED (SELECT best, coalesce((SELECT max(r) FROM g{k} WHERE r < best), best) AS lo,
-                  coalesce((SELECT min(r) FROM g{k} WHERE r > best), best) AS hi FROM w{k})"""
-        )
-        parts.append(f"g{k + 1} AS MATERIALIZED (SELECT lo + (hi - lo) * i / {steps}.0 AS r FROM l{k}, generate_series(0, {steps}) AS q(i))")
-    last = rounds - 1
-    return f"""WITH {", ".join(parts)}, o AS (SELECT v{last}.* FROM v{last}, w{last} WHERE r = best LIMIT 1),
-      est AS (SELECT '(Intercept)' AS term, b0 AS estimate, sqrt(s2 * m11 / det) AS std_error FROM o
-              UNION ALL SELECT 'InPhaseTransitionYes', b1, sqrt(s2 * m00 / det) FROM o)
-      SELECT 'lmm_time_pt' AS model, term, round(estimate, 4) AS estimate, round(std_error, 4) AS std_error,
-             round(estimate / std_error, 3) AS statistic, round(sqrt(s2), 4) AS sigma, round(sqrt(r * s2), 2) AS group_sd, round(reml, 3) AS reml
-      FROM est, o"""
-
-
-@query("lmm_time_pt", _sql_lmm())
+@query("lmm_time_pt", sqltext.lmm("lmm_time_pt", b.SQL_ANALYSIS, "TimeOnTask", catalogue.PARTICIPANT, ["InPhaseTransitionYes"]))
 def lmm_time_pt(spark, d):
     return _mixed_table(spark, [fit_lmm(model_frame(spark, d, [LMM_PT]), LMM_PT, LEVELS)])
 
@@ -290,20 +269,23 @@ def _mixed_table(spark, fits: list[Fit]) -> DataFrame:
 
 
 def _register_mixed() -> None:
-    """The random-intercept models fitted for the knapsack task, and one random slope each."""
-    for outcome, fit in (("time", fit_lmm), ("acc", fit_glmm)):
-        for short in ("PT", "prop"):
-            for control in catalogue.NONE_LEARN_STRAT_MSTRAT:
-                spec = catalogue.spec("knapsack", outcome, "me", catalogue.MAIN[short], control)
-                name = spec.name.replace("_me_", "_").lower()
-                name = f"{'lmm' if outcome == 'time' else 'glmm'}_{name}"
-                if name == "lmm_time_pt":
-                    continue
-
-                def run(spark, d, spec=spec, fit=fit):
-                    return _mixed_summary(spark, fit(model_frame(spark, d, [spec]), spec, LEVELS))
-
-                query(name)(run)
+    """The random-intercept models fitted for the knapsack task."""
+    for short in ("PT", "prop"):
+        for control in catalogue.NONE_LEARN_STRAT_MSTRAT:
+            time = catalogue.spec("knapsack", "time", "me", catalogue.MAIN[short], control)
+            accuracy = catalogue.spec("knapsack", "acc", "me", catalogue.MAIN[short], control)
+
+            def linear(spark, d, spec=time):
+                return _mixed_table(spark, [fit_lmm(model_frame(spark, d, [spec]), spec, LEVELS)])
+
+            def logistic(spark, d, spec=accuracy):
+                return _mixed_summary(spark, fit_glmm(model_frame(spark, d, [spec]), spec, LEVELS))
+
+            suffix = "_".join(x for x in (short.lower(), control) if x)
+            if suffix != "pt":
+                sql = sqltext.lmm(time.name, _people_needed([time]), time.outcome, catalogue.PARTICIPANT, _terms(time))
+                query(f"lmm_time_{suffix}", sql)(linear)
+            query(f"glmm_acc_{suffix}")(logistic)
 
 
 def _mixed_summary(spark, fit: Fit) -> DataFrame:

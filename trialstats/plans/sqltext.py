@@ -120,7 +120,7 @@ def ols_fit(model: str, rows: str, outcome: str, terms: list[str]) -> str:
     round(loglik, 4) AS loglik, round(-2 * loglik + 2 * {size + 1}, 4) AS aic, round(-2 * loglik + ln(n) * {size + 1}, 4) AS bic FROM g)"""
 
 
-NEWTON_ROUNDS = 8
+NEWTON_ROUNDS = 6
 
 
 def _newton(rows: str, outcome: str, terms: list[str]) -> str:
@@ -160,3 +160,66 @@ def logit_fit(model: str, rows: str, outcome: str, terms: list[str]) -> str:
   l AS (SELECT sum(s * eta - m * ln(1 + exp(eta))) AS loglik, sum(m) AS n FROM (SELECT pat.*, {eta} AS eta FROM pat, b{NEWTON_ROUNDS}))
   SELECT '{model}' AS model, n::BIGINT AS n, round(loglik, 4) AS loglik, round(-2 * loglik, 4) AS deviance,
     round(-2 * loglik + 2 * {size}, 4) AS aic, round(-2 * loglik + {size} * ln(n), 4) AS bic FROM l)"""
+
+
+# Rounds of narrowing the variance ratio, and ratios tried per round.
+REML_ROUNDS, REML_STEPS = 8, 32
+
+
+def _solve_by(wide: str, size: int, prefix: str, by: str) -> str:
+    """Like ``solve`` for one system per value of ``by``; also <prefix>_det with the log-determinants."""
+    cells = " UNION ALL ".join(
+        [f"SELECT {by}, {i} AS i, {j} AS j, a_{min(i, j)}_{max(i, j)} AS v FROM {wide}" for i in range(size) for j in range(size)]
+        + [f"SELECT {by}, {i}, {size + j}, {1.0 if i == j else 0.0}::DOUBLE FROM {wide}" for i in range(size) for j in range(size)]
+        + [f"SELECT {by}, {i}, {2 * size}, b_{i} FROM {wide}" for i in range(size)]
+    )
+    parts = [f"{prefix}_e0 AS MATERIALIZED ({cells})"]
+    for k in range(size):
+        e = f"{prefix}_e{k}"
+        parts.append(
+            f"""{prefix}_e{k + 1} AS MATERIALIZED (SELECT a.{by}, a.i, a.j,
+      CASE WHEN a.i = {k} THEN q.v / d.v ELSE a.v - p.v * q.v / d.v END AS v
+    FROM {e} a JOIN {e} q ON q.i = {k} AND q.j = a.j AND q.{by} = a.{by} JOIN {e} p ON p.j = {k} AND p.i = a.i AND p.{by} = a.{by}
+         JOIN {e} d ON d.i = {k} AND d.j = {k} AND d.{by} = a.{by})"""
+        )
+    pivots = " UNION ALL ".join(f"SELECT {by}, ln(v) AS v FROM {prefix}_e{k} WHERE i = {k} AND j = {k}" for k in range(size))
+    parts.append(f"{prefix}_det AS MATERIALIZED (SELECT {by}, sum(v) AS logdet FROM ({pivots}) GROUP BY {by})")
+    return ",\n".join(parts)
+
+
+def lmm(model: str, rows: str, outcome: str, group: str, terms: list[str]) -> str:
+    """Random-intercept REML fit: a grid of variance ratios narrowed around its best value."""
+    size = len(terms) + 1
+    xs = [f"x{i}" for i in range(size)]
+    pairs = [(i, j) for i in range(size) for j in range(i, size)]
+    terms_sql = ", ".join(["1.0::DOUBLE AS x0"] + [f"{term_sql(t)} AS x{i}" for i, t in enumerate(terms, 1)])
+    shrink = "r / (1 + r * z.n)"
+    parts = [
+        f"f AS MATERIALIZED (SELECT {group} AS g, {terms_sql}, CAST({outcome} AS DOUBLE) AS y FROM ({rows}))",
+        f"tot AS MATERIALIZED (SELECT {_products(size)}, {', '.join(f'sum({x} * y) AS b_{i}' for i, x in enumerate(xs))}, sum(y * y) AS yy, count(*)::DOUBLE AS n FROM f)",
+        f"gr AS MATERIALIZED (SELECT count(*)::DOUBLE AS n, {', '.join(f'sum({x}) AS {x}' for x in xs)}, sum(y) AS y FROM f GROUP BY g)",
+        f"""z AS MATERIALIZED (SELECT n, count(*)::DOUBLE AS k, {", ".join(f"sum(x{i} * x{j}) AS a_{i}_{j}" for i, j in pairs)},
+            {", ".join(f"sum({x} * y) AS b_{i}" for i, x in enumerate(xs))}, sum(y * y) AS yy FROM gr GROUP BY n)""",
+        "g0 AS MATERIALIZED (SELECT 0.0::DOUBLE AS r UNION ALL SELECT pow(10, -6 + i / 8.0) FROM generate_series(0, 80) AS q(i))",
+    ]
+    for k in range(REML_ROUNDS):
+        cells = [f"any_value(tot.a_{i}_{j}) - sum({shrink} * z.a_{i}_{j}) AS a_{i}_{j}" for i, j in pairs]
+        cells += [f"any_value(tot.b_{i}) - sum({shrink} * z.b_{i}) AS b_{i}" for i in range(size)]
+        parts += [
+            f"""u{k} AS MATERIALIZED (SELECT r, {", ".join(cells)}, any_value(tot.yy) - sum({shrink} * z.yy) AS yy,
+                sum(z.k * ln(1 + r * z.n)) AS spread, any_value(tot.n) AS n FROM g{k}, z, tot GROUP BY r)""",
+            _solve_by(f"u{k}", size, f"h{k}", "r"),
+            f"""v{k} AS MATERIALIZED (SELECT r, s2, (n - {size}) * (ln(2 * pi() * s2) + 1) + spread + logdet AS reml FROM (
+                SELECT u.r, n, spread, (any_value(u.yy) - sum(s.v * q.v)) / (n - {size}) AS s2 FROM u{k} u JOIN h{k}_e{size} s ON s.r = u.r AND s.j = {2 * size}
+                JOIN h{k}_e0 q ON q.r = u.r AND q.i = s.i AND q.j = {2 * size} GROUP BY u.r, n, spread) JOIN h{k}_det USING (r))""",
+            f"w{k} AS MATERIALIZED (SELECT arg_min(r, reml) AS best FROM v{k})",
+            f"""l{k} AS MATERIALIZED (SELECT best, coalesce((SELECT max(r) FROM g{k} WHERE r < best), best) AS lo,
+                coalesce((SELECT min(r) FROM g{k} WHERE r > best), best) AS hi FROM w{k})""",
+            f"g{k + 1} AS MATERIALIZED (SELECT DISTINCT lo + (hi - lo) * i / {REML_STEPS}.0 AS r FROM l{k}, generate_series(0, {REML_STEPS}) AS q(i))",
+        ]
+    k = REML_ROUNDS - 1
+    return f"""WITH {", ".join(parts)}, o AS (SELECT v{k}.* FROM v{k}, w{k} WHERE r = best),
+  est AS (SELECT term, s.v AS estimate, sqrt(s2 * d.v) AS std_error FROM h{k}_e{size} s JOIN {_labels(["(Intercept)", *terms])} USING (i)
+      JOIN h{k}_e{size} d ON d.i = s.i AND d.j = s.i + {size} AND d.r = s.r JOIN o ON o.r = s.r WHERE s.j = {2 * size})
+  SELECT '{model}' AS model, term, round(estimate, 4) AS estimate, round(std_error, 4) AS std_error, round(estimate / std_error, 3) AS statistic,
+    round(sqrt(s2), 4) AS sigma, round(sqrt(r * s2), 2) AS group_sd, round(reml, 3) AS reml FROM est, o"""
