@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 import check
+from trialstats import runtime
 
 WITH_SQL = sorted(entry.oracle_sql())
 # Fits without SQL; each algorithm has its own dense test.
@@ -22,6 +23,27 @@ def test_query_matches_sql(spark, con, sf, name):
     assert ok, note
 
 
+# Queries that join, sort events or parse, forced into the layout for large tables:
+# nothing broadcast by the library or by Spark, and keys split from a few rows on.
+LARGE_LAYOUT = [
+    "acc_by_region", "acc_by_task_region", "analysis_with_demographics", "complexity_join", "learning_curve",
+    "natural_join", "parse_delimited", "bind_rows_by_name", "time_on_task", "trials_with_instances",
+    "trials_with_times", "drop_cols", "model_grid_ols_sat_pt", "lmm_time_prop_mstrat", "panel_random_effects",
+]
+
+
+@pytest.mark.parametrize("name", LARGE_LAYOUT)
+def test_large_layout_gives_the_same_rows(spark, con, sf, name, monkeypatch):
+    monkeypatch.setattr(runtime, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(runtime, "HOT_ROWS", 12)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ok, note, *_ = check.compare(spark, con, sf, name)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert ok, note
+
+
 @pytest.mark.parametrize("name", SAMPLE)
 def test_rows_only_query_returns_rows(spark, sf, name):
     assert name in ROWS_ONLY

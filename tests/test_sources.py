@@ -46,6 +46,12 @@ def test_read_delimited(spark, logs, whole_bytes):
     assert got == WANT
 
 
+def test_list_inputs(spark, logs):
+    listed = delimited.list_inputs(spark, str(logs), "trials").collect()
+    assert [r["participant_id"] for r in listed] == ["p1", "p2"]
+    assert [r["participant_id"] for r in delimited.list_inputs(spark, str(logs), "times").collect()] == ["p3"]
+
+
 def test_lines_across_blocks(spark, tmp_path):
     """A file split into many blocks keeps its header and its line order."""
     n = 400

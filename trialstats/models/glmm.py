@@ -171,7 +171,8 @@ class LaplaceData:
         number = F.lit(-1)
         if hot:
             table = F.create_map(*[F.lit(v) for pair in zip(hot, range(len(hot))) for v in pair])
-            number = F.coalesce(table[runtime.key_hash(["g"])], F.lit(-1))
+            group = runtime.key_hash(["g"])
+            number = F.when(group.isin(*hot), table[group]).otherwise(number)
         piece = F.when(F.col("hot") >= 0, F.pmod(F.xxhash64("g", *self.names), F.lit(slices))).otherwise(F.lit(0))
         cores = merged.sparkSession.sparkContext.defaultParallelism
         parts = max(min(cores, math.ceil(self.rows / SMALL_PARTITION)), math.ceil(self.rows / ROWS_PER_PARTITION))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialstats import runtime
@@ -24,8 +24,8 @@ def natural_join(
     left: DataFrame,
     right: DataFrame,
     on: list[str] | None = None,
-    broadcast_bytes: int = runtime.BROADCAST_BYTES,
-    hot_rows: int = runtime.HOT_ROWS,
+    broadcast_bytes: int | None = None,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Inner join on all shared names, NULL matching NULL, key columns first.
 
@@ -35,6 +35,7 @@ def natural_join(
     its right rows are repeated once per slice.  Other keys keep one slice.
     """
     keys = on or shared_columns(left, right)
+    hot_rows = hot_rows or runtime.HOT_ROWS
     if runtime.is_small(right, broadcast_bytes):
         return _join(left, F.broadcast(right), keys)
     (hot,) = runtime.hot_keys(left, [keys], hot_rows)
@@ -44,8 +45,8 @@ def natural_join(
 def star_join(
     fact: DataFrame,
     *dimensions: DataFrame,
-    broadcast_bytes: int = runtime.BROADCAST_BYTES,
-    hot_rows: int = runtime.HOT_ROWS,
+    broadcast_bytes: int | None = None,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Natural join of one large frame with several others, in the given order.
 
@@ -54,6 +55,7 @@ def star_join(
     itself, not over the results of earlier joins.
     """
     keys = [shared_columns(fact, d) for d in dimensions]
+    hot_rows = hot_rows or runtime.HOT_ROWS
     small = [runtime.is_small(d, broadcast_bytes) for d in dimensions]
     large = [k for k, fits in zip(keys, small, strict=True) if not fits]
     hot = iter(runtime.hot_keys(fact, large, hot_rows) if large else [])
@@ -82,24 +84,36 @@ def _join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(renamed, condition, "inner").select(*keys, *left_rest, *right_rest)
 
 
+def _slices(keys: list[str], hot: dict[int, int], hot_rows: int) -> Column:
+    """Number of slices of a key: the power of two that brings a slice to ``hot_rows``.
+
+    Keys with the same number share one hash-set test, so the test costs a few
+    lookups per row however many keys are hot.
+    """
+    classes: dict[int, list[int]] = {}
+    for key, count in hot.items():
+        classes.setdefault(1 << max(1, math.ceil(math.log2(count / hot_rows))), []).append(key)
+    number = F.lit(1)
+    for size, members in sorted(classes.items()):
+        number = F.when(runtime.key_hash(keys).isin(*members), F.lit(size)).otherwise(number)
+    return number
+
+
 def _slice(
     left: DataFrame, right: DataFrame, keys: list[str], hot: dict[int, int], hot_rows: int
 ) -> tuple[DataFrame, DataFrame]:
-    slices = max(2, math.ceil(max(hot.values()) / hot_rows))
-    is_hot = runtime.key_hash(keys).isin(*hot)
+    slices = _slices(keys, hot, hot_rows)
     row_hash = F.xxhash64(*[F.col(c) for c in left.columns])
-    cut_left = left.withColumn(
-        SLICE, F.when(is_hot, F.pmod(row_hash, F.lit(slices)).cast("int")).otherwise(F.lit(0))
-    )
-    every = F.sequence(F.lit(0), F.lit(slices - 1))
-    cut_right = right.withColumn(SLICE, F.explode(F.when(is_hot, every).otherwise(F.array(F.lit(0)))))
+    cut_left = left.withColumn(SLICE, F.pmod(row_hash, slices).cast("int"))
+    cut_right = right.withColumn(SLICE, F.explode(F.sequence(F.lit(0), slices - 1)))
     return cut_left, cut_right
 
 
 def trials_with_instances(trials: DataFrame, instances: DataFrame, **layout) -> DataFrame:
-    """Attach instance properties.
+    """Distinct trials with their instance properties.
 
-    Instance files repeat the same rows once per participant, so the repeats are
-    removed before the join: afterwards they would multiply every trial.
+    Instance files repeat the same rows once per participant.  Both sides are
+    made distinct before the join, on narrower rows than its result, and a
+    natural join of distinct rows is distinct.
     """
-    return natural_join(trials, instances.dropDuplicates(), **layout).dropDuplicates()
+    return natural_join(trials.dropDuplicates(), instances.dropDuplicates(), **layout)

@@ -19,7 +19,7 @@ def time_on_task(
     participant: str = "participant_id",
     elapsed: str = "elapsedTime",
     line: str = "line_no",
-    hot_rows: int = runtime.HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Add ``TimeOnTask``, in seconds for ``elapsed`` in milliseconds.
 
@@ -30,7 +30,7 @@ def time_on_task(
     quantiles of ``elapsed``, so no task sorts the whole log.  The last event
     of a slice then continues with the first event of the next non-empty slice.
     """
-    cuts = _time_cuts(events, participant, elapsed, hot_rows)
+    cuts = _time_cuts(events, participant, elapsed, hot_rows or runtime.HOT_ROWS)
     order = [F.col(elapsed).asc_nulls_last(), F.col(line).asc_nulls_last()]
     if cuts is None:
         following = F.lead(elapsed).over(W.partitionBy(participant).orderBy(*order))

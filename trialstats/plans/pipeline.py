@@ -96,7 +96,7 @@ def trials(spark: SparkSession, e: Experiment) -> DataFrame:
     """One row per trial with its instance type, duration and, if known, complexity."""
     info = _logs(spark, e, "trials", TRIALS, {"randomYes": RANDOM_YES}).drop("path", "line_no")
     instances = _logs(spark, e, "instances", INSTANCES).select("instanceNumber", "type")
-    out = natural_join(trials_with_instances(info, instances), durations(spark, e)).dropDuplicates()
+    out = natural_join(trials_with_instances(info, instances), durations(spark, e).dropDuplicates())
     if e.complexity:
         out = natural_join(out, tables.load_complexity(spark, e.complexity))
     return out

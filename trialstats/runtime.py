@@ -28,8 +28,8 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def is_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
-    return estimated_bytes(df) <= limit
+def is_small(df: DataFrame, limit: int | None = None) -> bool:
+    return estimated_bytes(df) <= (BROADCAST_BYTES if limit is None else limit)
 
 
 def key_hash(columns: list[str]) -> Column:
@@ -37,7 +37,7 @@ def key_hash(columns: list[str]) -> Column:
     return F.xxhash64(*[F.col(c) for c in columns])
 
 
-def hot_keys(df: DataFrame, key_sets: list[list[str]], hot_rows: int = HOT_ROWS) -> list[dict[int, int]]:
+def hot_keys(df: DataFrame, key_sets: list[list[str]], hot_rows: int) -> list[dict[int, int]]:
     """Per key set: hash and approximate row count of each key with more than ``hot_rows`` rows.
 
     One aggregation with map-side combine for all key sets; the result is a

@@ -29,6 +29,12 @@ def log_glob(folder: str, kind: str) -> str:
     return f"{folder.rstrip('/')}/*{LOG_KINDS[kind]}"
 
 
+def list_inputs(spark: SparkSession, folder: str, kind: str) -> DataFrame:
+    """Path, size and participant of each log of a kind, in name order; contents stay unread."""
+    files = spark.read.format("binaryFile").load(log_glob(folder, kind))
+    return files.select("path", "length", participant_from_path(F.col("path")).alias("participant_id")).orderBy("path")
+
+
 def base_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
