@@ -20,6 +20,13 @@ def test_null_keys_match(spark, layout):
     assert rows(natural_join(a, b, **layout)) == [(1, "a", "p"), (None, "b", "q")]
 
 
+@pytest.mark.parametrize("layout", [{}, SLICED])
+def test_plain_equality_on_request(spark, layout):
+    a = spark.createDataFrame([(1, "a"), (None, "b"), (3, "c")], "k int, x string")
+    b = spark.createDataFrame([(1, "p"), (4, "r")], "k int, y string")
+    assert rows(natural_join(a, b, null_safe=False, **layout)) == [(1, "a", "p")]
+
+
 def test_no_shared_columns_is_an_error(spark):
     with pytest.raises(ValueError):
         natural_join(spark.range(2).toDF("a"), spark.range(2).toDF("b"))

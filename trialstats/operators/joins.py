@@ -24,11 +24,16 @@ def natural_join(
     left: DataFrame,
     right: DataFrame,
     on: list[str] | None = None,
+    null_safe: bool = True,
     broadcast_bytes: int | None = None,
     hot_rows: int | None = None,
 ) -> DataFrame:
     """Inner join on all shared names, NULL matching NULL, key columns first.
 
+    Where the keys of one side are known to be free of NULL, ``null_safe=False``
+    gives the same rows from a plain equi-join, which can use bucketing, integer
+    hash tables and pushed-down NULL filters.
+
     ``right`` is broadcast when its estimated size allows.  Beyond that the
     join shuffles, and each key of ``left`` with more than ``hot_rows`` rows is
     cut into slices: its left rows get a slice number from a hash of the row,
@@ -37,14 +42,15 @@ def natural_join(
     keys = on or shared_columns(left, right)
     hot_rows = hot_rows or runtime.HOT_ROWS
     if runtime.is_small(right, broadcast_bytes):
-        return _join(left, F.broadcast(right), keys)
+        return _join(left, F.broadcast(right), keys, null_safe)
     (hot,) = runtime.hot_keys(left, [keys], hot_rows)
-    return _sliced_join(left, right, keys, hot, hot_rows)
+    return _sliced_join(left, right, keys, hot, hot_rows, null_safe)
 
 
 def star_join(
     fact: DataFrame,
     *dimensions: DataFrame,
+    null_safe: bool = True,
     broadcast_bytes: int | None = None,
     hot_rows: int | None = None,
 ) -> DataFrame:
@@ -61,24 +67,27 @@ def star_join(
     hot = iter(runtime.hot_keys(fact, large, hot_rows) if large else [])
     out = fact
     for d, k, fits in zip(dimensions, keys, small, strict=True):
-        out = _join(out, F.broadcast(d), k) if fits else _sliced_join(out, d, k, next(hot), hot_rows)
+        out = _join(out, F.broadcast(d), k, null_safe) if fits else _sliced_join(out, d, k, next(hot), hot_rows, null_safe)
     return out
 
 
-def _sliced_join(left: DataFrame, right: DataFrame, keys: list[str], hot: dict[int, int], hot_rows: int) -> DataFrame:
+def _sliced_join(
+    left: DataFrame, right: DataFrame, keys: list[str], hot: dict[int, int], hot_rows: int, null_safe: bool
+) -> DataFrame:
     if not hot:
-        return _join(left, right, keys)
-    return _join(*_slice(left, right, keys, hot, hot_rows), [*keys, SLICE]).drop(SLICE)
+        return _join(left, right, keys, null_safe)
+    return _join(*_slice(left, right, keys, hot, hot_rows), [*keys, SLICE], null_safe).drop(SLICE)
 
 
-def _join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+def _join(left: DataFrame, right: DataFrame, keys: list[str], null_safe: bool) -> DataFrame:
     overlap = set(left.columns) & set(right.columns) - set(keys)
     if overlap:
         raise ValueError(f"columns on both sides but not join keys: {sorted(overlap)}")
     renamed = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
     condition = F.lit(True)
     for k in keys:
-        condition = condition & left[k].eqNullSafe(renamed[f"__right_{k}"])
+        mine, theirs = left[k], renamed[f"__right_{k}"]
+        condition = condition & (mine.eqNullSafe(theirs) if null_safe else mine == theirs)
     left_rest = [c for c in left.columns if c not in keys]
     right_rest = [c for c in right.columns if c not in keys]
     return left.join(renamed, condition, "inner").select(*keys, *left_rest, *right_rest)

@@ -43,7 +43,7 @@ def trial_info(spark: SparkSession, folder: str, participant: bool = False) -> D
     trials = _trials(spark, folder)
     if not participant:
         return trials.drop("session")
-    return natural_join(trials, sessions(spark, folder)).drop("session")
+    return natural_join(trials, sessions(spark, folder), null_safe=False).drop("session")
 
 
 def _trials(spark: SparkSession, folder: str) -> DataFrame:
@@ -74,7 +74,7 @@ def demographics(spark: SparkSession, folder: str) -> DataFrame:
         F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey")
     )
     nation = F.col("c_nationkey")
-    people = natural_join(table(spark, folder, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment"), nations)
+    people = natural_join(table(spark, folder, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment"), nations, null_safe=False)
     return people.select(
         F.col("c_custkey").alias("participant_id"),
         F.when(F.col("c_custkey") % 2 == 0, "Female").otherwise("Male").alias("Gender"),
@@ -115,20 +115,21 @@ def analysis(
 
     Instance properties are joined with each other, and participants with their
     sessions, before either meets the trials: the large table is joined at most
-    twice.  part holds one row per instance, so it needs no de-duplication.
+    twice.  All join keys are primary keys of one side, so none is NULL there, and
+    part holds one row per instance, so it needs no de-duplication.
     """
     instances = instance_info(spark, folder)
     if with_complexity:
-        instances = natural_join(instances, complexity(spark, folder))
+        instances = natural_join(instances, complexity(spark, folder), null_safe=False)
     dimensions = [instances]
     if participant or with_demographics:
         people = sessions(spark, folder)
         if with_demographics:
             flags = recode.demographic_flags()
             covariates = demographics(spark, folder).withColumns(flags)
-            people = natural_join(people, covariates.select("participant_id", "Age", *flags, *STRATEGY_BITS))
+            people = natural_join(people, covariates.select("participant_id", "Age", *flags, *STRATEGY_BITS), null_safe=False)
         dimensions.append(people)
-    return derive(star_join(_trials(spark, folder), *dimensions).drop("session"))
+    return derive(star_join(_trials(spark, folder), *dimensions, null_safe=False).drop("session"))
 
 
 def derive(df: DataFrame, task: str = TASK) -> DataFrame:

@@ -70,7 +70,7 @@ def read_lines(spark: SparkSession, path: str, above: int = 0) -> DataFrame:
     )
     # One row per file block.
     first = runtime.measured(raw.groupBy("path", "block_start").agg(F.min("row_id").alias("first_id")))
-    return natural_join(raw, first, on=["path", "block_start"]).select(
+    return natural_join(raw, first, on=["path", "block_start"], null_safe=False).select(
         "path", (F.col("block_start") + F.col("row_id") - F.col("first_id")).alias("line_no"), "value"
     )
 
@@ -111,7 +111,7 @@ def parse_lines(
     body = lines.filter((F.col("line_no") > skip) & (F.trim("value") != "")).select(
         "path", "line_no", F.split("value", split).alias("fields")
     )
-    return natural_join(body, headers, on=["path"]).select("path", "line_no", *_columns(schema, mapping))
+    return natural_join(body, headers, on=["path"], null_safe=False).select("path", "line_no", *_columns(schema, mapping))
 
 
 def parse_files(
