@@ -30,6 +30,8 @@ from trialstats.models.spec import INTERCEPT, Fit, Levels, ModelSpec, factor_lev
 ROWS_PER_PARTITION = 500_000
 SMALL_PARTITION = 5_000
 HOT_PATTERNS = 1_000_000
+# Up to this many tasks their vectors are added on the driver, saving a shuffle.
+FEW_TASKS = 64
 MODE_STEPS = 100
 MODE_TOLERANCE = 1e-9
 
@@ -97,10 +99,10 @@ def _objective(sums: dict[str, np.ndarray], v: np.ndarray, factor: np.ndarray) -
     return np.concatenate([[value.sum()], beta.sum(axis=0), theta])
 
 
-def _cold_groups(x, z, m, s, starts, beta, factor) -> np.ndarray:
-    """Objective and gradient of groups that lie completely in ``x``."""
+def _cold_groups(x, z, m, s, starts, beta, factor, v) -> tuple[np.ndarray, np.ndarray]:
+    """Objective and gradient of groups that lie completely in ``x``, and their
+    modes, searched from ``v``."""
     counts = np.diff(np.append(starts, len(x)))
-    v = np.zeros((len(starts), z.shape[1]))
     fixed = x @ beta
     zz = z[:, :, None] * z[:, None, :]
     for _ in range(MODE_STEPS):
@@ -113,11 +115,13 @@ def _cold_groups(x, z, m, s, starts, beta, factor) -> np.ndarray:
         if np.abs(step).max() < MODE_TOLERANCE:
             break
     eta = fixed + (z * np.repeat(v @ factor.T, counts, axis=0)).sum(axis=1)
-    return _objective(_group_sums(x, z, m, s, eta, starts), v, factor)
+    return _objective(_group_sums(x, z, m, s, eta, starts), v, factor), v
 
 
 def _starts(keys: np.ndarray) -> np.ndarray:
     """Where each run of equal keys begins."""
+    if not len(keys):
+        return np.zeros(0, dtype=int)
     return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
 
 
@@ -176,7 +180,7 @@ class LaplaceData:
         piece = F.when(F.col("hot") >= 0, F.pmod(F.xxhash64("g", *self.names), F.lit(slices))).otherwise(F.lit(0))
         cores = merged.sparkSession.sparkContext.defaultParallelism
         parts = max(min(cores, math.ceil(self.rows / SMALL_PARTITION)), math.ceil(self.rows / ROWS_PER_PARTITION))
-        self.hot = len(hot)
+        self.hot, self.parts = len(hot), parts
         self.modes = np.zeros((self.hot, self.q))
         self.frame = (
             merged.withColumn("hot", number)
@@ -221,8 +225,12 @@ class LaplaceData:
         task = _task(points, modes, self.p, self.slope, self.names, self.mean, self.spread)
         frame = self.frame if cold else self.frame.filter("hot >= 0")
         parts = frame.select("g", "hot", *self.names, "m", "s").mapInPandas(task, "hot int, point int, at int, part double")
-        rows = parts.groupBy("hot", "point", "at").agg(F.sum("part").alias("part")).toPandas()
         total = np.zeros((len(points), points.shape[1] + 1))
+        if not self.hot and self.parts <= FEW_TASKS:
+            rows = parts.toPandas()
+            np.add.at(total, (rows["point"].to_numpy(), rows["at"].to_numpy()), rows["part"].to_numpy())
+            return total, []
+        rows = parts.groupBy("hot", "point", "at").agg(F.sum("part").alias("part")).toPandas()
         own = rows[rows["hot"] < 0]
         total[own["point"], own["at"]] = own["part"]
         if not self.hot:
@@ -255,10 +263,13 @@ def _task(points, modes, p, slope, names, mean, spread):
         m, s = block["m"].to_numpy(dtype=float), block["s"].to_numpy(dtype=float)
         hot, keys = block["hot"].to_numpy(), block["g"].to_numpy()
         cut = int((hot < 0).sum())
+        first = _starts(keys[:cut])
+        v = np.zeros((len(first), z.shape[1]))
         for k, point in enumerate(points):
             beta, factor = point[:p], lower_factor(point[p:])
             if cut:
-                own = _cold_groups(x[:cut], z[:cut], m[:cut], s[:cut], _starts(keys[:cut]), beta, factor)
+                # Points of a batch lie close together, so modes carry over.
+                own, v = _cold_groups(x[:cut], z[:cut], m[:cut], s[:cut], first, beta, factor, v)
                 yield pd.DataFrame({"hot": -1, "point": k, "at": np.arange(len(own)), "part": own})
             if cut < len(block):
                 groups, starts = hot[cut:], _starts(hot[cut:])

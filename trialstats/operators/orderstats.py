@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,13 +51,14 @@ def order_statistics(df: DataFrame, column: str, ranks_of, read_off: int = READ_
 
 
 def _read_off(frame: DataFrame, ranges: dict, found: dict[int, float]) -> None:
-    rows = frame.orderBy("rng", "value").select("rng", "value", "cnt").collect()
-    seen: dict[int, int] = {}
-    for row in rows:
-        _, _, below, wanted = ranges[row["rng"]]
-        start = below + seen.get(row["rng"], 0)
-        seen[row["rng"]] = seen.get(row["rng"], 0) + row["cnt"]
-        found.update({r: row["value"] for r in wanted if start <= r < start + row["cnt"]})
+    table = frame.select("rng", "value", "cnt").toArrow()
+    rng, value, cnt = (table.column(c).to_numpy() for c in table.column_names)
+    for number, (_, _, below, wanted) in ranges.items():
+        inside = rng == number
+        order = np.argsort(value[inside])
+        upto = below + np.cumsum(cnt[inside][order])
+        places = np.searchsorted(upto, wanted, side="right")
+        found.update(zip(wanted, value[inside][order][places].tolist(), strict=True))
 
 
 def _narrow(frame: DataFrame, ranges: dict, found: dict[int, float]):
