@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from trialstats.models import glmm
 from trialstats.models.glmm import LaplaceData, fit_glmm
 from trialstats.models.lmm import fit_lmm, lower_factor, reml_profile
 from trialstats.models.logit import fit_logit
@@ -188,9 +189,10 @@ def raw_root(fit):
 
 
 @pytest.mark.parametrize("spec", [LOGIT, LOGIT_SLOPE], ids=["intercept", "slope"])
-@pytest.mark.parametrize("hot", [10**6, 10], ids=["cold", "hot"])
-def test_glmm_is_the_dense_laplace_maximum(df, pdf, spec, hot):
-    """Also with most groups spread over partitions."""
+@pytest.mark.parametrize(("hot", "few"), [(10**6, 64), (10**6, 0), (10, 64)], ids=["cold", "shuffled", "hot"])
+def test_glmm_is_the_dense_laplace_maximum(df, pdf, spec, hot, few, monkeypatch):
+    """Also with task results added by Spark, and with most groups spread over partitions."""
+    monkeypatch.setattr(glmm, "FEW_TASKS", few)
     fit = fit_glmm(df, spec, hot_patterns=hot)
     root = raw_root(fit)
     best = dense_laplace(pdf, fit.estimate, root)

@@ -86,7 +86,9 @@ def newton_gradients(
         step = _descent(g[0], hessian)
         step *= min(1.0, 2.0 / max(np.abs(step).max(), 1e-300))
         small = np.abs(step).max() < 1e-5 and np.abs(g[0] @ step) < 1e-9 * max(1.0, abs(f[0]) * 1e-4)
-        if small or stalled == 2:
+        if small:
+            return x + step, float(f[0]), hessian, True
+        if stalled == 2:
             return x, float(f[0]), hessian, True
         trial, slopes = evaluate(np.vstack([x + step + offsets, x + shorter * step]))
         short = trial[len(offsets) :]

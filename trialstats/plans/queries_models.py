@@ -279,13 +279,22 @@ def _register_mixed() -> None:
                 return _mixed_table(spark, [fit_lmm(model_frame(spark, d, [spec]), spec, LEVELS)])
 
             def logistic(spark, d, spec=accuracy):
-                return _mixed_summary(spark, fit_glmm(model_frame(spark, d, [spec]), spec, LEVELS))
+                return _logistic_table(spark, fit_glmm(model_frame(spark, d, [spec]), spec, LEVELS))
 
             suffix = "_".join(x for x in (short.lower(), control) if x)
             if suffix != "pt":
                 sql = sqltext.lmm(time.name, _people_needed([time]), time.outcome, catalogue.PARTICIPANT, _terms(time))
                 query(f"lmm_time_{suffix}", sql)(linear)
-            query(f"glmm_acc_{suffix}")(logistic)
+            sql = sqltext.glmm(accuracy.name, _people_needed([accuracy]), accuracy.outcome, catalogue.PARTICIPANT, _terms(accuracy))
+            query(f"glmm_acc_{suffix}", sql)(logistic)
+
+
+def _logistic_table(spark, fit: Fit) -> DataFrame:
+    effects = report.coefficients(spark, [fit]).select(
+        "model", "term", F.round("estimate", 4).alias("estimate"), F.round("std_error", 4).alias("std_error"), F.round("statistic", 3).alias("statistic")
+    )
+    parts = report.fit_table(spark, [fit]).select("model", F.round("group_sd", 4).alias("group_sd"), F.round("loglik", 4).alias("loglik"))
+    return effects.join(parts, "model")
 
 
 def _mixed_summary(spark, fit: Fit) -> DataFrame:

@@ -223,3 +223,97 @@ def lmm(model: str, rows: str, outcome: str, group: str, terms: list[str]) -> st
       JOIN h{k}_e{size} d ON d.i = s.i AND d.j = s.i + {size} AND d.r = s.r JOIN o ON o.r = s.r WHERE s.j = {2 * size})
   SELECT '{model}' AS model, term, round(estimate, 4) AS estimate, round(std_error, 4) AS std_error, round(estimate / std_error, 3) AS statistic,
     round(sqrt(s2), 4) AS sigma, round(sqrt(r * s2), 2) AS group_sd, round(reml, 3) AS reml FROM est, o"""
+
+
+# Newton rounds of the Laplace fit, steps towards each group's mode, and the
+# difference step of the curvature.
+LAPLACE_ROUNDS, MODE_ROUNDS, LAPLACE_H = 6, 6, "1e-4::DOUBLE"
+
+
+def _laplace(points: str, size: int, prefix: str, gradient: bool) -> str:
+    """CTE <prefix>_f: Laplace log-likelihood (and gradient) at each row (pt, t_i, sg) of ``points``."""
+    fixed = " + ".join(f"t_{i} * x{i}" for i in range(size))
+    xs = ", ".join(f"x{i}" for i in range(size))
+    parts = [
+        f"{prefix}_b AS MATERIALIZED (SELECT pt, g, {xs}, m, s, sg, {fixed} AS fixed FROM pat, {points})",
+        f"{prefix}_v0 AS MATERIALIZED (SELECT DISTINCT pt, g, 0.0::DOUBLE AS v FROM {prefix}_b)",
+    ]
+    for k in range(MODE_ROUNDS):
+        parts.append(
+            f"""{prefix}_v{k + 1} AS MATERIALIZED (SELECT pt, g,
+      any_value(v) + (any_value(sg) * sum(s - m * mu) - any_value(v)) / (1 + any_value(sg) * any_value(sg) * sum(m * mu * (1 - mu))) AS v
+    FROM (SELECT b.*, v, 1 / (1 + exp(-(fixed + sg * v))) AS mu FROM {prefix}_b b JOIN {prefix}_v{k} USING (pt, g)) GROUP BY pt, g)"""
+        )
+    w, skew = "m * mu * (1 - mu)", "m * mu * (1 - mu) * (1 - 2 * mu)"
+    sums = ["any_value(sg) AS sg", "any_value(v) AS v", "sum(s * eta - m * ln(1 + exp(eta))) AS ll", "sum(s - m * mu) AS r", f"sum({w}) AS h"]
+    outs = ["sum(ll - v * v / 2 - ln(a) / 2) AS f"]
+    if gradient:
+        sums.append(f"sum({skew}) AS t")
+        for i in range(size):
+            sums += [f"sum(x{i} * (s - m * mu)) AS gx_{i}", f"sum({w} * x{i}) AS c_{i}", f"sum({skew} * x{i}) AS d_{i}"]
+            outs.append(f"sum(gx_{i} - sg * sg / a * (d_{i} - t * sg * sg / a * c_{i}) / 2) AS g_{i}")
+        outs.append(f"sum(r * v - (2 * h * sg / a + sg * sg / a * t * (v + sg / a * (r - sg * h * v))) / 2) AS g_{size}")
+    parts.append(
+        f"""{prefix}_f AS MATERIALIZED (SELECT pt, {", ".join(outs)} FROM (SELECT *, 1 + sg * sg * h AS a FROM (
+      SELECT pt, g, {", ".join(sums)} FROM (SELECT *, 1 / (1 + exp(-eta)) AS mu FROM (
+        SELECT b.*, v, fixed + sg * v AS eta FROM {prefix}_b b JOIN {prefix}_v{MODE_ROUNDS} USING (pt, g))) GROUP BY pt, g)) GROUP BY pt)"""
+    )
+    return ",\n".join(parts)
+
+
+def glmm(model: str, rows: str, outcome: str, group: str, terms: list[str]) -> str:
+    """Random-intercept logistic fit by Laplace: the best variance on a grid at the plain logistic
+    estimates, then Newton steps with the curvature differenced from gradients."""
+    size = len(terms) + 1
+    names = [f"z{i}" for i in range(1, size)]
+    k = size + 1
+    raw = ", ".join(f"{term_sql(t)} AS {z}" for t, z in zip(terms, names, strict=True))
+    moments = ", ".join(f"avg({z}) AS m_{z}, stddev_pop({z}) AS s_{z}" for z in names)
+    scaled = ", ".join(f"({z} - m_{z}) / s_{z} AS {z}" for z in names)
+    parts = [
+        f"raw AS MATERIALIZED (SELECT {group} AS g, {raw}, CAST({outcome} AS DOUBLE) AS y FROM ({rows}))",
+        f"mom AS MATERIALIZED (SELECT {moments}, count(*)::DOUBLE AS n FROM raw)",
+        f"std AS MATERIALIZED (SELECT g, {scaled}, y FROM raw, mom)",
+        _newton("SELECT * FROM std", "y", names).replace("pat AS MATERIALIZED", "pat0 AS MATERIALIZED").replace("FROM pat, b", "FROM pat0, b").replace("SELECT pat.*", "SELECT pat0.*"),
+        f"pat AS MATERIALIZED (SELECT g, 1.0::DOUBLE AS x0, {', '.join(f'{z} AS x{i}' for i, z in enumerate(names, 1))}, count(*)::DOUBLE AS m, sum(y) AS s FROM std GROUP BY ALL)",
+        f"""grid AS MATERIALIZED (SELECT q.i AS pt, {", ".join(f"b_{i} AS t_{i}" for i in range(size))},
+            CASE WHEN q.i = 0 THEN 0.0 ELSE pow(10, -2.5 + q.i / 6.0) END::DOUBLE AS sg FROM b{NEWTON_ROUNDS}, generate_series(0, 18) AS q(i))""",
+        _laplace("grid", size, "gr", gradient=False),
+        f"""par0 AS MATERIALIZED (SELECT {", ".join(f"t_{i} AS p_{i}" for i in range(size))}, sg AS p_{size}
+            FROM grid WHERE pt = (SELECT arg_max(pt, f) FROM gr_f))""",
+    ]
+    columns = [f"t_{i}" for i in range(size)] + ["sg"]
+    for n in range(LAPLACE_ROUNDS):
+        stencil = []
+        for pt in range(2 * k + 1):
+            moved, sign = (pt - 1) % k, "+" if pt <= k else "-"
+            cells = [f"p_{i}{f' {sign} {LAPLACE_H}' if pt and i == moved else ''} AS {c}" for i, c in enumerate(columns)]
+            stencil.append(f"SELECT {pt} AS pt, {', '.join(cells)} FROM par{n}")
+        parts.append(f"pts{n} AS MATERIALIZED ({' UNION ALL '.join(stencil)})")
+        parts.append(_laplace(f"pts{n}", size, f"la{n}", gradient=True))
+
+        def at(pt: int, j: int) -> str:
+            return f"max(g_{j}) FILTER (pt = {pt})"
+
+        hessian = [
+            f"-({at(1 + i, j)} - {at(1 + k + i, j)} + {at(1 + j, i)} - {at(1 + k + j, i)}) / (4 * {LAPLACE_H}) AS a_{i}_{j}"
+            for i in range(k)
+            for j in range(i, k)
+        ]
+        parts.append(f"hs{n} AS MATERIALIZED (SELECT {', '.join(hessian)}, {', '.join(f'{at(0, j)} AS g_{j}' for j in range(k))} FROM la{n}_f)")
+        parts.append(solve(f"hs{n}", k, "g", f"ns{n}"))
+        parts.append(f"par{n + 1} AS MATERIALIZED (SELECT {', '.join(f'p_{i} + (SELECT v FROM ns{n}_sol WHERE i = {i}) AS p_{i}' for i in range(k))} FROM par{n})")
+    last = LAPLACE_ROUNDS - 1
+    # Weights of the standardised coefficients in each original one.
+    weights = ["SELECT 0 AS term_no, 0 AS i, 1.0::DOUBLE AS w"]
+    weights += [f"SELECT 0, {i}, -m_{z} / s_{z} FROM mom" for i, z in enumerate(names, 1)]
+    weights += [f"SELECT {i}, {i}, 1 / s_{z} FROM mom" for i, z in enumerate(names, 1)]
+    values = " UNION ALL ".join(f"SELECT {i} AS i, p_{i} AS v FROM par{LAPLACE_ROUNDS}" for i in range(size))
+    return f"""WITH {(", ").join(parts)},
+  wt AS MATERIALIZED ({" UNION ALL ".join(weights)}),
+  be AS (SELECT term_no, sum(w * v) AS estimate FROM wt JOIN ({values}) USING (i) GROUP BY term_no),
+  se AS (SELECT a.term_no, sqrt(sum(a.w * c.w * n.v)) AS std_error FROM wt a JOIN wt c ON c.term_no = a.term_no
+         JOIN ns{last}_inv n ON n.i = a.i AND n.j = c.i GROUP BY a.term_no)
+  SELECT '{model}' AS model, term, round(estimate, 4) AS estimate, round(std_error, 4) AS std_error, round(estimate / std_error, 3) AS statistic,
+    round((SELECT abs(p_{size}) FROM par{LAPLACE_ROUNDS}), 4) AS group_sd, round((SELECT f FROM la{last}_f WHERE pt = 0), 4) AS loglik
+  FROM be JOIN se USING (term_no) JOIN {_labels(["(Intercept)", *terms])} ON i = term_no"""
