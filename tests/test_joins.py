@@ -51,6 +51,13 @@ def test_hot_keys_are_found(spark):
     assert runtime.hot_keys(skewed(spark), [["k"], ["v"]], 10_000) == [{}, {}]
 
 
+def test_size_check(spark, monkeypatch):
+    df = spark.range(100).toDF("k")
+    assert runtime.is_small(df) and not runtime.is_small(df, limit=10)
+    monkeypatch.setattr(runtime, "BROADCAST_ROWS", 99)
+    assert not runtime.is_small(df)
+
+
 def test_sliced_join_equals_plain_join(spark):
     left = skewed(spark)
     right = spark.createDataFrame([(k, k * 10 + j) for k in range(45) for j in range(2)], "k int, w int")

@@ -22,9 +22,9 @@ from trialstats.models.spec import (
     unpack,
 )
 
-# Up to this many sums the cross-products are one SQL aggregation.  Beyond it the
+# Up to this many cross-products are taken by SQL aggregates.  Beyond it the
 # generated code grows too large to be compiled, and array products in the tasks win.
-SUMS_IN_SQL = 60
+PAIRS_IN_SQL = 21
 
 
 def fit_ols(df: DataFrame, specs: list[ModelSpec], levels: Levels | None = None) -> list[Fit]:
@@ -38,7 +38,7 @@ def fit_ols(df: DataFrame, specs: list[ModelSpec], levels: Levels | None = None)
     where = {t: i for i, t in enumerate(columns)}
     frame = df.select(*[c.alias(f"c{i}") for i, c in enumerate(columns.values())])
     uses = [[where[t] for t in terms] + [where[f"y:{s.outcome}"]] for s, terms in zip(specs, designs, strict=True)]
-    if sum((len(u) + 1) * (len(u) + 2) // 2 for u in uses) <= SUMS_IN_SQL:
+    if sum((len(u) + 1) * (len(u) + 2) // 2 for u in uses) <= PAIRS_IN_SQL:
         grams = _grams_in_sql(frame, uses)
     else:
         grams = _grams_in_tasks(frame, uses)
@@ -49,15 +49,26 @@ def fit_ols(df: DataFrame, specs: list[ModelSpec], levels: Levels | None = None)
 
 
 def _grams_in_sql(frame: DataFrame, uses: list[list[int]]) -> list[np.ndarray]:
-    sums = []
-    for use in uses:
+    """From means and covariances, whose aggregates do not lose digits to large means."""
+    outputs = {}
+    for m, use in enumerate(uses):
         complete = F.lit(True)
         for c in use:
             complete = complete & F.col(f"c{c}").isNotNull()
-        vector = [F.lit(1.0)] + [F.col(f"c{c}") for c in use]
-        sums.append([F.sum(F.when(complete, vector[i] * vector[j])) for i, j in triangle(len(vector))])
-    row = frame.agg(*[c.alias(f"s{m}_{i}") for m, cells in enumerate(sums) for i, c in enumerate(cells)]).first()
-    return [unpack([row[f"s{m}_{i}"] for i in range(len(cells))], len(uses[m]) + 1) for m, cells in enumerate(sums)]
+        vector = [F.when(complete, F.col(f"c{c}")) for c in use]
+        outputs[f"n{m}"] = F.count(F.when(complete, 1))
+        outputs.update({f"a{m}_{i}": F.avg(v) for i, v in enumerate(vector)})
+        outputs.update({f"v{m}_{i}_{j}": F.covar_pop(vector[i], vector[j]) for i, j in triangle(len(vector))})
+    row = frame.agg(*[c.alias(k) for k, c in outputs.items()]).first()
+    grams = []
+    for m, use in enumerate(uses):
+        size = len(use)
+        covariance = unpack([row[f"v{m}_{i}_{j}"] for i, j in triangle(size)], size)
+        mean = np.array([1.0] + [row[f"a{m}_{i}"] or 0.0 for i in range(size)])
+        gram = np.outer(mean, mean)
+        gram[1:, 1:] += covariance
+        grams.append(row[f"n{m}"] * gram)
+    return grams
 
 
 def _grams_in_tasks(frame: DataFrame, uses: list[list[int]]) -> list[np.ndarray]:

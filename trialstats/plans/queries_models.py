@@ -73,7 +73,7 @@ LOGIT_PT = ModelSpec("logit_pt", "correct", ("InPhaseTransition",), "binomial")
     f"""WITH t AS ({_CELLS}), est AS (
           SELECT '(Intercept)' AS term, ln(c / d) AS estimate, sqrt(1 / c + 1 / d) AS std_error FROM t
           UNION ALL SELECT 'InPhaseTransitionYes', ln(a * d / (b * c)), sqrt(1 / a + 1 / b + 1 / c + 1 / d) FROM t)
-        {sqltext._tidy("logit_pt", sqltext.normal_p("statistic"))}""",
+        {sqltext.tidy("logit_pt", sqltext.normal_p("statistic"))}""",
 )
 def logit_pt(spark, d):
     """One binary predictor: the estimates are log odds, checked in closed form."""
@@ -348,7 +348,7 @@ _SQL_PANEL = f"""WITH {_SQL_GROUPS},
   o AS MATERIALIZED ({_SQL_REML.format(ratios="rt")}),
   est AS (SELECT '(Intercept)' AS term, b0 AS estimate, sqrt(s2 * m11 / det) AS std_error FROM o
           UNION ALL SELECT 'InPhaseTransitionYes', b1, sqrt(s2 * m00 / det) FROM o)
-  {sqltext._tidy("panel", sqltext.normal_p("statistic"))}"""
+  {sqltext.tidy("panel", sqltext.normal_p("statistic"))}"""
 
 
 @query("panel_random_effects", _SQL_PANEL)

@@ -83,7 +83,7 @@ def _labels(names: list[str]) -> str:
 STARS = "CASE WHEN {p} < 0.01 THEN '***' WHEN {p} < 0.05 THEN '**' WHEN {p} < 0.1 THEN '*' ELSE '' END"
 
 
-def _tidy(model: str, p: str) -> str:
+def tidy(model: str, p: str) -> str:
     return f"""SELECT '{model}' AS model, term, round(estimate, 6) AS estimate, round(std_error, 6) AS std_error,
       round(statistic, 5) AS statistic, round(p, 6) AS p_value, {STARS.format(p="p")} AS stars
     FROM (SELECT *, {p} AS p FROM (SELECT *, estimate / std_error AS statistic FROM est))"""
@@ -107,7 +107,7 @@ def ols(model: str, rows: str, outcome: str, terms: list[str]) -> str:
     return f"""SELECT * FROM (WITH {_least_squares(rows, outcome, terms)},
   est AS MATERIALIZED (SELECT term, beta.v AS estimate, sqrt(rss / (n - {size}) * d.v) AS std_error, n - {size} AS df
        FROM m_sol beta JOIN {_labels(["(Intercept)", *terms])} USING (i) JOIN m_inv d ON d.i = beta.i AND d.j = beta.i, w)
-  {_tidy(model, t_p("statistic", "df"))})"""
+  {tidy(model, t_p("statistic", "df"))})"""
 
 
 def ols_fit(model: str, rows: str, outcome: str, terms: list[str]) -> str:
@@ -149,7 +149,7 @@ def logit(model: str, rows: str, outcome: str, terms: list[str]) -> str:
     return f"""SELECT * FROM (WITH {_newton(rows, outcome, terms)},
   est AS MATERIALIZED (SELECT term, b.v AS estimate, sqrt(d.v) AS std_error FROM ({entries}) b
        JOIN {_labels(["(Intercept)", *terms])} USING (i) JOIN n{last - 1}_inv d ON d.i = b.i AND d.j = b.i)
-  {_tidy(model, normal_p("statistic"))})"""
+  {tidy(model, normal_p("statistic"))})"""
 
 
 def logit_fit(model: str, rows: str, outcome: str, terms: list[str]) -> str:
