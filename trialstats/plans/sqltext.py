@@ -84,7 +84,7 @@ STARS = "CASE WHEN {p} < 0.01 THEN '***' WHEN {p} < 0.05 THEN '**' WHEN {p} < 0.
 
 
 def tidy(model: str, p: str) -> str:
-    return f"""SELECT '{model}' AS model, term, round(estimate, 6) AS estimate, round(std_error, 6) AS std_error,
+    return f"""SELECT '{model}' AS model, term, round(estimate, 5) AS estimate, round(std_error, 5) AS std_error,
       round(statistic, 5) AS statistic, round(p, 6) AS p_value, {STARS.format(p="p")} AS stars
     FROM (SELECT *, {p} AS p FROM (SELECT *, estimate / std_error AS statistic FROM est))"""
 
