@@ -33,12 +33,11 @@ _PUNCTUATION[list(b".,;:!?\"'()[]")] = True
 
 @dataclass(frozen=True)
 class Ftrl:
-    alpha: float = 0.1
+    alpha: float = 0.3
     beta: float = 1.0
-    l1: float = 1.0
-    l2: float = 1.0
-    epochs: int = 4
-    positive: float = 3.0  # weight of an example with label 1
+    l1: float = 6.0
+    l2: float = 0.1
+    epochs: int = 3
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +84,7 @@ def fit(examples: list[tuple[float, np.ndarray]], p: Ftrl) -> tuple[np.ndarray,
             root = np.sqrt(ni)
             w = np.where(np.abs(zi) <= p.l1, 0.0, (np.sign(zi) * p.l1 - zi) / ((p.beta + root) / p.alpha + p.l2))
             margin = float(np.clip(w.sum() + bias, -35, 35))
-            g = (1.0 / (1.0 + np.exp(-margin)) - y) * (p.positive if y > 0.5 else 1.0)
+            g = 1.0 / (1.0 + np.exp(-margin)) - y
             z[at] = zi + g - (np.sqrt(ni + g * g) - root) / p.alpha * w
             n[at] = ni + g * g
             bias_z += g - (np.sqrt(bias_n + g * g) - np.sqrt(bias_n)) / p.alpha * bias
