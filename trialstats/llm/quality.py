@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from trialstats.llm.labelled import held_out, training_rows
 from trialstats.llm.words import hash_words, pieces, words
@@ -147,21 +147,27 @@ def votes(v: np.ndarray, known: np.ndarray, y: np.ndarray, prior: float) -> np.n
     return np.clip(out, 0, 1)
 
 
-def score(docs: DataFrame, model) -> DataFrame:
-    """(doc_id, score) of every row."""
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    if model is None:
-        return plain.select("doc_id", F.lit(0.5).alias("score"))
+def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for piece in pieces(batch):
+            if model is None:
+                scores = np.full(piece.num_rows, 0.5)
+            else:
+                idf, projection, known, y, prior = model
+                scores = votes(weighted(piece.column("text"), idf) @ projection, known, y, prior)
+            yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(scores, pa.float64())], [*piece.schema.names, "score"])
+
+
+def score_rows(docs: DataFrame, model) -> DataFrame:
+    """The rows with their score; columns that clash with `score` are replaced."""
+    rest = docs.drop("score").withColumn("text", F.col("text").cast("string"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    return rest.mapInArrow(lambda batches: _score(batches, sent.value), T.StructType([*rest.schema.fields, T.StructField("score", T.DoubleType())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, projection, known, y, prior = sent.value
-        for batch in batches:
-            for piece in pieces(batch):
-                v = weighted(piece.column("text"), idf) @ projection
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(votes(v, known, y, prior))], ["doc_id", "score"])
 
-    return plain.mapInArrow(run, "doc_id long, score double")
+def score(docs: DataFrame, model) -> DataFrame:
+    """(doc_id, score) of every row."""
+    return score_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model).select("doc_id", "score")
 
 
 def quality(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000, threshold: float = 0.3) -> DataFrame:
