@@ -37,5 +37,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         at = stored(_toward_least(_toward_least(at, True), False), "edges")
     labels = at.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component")
-    roots = at.select(F.col("b").alias("node")).union(loops.select(F.col("a").alias("node")).join(labels.select(F.col("node").alias("a")), "a", "left_anti").select(F.col("a").alias("node"))).distinct()
+    alone = loops.select(F.col("a").alias("node")).join(labels.select("node"), "node", "left_anti")
+    roots = at.select(F.col("b").alias("node")).union(alone).distinct()
     return labels.union(roots.select("node", F.col("node").alias("component")))

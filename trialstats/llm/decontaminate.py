@@ -173,7 +173,7 @@ def _best(item: Item, h: np.ndarray, weight: np.ndarray, at: int) -> tuple[float
 
 def _scan(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, indexes = sent.value
+        items, indexes = [Item(*i) for i in sent.value[0]], [Index(*i) for i in sent.value[1]]
         asked = [(i.size, i.stride) for i in indexes]
         for batch in batches:
             for piece in pieces(batch):
@@ -220,7 +220,8 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for k in range(slabs):  # at most about SLAB words of items at a time
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slabs)) == k).collect()
         rows.sort(key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"]))
-        sent = spark.sparkContext.broadcast(read_items(rows))
+        known, indexes = read_items(rows)
+        sent = spark.sparkContext.broadcast(([tuple(i) for i in known], [tuple(i) for i in indexes]))
         part = plain.mapInArrow(_scan(sent), "doc_id long, item_id long, similarity double, start_word long, key long")
         found = part if found is None else found.unionAll(part)
     return found

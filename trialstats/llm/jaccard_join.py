@@ -279,6 +279,7 @@ def opened(docs: DataFrame, shared: DataFrame, sizes: DataFrame, groups: DataFra
     left = members.withColumn("salt", F.explode(F.sequence(F.lit(0), (F.col("salts") - 1).cast("int")))).select("g2", "c2", "salt", "node").join(sets, "node")
     right = asked.select("g2", "c2", "salt", "node").join(sets, "node")
     keys = ["g2", "c2", "salt"]
+    left, right = (side.select(*[F.col(c).alias(c) for c in side.columns]) for side in (left, right))  # columns of their own
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_opened, "a long, b long")
 
 

@@ -87,10 +87,8 @@ def base_spans(text: Column) -> Column:
     """The base spans of a text, by start and then kind."""
     hint = ("@", "[0-9]\\.[0-9]", "[0-9][ -]?[0-9]", "\\+[0-9]")
     none = F.array().cast(SPAN)
-    each = [
-        F.when(text.rlike(hint[k]), F.filter(matches(text, PATTERNS[k], k), lambda s, k=k: _valid(k, s["value"]))).otherwise(none)
-        for k in range(4)
-    ]
+    good = lambda k: F.filter(matches(text, PATTERNS[k], k), lambda s: _valid(k, s["value"]))
+    each = [F.when(text.rlike(hint[k]), good(k)).otherwise(none) for k in range(4)]
     return F.array_sort(F.concat(*each))
 
 
