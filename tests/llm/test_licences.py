@@ -68,7 +68,7 @@ def test_against_definition(spark, documents):
 def test_nearest_folder(spark):
     files = [
         (1, "LICENSE", "Released under the MIT License."), (2, "a/b/LICENSE", "Licensed under the Apache License, Version 2.0."), (3, "a/b/c/d/x.py", "some code"),
-        (4, "a/x.py", "other code"), (5, "a/b/c/y.py", "text\nLicensed under CC BY-NC 4.0.\nmore text of this file"), (6, None, "nothing"), (7, "a/b/c/d/x.py", None), (7, "a/b/c/d/x.py", None),
+        (4, "a/x.py", "other code"), (5, "a/b/c/y.py", "text\nLicensed under CC BY-NC 4.0.\n" + "many more other words that make this a source file and no notice " * 3), (6, None, "nothing"), (7, "a/b/c/d/x.py", None), (7, "a/b/c/d/x.py", None),
     ]
     got = {(r["doc_id"], r["own_licence"], r["inherited_from"], r["licence"]) for r in licences.scan(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
     assert got == {
