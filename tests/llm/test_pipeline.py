@@ -1,0 +1,58 @@
+"""Each stage against a brute-force version on what its predecessor kept."""
+
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tests.llm import test_decontaminate, test_jaccard_join, test_lines, test_packing
+from tests.llm.conftest import ODD
+from trialstats.llm import quality
+from trialstats.llm.store import stored
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def rows(frame):
+    return [(r["doc_id"], r["text"]) for r in frame.select("doc_id", "text").collect()]
+
+
+def test_stages(spark, folder, documents, labels, benchmark_items):
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["quality", "line_dedup", "jaccard_groups", "decontamination", "packing"]
+
+    good = stored(stages["quality"](spark, documents, folder), "t1")
+    want = quality.quality(documents, labels).where("predicted = 1")
+    assert good.columns == COLUMNS and sorted(rows(good)) == sorted(rows(documents.join(want.select("doc_id"), "doc_id")))
+    assert 0 < documents.count() - good.count() < documents.count() / 2
+
+    clean = stored(stages["line_dedup"](spark, good, folder), "t2")
+    before, got = dict(rows(good)), dict(rows(clean))
+    texts = test_lines.brute(list(before.items()))
+    assert clean.columns == COLUMNS and clean.where(F.col("n_chars") != F.length("text")).isEmpty()
+    test_lines.agree({i: got.get(i, "") for i in before}, {i: t if t.strip(" \t\n\x0b\f\r") else "" for i, t in texts.items()})
+    assert all(texts[i].strip(" \t\n\x0b\f\r") == "" for i in set(before) - set(got))
+
+    one = stored(stages["jaccard_groups"](spark, clean, folder), "t3")
+    groups = test_jaccard_join.brute(rows(clean))
+    assert one.columns == COLUMNS and sorted(i for i, _ in rows(one)) == sorted(i for i, (n, c) in groups.items() if i == c)
+
+    apart = stored(stages["decontamination"](spark, one, folder), "t4")
+    gone = {i for i, _ in rows(one)} - {i for i, _ in rows(apart)}
+    leaks = {i for i, _ in test_decontaminate.brute(rows(one), [(r["item_id"], r["text"]) for r in benchmark_items.collect()])}
+    assert apart.columns == COLUMNS and gone == leaks
+
+    packed = stages["packing"](spark, apart, folder).collect()
+    test_packing.check(packed, [(i, len(t.split())) for i, t in rows(apart)], 2048, 65_536)
+
+
+def test_run_gives_the_last_stage(spark, folder):
+    out = corpus_pipeline.run(spark, folder)
+    assert {"doc_id", "chunk", "n_tokens", "bucket", "batch"} <= set(out.columns) and out.count() > 0
+
+
+def test_odd_rows(spark, folder, make):
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, make(ODD).select(COLUMNS), folder)
+        assert out.count() > 0, name
+        assert stage(spark, make([]).select(COLUMNS), folder).count() == 0, name
+    kept = corpus_pipeline.jaccard_groups(spark, make(ODD).select(COLUMNS), folder)
+    assert kept.where("doc_id = 7").count() == 2  # repeated rows once, the other text too: the id stands for both

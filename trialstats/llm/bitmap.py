@@ -12,9 +12,9 @@ def bitmap(hashes: DataFrame) -> np.ndarray:
     """A bit for the low bits of every value of the only column (8 MB, however many rows)."""
     slot = F.col(hashes.columns[0]).bitwiseAND(F.lit(BITS - 1))
     bit = F.expr(f"shiftleft(1L, cast(`{hashes.columns[0]}` & 63 as int))")
-    words = hashes.select(F.shiftright(slot, 6).cast("int").alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    words = hashes.select(F.shiftright(slot, 6).cast("int").alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(BITS // 64, np.int64)
-    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
     return out
 
 

@@ -13,8 +13,7 @@ def _toward_least(edges: DataFrame, large: bool) -> DataFrame:
         near = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         near = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    # written, so that the join below has an exchange of its own on both sides and a hub's rows can be split
-    near = stored(near, "near")
+    # written, so that the join has an exchange of its own on both sides and a hub's rows can be split
     least = stored(near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
     moved = near.where("b > a" if large else "b < a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     if not large:
@@ -22,21 +21,24 @@ def _toward_least(edges: DataFrame, large: bool) -> DataFrame:
     return moved.where("a <> b").distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Does every node point to one other that points nowhere?  Then no step changes anything."""
+    repeated = edges.groupBy("a").agg(F.count("*").alias("n")).where("n > 1")
+    onward = edges.select("b").join(edges.select(F.col("a").alias("b")), "b", "left_semi")
+    return repeated.isEmpty() and onward.isEmpty()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): every node of an edge with the least node it is connected to.
 
-    Alternates large-star and small-star steps until the edges stay the same;
-    self loops and repeated edges are allowed, nulls are not connected."""
-    at = stored(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null").distinct(), "edges")
-    mark = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    loops = at.where("a = b").select("a")
-    at, last = at.where("a <> b"), None
-    while (now := mark(at)) != last:
-        last = now
-        if not now[0]:
-            break
-        at = stored(_toward_least(_toward_least(at, True), False), "edges")
-    labels = at.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component")
-    alone = loops.select(F.col("a").alias("node")).join(labels.select("node"), "node", "left_anti")
-    roots = at.select(F.col("b").alias("node")).union(alone).distinct()
-    return labels.union(roots.select("node", F.col("node").alias("component")))
+    Alternates large-star and small-star steps until only stars are left; self
+    loops and repeated edges are allowed, nulls are not connected."""
+    known = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    every = stored(known.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "edges")
+    at = every.where("a <> b")
+    while not _are_stars(at):
+        at = stored(_toward_least(stored(_toward_least(at, True), "edges"), False), "edges")
+    # stars point down, as the first edges do, so the node that points nowhere is the least
+    labels = at.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    nodes = every.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return nodes.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -120,10 +120,10 @@ def hot_tokens(counts: DataFrame, most: int = HOT) -> tuple[np.ndarray, np.ndarr
         least = r["level"]
     if least is None:
         return np.zeros(0, np.uint64), np.zeros(0, np.int8)
-    rows = total.where(level >= least).select("token", F.floor(F.log2("count")).cast("int").alias("level")).toPandas()
-    token = rows["token"].to_numpy(np.int64).view(np.uint64)
+    rows = total.where(level >= least).select("token", F.floor(F.log2("count")).cast("int").alias("level")).toArrow()
+    token = rows["token"].to_numpy().view(np.uint64)
     order = np.argsort(token)
-    return token[order], rows["level"].to_numpy(np.int8)[order]
+    return token[order], rows["level"].to_numpy().astype(np.int8)[order]
 
 
 def _prefixes(hot):
@@ -224,7 +224,7 @@ def led(shared: DataFrame, sizes: DataFrame) -> DataFrame:
     """(a, b): each node with the node that leads most of its shared shingles.  A shingle is led by
     the node with the smallest share of shingles of its own."""
     alone = 1 - F.col("kept") / F.greatest(F.col("n") - F.floor((3 * F.col("n") + 3) / 4) + 1, F.lit(1))
-    rank = stored(shared.groupBy("node").agg(F.count("*").alias("kept")).join(sizes, "node").select("node", "n", F.round(alone, 3).alias("alone")), "rank")
+    rank = shared.groupBy("node").agg(F.count("*").alias("kept")).join(sizes, "node").select("node", "n", F.round(alone, 3).alias("alone"))
     rows = stored(shared.join(rank, "node"), "ranked")
     lead = stored(rows.groupBy("token").agg(F.min(F.struct("alone", "node", "n")).alias("lead")), "lead")
     pairs = rows.join(lead, "token").where("node <> lead.node and 4 * least(n, lead.n) >= 3 * greatest(n, lead.n)")
@@ -256,9 +256,6 @@ def opened(docs: DataFrame, shared: DataFrame, sizes: DataFrame, groups: DataFra
     weight = stored(placed.groupBy("g").agg(F.count("*").alias("members"), F.ceil(F.sum("n") / CHUNK).alias("chunks")), "weight")
     placed = stored(placed.join(weight, "g").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")), "placed")
     rows = stored(shared.join(placed, "node"), "matrix")
-    # tokens within one group are settled
-    open_tokens = rows.groupBy("token").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low <> high").select("token")
-    rows = stored(rows.join(stored(open_tokens, "open"), "token", "left_semi"), "matrix")
     matrix = rows.groupBy("token", "g", "chunk").agg(F.max("members").alias("m2"), F.max("indexes").alias("i2"), F.min("n").alias("lo"), F.max("n").alias("hi"))
     matrix = stored(matrix.withColumnRenamed("g", "g2").withColumnRenamed("chunk", "c2"), "matrix")
     smaller = (F.col("g") != F.col("g2")) & ((F.col("members") < F.col("m2")) | ((F.col("members") == F.col("m2")) & (F.col("g") < F.col("g2"))))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trialstats.llm import decontaminate, fingerprints, jaccard_join, licences, lines, packing, pii, quality, substrings, toxicity
+from trialstats.llm import decontaminate, fingerprints, jaccard_join, licences, lines, packing, pii, quality, sqltext, substrings, toxicity
 from trialstats.llm.store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,4 +63,5 @@ QUERIES: dict[str, Query] = {
         op6_pii, op7_packing, op8_substring_dedup, op9_jaccard_join, op10_simhash,
     )
 }
-SQL: dict[str, str] = {}
+# The other operators rest on hashes, models or dynamic programming; tests hold them against brute force.
+SQL: dict[str, str] = {"op8_substring_dedup": sqltext.SUBSTRINGS, "op9_jaccard_join": sqltext.JACCARD}
