@@ -3,10 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from trialstats import runtime
 from trialstats.operators.joins import natural_join, star_join, trials_with_instances
 
-SLICED = {"broadcast_bytes": 0, "hot_rows": 50}
+SLICED = {"slices": 5}
 
 
 def rows(df):
@@ -44,31 +43,41 @@ def skewed(spark, n=3000):
     return spark.range(n).select(key.alias("k"), F.col("id").alias("v"))
 
 
-def test_hot_keys_are_found(spark):
-    (hot,) = runtime.hot_keys(skewed(spark), [["k"]], 500)
-    (want,) = [r[0] for r in spark.range(1).select(F.xxhash64(F.lit(7))).collect()]
-    assert list(hot) == [want]
-    assert runtime.hot_keys(skewed(spark), [["k"], ["v"]], 10_000) == [{}, {}]
-
-
-def test_size_check(spark, monkeypatch):
-    df = spark.range(100).toDF("k")
-    assert runtime.is_small(df) and not runtime.is_small(df, limit=10)
-    monkeypatch.setattr(runtime, "BROADCAST_ROWS", 99)
-    assert not runtime.is_small(df)
-
-
 def test_sliced_join_equals_plain_join(spark):
     left = skewed(spark)
     right = spark.createDataFrame([(k, k * 10 + j) for k in range(45) for j in range(2)], "k int, w int")
     assert rows(natural_join(left, right, **SLICED)) == rows(left.join(right, "k"))
 
 
-def test_sliced_join_spreads_the_hot_key(spark):
-    right = spark.createDataFrame([(k, k) for k in range(45)], "k int, w int")
-    joined = natural_join(skewed(spark), right, broadcast_bytes=0, hot_rows=100)
-    plan = joined._jdf.queryExecution().toString()
-    assert "__slice" in plan
+def test_slices_spread_equal_rows(spark):
+    """One key, two distinct contents: every slice gets its share."""
+    from trialstats.operators import joins
+
+    left = spark.range(20_000).select(F.lit(1).alias("k"), (F.col("id") % 2).alias("x")).repartition(4)
+    right = spark.createDataFrame([(1, "a")], "k int, y string")
+    kept = []
+    plain = joins._join
+    joins._join = lambda *a: kept.append(plain(*a)) or kept[-1]
+    try:
+        assert natural_join(left, right, slices=16).count() == 20_000
+    finally:
+        joins._join = plain
+    shares = [r["count"] for r in kept[0].groupBy(joins.SLICE).count().collect()]
+    assert len(shares) == 16 and max(shares) < 2 * min(shares)
+
+
+def test_joins_are_lazy(spark, sf):
+    """Building a query with several joins runs no job but those that read parquet schemas."""
+    import __spark_entry__ as entry
+
+    tracker, context = spark.sparkContext.statusTracker(), spark.sparkContext
+    for name, tables in (("acc_by_region", 4), ("analysis_with_demographics", 8)):
+        context.setJobGroup(f"lazy-{name}", name)
+        try:
+            entry.queries()[name](spark, sf)
+            assert len(tracker.getJobIdsForGroup(f"lazy-{name}")) <= tables
+        finally:
+            context.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_star_join_equals_repeated_joins(spark):
@@ -76,9 +85,7 @@ def test_star_join_equals_repeated_joins(spark):
     d1 = spark.createDataFrame([(k, f"a{k}") for k in range(45)], "k int, a string")
     d2 = spark.createDataFrame([(m, f"b{m}") for m in range(5)], "m int, b string")
     want = rows(fact.join(d1, "k").join(d2, "m").select("m", "k", "v", "a", "b"))
-    for layout in ({}, SLICED):
-        got = star_join(fact, d1, d2, **layout).select("m", "k", "v", "a", "b")
-        assert rows(got) == want
+    assert rows(star_join(fact, d1, d2).select("m", "k", "v", "a", "b")) == want
 
 
 def test_repeated_instances_do_not_multiply_trials(spark):

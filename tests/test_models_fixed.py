@@ -8,9 +8,9 @@ import pytest
 from pyspark.ml.feature import RFormula
 from pyspark.ml.regression import GeneralizedLinearRegression
 
-from trialstats.models import catalogue, ols, report
+from trialstats.models import catalogue, report
 from trialstats.models.logit import fit_logit
-from trialstats.models.ols import PAIRS_IN_SQL, fit_ols
+from trialstats.models.ols import fit_ols
 from trialstats.models.spec import ModelSpec
 
 
@@ -55,10 +55,8 @@ def dense(pdf, fixed, outcome):
     return x, part[outcome].to_numpy()
 
 
-@pytest.mark.parametrize("in_sql", [0, PAIRS_IN_SQL, 1000])
-def test_ols_matches_dense(frame, in_sql, monkeypatch):
-    """Both ways of taking cross-products, each model on its own complete rows."""
-    monkeypatch.setattr(ols, "PAIRS_IN_SQL", in_sql)
+def test_ols_matches_dense(frame):
+    """Each model on its own complete rows."""
     pdf, specs = frame.toPandas(), SPECS
     for spec, fit in zip(specs, fit_ols(frame, specs), strict=True):
         x, y = dense(pdf, spec.fixed, "time")
@@ -72,6 +70,55 @@ def test_ols_matches_dense(frame, in_sql, monkeypatch):
     assert fit.terms == ["(Intercept)", "kindYes", "age", "big", "flag"]
 
 
+@pytest.mark.parametrize("level", [0.0, 1e6, 1e8])
+def test_predictors_far_from_zero_keep_their_digits(spark, level):
+    """Least squares and mixed models against a QR on centred columns."""
+    from trialstats.models.lmm import fit_lmm
+    from trialstats.models.panel import fit_panel
+
+    rng = np.random.default_rng(5)
+    n = 5000
+    x, z = level + rng.normal(0, 1, n), rng.normal(0, 1, n) - level
+    g = rng.integers(0, 40, n)
+    y = 2 * (x - level) - 0.5 * (z + level) + rng.normal(0, 1, 40)[g] + rng.normal(0, 1, n)
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "z": z, "y": y, "g": g})).repartition(4)
+    q, r = np.linalg.qr(np.column_stack([np.ones(n), x - x.mean(), z - z.mean()]))
+    want = np.linalg.solve(r, q.T @ y)
+    specs = [ModelSpec("one", "y", ("x",)), ModelSpec("two", "y", ("x", "z"))]
+    single, (_, grid) = fit_ols(df, specs[1:])[0], fit_ols(df, specs)
+    for fit in (single, grid):
+        assert np.allclose(fit.estimate[1:], want[1:], rtol=0, atol=1e-8)
+        assert np.isclose(fit.estimate[0], want[0] - want[1] * x.mean() - want[2] * z.mean(), rtol=1e-8, atol=1e-6)
+    near = spark.createDataFrame(pd.DataFrame({"x": x - level, "z": z + level, "y": y, "g": g})).repartition(4)
+    for fit_one in (fit_lmm, fit_panel):
+        spec = ModelSpec("m", "y", ("x", "z"), group="g")
+        far, close = fit_one(df, spec), fit_one(near, spec)
+        assert np.allclose(far.estimate[1:], close.estimate[1:], rtol=0, atol=1e-7)
+        assert np.allclose(far.std_error[1:], close.std_error[1:], rtol=1e-5)
+        assert math.isclose(far.stats["group_sd"], close.stats["group_sd"], rel_tol=1e-5)
+
+
+@pytest.mark.parametrize("scale", [1e-5, 1.0, 1e3])
+def test_separation_does_not_depend_on_units(spark, scale):
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 1, 400)
+    fine = (rng.random(400) < 1 / (1 + np.exp(-x))).astype(float)
+    df = spark.createDataFrame(pd.DataFrame({"x": x * scale + 3 * scale, "fine": fine, "apart": (x > 0).astype(float)}))
+    (fit,) = fit_logit(df, [ModelSpec("m", "fine", ("x",), "binomial")])
+    assert fit.converged
+    (fit,) = fit_logit(df, [ModelSpec("m", "apart", ("x",), "binomial")])
+    assert not fit.converged
+
+
+def test_level_that_is_not_listed_is_refused(frame):
+    with pytest.raises(Exception, match="not listed"):
+        fit_ols(frame, [SPECS[0]], levels={"kind": ["Maybe", "No"]})
+    with pytest.raises(ValueError):
+        from trialstats.models.spec import factor_levels
+
+        factor_levels(frame, ["kind"], max_levels=1)
+
+
 def test_collinear_and_constant_predictors_are_errors(frame):
     twice = frame.selectExpr("*", "2 * age AS age2", "1.0D AS one")
     with pytest.raises(np.linalg.LinAlgError):

@@ -5,10 +5,11 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from trialstats.models import glmm
-from trialstats.models.glmm import LaplaceData, fit_glmm
-from trialstats.models.lmm import fit_lmm, lower_factor, reml_profile
+from trialstats.models.glmm import LaplaceData, fit_glmm, fit_glmm_grid
+from trialstats.models.lmm import fit_lmm, fit_lmm_grid, lower_factor, reml_profile
 from trialstats.models.logit import fit_logit
 from trialstats.models.ols import fit_ols
 from trialstats.models.panel import fit_panel
@@ -250,3 +251,31 @@ def test_glmm_without_group_effect_is_the_logit(spark):
 def test_lower_factor():
     assert lower_factor(np.array([2.0])).tolist() == [[2.0]]
     assert lower_factor(np.array([1.0, 2.0, 3.0])).tolist() == [[1.0, 0.0], [2.0, 3.0]]
+
+
+def test_groups_are_solved_in_chunks(df, monkeypatch):
+    """Small chunks, which end with a group, give the same fit as one piece."""
+    whole = fit_glmm(df, LOGIT)
+    monkeypatch.setattr(glmm, "CHUNK_ROWS", 7)
+    cut = fit_glmm(df, LOGIT)
+    assert np.allclose(whole.estimate, cut.estimate, rtol=1e-6) and math.isclose(whole.stats["loglik"], cut.stats["loglik"], rel_tol=1e-10)
+
+
+def test_separated_groups_are_reported(spark):
+    rows = [(i % 10, 1.0 if i % 2 else 0.0, float(i % 2)) for i in range(200)]
+    frame = spark.createDataFrame(rows, "g int, x double, y double")
+    assert not fit_glmm(frame, ModelSpec("m", "y", ("x",), "binomial", group="g")).converged
+
+
+@pytest.mark.parametrize(("single", "grid", "base"), [(fit_lmm, fit_lmm_grid, SPEC), (fit_glmm, fit_glmm_grid, LOGIT)], ids=["linear", "logistic"])
+def test_grid_equals_single_fits(spark, df, single, grid, base):
+    """Models with their own complete rows, from one merged table."""
+    from dataclasses import replace
+
+    holes = df.select("*").limit(3).withColumn(base.fixed[-1], F.lit(None).cast("double"))
+    frame = df.unionByName(holes)
+    specs = [replace(base, name="all"), replace(base, name="one", fixed=base.fixed[:1])]
+    for spec, fit in zip(specs, grid(frame, specs), strict=True):
+        alone = single(frame, spec)
+        assert fit.n == alone.n and fit.terms == alone.terms
+        assert np.allclose(fit.estimate, alone.estimate, rtol=1e-5, atol=1e-7) and np.allclose(fit.std_error, alone.std_error, rtol=1e-5)

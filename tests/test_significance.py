@@ -78,7 +78,8 @@ def test_welch_edge_groups(spark):
     one = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("b", 3.0)], "g string, y double")
     assert sig.welch_t(one, "y", "g").first()["statistic"] is None
     three = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 3.0)], "g string, y double")
-    assert sig.welch_t(three, "y", "g").isEmpty()
+    assert set(sig.welch_t(three, "y", "g").first()) == {None}
+    assert set(sig.welch_t(three.filter("g = 'a'"), "y", "g").first()) == {None}
 
 
 def correlated(spark):
@@ -102,12 +103,31 @@ def test_correlation_propagates_or_drops_missing(spark):
     assert math.isclose(row["conf_high"], math.tanh(math.atanh(r) + 1.959963984540054 / math.sqrt(5)))
     # Three pairs have a test but no interval, two have neither.
     assert tests["n3"]["p_value"] is not None and tests["n3"]["conf_low"] is None
-    assert "n2" not in tests and tests["flat"]["estimate"] is None
+    assert tests["n2"]["estimate"] is not None and set(tests["n2"][2:]) == {None} and tests["flat"]["estimate"] is None
+
+
+def test_whole_arrays_equal_scalars():
+    rng = np.random.default_rng(4)
+    t, df = rng.normal(0, 8, 400), np.exp(rng.uniform(-1, 9, 400))
+    want = np.array([dist.t_two_sided(a, b) for a, b in zip(t, df)])
+    assert np.allclose(dist.t_two_sided_all(t, df), want, rtol=1e-12, atol=0)
+    odd = dist.t_two_sided_all(np.array([math.inf, math.nan, 1.0, 0.0]), np.array([3.0, 3.0, -1.0, 2.0]))
+    assert odd[0] == 0 and np.isnan(odd[1:3]).all() and odd[3] == 1
+    some = np.array([0.3, 1.0, 2.5, 30.0, 1e6, -1.0])
+    assert np.allclose(dist.t_quantiles(0.975, some)[:5], [dist.t_quantile(0.975, d) for d in some[:5]], rtol=1e-12)
+    assert np.isnan(dist.t_quantiles(0.975, some)[5])
+
+
+def test_perfect_correlation(spark):
+    rows = [("up", float(i), 2.0 * i) for i in range(8)] + [("down", float(i), -4.0 * i) for i in range(8)]
+    got = {r["g"]: r for r in sig.cor_test_by_group(spark.createDataFrame(rows, "g string, x double, y double"), "x", "y", "g").collect()}
+    assert got["up"]["p_value"] < 1e-12 and got["down"]["p_value"] < 1e-12
+    assert got["up"]["statistic"] > 1e6 and got["down"]["statistic"] < -1e6
 
 
 def test_cor_test_long(spark):
     got = {(r["g"], r["description"]): r["correlation"] for r in sig.cor_test_long(correlated(spark), "x", "y", "g").collect()}
-    assert set(k for _, k in got) == {"estimate", "p.value"} and len(got) == 6
+    assert set(k for _, k in got) == {"estimate", "p.value"} and len(got) == 8
 
 
 def test_cor_matrix_is_listwise(spark):

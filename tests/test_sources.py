@@ -68,6 +68,44 @@ def test_lines_across_blocks(spark, tmp_path):
     assert [tuple(r) for r in rows] == [(i, f"row {i}") for i in range(n)]
 
 
+@pytest.mark.parametrize(("building", "running"), [((16, "128m"), (7, "128m")), ((4, "64k"), (4, "1m")), ((4, "1m"), (16, "64k"))])
+def test_no_line_is_lost_when_the_layout_changes(spark, tmp_path, building, running):
+    """Parallelism and block size change between building and running, and between two reads."""
+    n = 60_000
+    (tmp_path / "p9_TrialInfo.txt").write_text("pre\nblock;note\n" + "".join(f"{i};row {i}\n" for i in range(n)))
+    path = delimited.log_glob(str(tmp_path), "trials")
+
+    def layout(parts, size):
+        spark.conf.set("spark.sql.files.minPartitionNum", str(parts))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+
+    try:
+        layout(*building)
+        first = delimited.read_delimited(spark, path, SCHEMA, whole_bytes=0)
+        layout(*running)
+        again = delimited.read_delimited(spark, path, SCHEMA, whole_bytes=0)
+        for df in (first, again):
+            got = df.orderBy("line_no").select("line_no", "block").collect()
+            assert [tuple(r) for r in got] == [(i + 2, i) for i in range(n)]
+    finally:
+        for key in ("minPartitionNum", "maxPartitionBytes", "openCostInBytes"):
+            spark.conf.unset(f"spark.sql.files.{key}")
+
+
+def test_same_rows_on_both_sides_of_the_limit(spark, tmp_path):
+    """Line numbers and line ends don't depend on how a file is read."""
+    text = "pre\r\nblock;note\r\n1;a\rb\n\n2;c\r\r\n" + "".join(f"{i};row {i}\r\n" for i in range(200)) + "9;last"
+    (tmp_path / "p9_TrialInfo.txt").write_bytes(text.encode())
+    path = delimited.log_glob(str(tmp_path), "trials")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        read = [sorted(map(tuple, delimited.read_delimited(spark, path, SCHEMA, whole_bytes=b).select("line_no", "block", "note").collect())) for b in (0, 1 << 20)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert read[0] == read[1] and len(read[0]) == 203
+
+
 def test_clean_name(spark):
     names = ["randomYes(1=Left No/Right Yes)", "Large Items (money)", "2nd", "ok_name.x"]
     df = spark.createDataFrame([(n,) for n in names], "n string")

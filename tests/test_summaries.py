@@ -70,6 +70,13 @@ def test_quantiles_match_numpy(spark, read_off):
     assert np.allclose([got[p] for p in probabilities], want, rtol=1e-12, atol=0)
 
 
+def test_order_statistics_at_the_limits_of_doubles(spark):
+    values = [-1.7e308, 1.7e308, math.inf, -math.inf, 0.0, 5e-324, 1e-323, -5e-324] * 5 + [float("nan")] * 3
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = order_statistics(df, "x", lambda n: range(n), read_off=0)
+    assert [got[k] for k in range(40)] == sorted(values[:40])
+
+
 def test_order_statistics_of_nothing(spark):
     assert order_statistics(spark.createDataFrame([(None,)], "x double"), "x", lambda n: [0]) == {}
 

@@ -21,8 +21,25 @@ def test_gap_to_next_event_of_the_same_participant(spark):
     assert got == {("a", 1): 2.5, ("a", 2): 0.5, ("a", 3): None, ("b", 1): 0.6, ("b", 2): None}
 
 
-@pytest.mark.parametrize("hot_rows", [5, 40, 400])
-def test_cut_logs_give_the_same_gaps(spark, hot_rows):
+def test_file_order_decides(spark):
+    """A clock that restarts in each block gives the differences as they stand in the file."""
+    clock = [100.0, 900.0, 1500.0, 50.0, 400.0, None, 700.0]
+    log = events(spark, [("a", i, "Trial", t) for i, t in enumerate(clock)]).repartition(3)
+    for slice_lines in (None, 2, 3):
+        got = [r["TimeOnTask"] for r in time_on_task(log, slice_lines=slice_lines).orderBy("line_no").collect()]
+        assert got == [0.8, 0.6, -1.45, 0.35, None, None, None]
+
+
+def test_equal_times_are_cut(spark):
+    """A log with one time throughout is cut like any other."""
+    log = events(spark, [("a", i, "Trial", 5.0) for i in range(500)])
+    got = time_on_task(log, slice_lines=10)
+    assert got.filter("TimeOnTask = 0").count() == 499
+    assert got.filter("TimeOnTask IS NULL").count() == 1
+
+
+@pytest.mark.parametrize("slice_lines", [5, 40, 400])
+def test_cut_logs_give_the_same_gaps(spark, slice_lines):
     """One participant holds a third of all events; ties and NULL times included."""
     rng = random.Random(3)
     rows = []
@@ -32,7 +49,7 @@ def test_cut_logs_give_the_same_gaps(spark, hot_rows):
         rows.append((who, i, "Trial", when))
     log = events(spark, rows).repartition(7)
     plain = time_on_task(log)
-    cut = time_on_task(log, hot_rows=hot_rows)
+    cut = time_on_task(log, slice_lines=slice_lines)
     assert cut.columns == plain.columns
     assert plain.exceptAll(cut).isEmpty() and cut.exceptAll(plain).isEmpty()
 

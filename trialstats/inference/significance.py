@@ -58,7 +58,7 @@ def chi2_test(df: DataFrame, a: str, b: str, yates: bool = True) -> DataFrame:
 
 
 def welch_t(df: DataFrame, y: str, group: str) -> DataFrame:
-    """Two-sample t-test with unequal variances; NULL unless there are exactly two groups."""
+    """Two-sample t-test with unequal variances; a row of NULLs unless there are exactly two groups."""
     per_group = (
         df.filter(F.col(y).isNotNull() & F.col(group).isNotNull())
         .groupBy(group)
@@ -70,7 +70,9 @@ def welch_t(df: DataFrame, y: str, group: str) -> DataFrame:
         *[F.max_by(c, group).alias(f"{c}2") for c in "mvk"],
         F.min(group).alias("group1"),
         F.max(group).alias("group2"),
-    ).filter("groups = 2")
+    )
+    two = F.col("groups") == 2
+    pair = pair.select(*[F.when(two, F.col(c)).alias(c) for c in pair.columns if c != "groups"])
     e1, e2 = F.col("v1") / F.col("k1"), F.col("v2") / F.col("k2")
     both = e1 + e2
     stats = pair.select(
@@ -102,6 +104,12 @@ def _correlation(x: str, y: str) -> Column:
     return F.try_divide(F.covar_pop(x, y), spread)
 
 
+def _correlation_t(r: Column, df: Column) -> Column:
+    """t of a correlation; infinite where it is perfect."""
+    perfect = F.when(df.isNotNull(), F.signum(r) * F.lit(float("inf")))
+    return F.when(r * r >= 1, perfect).otherwise(F.try_divide(r * F.sqrt(df), F.sqrt(1 - r * r)))
+
+
 def cor_by_group(df: DataFrame, x: str, y: str, by: str) -> DataFrame:
     """Pearson correlation per group; NULL if the group has a NULL in either column."""
     return df.groupBy(by).agg(
@@ -110,11 +118,15 @@ def cor_by_group(df: DataFrame, x: str, y: str, by: str) -> DataFrame:
 
 
 def cor_test_by_group(df: DataFrame, x: str, y: str, by: str) -> DataFrame:
-    """Correlation test per group on complete pairs: estimate, t, df, p, 95 % interval."""
+    """Correlation test per group on complete pairs: estimate, t, df, p, 95 % interval.
+
+    A group with fewer than three pairs has no test: its row has NULL for all of
+    it but the estimate.
+    """
     pairs = df.groupBy(by).agg(F.count(_both(x, y)).alias("pairs"), _correlation(x, y).alias("estimate"))
     r, n = F.col("estimate"), F.col("pairs")
-    stats = pairs.filter(n >= 3).withColumn("df", (n - 2).cast("double"))
-    stats = stats.withColumn("statistic", F.try_divide(r * F.sqrt("df"), F.sqrt(1 - r * r)))
+    stats = pairs.withColumn("df", F.when(n >= 3, (n - 2).cast("double")))
+    stats = stats.withColumn("statistic", _correlation_t(r, F.col("df")))
     spread = F.when(n > 3, F.lit(Z_975) / F.sqrt(n - 3))
     return stats.select(
         by,
@@ -148,5 +160,5 @@ def cor_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
         ]
     )
     long = row.select(F.inline(entries)).withColumn("df", (F.col("n") - 2).cast("double"))
-    t = F.try_divide(F.col("r") * F.sqrt("df"), F.sqrt(1 - F.col("r") * F.col("r")))
+    t = _correlation_t(F.col("r"), F.col("df"))
     return long.select("row", "col", "r", F.col("n"), t_p(t, F.col("df")).alias("p_value"))

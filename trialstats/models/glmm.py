@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 
 from trialstats import runtime
 from trialstats.models.lmm import lower_factor, random_effect_stats
-from trialstats.models.logit import log1p_exp, logistic
+from trialstats.models.logit import SEPARATED, log1p_exp, logistic
 from trialstats.models.optimise import newton_gradients
-from trialstats.models.spec import INTERCEPT, Fit, Levels, ModelSpec, factor_levels, predictor_columns
+from trialstats.models.shared import SharedRows
+from trialstats.models.spec import INTERCEPT, Fit, Levels, ModelSpec
 
 # Patterns per partition, and the size above which a group is spread out.
 ROWS_PER_PARTITION = 500_000
@@ -32,6 +33,8 @@ SMALL_PARTITION = 5_000
 HOT_PATTERNS = 1_000_000
 # Up to this many tasks their vectors are added on the driver, saving a shuffle.
 FEW_TASKS = 64
+# Patterns a task works on at a time; a group that is not spread out stays together.
+CHUNK_ROWS = 50_000
 MODE_STEPS = 100
 MODE_TOLERANCE = 1e-9
 
@@ -128,28 +131,22 @@ def _starts(keys: np.ndarray) -> np.ndarray:
 class LaplaceData:
     """Patterns of one model, laid out for repeated evaluation."""
 
-    def __init__(self, df: DataFrame, spec: ModelSpec, levels: Levels | None, hot_patterns: int):
-        known = factor_levels(df, list(spec.fixed), levels)
-        columns = predictor_columns(spec.fixed, known)
-        self.terms = [INTERCEPT, *columns]
+    def __init__(
+        self, df: DataFrame, spec: ModelSpec, levels: Levels | None, hot_patterns: int, shared: SharedRows | None = None
+    ):
+        rows = shared or SharedRows(df, [spec], levels)
+        self.terms = [INTERCEPT, *rows.terms(spec.fixed)]
         self.p = len(self.terms)
         self.slope = None
         if spec.slope is not None:
-            names = list(predictor_columns((spec.slope,), known))
+            names = rows.terms((spec.slope,))
             if len(names) != 1:
                 raise ValueError("a random slope must be a single numeric or two-level column")
             self.slope = self.terms.index(names[0])
         self.q = 1 if self.slope is None else 2
         self.names = [f"c{i}" for i in range(1, self.p)]
-        frame = df.select(
-            F.col(spec.group).alias("g"),
-            F.col(spec.outcome).cast("double").alias("y"),
-            *[c.alias(n) for n, c in zip(self.names, columns.values(), strict=True)],
-        ).dropna()
-        merged = frame.groupBy("g", *self.names).agg(
-            F.count(F.lit(1)).cast("double").alias("m"), F.sum("y").alias("s")
-        )
-        merged = runtime.cut_lineage(merged)
+        merged = rows.frame(spec).groupBy("g", *self.names).agg(F.sum("m").alias("m"), F.sum("s").alias("s"))
+        merged = runtime.stored(merged, "patterns")
         self._moments(merged)
         self._lay_out(merged, hot_patterns)
 
@@ -170,12 +167,14 @@ class LaplaceData:
         self.mean, self.spread = mean, spread
 
     def _lay_out(self, merged: DataFrame, hot_patterns: int) -> None:
-        (hot,) = runtime.hot_keys(merged, [["g"]], hot_patterns)
+        # At most rows / hot_patterns groups, counted exactly.
+        counts = merged.groupBy(F.xxhash64("g").alias("g")).agg(F.count(F.lit(1)).alias("patterns"))
+        hot = {r["g"]: r["patterns"] for r in counts.filter(F.col("patterns") > hot_patterns).collect()}
         slices = max(2, math.ceil(max(hot.values(), default=0) / hot_patterns))
         number = F.lit(-1)
         if hot:
             table = F.create_map(*[F.lit(v) for pair in zip(hot, range(len(hot))) for v in pair])
-            group = runtime.key_hash(["g"])
+            group = F.xxhash64("g")
             number = F.when(group.isin(*hot), table[group]).otherwise(number)
         piece = F.when(F.col("hot") >= 0, F.pmod(F.xxhash64("g", *self.names), F.lit(slices))).otherwise(F.lit(0))
         cores = merged.sparkSession.sparkContext.defaultParallelism
@@ -251,13 +250,34 @@ class LaplaceData:
         return total, sums
 
 
+def _chunks(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    """The partition in pieces of about ``rows`` rows that end with a group."""
+    held: list[pd.DataFrame] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += len(batch)
+        if size < rows:
+            continue
+        block = pd.concat(held)
+        keys = block["g"].to_numpy()
+        # Rows of a spread-out group may be cut anywhere.
+        last = len(block) if block["hot"].iloc[-1] >= 0 else int(_starts(keys)[-1])
+        if last:
+            yield block.iloc[:last]
+        held, size = [block.iloc[last:]], len(block) - last
+    if size:
+        yield pd.concat(held)
+
+
 def _task(points, modes, p, slope, names, mean, spread):
     """The per-partition function; closes over arrays only."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block = pd.concat(list(batches) or [pd.DataFrame()])
-        if not len(block):
-            return
+        for block in _chunks(batches, CHUNK_ROWS):
+            yield from evaluate(block)
+
+    def evaluate(block: pd.DataFrame) -> Iterator[pd.DataFrame]:
         x = np.column_stack([np.ones(len(block)), (block[names].to_numpy(dtype=float) - mean) / spread])
         z = x[:, :1] if slope is None else x[:, [0, slope]]
         m, s = block["m"].to_numpy(dtype=float), block["s"].to_numpy(dtype=float)
@@ -293,11 +313,21 @@ def _task(points, modes, p, slope, names, mean, spread):
 BOUNDARY = 1e-3
 
 
+def fit_glmm_grid(df: DataFrame, specs: list[ModelSpec], levels: Levels | None = None) -> list[Fit]:
+    """Laplace fits of several models of one outcome and group from one scan of the trials."""
+    rows = SharedRows(df, specs, levels)
+    return [fit_glmm(df, spec, levels, shared=rows) for spec in specs]
+
+
 def fit_glmm(
-    df: DataFrame, spec: ModelSpec, levels: Levels | None = None, hot_patterns: int = HOT_PATTERNS
+    df: DataFrame,
+    spec: ModelSpec,
+    levels: Levels | None = None,
+    hot_patterns: int = HOT_PATTERNS,
+    shared: SharedRows | None = None,
 ) -> Fit:
     """Laplace fit with one grouping factor: (1 | g) or (1 + slope | g)."""
-    data = LaplaceData(df, spec, levels, hot_patterns)
+    data = LaplaceData(df, spec, levels, hot_patterns, shared)
     try:
         point, value, hessian, converged = newton_gradients(data.evaluate, data.start())
     finally:
@@ -316,11 +346,17 @@ def fit_glmm(
         j = data.slope - 1
         factor = np.array([[1.0, -data.mean[j] / data.spread[j]], [0.0, 1.0 / data.spread[j]]]) @ factor
     n, k = int(round(data.n)), len(point)
+    # Coefficients of standardised predictors that run away: the outcome is separated.
+    converged = converged and not bool(np.any(np.abs(point[:p]) > SEPARATED))
+    spreads = random_effect_stats(factor @ factor.T)
+    # A vanished component, or effects that determine each other.
+    singular = bool(np.any(np.abs(np.diag(lower_factor(theta))) <= BOUNDARY)) or abs(spreads.get("group_cor", 0.0)) > 1 - 1e-4
     stats = {
+        "singular": float(singular),
         "loglik": -value,
         "deviance": 2 * value,
         "aic": 2 * value + 2 * k,
         "bic": 2 * value + k * math.log(n),
-        **random_effect_stats(factor @ factor.T),
+        **spreads,
     }
     return Fit(spec, data.terms, back @ point[:p], back @ covariance @ back.T, n, converged=converged, stats=stats)

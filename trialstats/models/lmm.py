@@ -13,21 +13,22 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialstats.models.optimise import newton_values, root
 from trialstats.models.reduce import LOCAL_ROWS, Kernel, SumOverRows
+from trialstats.models.shared import SharedRows
 from trialstats.models.spec import (
     INTERCEPT,
     Fit,
     Levels,
     ModelSpec,
-    factor_levels,
-    predictor_columns,
+    rough_levels,
     solve_normal,
     triangle,
     unpack,
+    unshifted,
 )
 
 
@@ -101,24 +102,30 @@ def _ratio_kernel(layout: Layout, ratios: np.ndarray) -> Kernel:
 
 
 class GroupMoments:
-    """Merged cross-products of [1, X, y] per group, and sums over them."""
-
-    def __init__(self, df: DataFrame, spec: ModelSpec, levels: Levels | None = None, local_rows: int = LOCAL_ROWS):
-        known = factor_levels(df, list(spec.fixed), levels)
-        columns = predictor_columns(spec.fixed, known)
-        self.terms = [INTERCEPT, *columns]
+    """Merged cross-products of [1, X, y] per group, X and y less their rough levels, and sums over them."""
+
+    def __init__(
+        self,
+        df: DataFrame,
+        spec: ModelSpec,
+        levels: Levels | None = None,
+        local_rows: int = LOCAL_ROWS,
+        shared: SharedRows | None = None,
+    ):
+        rows = shared or SharedRows(df, [spec], levels)
+        self.terms = [INTERCEPT, *rows.terms(spec.fixed)]
         self.p = len(self.terms)
         self.width = self.p + 1
         self.slope = None
         if spec.slope is not None:
-            names = predictor_columns((spec.slope,), known)
+            names = rows.terms((spec.slope,))
             if len(names) != 1:
                 raise ValueError("a random slope must be a single numeric or two-level column")
-            self.slope = self.terms.index(next(iter(names)))
+            self.slope = self.terms.index(names[0])
         self.z = [0] if self.slope is None else [0, self.slope]
         self.q = len(self.z)
         self.layout = Layout(self.q, self.width)
-        self.table = SumOverRows(self._merged(df, spec, columns), local_rows)
+        self.table = SumOverRows(self._merged(rows, spec), local_rows)
         whole = self.table.sum(self.layout.totals)
         self.groups = int(round(whole[0]))
         self.gram = unpack(whole[1:], self.width)
@@ -130,15 +137,22 @@ class GroupMoments:
     def __exit__(self, *exc) -> None:
         self.table.__exit__(*exc)
 
-    def _merged(self, df: DataFrame, spec: ModelSpec, columns: dict) -> DataFrame:
-        frame = df.select(
-            F.col(spec.group).alias("g"),
-            *[c.alias(f"c{i}") for i, c in enumerate(columns.values(), 1)],
-            F.col(spec.outcome).cast("double").alias(f"c{self.p}"),
-        ).dropna()
-        vector = [F.lit(1.0)] + [F.col(f"c{i}") for i in range(1, self.width)]
+    def _merged(self, rows: SharedRows, spec: ModelSpec) -> DataFrame:
+        frame = rows.frame(spec)
+        names = [f"c{i}" for i in range(1, self.p)]
+        self.shift = np.append(rough_levels(frame.select(*names)) if names else [], rows.level)
+        if self.slope is not None:
+            # The random effects are those of the slope as it stands.
+            self.shift[self.slope - 1] = 0.0
+        vector = [F.lit(1.0)] + [F.col(c) - F.lit(float(v)) for c, v in zip(names, self.shift[:-1], strict=True)]
+
+        def product(i: int, j: int) -> Column:
+            if i == self.p:
+                return F.col("ss")
+            return vector[i] * (F.col("s") if j == self.p else F.col("m") * vector[j])
+
         name = {ij: f"s_{ij[0]}_{ij[1]}" for ij in triangle(self.width)}
-        per_group = frame.groupBy("g").agg(*[F.sum(vector[i] * vector[j]).alias(name[i, j]) for i, j in name])
+        per_group = frame.groupBy("g").agg(*[F.sum(product(i, j)).alias(name[i, j]) for i, j in name])
         zz = [name[self.z[a], self.z[b]] for a, b in triangle(self.q)]
         zw = [F.col(name[min(a, j), max(a, j)]) for a in self.z for j in range(self.width)]
         # A group key must not hide a column of the same name from the sums.
@@ -161,10 +175,15 @@ class GroupMoments:
 
     def generalised(self, correction: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
         """Generalised least squares: inverse of X'VX, coefficients, residual sum."""
+        inverse, beta, rss = self._shifted(correction)
+        return *unshifted(inverse, beta, self.shift), rss
+
+    def _shifted(self, correction: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """The same for columns less their rough levels, on which the criterion does not depend."""
         return solve_normal(self.gram - correction)
 
     def reml(self, logdet: float, correction: np.ndarray) -> float:
-        inverse, _, rss = self.generalised(correction)
+        inverse, _, rss = self._shifted(correction)
         df = self.n - self.p
         return df * (math.log(2 * math.pi * rss / df) + 1) + logdet - np.linalg.slogdet(inverse)[1]
 
@@ -177,7 +196,7 @@ class GroupMoments:
         changes = self.table.sum(_ratio_kernel(self.layout, ratios)).reshape(len(ratios), 1 + self.width**2)
         out = []
         for (_, correction), change in zip(corrections, changes, strict=True):
-            inverse, beta, rss = self.generalised(correction)
+            inverse, beta, rss = self._shifted(correction)
             moved = -change[1:].reshape(self.width, self.width)
             residual = np.append(-beta, 1.0)
             relative = residual @ moved @ residual / rss
@@ -204,9 +223,21 @@ def lower_factor(theta: np.ndarray) -> np.ndarray:
     return np.array([[theta[0]]]) if len(theta) == 1 else np.array([[theta[0], 0.0], [theta[1], theta[2]]])
 
 
-def fit_lmm(df: DataFrame, spec: ModelSpec, levels: Levels | None = None, local_rows: int = LOCAL_ROWS) -> Fit:
+def fit_lmm_grid(df: DataFrame, specs: list[ModelSpec], levels: Levels | None = None) -> list[Fit]:
+    """REML fits of several models of one outcome and group from one scan of the trials."""
+    rows = SharedRows(df, specs, levels)
+    return [fit_lmm(df, spec, levels, shared=rows) for spec in specs]
+
+
+def fit_lmm(
+    df: DataFrame,
+    spec: ModelSpec,
+    levels: Levels | None = None,
+    local_rows: int = LOCAL_ROWS,
+    shared: SharedRows | None = None,
+) -> Fit:
     """REML fit of a model with one grouping factor: (1 | g) or (1 + slope | g)."""
-    with GroupMoments(df, spec, levels, local_rows) as data:
+    with GroupMoments(df, spec, levels, local_rows, shared) as data:
         converged = True
         if data.q == 1:
             factor = np.array([[math.sqrt(data.best_ratio())]])
@@ -250,12 +281,21 @@ def random_effect_stats(covariance: np.ndarray) -> dict[str, float]:
 
 def reml_profile(df: DataFrame, spec: ModelSpec, ratios: list[float], levels: Levels | None = None) -> DataFrame:
     """Coefficients, residual variance and REML criterion at given variance ratios."""
+    table = _profile(df, spec, [np.array([[math.sqrt(r)]]) for r in ratios], levels)
+    numbered = df.sparkSession.createDataFrame(list(enumerate(ratios)), "point int, ratio double")
+    return numbered.join(table, "point").drop("point")
+
+
+def reml_profile_slope(df: DataFrame, spec: ModelSpec, points: list[tuple[float, float, float]], levels: Levels | None = None) -> DataFrame:
+    """The same at given lower factors (l11, l21, l22) of the relative covariance of intercept and slope."""
+    return _profile(df, spec, [lower_factor(np.array(t)) for t in points], levels)
+
+
+def _profile(df: DataFrame, spec: ModelSpec, factors: list[np.ndarray], levels: Levels | None) -> DataFrame:
     with GroupMoments(df, spec, levels) as data:
         rows = []
-        for ratio, (logdet, correction) in zip(
-            ratios, data.corrections([np.array([[math.sqrt(r)]]) for r in ratios]), strict=True
-        ):
+        for point, (logdet, correction) in enumerate(data.corrections(factors)):
             _, beta, rss = data.generalised(correction)
-            rows.append((ratio, *map(float, beta), float(rss) / (data.n - data.p), float(data.reml(logdet, correction))))
+            rows.append((point, *map(float, beta), float(rss) / (data.n - data.p), float(data.reml(logdet, correction))))
     betas = "".join(f", beta{i} double" for i in range(data.p))
-    return df.sparkSession.createDataFrame(rows, f"ratio double{betas}, sigma2 double, reml double")
+    return df.sparkSession.createDataFrame(rows, f"point int{betas}, sigma2 double, reml double")

@@ -121,7 +121,32 @@ def _newton(specs, designs, uses, table: SumOverRows) -> list[Fit]:
                 done[k] = True
                 best[k] = (part[0], beta[k] + step)
             beta[k] = beta[k] + step
-    return [_finish(specs[k], [INTERCEPT, *designs[k]], best[k], sums[k], done[k]) for k in range(len(specs))]
+    return [
+        _finish(specs[k], [INTERCEPT, *designs[k]], best[k], sums[k], done[k], *location)
+        for k, location in enumerate(_locations(uses, table))
+    ]
+
+
+def _locations(uses: list[list[int]], table: SumOverRows) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Mean and spread of the predictors of each model: means first, then squares around them."""
+
+    def sums(centres: list[np.ndarray], power: int) -> list[np.ndarray]:
+        def kernel(block: np.ndarray) -> np.ndarray:
+            parts = []
+            for use, centre in zip(uses, centres, strict=True):
+                x, m, _ = _design(block, use)
+                parts.append(np.append(m.sum(), m @ (x[:, 1:] - centre) ** power))
+            return np.concatenate(parts)
+
+        flat, start, out = table.sum(kernel), 0, []
+        for use in uses:
+            part = flat[start : start + len(use) + 1]
+            out.append(part[1:] / max(part[0], 1.0))
+            start += len(part)
+        return out
+
+    means = sums([np.zeros(len(use)) for use in uses], 1)
+    return [(m, np.sqrt(v)) for m, v in zip(means, sums(means, 2), strict=True)]
 
 
 def _safe_solve(information: np.ndarray, score: np.ndarray) -> np.ndarray:
@@ -131,7 +156,9 @@ def _safe_solve(information: np.ndarray, score: np.ndarray) -> np.ndarray:
         return np.linalg.lstsq(information, score, rcond=None)[0]
 
 
-def _finish(spec: ModelSpec, terms: list[str], best, part: np.ndarray, done: bool) -> Fit:
+def _finish(
+    spec: ModelSpec, terms: list[str], best, part: np.ndarray, done: bool, mean: np.ndarray, spread: np.ndarray
+) -> Fit:
     p = len(terms)
     loglik, estimate = best
     n = int(round(part[1]))
@@ -141,8 +168,12 @@ def _finish(spec: ModelSpec, terms: list[str], best, part: np.ndarray, done: boo
     except np.linalg.LinAlgError:
         covariance, done = np.full((p, p), math.nan), False
     # Under separation the information vanishes along the diverging direction.
-    spread = np.sqrt(np.clip(np.diag(covariance), 0, None) * n)
-    separated = bool(np.any(np.abs(estimate) > SEPARATED) and np.any(spread > 1e4))
+    # Both are judged for standardised predictors, so the units do not matter.
+    scale = np.eye(p)
+    scale[0, 1:] = mean
+    scale[1:, 1:] = np.diag(spread)
+    errors = np.sqrt(np.clip(np.diag(scale @ covariance @ scale.T), 0, None) * n)
+    separated = bool(np.any(np.abs(scale @ estimate) > SEPARATED) and np.any(errors > 1e4))
     deviance = -2 * loglik
     stats = {
         "loglik": loglik,

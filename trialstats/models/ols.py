@@ -17,15 +17,11 @@ from trialstats.models.spec import (
     ModelSpec,
     factor_levels,
     predictor_columns,
+    rough_levels,
     solve_normal,
-    triangle,
-    unpack,
+    unshifted,
 )
 
-# Up to this many cross-products are taken by SQL aggregates.  Beyond it the
-# generated code grows too large to be compiled, and array products in the tasks win.
-PAIRS_IN_SQL = 21
-
 
 def fit_ols(df: DataFrame, specs: list[ModelSpec], levels: Levels | None = None) -> list[Fit]:
     """Least squares for each specification on its own complete rows."""
@@ -37,41 +33,18 @@ def fit_ols(df: DataFrame, specs: list[ModelSpec], levels: Levels | None = None)
     columns.update({f"y:{s.outcome}": F.col(s.outcome).cast("double") for s in specs})
     where = {t: i for i, t in enumerate(columns)}
     frame = df.select(*[c.alias(f"c{i}") for i, c in enumerate(columns.values())])
+    # Deviations from a rough level of each column, so that values far from zero keep their digits.
+    shift = rough_levels(frame)
+    frame = frame.select(*[(F.col(c) - F.lit(float(v))).alias(c) for c, v in zip(frame.columns, shift, strict=True)])
     uses = [[where[t] for t in terms] + [where[f"y:{s.outcome}"]] for s, terms in zip(specs, designs, strict=True)]
-    if sum((len(u) + 1) * (len(u) + 2) // 2 for u in uses) <= PAIRS_IN_SQL:
-        grams = _grams_in_sql(frame, uses)
-    else:
-        grams = _grams_in_tasks(frame, uses)
+    grams = _grams(frame, uses)
     return [
-        from_gram(spec, [INTERCEPT, *terms], gram)
-        for spec, terms, gram in zip(specs, designs, grams, strict=True)
+        from_gram(spec, [INTERCEPT, *terms], gram, shift[use])
+        for spec, terms, gram, use in zip(specs, designs, grams, uses, strict=True)
     ]
 
 
-def _grams_in_sql(frame: DataFrame, uses: list[list[int]]) -> list[np.ndarray]:
-    """From means and covariances, whose aggregates do not lose digits to large means."""
-    outputs = {}
-    for m, use in enumerate(uses):
-        complete = F.lit(True)
-        for c in use:
-            complete = complete & F.col(f"c{c}").isNotNull()
-        vector = [F.when(complete, F.col(f"c{c}")) for c in use]
-        outputs[f"n{m}"] = F.count(F.when(complete, 1))
-        outputs.update({f"a{m}_{i}": F.avg(v) for i, v in enumerate(vector)})
-        outputs.update({f"v{m}_{i}_{j}": F.covar_pop(vector[i], vector[j]) for i, j in triangle(len(vector))})
-    row = frame.agg(*[c.alias(k) for k, c in outputs.items()]).first()
-    grams = []
-    for m, use in enumerate(uses):
-        size = len(use)
-        covariance = unpack([row[f"v{m}_{i}_{j}"] for i, j in triangle(size)], size)
-        mean = np.array([1.0] + [row[f"a{m}_{i}"] or 0.0 for i in range(size)])
-        gram = np.outer(mean, mean)
-        gram[1:, 1:] += covariance
-        grams.append(row[f"n{m}"] * gram)
-    return grams
-
-
-def _grams_in_tasks(frame: DataFrame, uses: list[list[int]]) -> list[np.ndarray]:
+def _grams(frame: DataFrame, uses: list[list[int]]) -> list[np.ndarray]:
     flat, start, out = sum_over_frame(frame, _gram_kernel(uses)), 0, []
     for use in uses:
         size = len(use) + 1
@@ -96,13 +69,14 @@ def _gram_kernel(uses: list[list[int]]) -> Kernel:
     return kernel
 
 
-def from_gram(spec: ModelSpec, terms: list[str], gram: np.ndarray) -> Fit:
-    """Least squares from the cross-products of [1, predictors, outcome]."""
+def from_gram(spec: ModelSpec, terms: list[str], gram: np.ndarray, shift: np.ndarray) -> Fit:
+    """Least squares from the cross-products of [1, predictors, outcome] less ``shift``."""
     p = len(terms)
     n = int(round(gram[0, 0]))
     if n <= p:
         raise ValueError(f"{spec.name}: {n} complete rows for {p} coefficients")
     inverse, estimate, rss = solve_normal(gram)
+    inverse, estimate = unshifted(inverse, estimate, shift)
     tss = gram[p, p] - gram[0, p] ** 2 / n
     df = n - p
     s2 = rss / df

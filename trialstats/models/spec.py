@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 INTERCEPT = "(Intercept)"
-# More levels than this are a mistake in the specification, not a factor.
+# Default for the most levels a factor may have; more are usually a mistake in the specification.
 MAX_LEVELS = 200
 
 
@@ -36,27 +36,37 @@ class ModelSpec:
 Levels = Mapping[str, list[str]]
 
 
-def factor_levels(df: DataFrame, names: list[str], known: Levels | None = None) -> dict[str, list[str]]:
-    """Sorted levels of the text columns among ``names``; the first is the reference."""
+def factor_levels(
+    df: DataFrame, names: list[str], known: Levels | None = None, max_levels: int = MAX_LEVELS
+) -> dict[str, list[str]]:
+    """Sorted levels of the text columns among ``names``; the first is the reference.
+
+    A factor with more than ``max_levels`` levels is refused, none is left out.
+    """
     text = {f.name for f in df.schema if isinstance(f.dataType, T.StringType)}
     found = {n: sorted(known[n]) for n in names if known and n in known}
     todo = [n for n in names if n in text and n not in found]
     for n in todo:
-        rows = df.select(n).filter(F.col(n).isNotNull()).distinct().limit(MAX_LEVELS + 1).collect()
+        rows = df.select(n).filter(F.col(n).isNotNull()).distinct().limit(max_levels + 1).collect()
         found[n] = sorted(row[n] for row in rows)
     for n, levels in found.items():
-        if not 2 <= len(levels) <= MAX_LEVELS:
-            raise ValueError(f"factor {n} must have 2 to {MAX_LEVELS} levels")
+        if not 2 <= len(levels) <= max(max_levels, len((known or {}).get(n, ()))):
+            raise ValueError(f"factor {n} must have 2 to {max_levels} levels")
     return found
 
 
 def predictor_columns(names: tuple[str, ...], levels: Levels) -> dict[str, Column]:
-    """Term name -> numeric column; a factor gives one 0/1 column per non-reference level."""
+    """Term name -> numeric column; a factor gives one 0/1 column per non-reference level.
+
+    A value that is not among the levels is an error, not the reference.
+    """
     terms: dict[str, Column] = {}
     for n in names:
         if n in levels:
+            listed = F.col(n).isNull() | F.col(n).isin(*levels[n])
+            refused = F.raise_error(F.concat(F.lit(f"{n} has a level that is not listed: "), F.col(n).cast("string"))).cast("double")
             for level in levels[n][1:]:
-                terms[f"{n}{level}"] = (F.col(n) == level).cast("double")
+                terms[f"{n}{level}"] = F.when(listed, (F.col(n) == level).cast("double")).otherwise(refused)
         else:
             terms[n] = F.col(n).cast("double")
     return terms
@@ -127,3 +137,27 @@ def unpack(values, size: int) -> np.ndarray:
     for (i, j), v in zip(triangle(size), values, strict=True):
         out[i, j] = out[j, i] = 0.0 if v is None else float(v)
     return out
+
+
+# Rows from which a column's rough level is taken.
+ROUGH_ROWS = 1_000
+
+
+def rough_levels(frame: DataFrame) -> np.ndarray:
+    """Roughly where each numeric column lies, from a few rows.
+
+    Cross-products are taken of deviations from these values.  Any value near
+    the data will do: it decides how many digits are lost, not the result.
+    """
+    row = frame.limit(ROUGH_ROWS).agg(*[F.avg(F.when(~F.isnan(c), F.col(c))).alias(c) for c in frame.columns]).first()
+    levels = np.array([0.0 if v is None else float(v) for v in row])
+    return np.where(np.isfinite(levels), levels, 0.0)
+
+
+def unshifted(inverse: np.ndarray, beta: np.ndarray, shift: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inverse and coefficients of [1, X] from those for X and y less ``shift`` (of X, then y)."""
+    back = np.eye(len(beta))
+    back[0, 1:] = -shift[:-1]
+    moved = back @ beta
+    moved[0] += shift[-1]
+    return back @ inverse @ back.T, moved

@@ -1,15 +1,15 @@
-"""Natural inner joins, laid out by checked size and checked skew."""
+"""Natural inner joins.
 
-from __future__ import annotations
+Joins are lazy and leave their layout to Spark: adaptive execution broadcasts a
+side whose real size allows it and splits skewed partitions of the other kind.
+A caller who knows that a key is hotter than that can ask for slices.
+"""
 
-import math
+from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialstats import runtime
-
-
 SLICE = "__slice"
 
 
@@ -21,12 +21,7 @@ def shared_columns(left: DataFrame, right: DataFrame) -> list[str]:
 
 
 def natural_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: list[str] | None = None,
-    null_safe: bool = True,
-    broadcast_bytes: int | None = None,
-    hot_rows: int | None = None,
+    left: DataFrame, right: DataFrame, on: list[str] | None = None, null_safe: bool = True, slices: int = 1
 ) -> DataFrame:
     """Inner join on all shared names, NULL matching NULL, key columns first.
 
@@ -34,49 +29,23 @@ def natural_join(
     gives the same rows from a plain equi-join, which can use bucketing, integer
     hash tables and pushed-down NULL filters.
 
-    ``right`` is broadcast when its estimated size allows.  Beyond that the
-    join shuffles, and each key of ``left`` with more than ``hot_rows`` rows is
-    cut into slices: its left rows get a slice number from a hash of the row,
-    its right rows are repeated once per slice.  Other keys keep one slice.
+    With ``slices`` the rows of each key of ``left`` are dealt over that many
+    parts by their position, whatever their content, and ``right`` is repeated
+    once per part.
     """
     keys = on or shared_columns(left, right)
-    hot_rows = hot_rows or runtime.HOT_ROWS
-    if runtime.is_small(right, broadcast_bytes):
-        return _join(left, F.broadcast(right), keys, null_safe)
-    (hot,) = runtime.hot_keys(left, [keys], hot_rows)
-    return _sliced_join(left, right, keys, hot, hot_rows, null_safe)
-
-
-def star_join(
-    fact: DataFrame,
-    *dimensions: DataFrame,
-    null_safe: bool = True,
-    broadcast_bytes: int | None = None,
-    hot_rows: int | None = None,
-) -> DataFrame:
-    """Natural join of one large frame with several others, in the given order.
+    if slices > 1:
+        left = left.withColumn(SLICE, F.pmod(F.monotonically_increasing_id(), F.lit(slices)).cast("int"))
+        right = right.withColumn(SLICE, F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+        return _join(left, right, [*keys, SLICE], null_safe).drop(SLICE)
+    return _join(left, right, keys, null_safe)
 
-    Works like repeated ``natural_join``, but the hot keys of all dimensions too
-    large to broadcast are found in one pass over the key columns of ``fact``
-    itself, not over the results of earlier joins.
-    """
-    keys = [shared_columns(fact, d) for d in dimensions]
-    hot_rows = hot_rows or runtime.HOT_ROWS
-    small = [runtime.is_small(d, broadcast_bytes) for d in dimensions]
-    large = [k for k, fits in zip(keys, small, strict=True) if not fits]
-    hot = iter(runtime.hot_keys(fact, large, hot_rows) if large else [])
-    out = fact
-    for d, k, fits in zip(dimensions, keys, small, strict=True):
-        out = _join(out, F.broadcast(d), k, null_safe) if fits else _sliced_join(out, d, k, next(hot), hot_rows, null_safe)
-    return out
-
-
-def _sliced_join(
-    left: DataFrame, right: DataFrame, keys: list[str], hot: dict[int, int], hot_rows: int, null_safe: bool
-) -> DataFrame:
-    if not hot:
-        return _join(left, right, keys, null_safe)
-    return _join(*_slice(left, right, keys, hot, hot_rows), [*keys, SLICE], null_safe).drop(SLICE)
+
+def star_join(fact: DataFrame, *dimensions: DataFrame, null_safe: bool = True) -> DataFrame:
+    """Natural join of one large frame with several others, in the given order."""
+    for dimension in dimensions:
+        fact = natural_join(fact, dimension, null_safe=null_safe)
+    return fact
 
 
 def _join(left: DataFrame, right: DataFrame, keys: list[str], null_safe: bool) -> DataFrame:
@@ -93,31 +62,6 @@ def _join(left: DataFrame, right: DataFrame, keys: list[str], null_safe: bool) -
     return left.join(renamed, condition, "inner").select(*keys, *left_rest, *right_rest)
 
 
-def _slices(keys: list[str], hot: dict[int, int], hot_rows: int) -> Column:
-    """Number of slices of a key: the power of two that brings a slice to ``hot_rows``.
-
-    Keys with the same number share one hash-set test, so the test costs a few
-    lookups per row however many keys are hot.
-    """
-    classes: dict[int, list[int]] = {}
-    for key, count in hot.items():
-        classes.setdefault(1 << max(1, math.ceil(math.log2(count / hot_rows))), []).append(key)
-    number = F.lit(1)
-    for size, members in sorted(classes.items()):
-        number = F.when(runtime.key_hash(keys).isin(*members), F.lit(size)).otherwise(number)
-    return number
-
-
-def _slice(
-    left: DataFrame, right: DataFrame, keys: list[str], hot: dict[int, int], hot_rows: int
-) -> tuple[DataFrame, DataFrame]:
-    slices = _slices(keys, hot, hot_rows)
-    row_hash = F.xxhash64(*[F.col(c) for c in left.columns])
-    cut_left = left.withColumn(SLICE, F.pmod(row_hash, slices).cast("int"))
-    cut_right = right.withColumn(SLICE, F.explode(F.sequence(F.lit(0), slices - 1)))
-    return cut_left, cut_right
-
-
 def trials_with_instances(trials: DataFrame, instances: DataFrame, **layout) -> DataFrame:
     """Distinct trials with their instance properties.
 

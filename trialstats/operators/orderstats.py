@@ -1,9 +1,8 @@
-"""Exact quantiles without sorting the column in one place.
+"""Exact quantiles without sorting or shuffling the column.
 
 ``percentile`` keeps every distinct value of a group in one aggregation buffer.
-Here the column is first reduced to distinct values with counts, then the value
-ranges that hold the wanted ranks are narrowed by repeated histograms until few
-values are left in them.
+Here the value ranges that hold the wanted ranks are narrowed by repeated
+histograms of the scan, combined in the tasks, until few rows are left in them.
 """
 
 from __future__ import annotations
@@ -15,43 +14,39 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Histogram bins per range and round, and the number of values small enough to read off.
+# Histogram bins per range and round, and the number of rows small enough to read off.
 BINS = 256
 READ_OFF = 50_000
 
 
 def order_statistics(df: DataFrame, column: str, ranks_of, read_off: int = READ_OFF) -> dict[int, float]:
-    """Values at 0-based ranks of the sorted non-NULL column.
+    """Values at 0-based ranks of the sorted column, without NULL and NaN.
 
     ``ranks_of`` receives the row count and returns the wanted ranks.
     """
-    counts = (
-        df.filter(F.col(column).isNotNull())
-        .groupBy(F.col(column).cast("double").alias("value"))
-        .agg(F.count(F.lit(1)).alias("cnt"))
-        .persist()
-    )
-    try:
-        whole = counts.agg(F.sum("cnt"), F.min("value"), F.max("value"), F.count("value")).first()
-        if not whole[0]:
-            return {}
-        wanted = sorted(set(ranks_of(int(whole[0]))))
-        # range id -> (lowest value, highest value, rows below, wanted ranks)
-        ranges = {0: (whole[1], whole[2], 0, wanted)}
-        frame, left = counts.withColumn("rng", F.lit(0)), int(whole[3])
-        found: dict[int, float] = {}
-        while ranges:
-            if left <= read_off:
-                _read_off(frame, ranges, found)
-                break
-            frame, ranges, left = _narrow(frame, ranges, found)
-        return found
-    finally:
-        counts.unpersist()
+    value = F.col(column).cast("double")
+    rows = df.select(value.alias("value")).filter(F.col("value").isNotNull() & ~F.isnan("value"))
+    whole = rows.agg(F.count("value"), F.min("value"), F.max("value")).first()
+    if not whole[0]:
+        return {}
+    wanted = sorted(set(ranks_of(int(whole[0]))))
+    if whole[1] == whole[2]:
+        return dict.fromkeys(wanted, float(whole[1]))
+    # range id -> (lowest value, highest value, rows below, wanted ranks)
+    ranges = {0: (whole[1], whole[2], 0, wanted)}
+    frame, left, narrower = rows.withColumn("rng", F.lit(0)), int(whole[0]), True
+    found: dict[int, float] = {}
+    while ranges:
+        # Where bins can't tell values apart any more, few distinct ones are left.
+        if left <= read_off or not narrower:
+            _read_off(frame, ranges, found)
+            break
+        frame, ranges, left, narrower = _narrow(frame, ranges, found)
+    return found
 
 
 def _read_off(frame: DataFrame, ranges: dict, found: dict[int, float]) -> None:
-    table = frame.select("rng", "value", "cnt").toArrow()
+    table = frame.groupBy("rng", "value").agg(F.count(F.lit(1)).alias("cnt")).toArrow()
     rng, value, cnt = (table.column(c).to_numpy() for c in table.column_names)
     for number, (_, _, below, wanted) in ranges.items():
         inside = rng == number
@@ -65,18 +60,21 @@ def _narrow(frame: DataFrame, ranges: dict, found: dict[int, float]):
     """One histogram round: keep only the bins that hold a wanted rank."""
     spark = frame.sparkSession
     table = spark.createDataFrame(
-        [(k, float(lo), (float(hi) - float(lo)) / BINS) for k, (lo, hi, _, _) in ranges.items()],
-        "rng int, lo double, width double",
+        [(k, float(lo) / 2, float(hi) / 2 - float(lo) / 2) for k, (lo, hi, _, _) in ranges.items()],
+        "rng int, half double, width double",
     )
-    bin_no = F.least(F.lit(BINS - 1), F.floor((F.col("value") - F.col("lo")) / F.col("width"))).cast("int")
-    binned = frame.join(F.broadcast(table), "rng").select("rng", "value", "cnt", bin_no.alias("bin"))
+    # Halves, as the distance of two values near the limits is no double.
+    place = F.try_divide(F.col("value") / 2 - F.col("half"), F.col("width"))
+    place = F.when(F.isnan(place) | place.isNull(), 0.0).otherwise(place)
+    bin_no = F.least(F.lit(BINS - 1), F.floor(place * BINS)).cast("int")
+    binned = frame.join(F.broadcast(table), "rng").select("rng", "value", bin_no.alias("bin"))
     histogram = (
         binned.groupBy("rng", "bin")
-        .agg(F.sum("cnt").alias("cnt"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("value").alias("k"))
+        .agg(F.count(F.lit(1)).alias("cnt"), F.min("value").alias("lo"), F.max("value").alias("hi"))
         .orderBy("rng", "bin")
         .collect()
     )
-    kept, below, narrowed, left = [], {}, {}, 0
+    kept, below, narrowed, left, narrower = [], {}, {}, 0, True
     for row in histogram:
         _, _, base, wanted = ranges[row["rng"]]
         start = below.get(row["rng"], base)
@@ -87,14 +85,15 @@ def _narrow(frame: DataFrame, ranges: dict, found: dict[int, float]):
         if row["lo"] == row["hi"]:
             found.update({r: row["lo"] for r in inside})
             continue
+        narrower = narrower and (row["lo"], row["hi"]) != ranges[row["rng"]][:2]
         narrowed[len(kept)] = (row["lo"], row["hi"], start, inside)
         kept.append((row["rng"], row["bin"], len(kept)))
-        left += row["k"]
+        left += row["cnt"]
     if not kept:
-        return frame, {}, 0
+        return frame, {}, 0, True
     keep = F.broadcast(spark.createDataFrame(kept, "rng int, bin int, next int"))
-    remaining = binned.join(keep, ["rng", "bin"]).select("value", "cnt", F.col("next").alias("rng"))
-    return remaining, narrowed, left
+    remaining = binned.join(keep, ["rng", "bin"]).select("value", F.col("next").alias("rng"))
+    return remaining, narrowed, left, narrower
 
 
 def quantiles(df: DataFrame, column: str, probabilities: list[float], **options) -> dict[float, float]:

@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trialstats import runtime
-
-# Most slices one participant's log is cut into.
-MAX_SLICES = 4096
+# Lines of a log that one task sorts at most.
+SLICE_LINES = 1_000_000
 
 
 def time_on_task(
@@ -19,80 +15,36 @@ def time_on_task(
     participant: str = "participant_id",
     elapsed: str = "elapsedTime",
     line: str = "line_no",
-    hot_rows: int | None = None,
+    slice_lines: int | None = None,
 ) -> DataFrame:
     """Add ``TimeOnTask``, in seconds for ``elapsed`` in milliseconds.
 
-    The last event of a participant has no successor and gets NULL.  Filters on
-    the event type belong after this step.
+    Events are taken in the order of the file, by ``line``, which is unique for
+    a participant; a clock that restarts gives the difference as it stands
+    there.  The last event of a participant has no successor and gets NULL.
+    Filters on the event type belong after this step.
 
-    A participant with more than ``hot_rows`` events is cut into time slices at
-    quantiles of ``elapsed``, so no task sorts the whole log.  The last event
-    of a slice then continues with the first event of the next non-empty slice.
+    Every log is cut at fixed line numbers, so no task sorts more than
+    ``slice_lines`` events however long the log and however its times repeat.
+    The last event of a slice continues with the first one of the next slice
+    that has any.
     """
-    cuts = _time_cuts(events, participant, elapsed, hot_rows or runtime.HOT_ROWS)
-    order = [F.col(elapsed).asc_nulls_last(), F.col(line).asc_nulls_last()]
-    if cuts is None:
-        following = F.lead(elapsed).over(W.partitionBy(participant).orderBy(*order))
-        return events.withColumn("TimeOnTask", (following - F.col(elapsed)) / 1000)
-
-    sliced = _with_slice(events, cuts, participant, elapsed)
-    # At most MAX_SLICES rows per cut participant.
+    lines = F.lit(slice_lines or SLICE_LINES)
+    # Events without a line number come last.
+    number = F.coalesce(F.floor(F.col(line) / lines), F.lit((1 << 63) - 1)).cast("long")
+    sliced = events.withColumn("__slice", number)
     heads = (
-        sliced.filter(F.col("__cuts").isNotNull())
-        .groupBy(participant, "__slice")
-        .agg(F.min(elapsed).alias("head"))
-        .withColumn("__next_head", F.lead("head").over(W.partitionBy(participant).orderBy("__slice")))
-        .select(participant, "__slice", "__next_head")
+        sliced.groupBy(participant, "__slice")
+        .agg(F.min_by(elapsed, F.coalesce(F.col(line).cast("long"), F.lit((1 << 63) - 1))).alias("__head"))
+        .withColumn("__next_head", F.lead("__head").over(W.partitionBy(participant).orderBy("__slice")))
+        .select(F.col(participant).alias("__participant"), F.col("__slice").alias("__of"), "__next_head")
     )
-    inside = F.lead(elapsed).over(W.partitionBy(participant, "__slice").orderBy(*order))
-    is_last = F.lead(F.lit(1)).over(W.partitionBy(participant, "__slice").orderBy(*order)).isNull()
+    order = W.partitionBy(participant, "__slice").orderBy(F.col(line).asc_nulls_last())
+    timed = sliced.withColumn("__inside", F.lead(elapsed).over(order)).withColumn("__is_last", F.lead(F.lit(1)).over(order).isNull())
+    same = F.col(participant).eqNullSafe(F.col("__participant")) & (F.col("__slice") == F.col("__of"))
+    following = F.when(F.col("__is_last"), F.col("__next_head")).otherwise(F.col("__inside"))
     return (
-        sliced.drop("__cuts")
-        .withColumn("__inside", inside)
-        .withColumn("__is_last", is_last)
-        .join(F.broadcast(heads), [participant, "__slice"], "left")
-        .withColumn("__following", F.when(F.col("__is_last"), F.col("__next_head")).otherwise(F.col("__inside")))
-        .withColumn("TimeOnTask", (F.col("__following") - F.col(elapsed)) / 1000)
+        timed.join(heads, same, "left")
+        .withColumn("TimeOnTask", (following - F.col(elapsed)) / 1000)
         .select(*events.columns, "TimeOnTask")
     )
-
-
-def _time_cuts(events: DataFrame, participant: str, elapsed: str, hot_rows: int) -> DataFrame | None:
-    """(participant, ascending cut points) for the participants to be cut, or None.
-
-    The sketch bounds the number of participants, MAX_SLICES the cuts of each,
-    so the frame is small enough to broadcast whatever the size of the log.
-    """
-    (hot,) = runtime.hot_keys(events, [[participant]], hot_rows)
-    if not hot:
-        return None
-    slices = min(MAX_SLICES, max(2, math.ceil(max(hot.values()) / hot_rows)))
-    grid = [i / slices for i in range(1, slices)]
-    return (
-        events.filter(runtime.key_hash([participant]).isin(*hot))
-        .groupBy(participant)
-        .agg(F.array_distinct(F.percentile_approx(elapsed, grid, 10_000)).alias("__cuts"))
-    )
-
-
-def _with_slice(events: DataFrame, cuts: DataFrame, participant: str, elapsed: str) -> DataFrame:
-    """Slice number = how many cut points lie at or below the event, 0 without cuts."""
-    joined = events.join(F.broadcast(cuts), participant, "left")
-    # Events without a time sort last, so they belong to the last slice.
-    position = F.when(F.col(elapsed).isNull(), F.size("__cuts")).otherwise(
-        _count_at_or_below(F.col("__cuts"), F.col(elapsed))
-    )
-    return joined.withColumn("__slice", F.when(F.col("__cuts").isNull(), 0).otherwise(position))
-
-
-def _count_at_or_below(sorted_values: Column, value: Column) -> Column:
-    """Binary search by halving steps, kept in the JVM."""
-    steps = F.array(*[F.lit(1 << k) for k in reversed(range(MAX_SLICES.bit_length()))])
-
-    def advance(found: Column, step: Column) -> Column:
-        nxt = found + step
-        fits = (nxt <= F.size(sorted_values)) & (F.get(sorted_values, nxt - 1) <= value)
-        return F.when(fits, nxt).otherwise(found)
-
-    return F.aggregate(steps, F.lit(0), advance)

@@ -204,6 +204,16 @@ def region_pair(spark, d):
     return rounded(summaries.group_summary(pair.withColumnRenamed("Region", "region"), ["region"], "TimeOnTask"))
 
 
+@query(
+    "region_pair_over",
+    f"""SELECT Region AS region, {_SQL_SUMMARY.format(v='"TimeOnTask"')} FROM ({b.SQL_ANALYSIS})
+        WHERE Region LIKE 'Phase Transition%' OR Region = 'Over-Constrained' GROUP BY 1""",
+)
+def region_pair_over(spark, d):
+    pair = region_pair_rows(b.analysis(spark, d), recode.OVER)
+    return rounded(summaries.group_summary(pair.withColumnRenamed("Region", "region"), ["region"], "TimeOnTask"))
+
+
 def region_pair_rows(df: DataFrame, other: str) -> DataFrame:
     """Rows of the phase transition and of one other region."""
     return df.filter(recode.is_transition(F.col("Region")) | (F.col("Region") == other))
@@ -371,7 +381,7 @@ def join_instances(spark, d):
 
 
 _SQL_DURATIONS = f"""SELECT participant_id, line_no, eventType, elapsedTime,
-       (lead(elapsedTime) OVER (PARTITION BY participant_id ORDER BY elapsedTime, line_no) - elapsedTime) / 1000 AS TimeOnTask
+       (lead(elapsedTime) OVER (PARTITION BY participant_id ORDER BY line_no) - elapsedTime) / 1000 AS TimeOnTask
 FROM ({b.SQL_EVENTS})"""
 
 

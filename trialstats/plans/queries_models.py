@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialstats.models import catalogue, report
-from trialstats.models.glmm import fit_glmm
-from trialstats.models.lmm import fit_lmm, reml_profile
+from trialstats.models.glmm import fit_glmm, fit_glmm_grid
+from trialstats.models.lmm import fit_lmm, fit_lmm_grid, reml_profile, reml_profile_slope
 from trialstats.models.logit import fit_logit
 from trialstats.models.ols import fit_ols
 from trialstats.models.panel import fit_panel
@@ -295,30 +295,103 @@ def _register_mixed() -> None:
 
 
 def _logistic_table(spark, fit: Fit) -> DataFrame:
-    effects = report.coefficients(spark, [fit]).select(
+    return _logistic_tables(spark, [fit])
+
+
+def _logistic_tables(spark, fits: list[Fit]) -> DataFrame:
+    effects = report.coefficients(spark, fits).select(
         "model", "term", F.round("estimate", 4).alias("estimate"), F.round("std_error", 4).alias("std_error"), F.round("statistic", 3).alias("statistic")
     )
-    parts = report.fit_table(spark, [fit]).select("model", F.round("group_sd", 4).alias("group_sd"), F.round("loglik", 4).alias("loglik"))
+    parts = report.fit_table(spark, fits).select("model", F.round("group_sd", 4).alias("group_sd"), F.round("loglik", 4).alias("loglik"))
     return effects.join(parts, "model")
 
 
 def _mixed_summary(spark, fit: Fit) -> DataFrame:
-    """One row per coefficient, with the model's fit statistics."""
-    stats = report.fit_table(spark, [fit]).select(
+    return _mixed_summaries(spark, [fit])
+
+
+def _mixed_summaries(spark, fits: list[Fit]) -> DataFrame:
+    """One row per coefficient, with its model's fit statistics."""
+    stats = report.fit_table(spark, fits).select(
         "model", "n", "converged", "loglik", "aic", "bic", "sigma", "group_sd", "slope_sd", "group_cor"
     )
-    return rounded(report.coefficients(spark, [fit]).join(stats, "model"))
+    return rounded(report.coefficients(spark, fits).join(stats, "model"))
 
 
 _register_mixed()
 
 
+def _other_intercepts(task: str, outcome: str) -> list[ModelSpec]:
+    """Random-intercept models of a task that have no query of their own above."""
+    own = catalogue.NONE_LEARN_STRAT_MSTRAT if task == "knapsack" else ()
+    families = [(main, sets) for (of, kind, main), sets in catalogue.FAMILIES[task].items() if (of, kind) == (outcome, "me")]
+    return [
+        catalogue.spec(task, outcome, "me", catalogue.MAIN[main], control)
+        for main, sets in families
+        for control in sets
+        if control not in own
+    ]
+
+
+def _register_mixed_grids() -> None:
+    """The remaining random-intercept models of each task, from one scan of the trials."""
+    for task in catalogue.TASKS:
+        for outcome, kind, fit, table in (("time", "lmm", fit_lmm_grid, _mixed_table), ("acc", "glmm", fit_glmm_grid, _logistic_tables)):
+            specs = _other_intercepts(task, outcome)
+            if not specs:
+                continue
+
+            def run(spark, d, specs=specs, fit=fit, table=table):
+                fits = fit(model_frame(spark, d, specs), specs, LEVELS)
+                known = report.fit_table(spark, fits).select("model", "n", "converged")
+                return table(spark, fits).join(known, "model")
+
+            # The SQL of the single models is too slow with this many terms; a test holds grids against single fits.
+            query(f"model_grid_{kind}_{task}")(run)
+
+
+_register_mixed_grids()
+
+
 @query("lmm_slope_time_pt")
 def lmm_slope_time_pt(spark, d):
     spec = catalogue.spec("sat", "time", "mes", "InPhaseTransition")
     return _mixed_summary(spark, fit_lmm(model_frame(spark, d, [spec]), spec, LEVELS))
 
 
+# Lower factors of the relative covariance of intercept and slope.
+FACTORS = [(0.0, 0.0, 0.0), (0.3, 0.0, 0.2), (0.5, -0.1, 0.3), (1.0, 0.4, 0.7), (0.1, 0.05, 0.02)]
+
+# For a binary slope a group enters by its counts and sums: with M = Z'Z and the
+# relative covariance G the weight is W = G (I + M G)^-1, two by two throughout.
+_SQL_SLOPE_PROFILE = f"""WITH f AS (SELECT participant_id AS g, CASE WHEN InPhaseTransition = 'Yes' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS x,
+        TimeOnTask AS y FROM ({b.SQL_ANALYSIS})),
+  gr AS MATERIALIZED (SELECT g, count(*)::DOUBLE AS n, sum(x) AS k, sum(y) AS b0, sum(x * y) AS b1, sum(y * y) AS c FROM f GROUP BY g),
+  pts(point, l1, l2, l3) AS (VALUES {", ".join(f"({i}, {p[0]}::DOUBLE, {p[1]}::DOUBLE, {p[2]}::DOUBLE)" for i, p in enumerate(FACTORS))}),
+  cov AS (SELECT point, l1 * l1 AS g0, l1 * l2 AS g1, l2 * l2 + l3 * l3 AS g2 FROM pts),
+  pr AS (SELECT *, 1 + n * g0 + k * g1 AS q0, n * g1 + k * g2 AS q1, k * g0 + k * g1 AS q2, 1 + k * g1 + k * g2 AS q3 FROM gr, cov),
+  wt AS (SELECT *, q0 * q3 - q1 * q2 AS det FROM pr),
+  w AS (SELECT *, (g0 * q3 - g1 * q2) / det AS w0, (g1 * q0 - g0 * q1) / det AS w1, (g2 * q0 - g1 * q1) / det AS w2 FROM wt),
+  s AS (SELECT point, sum(n) AS n, sum(ln(det)) AS logdet,
+      sum(n - (n * n * w0 + 2 * n * k * w1 + k * k * w2)) AS m00, sum(k - (n * k * w0 + (n * k + k * k) * w1 + k * k * w2)) AS m01,
+      sum(k - (k * k * w0 + 2 * k * k * w1 + k * k * w2)) AS m11,
+      sum(b0 - (n * w0 * b0 + n * w1 * b1 + k * w1 * b0 + k * w2 * b1)) AS v0, sum(b1 - (k * w0 * b0 + k * w1 * b1 + k * w1 * b0 + k * w2 * b1)) AS v1,
+      sum(c - (b0 * b0 * w0 + 2 * b0 * b1 * w1 + b1 * b1 * w2)) AS c FROM w GROUP BY point),
+  d AS (SELECT *, m00 * m11 - m01 * m01 AS md FROM s),
+  e AS (SELECT *, (m11 * v0 - m01 * v1) / md AS beta0, (m00 * v1 - m01 * v0) / md AS beta1 FROM d),
+  r AS (SELECT *, c - beta0 * v0 - beta1 * v1 AS rss FROM e)
+  SELECT point, round(beta0, 6) AS beta0, round(beta1, 6) AS beta1, round(rss / (n - 2), 6) AS sigma2,
+    round((n - 2) * (ln(2 * pi() * rss / (n - 2)) + 1) + logdet + ln(md), 4) AS reml FROM r"""
+
+
+@query("lmm_slope_time_profile", _SQL_SLOPE_PROFILE)
+def lmm_slope_time_profile(spark, d):
+    """The REML criterion and estimates of the random-slope model at fixed covariance factors."""
+    spec = catalogue.spec("sat", "time", "mes", "InPhaseTransition")
+    profile = reml_profile_slope(model_frame(spark, d, [spec]), spec, FACTORS, LEVELS)
+    return rounded(profile.withColumn("reml", F.round("reml", 4)))
+
+
 @query("lmm_slope_time_difficulty")
 def lmm_slope_time_difficulty(spark, d):
     spec = catalogue.spec("sat", "time", "mes", "Difficulty", "learn")
@@ -339,6 +412,14 @@ def glmm_slope_acc_post_learning(spark, d):
     return _mixed_summary(spark, fit_glmm(late, spec, LEVELS))
 
 
+@query("lmm_slope_time_post_learning")
+def lmm_slope_time_post_learning(spark, d):
+    """The random-slope models of time on the trials after the learning phase."""
+    specs = [catalogue.spec("tsp", "time", "mes", "InPhaseTransition", c) for c in ("dem", "all")]
+    late = model_frame(spark, d, specs, ("TrialNumber",)).filter(F.col("TrialNumber") > 6)
+    return _mixed_summaries(spark, fit_lmm_grid(late, specs, LEVELS))
+
+
 PANEL = ModelSpec("panel", "TimeOnTask", ("InPhaseTransition",), group=catalogue.PARTICIPANT)
 
 _SQL_PANEL = f"""WITH {_SQL_GROUPS},

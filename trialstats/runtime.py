@@ -1,97 +1,35 @@
-"""Checks on size and skew shared by the operators, and the checkpoint folder.
-
-Two questions decide how a join or a grouped operator is laid out: is one side
-small enough to send to every task, and does any key hold so many rows that it
-has to be split.  The first is answered from the optimizer's size estimate, the
-second by a frequent-items sketch whose size does not depend on the data.
-"""
+"""Intermediate tables in the folder that all executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# A side is broadcast if its estimated size and its counted rows are at most these.
-BROADCAST_BYTES = 16 * 1024 * 1024
-BROADCAST_ROWS = 1_000_000
-# A key with more rows than this is split over several tasks.
-HOT_ROWS = 4_000_000
-# The sketch reports at most this many keys; with SKETCH_ITEMS counters every
-# key holding more than about 4 / SKETCH_ITEMS of the rows is among them.
-HOT_KEYS = 1_000
-SKETCH_ITEMS = 16_384
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Size estimate the optimizer itself uses to choose join strategies."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def is_small(df: DataFrame, limit: int | None = None) -> bool:
-    """Is ``df`` small enough to be sent to every task?
-
-    File sizes understate data that compresses well, so a side that passes the
-    estimate is also counted; the count reads little, as the files are small.
-    """
-    if estimated_bytes(df) > (BROADCAST_BYTES if limit is None else limit):
-        return False
-    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-
-
-def key_hash(columns: list[str]) -> Column:
-    """One long per key tuple; NULL keys hash like any other value."""
-    return F.xxhash64(*[F.col(c) for c in columns])
-
-
-def hot_keys(df: DataFrame, key_sets: list[list[str]], hot_rows: int) -> list[dict[int, int]]:
-    """Per key set: hash and approximate row count of each key with more than ``hot_rows`` rows.
-
-    One aggregation with map-side combine for all key sets; the result is a
-    single row of at most HOT_KEYS entries each, whatever the size of the data.
-    """
-    names = [f"key{i}" for i in range(len(key_sets))]
-    hashed = df.select(*[key_hash(columns).alias(n) for n, columns in zip(names, key_sets, strict=True)])
-    row = hashed.agg(*[F.expr(f"approx_top_k({n}, {HOT_KEYS}, {SKETCH_ITEMS})").alias(n) for n in names]).first()
-    return [{item["item"]: item["count"] for item in (row[n] or []) if item["count"] > hot_rows} for n in names]
-
-
-def measured(df: DataFrame) -> DataFrame:
-    """Compute and keep ``df``, so that its size estimate is its real size.
-
-    For small frames derived from large ones, whose estimate would otherwise be
-    that of their source.
-    """
-    kept = df.persist()
-    kept.count()
-    return kept
+from pyspark.sql import DataFrame, SparkSession
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
     Only a local session may fall back to a folder of its own; executors on
     other machines could not read one.
     """
     context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    current = context.getCheckpointDir()
-    if current:
-        return current
-    if not named:
-        if not context.master.startswith("local"):
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("trialstats.local.dir", None)
+    if not folder:
+        if not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        named = tempfile.mkdtemp(prefix="trialstats-checkpoint-")
-    context.setCheckpointDir(named)
-    return named
+        folder = tempfile.mkdtemp(prefix="trialstats-")
+        spark.conf.set("trialstats.local.dir", folder)
+    return folder
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder.
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back.
 
-    Iterative fits read the result many times; after a lost executor they
-    restart from these files and not from the raw tables.
+    Whatever reads it sees the same rows, in the same blocks with the same ids,
+    also after a lost executor or a change of parallelism.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

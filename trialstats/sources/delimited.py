@@ -3,8 +3,8 @@
 Small files are read whole, one row per file, and split in place: their header
 is at hand and nothing is shuffled.  Files above a size limit are read as
 splittable lines, so a single huge log spreads over as many tasks as it has
-blocks.  Each line carries its file and a line number that grows along the
-file; the header of a file is its line number ``skip``.
+blocks.  Both ways end a line at a line feed, drop one carriage return before
+it, and number the lines of a file from 0; the header is line ``skip``.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,25 +54,29 @@ def clean_name(name: Column) -> Column:
 def read_lines(spark: SparkSession, path: str, above: int = 0) -> DataFrame:
     """(path, line_no, value) for every line of the files larger than ``above`` bytes.
 
-    Row ids count up by one within a file block, so a line's number is its
-    distance from the first line of its block plus the byte offset at which the
-    block starts.  In the first block that is the exact line number; in later
-    blocks it exceeds every number before it, as a line takes at least a byte.
+    The lines are read once and written to the shared folder together with the
+    block they came from and a row id that counts up by one within a block.
+    Numbers are derived from that table alone: a line's place in its block plus
+    the lines of the file's earlier blocks.  A later change of parallelism or
+    block size can't separate the two.
     """
     raw = (
-        spark.read.text(path)
+        spark.read.option("lineSep", "\n").text(path)
         .filter(F.col("_metadata.file_size") > above)
         .select(
             F.col("_metadata.file_path").alias("path"),
             F.col("_metadata.file_block_start").alias("block_start"),
             F.monotonically_increasing_id().alias("row_id"),
-            "value",
+            F.regexp_replace("value", r"\r\z", "").alias("value"),
         )
     )
-    # One row per file block.
-    first = runtime.measured(raw.groupBy("path", "block_start").agg(F.min("row_id").alias("first_id")))
-    return natural_join(raw, first, on=["path", "block_start"], null_safe=False).select(
-        "path", (F.col("block_start") + F.col("row_id") - F.col("first_id")).alias("line_no"), "value"
+    lines = runtime.stored(raw, "lines")
+    # One row per block of a file.
+    blocks = lines.groupBy("path", "block_start").agg(F.min("row_id").alias("first_id"), F.count(F.lit(1)).alias("lines"))
+    earlier = W.partitionBy("path").orderBy("block_start").rowsBetween(W.unboundedPreceding, -1)
+    blocks = blocks.select("path", "block_start", "first_id", F.coalesce(F.sum("lines").over(earlier), F.lit(0)).alias("before"))
+    return natural_join(lines, blocks, on=["path", "block_start"], null_safe=False).select(
+        "path", (F.col("before") + F.col("row_id") - F.col("first_id")).alias("line_no"), "value"
     )
 
 
@@ -104,10 +109,8 @@ def parse_lines(
     ``mapping`` gives the header name behind a schema field where they differ.
     """
     split = re.escape(sep)
-    # One row per file, kept so that the join knows its real size.
-    headers = runtime.measured(
-        lines.filter(F.col("line_no") == skip).select("path", _names(F.col("value"), split).alias("names"))
-    )
+    # One row per file.
+    headers = lines.filter(F.col("line_no") == skip).select("path", _names(F.col("value"), split).alias("names"))
     body = lines.filter((F.col("line_no") > skip) & (F.trim("value") != "")).select(
         "path", "line_no", F.split("value", split).alias("fields")
     )
