@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialstats.models import catalogue, report
-from trialstats.models.glmm import fit_glmm, fit_glmm_grid
+from trialstats.models.glmm import fit_glmm
 from trialstats.models.lmm import fit_lmm, fit_lmm_grid, reml_profile, reml_profile_slope
 from trialstats.models.logit import fit_logit
 from trialstats.models.ols import fit_ols
@@ -334,20 +334,17 @@ def _other_intercepts(task: str, outcome: str) -> list[ModelSpec]:
 
 
 def _register_mixed_grids() -> None:
-    """The remaining random-intercept models of each task, from one scan of the trials."""
+    """The remaining linear random-intercept models of each task, from one scan of the trials."""
     for task in catalogue.TASKS:
-        for outcome, kind, fit, table in (("time", "lmm", fit_lmm_grid, _mixed_table), ("acc", "glmm", fit_glmm_grid, _logistic_tables)):
-            specs = _other_intercepts(task, outcome)
-            if not specs:
-                continue
+        specs = _other_intercepts(task, "time")
 
-            def run(spark, d, specs=specs, fit=fit, table=table):
-                fits = fit(model_frame(spark, d, specs), specs, LEVELS)
-                known = report.fit_table(spark, fits).select("model", "n", "converged")
-                return table(spark, fits).join(known, "model")
+        def run(spark, d, specs=specs):
+            fits = fit_lmm_grid(model_frame(spark, d, specs), specs, LEVELS)
+            known = report.fit_table(spark, fits).select("model", "n", "converged")
+            return _mixed_table(spark, fits).join(known, "model")
 
-            # The SQL of the single models is too slow with this many terms; a test holds grids against single fits.
-            query(f"model_grid_{kind}_{task}")(run)
+        # The SQL of the single models is too slow with this many terms; a test holds grids against single fits.
+        query(f"model_grid_lmm_{task}")(run)
 
 
 _register_mixed_grids()
@@ -412,14 +409,6 @@ def glmm_slope_acc_post_learning(spark, d):
     return _mixed_summary(spark, fit_glmm(late, spec, LEVELS))
 
 
-@query("lmm_slope_time_post_learning")
-def lmm_slope_time_post_learning(spark, d):
-    """The random-slope models of time on the trials after the learning phase."""
-    specs = [catalogue.spec("tsp", "time", "mes", "InPhaseTransition", c) for c in ("dem", "all")]
-    late = model_frame(spark, d, specs, ("TrialNumber",)).filter(F.col("TrialNumber") > 6)
-    return _mixed_summaries(spark, fit_lmm_grid(late, specs, LEVELS))
-
-
 PANEL = ModelSpec("panel", "TimeOnTask", ("InPhaseTransition",), group=catalogue.PARTICIPANT)
 
 _SQL_PANEL = f"""WITH {_SQL_GROUPS},
