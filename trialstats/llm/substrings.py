@@ -113,8 +113,11 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield combined()
 
 
-def _cut(bits, hot):
-    """(minimizer, c1, c2, doc_id, t, start, windows, body) of the segments whose minimizer may repeat."""
+PLACES = "minimizer long, c1 long, c2 long, doc_id long, t long, start int, windows int"
+
+
+def _cut(bits, hot, bodies: bool):
+    """PLACES of the segments whose minimizer is in the bitmap, and if asked for their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, often = bits.value, hot.value
@@ -140,13 +143,14 @@ def _cut(bits, hot):
                 row = s.w.row[first]
                 start = first - first_words(s.w)[row]
                 low, high = s.w.start[first], s.w.end[first + windows + WINDOW - 2]
-                data = s.w.data.tobytes()
-                body = pa.array([data[a:b] for a, b in zip(low.tolist(), high.tolist())], pa.binary())
                 rows = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(minimizer)), pa.array(signed(c1)), pa.array(signed(c2)), piece.column("doc_id").take(rows), piece.column("t").take(rows), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32)), body],
-                    ["minimizer", "c1", "c2", "doc_id", "t", "start", "windows", "body"],
-                )
+                columns = [pa.array(signed(minimizer)), pa.array(signed(c1)), pa.array(signed(c2)), piece.column("doc_id").take(rows), piece.column("t").take(rows), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32))]
+                names = ["minimizer", "c1", "c2", "doc_id", "t", "start", "windows"]
+                if bodies:
+                    data = s.w.data.tobytes()
+                    columns.append(pa.array([data[a:b] for a, b in zip(low.tolist(), high.tolist())], pa.binary()))
+                    names.append("body")
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
@@ -240,14 +244,15 @@ def repeated_windows(plain: DataFrame) -> DataFrame:
     # at most 2**HOT_BITS of them
     often = np.sort(np.array([r[0] for r in counted.where(F.col("count") > max(total >> HOT_BITS, WINDOW)).select("minimizer").collect()], np.int64).view(np.uint64))
     share = spark.sparkContext.broadcast
-    cut = plain.mapInArrow(_cut(share(bitmap(counted.select("minimizer"))), share(often)), "minimizer long, c1 long, c2 long, doc_id long, t long, start int, windows int, body binary")
-    cut = stored(cut, "segments")
+    cut = stored(plain.mapInArrow(_cut(share(bitmap(counted.select("minimizer"))), share(often), False), PLACES), "segments")
     place = F.struct("doc_id", "t", "start")
     classes = stored(cut.groupBy("c1", "c2", "minimizer").agg(F.min(place).alias("first"), F.count("*").alias("copies")), "classes")
     again = cut.select("c1", "c2", "doc_id", "t", "start", "windows").join(classes.where("copies > 1").select("c1", "c2", "first"), ["c1", "c2"]).where(place != F.col("first"))
-    several = classes.groupBy("minimizer").agg(F.count("*").alias("classes")).where("classes > 1").select("minimizer")
+    several = stored(classes.groupBy("minimizer").agg(F.count("*").alias("classes")).where("classes > 1").select("minimizer"), "several")
     firsts = classes.join(several, "minimizer").select("c1", "c2", "first.*")
-    firsts = cut.join(stored(firsts, "firsts"), ["c1", "c2", "doc_id", "t", "start"], "left_semi")
+    # a second pass over the texts brings the words of these alone; windows of frequent minimizers are not among them
+    bodies = plain.mapInArrow(_cut(share(bitmap(several)), share(often), True), f"{PLACES}, body binary")
+    firsts = bodies.join(stored(firsts, "firsts"), ["c1", "c2", "doc_id", "t", "start"], "left_semi")
     ordered = firsts.repartition(partitions(spark), "minimizer").sortWithinPartitions("minimizer", "doc_id", "t", "start")
     first_runs = ordered.select("minimizer", "doc_id", "t", "start", "body").mapInArrow(_streamed, "doc_id long, t long, start int, windows int")
     return again.select("doc_id", "t", "start", "windows").unionAll(first_runs)
