@@ -10,8 +10,8 @@ the component of each document.  All steps are exact.
 2. With this order, two linked nodes share a shingle among the first quarter of
    each (more exactly: the first seventh of the smaller).  Only these prefixes
    are shuffled, and only shingles of at least two nodes go on.
-3. Groups: each node is compared with the node that leads most of its shared
-   shingles; linked nodes form the groups of similar documents.
+3. Groups: each node is compared with the few nodes that lead most of its shared
+   shingles, if they lead many; linked nodes form the groups of similar documents.
 4. Matrix: for each group (in chunks of CHUNK shingles' worth of members) the
    union of its members' prefixes.  A node (the query) has with any member of a
    group at most as many prefix shingles in common as with the union; groups
@@ -44,7 +44,9 @@ from trialstats.llm.words import first_words, hash_words, mix, pieces, rolled, s
 SIZE = 5
 HOT = 1 << 18
 COUNTED = 1 << 22  # shingles counted at a time in a task
-CHUNK = 1 << 18
+LEADERS = 3
+LIKELY = 0.4
+CHUNK = 1 << 16
 QUERIES = 512
 MARKS = 1 << 24
 
@@ -221,15 +223,19 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def led(shared: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(a, b): each node with the node that leads most of its shared shingles.  A shingle is led by
-    the node with the smallest share of shingles of its own."""
+    """(a, b): each node with the LEADERS nodes that lead most of its shared shingles, if they lead a
+    share of LIKELY of its prefix.  A shingle is led by the node with the smallest share of
+    shingles of its own.  What is left out here is found in the matrix."""
     alone = 1 - F.col("kept") / F.greatest(F.col("n") - F.floor((3 * F.col("n") + 3) / 4) + 1, F.lit(1))
     rank = shared.groupBy("node").agg(F.count("*").alias("kept")).join(sizes, "node").select("node", "n", F.round(alone, 3).alias("alone"))
     rows = stored(shared.join(rank, "node"), "ranked")
     lead = stored(rows.groupBy("token").agg(F.min(F.struct("alone", "node", "n")).alias("lead")), "lead")
     pairs = rows.join(lead, "token").where("node <> lead.node and 4 * least(n, lead.n) >= 3 * greatest(n, lead.n)")
-    counted = pairs.groupBy(F.col("node").alias("a"), F.col("lead.node").alias("b")).agg(F.count("*").alias("both"))
-    return counted.groupBy("a").agg(F.max_by("b", F.struct("both", "b")).alias("b"))
+    counted = pairs.groupBy(F.col("node").alias("a"), F.col("lead.node").alias("b")).agg(F.count("*").alias("both"), F.first("n").alias("n"))
+    prefix = F.col("n") - F.floor((3 * F.col("n") + 3) / 4) + 1
+    likely = counted.where(F.col("both") >= LIKELY * prefix)
+    best = F.slice(F.sort_array(F.collect_list(F.struct("both", "b")), asc=False), 1, LEADERS)
+    return likely.groupBy("a").agg(best.alias("best")).select("a", F.explode("best.b").alias("b"))
 
 
 def _opened(key, members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
