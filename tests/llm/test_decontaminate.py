@@ -41,10 +41,11 @@ def brute(texts, items):
     known = [(i, *profile(t)) for i, t in items]
     for doc, t in texts:
         h, weight = profile(t)
+        every = d.shingles(h, weight)
         for i, hi, wi in known:
             own = d.shingles(hi, wi)
-            if not own or not set(hi.tolist()) & set(h.tolist()):
-                continue
+            if not own or (len(hi) >= d.SHINGLE and own.keys().isdisjoint(every)):
+                continue  # without a common shingle nothing is similar
             for low in range(0, len(h)):
                 if any(d.similarity(own, d.shingles(h[low : low + n], weight[low : low + n])) >= d.THRESHOLD for n in range(max(1, len(hi) - 3), len(hi) + 4)):
                     out.add((doc, i))
