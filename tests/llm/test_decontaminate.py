@@ -95,3 +95,59 @@ def test_clean_and_odd_rows(spark, make):
     kept = d.clean(frame, items)
     assert kept.columns == frame.columns and kept.count() == len(ODD) - 3
     assert d.hits(make([]), items).collect() == [] and d.hits(frame, items.limit(0)).collect() == []
+
+
+def widest(texts, items):
+    """(document, item) -> the best similarity of a passage of any place and length, if it reaches THRESHOLD"""
+    import pyarrow as pa
+
+    def profile(t):
+        w = d.words(pa.array([t]), lower=True)
+        return d.hash_words(w), d.term_weights(w.start, w.end)
+
+    out, known = {}, [(i, *profile(t)) for i, t in items]
+    for doc, t in texts:
+        h, weight = profile(t)
+        every = d.shingles(h, weight)
+        for i, hi, wi in known:
+            own = d.shingles(hi, wi)
+            if own.keys().isdisjoint(every):
+                continue
+            like = max(d.similarity(own, d.shingles(h[a:b], weight[a:b])) for a in range(len(h)) for b in range(a + 1, len(h) + 1))
+            if like >= d.THRESHOLD:
+                out[doc, i] = like
+    return out
+
+
+def test_passages_of_other_lengths(spark, make):
+    r = random.Random(4)
+    vocabulary = [f"{c}{k}" for c in "abcdefgh" for k in range(100, 999)]
+    words = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    items, texts = [], []
+    for k, (n, inserted, deleted) in enumerate([(50, 0, 4), (60, 0, 6), (60, 6, 0), (90, 12, 0), (90, 0, 14), (50, 4, 0), (60, 20, 0), (60, 0, 18)]):
+        item = words(n)
+        items.append((k, " ".join(item)))
+        passage = item[: n // 2] + words(inserted) + item[n // 2 + deleted :]
+        texts.append((k, " ".join(words(15) + passage + words(15))))
+    texts.append((100, " ".join([texts[0][1]] * 3)))
+    want = widest(texts, items)
+    assert {(k, k) for k in range(6)} <= want.keys() and len(want) < 9
+    found = d.hits(make(texts), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x["doc_id"], x["item_id"]): x["similarity"] for x in found} == want
+
+
+def test_best_passage_is_the_best():
+    r = np.random.default_rng(5)
+    for _ in range(150):
+        words = r.integers(0, 1 << 63, 12).astype(np.uint64)
+        weights = r.integers(1, 9, 12)
+        item, text = (np.minimum(r.integers(0, 12, n), r.integers(2, 12)) for n in (r.integers(1, 14), 30))
+        if r.random() < 0.8:
+            text[8 : 8 + len(item)] = item
+            text = np.delete(text, r.integers(0, 30, r.integers(0, 3)))
+        k = min(d.SHINGLE, len(item))
+        own = d.shingles(words[item], weights[item])
+        value = d.occurrences(words[item], weights[item], k).value
+        got, _ = d.best_passage(d.Item(0, k, np.unique(value), sum(own.values())), d.occurrences(words[text], weights[text], k))
+        want = max(d.similarity(own, d.shingles(words[text[a:b]], weights[text[a:b]])) for a in range(len(text)) for b in range(a + 1, len(text) + 1))
+        assert got == (want if want >= d.THRESHOLD else 0)

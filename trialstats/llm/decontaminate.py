@@ -8,10 +8,10 @@ at every STRIDE-th word (at every word for small sizes), for which the size
 leaves room.  Words vote on 64 bits with a weight by their length.
 
 A fingerprint has RADIUS + 1 blocks; fingerprints within RADIUS bits agree in one
-of them, so looking up each block finds all.  A candidate fixes the passage's
-place; there the weighted Jaccard similarity of five-word shingles (a shingle's
-weight is the sum of its words' weights) is computed exactly, also with ends a
-few words off, and THRESHOLD decides.
+of them, so looking up each block finds all.  For a (text, item) with a candidate
+the weighted Jaccard similarity of five-word shingles (a shingle's weight is the
+sum of its words' weights) is the best of all passages of the text, of any place
+and length, and THRESHOLD decides.  Shingles are compared by 64-bit hashes.
 
 Items are broadcast in slabs of at most SLAB words, one pass over the texts for
 each slab, so that a large benchmark needs more passes and no more memory.
@@ -33,14 +33,13 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
 from trialstats.llm.store import stored
-from trialstats.llm.words import first_words, hash_words, pieces, words
+from trialstats.llm.words import first_words, hash_words, pieces, rolled, words
 
 SHINGLE = 5
 THRESHOLD = 0.75
 RADIUS = 3
 SIZES = (1, 2, 3, 4, 6, 8, 12, 16, 24)
 STRIDE = 4
-SLACK = 3
 SLAB = 1 << 20
 BLOCK = 1 << 14
 
@@ -119,8 +118,9 @@ def near(index: Index, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 class Item(NamedTuple):
     item_id: int
-    h: np.ndarray
-    shingles: dict[tuple, int]
+    k: int  # words of a shingle
+    own: np.ndarray  # distinct shingles
+    total: int  # and their weight
 
 
 def shingles(h: np.ndarray, weight: np.ndarray) -> dict[tuple, int]:
@@ -135,6 +135,29 @@ def similarity(a: dict[tuple, int], b: dict[tuple, int]) -> float:
     return both / every if every else 0.0
 
 
+class Places(NamedTuple):
+    """The shingles of a text, by place."""
+
+    weight: np.ndarray
+    before: np.ndarray  # the place before with the same shingle, or -1
+    after: np.ndarray  # the next such place, or their number
+    value: np.ndarray  # all in order
+    order: np.ndarray  # and their places
+
+
+def occurrences(h: np.ndarray, weight: np.ndarray, k: int) -> Places:
+    value = rolled(h, k)
+    n = len(value)
+    total = np.concatenate([[0], np.cumsum(weight)])
+    order = np.argsort(value, kind="stable")
+    value = value[order]
+    same = value[1:] == value[:-1]
+    before, after = np.full(n, -1), np.full(n, n)
+    before[order[1:][same]] = order[:-1][same]
+    after[order[:-1][same]] = order[1:][same]
+    return Places(total[k:] - total[:-k] if n else np.zeros(0, np.int64), before, after, value, order)
+
+
 def read_items(rows: list) -> tuple[list[Item], list[Index]]:
     """Items, and an index for each window size."""
     texts = pa.array([r["text"] for r in rows], pa.string())
@@ -145,7 +168,9 @@ def read_items(rows: list) -> tuple[list[Item], list[Index]]:
         a, b = int(at[k]), int(at[k + 1])
         if a == b:
             continue
-        items.append(Item(r["item_id"], h[a:b], shingles(h[a:b], weight[a:b])))
+        places = occurrences(h[a:b], weight[a:b], min(SHINGLE, b - a))
+        first = places.before < 0
+        items.append(Item(r["item_id"], min(SHINGLE, b - a), places.value[first[places.order]], int(places.weight[first].sum())))
         size, stride = window_size(b - a)
         fp = fingerprints(h[a:b], weight[a:b], [(size, 1)])[0]
         by_size.setdefault((size, stride), []).append((fp, np.full(len(fp), len(items) - 1), np.arange(len(fp))))
@@ -156,19 +181,38 @@ def read_items(rows: list) -> tuple[list[Item], list[Index]]:
     return items, indexes
 
 
-def _best(item: Item, h: np.ndarray, weight: np.ndarray, at: int) -> tuple[float, int]:
-    """The best similarity of the item with the text around word `at`, and where it starts."""
-    n = len(item.h)
-    best = (0.0, 0)
-    shifts = sorted(range(-SLACK, SLACK + 1), key=abs)
-    for a in shifts:
-        for b in shifts:
-            low, high = max(at + a, 0), min(at + n + b, len(h))
-            if high > low:
-                best = max(best, (similarity(item.shingles, shingles(h[low:high], weight[low:high])), -low))
-        if best[0] >= THRESHOLD or best[0] < THRESHOLD / 2:
-            break  # good already, or too far for a few words to matter
-    return best[0], -best[1]
+def best_passage(item: Item, text: Places) -> tuple[float, int]:
+    """The best similarity of the item with a passage of the text, and where that starts; (0, 0) below THRESHOLD.
+
+    A best passage begins with a shingle of the item that it does not repeat (else
+    it is as good without it), and has no more foreign weight than THRESHOLD leaves."""
+    n = len(text.weight)
+    low, high = np.searchsorted(text.value, item.own, "left"), np.searchsorted(text.value, item.own, "right")
+    mine = np.zeros(n, bool)
+    mine[text.order[np.repeat(high - np.cumsum(high - low), high - low) + np.arange((high - low).sum())]] = True
+    held = np.concatenate([[0], np.cumsum(np.where(mine, text.weight, 0))])
+    starts = np.flatnonzero(mine)
+    most = held[text.after[starts]] - held[starts]
+    spare = item.total * (1 / THRESHOLD - 1)
+    best, at = 0.0, 0
+    for start, bound in zip(starts.tolist(), most.tolist()):
+        if bound < THRESHOLD * item.total or bound <= best * item.total:
+            continue
+        end, size = int(text.after[start]), 2 * len(item.own) + 8
+        while True:
+            span = slice(start, min(end, start + size))
+            new = np.where(text.before[span] < start, text.weight[span], 0)
+            every = np.cumsum(new)
+            both = np.cumsum(np.where(mine[span], new, 0))
+            if span.stop == end or every[-1] - both[-1] > spare:
+                break
+            size *= 2
+        like = float((both / (item.total + every - both)).max())
+        if like > best:
+            best, at = like, start
+        if best == 1:
+            break
+    return (best, at) if best >= THRESHOLD else (0.0, 0)
 
 
 def _scan(sent):
@@ -181,7 +225,7 @@ def _scan(sent):
                 if not asked or not len(w.start):
                     continue
                 h, weight, at = hash_words(w), term_weights(w.start, w.end), first_words(w)
-                places = set()
+                found = []
                 for index, fp in zip(indexes, fingerprints(h, weight, asked)):
                     if not len(fp):
                         continue
@@ -189,16 +233,17 @@ def _scan(sent):
                     begin = window * index.stride
                     row = w.row[begin]
                     whole = w.row[begin + index.size - 1] == row
-                    start = begin - index.offset[other]
-                    places.update(zip(row[whole].tolist(), index.item[other[whole]].tolist(), start[whole].tolist()))
-                best: dict[tuple[int, int], tuple[float, int, int]] = {}
-                for row, k, start in sorted(places):
-                    a, b = int(at[row]), int(at[row + 1])
-                    like, begin = _best(items[k], h[a:b], weight[a:b], start - a)
-                    if like >= THRESHOLD:
-                        kept = best.get((row, k), (0.0, 0, 0))
-                        best[row, k] = max(kept[0], like), begin if like > kept[0] else kept[1], kept[2] + 1
-                hits = [(row, items[k].item_id, *v) for (row, k), v in sorted(best.items())]
+                    found.append(np.unique(row[whole] * len(items) + index.item[other[whole]]))
+                hits, here, texts = [], -1, {}
+                for pair in np.unique(np.concatenate(found)).tolist() if found else []:
+                    row, item = pair // len(items), items[pair % len(items)]
+                    if row != here:
+                        here, texts = row, {}
+                    if item.k not in texts:
+                        texts[item.k] = occurrences(h[at[row] : at[row + 1]], weight[at[row] : at[row + 1]], item.k)
+                    like, begin = best_passage(item, texts[item.k])
+                    if like:
+                        hits.append((row, item.item_id, like, begin))
                 rows = pa.array([x[0] for x in hits], pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [piece.column("doc_id").take(rows), pa.array([x[1] for x in hits], pa.int64()), pa.array([x[2] for x in hits], pa.float64()), pa.array([x[3] for x in hits], pa.int64()), piece.column("key").take(rows)],
