@@ -83,3 +83,34 @@ def test_odd_rows(make):
     frame = make(ODD).withColumn("path", F.lit("a/b"))
     assert licences.scan(frame).count() == len(ODD)
     assert licences.scan(frame.limit(0)).collect() == []
+
+
+def test_texts_headers_and_tags(spark):
+    from trialstats.llm.notices import NOTICES, TEXTS
+
+    notice, text = dict(NOTICES), dict(TEXTS)
+
+    def comment(words, mark, width):
+        w = words.split()
+        return "\n".join(f"{mark} " + " ".join(w[k : k + width]) for k in range(0, len(w), width))
+
+    code = "\n".join(f"value{k} = compute{k}(input{k}, {k})" for k in range(200))
+    prose = "the work of the people and the house in which a copy of the part is kept by any person without charge or claim " * 20
+    files = [
+        ("a/LICENSE", "MIT License\n\nCopyright (c) 2020 Some Body\n\n" + comment(notice["MIT"], "", 11)), ("a/src/x.py", code),
+        ("b/COPYING", text["GPL-3.0"]), ("b/x.c", comment(notice["GPL-2.0"], " *", 9) + "\n" + code), ("b/y.c", code),
+        ("c/LICENSE.txt", text["Apache-2.0"]), ("c/x.go", code), ("d/x.py", comment(notice["Apache-2.0"], "#", 7) + "\n" + code), ("d/y.py", code),
+        ("e/x.rs", "// SPDX-License-Identifier: MPL-2.0\n" + code), ("e/y.c", "/* SPDX-License-Identifier: GPL-2.0-or-later */\n" + code), ("e/z.c", "// SPDX-License-Identifier: Unknown\n" + code),
+        ("f/LICENSE", "Copyright (c) 2011, X Y\n" + comment(notice["BSD-3-Clause"], "", 10)), ("f/x", code), ("g/COPYING", text["LGPL-2.1"]), ("g/x", code), ("h/x.py", code + "\n" + comment(notice["AGPL-3.0"], "##", 8)),
+        ("i/text", prose), ("i/x", code), ("j/LICENSE", text["MPL-2.0"]), ("k/LICENSE", text["CC0-1.0"]), ("l/LICENSE", text["LGPL-3.0"]), ("m/LICENSE", text["GPL-2.0"]),
+    ]
+    rows = [(k, p, t) for k, (p, t) in enumerate(files)] + [(100 + k, f"n/{k}", f"other words {k} " + " ".join(f"{a}{k}" for a in "abcdefgh")) for k in range(100)]
+    got = {r["path"]: r for r in licences.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    want = {
+        "a/LICENSE": "MIT", "a/src/x.py": "MIT", "b/COPYING": "GPL-3.0", "b/x.c": "GPL-2.0", "b/y.c": "GPL-3.0", "c/LICENSE.txt": "Apache-2.0", "c/x.go": "Apache-2.0", "d/x.py": "Apache-2.0",
+        "d/y.py": None, "e/x.rs": "MPL-2.0", "e/y.c": "GPL-2.0", "e/z.c": None, "f/LICENSE": "BSD-3-Clause", "f/x": "BSD-3-Clause", "g/COPYING": "LGPL-2.1", "g/x": "LGPL-2.1", "h/x.py": "AGPL-3.0",
+        "i/text": None, "i/x": None, "j/LICENSE": "MPL-2.0", "k/LICENSE": "CC0-1.0", "l/LICENSE": "LGPL-3.0", "m/LICENSE": "GPL-2.0",
+    }
+    assert {p: got[p]["licence"] for p in want} == want
+    assert {p for p in got if got[p]["licence_file"]} == {p for p in want if "LICENSE" in p or "COPYING" in p}
+    assert all(got[f"n/{k}"]["licence"] is None for k in range(100))

@@ -5,7 +5,17 @@ licence statements: words (lower case, without punctuation at their ends) are
 hashed into SLOTS, weighted by inverse document frequency over all files, and
 the cosine to each template is computed for lines that share a word with one.  A
 file's own licence is that of its best line from `line_min` on; it is a licence
-file if the file as a whole reaches `file_min`.  A file without a licence of its
+file if the file as a whole reaches `file_min`.
+
+So are notices of several lines, of whatever line breaks and comment marks: a
+window of the notice's number of words goes over every file that has enough of
+its words, and counts from `line_min` on like a line.  A file that as a whole
+(each word once) reaches `line_min` with a notice or a whole licence text is a
+licence file too, named by the notice in it if there is one.  An
+SPDX-License-Identifier tag counts like a line with cosine 1, by the first
+licence it names; "-only", "-or-later" and "+" are left off.
+
+A file without a licence of its
 own inherits from the licence file in the nearest folder above or beside it: the
 folders (not the files) are joined with their ancestors.
 
@@ -18,6 +28,7 @@ ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +36,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, functions as F
 
+from trialstats.llm.notices import NOTICES, SPDX, TEXTS
 from trialstats.llm.store import stored
 from trialstats.llm.words import Words, hashed, pieces, words
 
@@ -44,6 +56,10 @@ TEMPLATES = (
     ("CC0-1.0", "Released into the public domain under CC0 1.0."),
     ("all-rights-reserved", "All rights reserved."),
 )
+NAMES = tuple(dict.fromkeys([n for n, _ in (*TEMPLATES, *NOTICES, *TEXTS)] + list(SPDX)))
+MARKS = ("#", "##", "//", "///", "/*", "/**", "*", "**", "*/", "--", ";", ";;", "%", "<!--", "-->", "!", "rem", "dnl")  # of comments
+TAG = re.compile(r"SPDX-License-Identifier:[ \t(]*([A-Za-z0-9.+-]+)", re.I)
+_TAGGED = {n.lower(): n for n in SPDX}
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[list(b".,;:!?\"'()[]")] = True
 
@@ -75,10 +91,18 @@ def inverse_frequency(files: DataFrame) -> np.ndarray:
     return np.log((1 + n[-1]) / (1 + n[:-1])) + 1
 
 
-def template_matrix(idf: np.ndarray) -> np.ndarray:
-    w, slot = slots(pa.array([t for _, t in TEMPLATES]))
-    out = np.zeros((SLOTS, len(TEMPLATES)))
+def unmarked(texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray]:
+    """Words, and row and slot of those that are no mark of a comment."""
+    w, slot = slots(texts)
+    keep = ~np.isin(slot, slots(pa.array([" ".join(MARKS)]))[1])
+    return w, w.row[keep], slot[keep]
+
+
+def template_matrix(idf: np.ndarray, templates: tuple = TEMPLATES, once: bool = False) -> np.ndarray:
+    w, slot = slots(pa.array([t for _, t in templates]))
+    out = np.zeros((SLOTS, len(templates)))
     np.add.at(out, (slot, w.row), 1.0)
+    out = np.minimum(out, 1) if once else out
     out *= idf[:, None]
     return out / np.linalg.norm(out, axis=0)
 
@@ -96,9 +120,53 @@ def cosines(part: np.ndarray, slot: np.ndarray, parts: int, idf: np.ndarray, tem
     return out / np.maximum(norm, 1e-12)[:, None]
 
 
+def noticed(row: np.ndarray, slot: np.ndarray, rows: int, idf: np.ndarray, notices: np.ndarray, sizes: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the best cosine of a notice with as many consecutive words, and which notice; 0 below `least`."""
+    best, of = np.zeros(rows), np.zeros(rows, np.int64)
+    pairs = np.unique(row * SLOTS + slot)
+    at, which = pairs // SLOTS, pairs % SLOTS
+    some = notices[which].any(1)
+    at, which = at[some], which[some]
+    for k, size in enumerate(sizes.tolist()):
+        t = notices[:, k]
+        enough = np.bincount(at, t[which] ** 2, rows) >= least * least - 1e-9  # no window has a larger cosine than the root
+        if not enough.any():
+            continue
+        mine = enough[row]
+        r, s = row[mine], slot[mine]
+        last = np.minimum(np.arange(len(r)) + size, np.searchsorted(r, r, "right"))
+        dot = np.r_[0, np.cumsum(idf[s] * t[s])]
+        low = np.r_[0, np.cumsum(idf[s] ** 2)]  # less than the norm if a word repeats
+        start = np.flatnonzero(dot[last] - dot[:-1] >= least * np.sqrt(np.maximum(low[last] - low[:-1], 0)) - 1e-9)
+        for begin in range(0, len(start), 1000):  # bounds the memory
+            some_starts = start[begin : begin + 1000]
+            many = last[some_starts] - some_starts
+            part = np.repeat(np.arange(len(some_starts)), many)
+            word = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + some_starts[part]
+            like = cosines(part, s[word], len(some_starts), idf, t[:, None])[:, 0]
+            top = np.zeros(rows)
+            np.maximum.at(top, r[some_starts], like)
+            better = (top >= least) & (top > best + 1e-12)
+            best[better], of[better] = top[better], k
+    return best, of
+
+
+def tagged(texts: pa.Array) -> dict[int, int]:
+    """Row -> licence in NAMES, of the texts with an SPDX tag of a known licence."""
+    out = {}
+    for row in np.flatnonzero(pa.compute.match_substring(texts, "spdx-license-identifier:", ignore_case=True).fill_null(False).to_numpy(zero_copy_only=False)).tolist():
+        for tag in TAG.findall(texts[row].as_py()):
+            name = _TAGGED.get(re.sub(r"(-only|-or-later|\+)$", "", tag.lower()))
+            if name:
+                out[row] = NAMES.index(name)
+                break
+    return out
+
+
 def _scan(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, templates = sent.value
+        idf, templates, notices, sizes, texts, line_min = sent.value
+        named = lambda known: np.array([NAMES.index(n) for n, _ in known])
         for batch in batches:
             for piece in pieces(batch):
                 n = piece.num_rows
@@ -115,9 +183,26 @@ def _scan(sent):
                 own, which = np.zeros(n), np.zeros(n, np.int64)
                 own[line_row[order[last]]], which[line_row[order[last]]] = best[order[last]], of[order[last]]
                 whole = cosines(w.row, slot, n, idf, templates)
+                file_of, file_like = whole.argmax(1), whole.max(1)
+                which = named(TEMPLATES)[which]
+                file_of = named(TEMPLATES)[file_of]
+                _, row, slot = unmarked(piece.column("text"))
+                like, notice = noticed(row, slot, n, idf, notices, sizes, line_min)
+                better = like > own
+                own[better], which[better] = like[better], named(NOTICES)[notice[better]]
+                for k, name in tagged(piece.column("text")).items():
+                    if own[k] < 1 - 1e-9:
+                        own[k], which[k] = 1, name
+                pairs = np.unique(row * SLOTS + slot)
+                whole = cosines(pairs // SLOTS, pairs % SLOTS, n, idf, texts)
+                text_like, text_of = whole.max(1), named((*NOTICES, *TEXTS))[whole.argmax(1)]
+                text_of = np.where(like >= line_min, named(NOTICES)[notice], text_of)
+                is_text = text_like >= line_min
+                better = is_text & (text_like > file_like)
+                file_like[better], file_of[better] = text_like[better], text_of[better]
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), piece.column("path"), pa.array(which.astype(np.int32)), pa.array(own), pa.array(whole.argmax(1).astype(np.int32)), pa.array(whole.max(1))],
-                    ["doc_id", "path", "line_licence", "line_cosine", "file_licence", "file_cosine"],
+                    [piece.column("doc_id"), piece.column("path"), pa.array(which.astype(np.int32)), pa.array(own), pa.array(file_of.astype(np.int32)), pa.array(file_like), pa.array(is_text)],
+                    ["doc_id", "path", "line_licence", "line_cosine", "file_licence", "file_cosine", "is_text"],
                 )
 
     return run
@@ -154,12 +239,14 @@ def scan(files: DataFrame, line_min: float = 0.8, file_min: float = 0.5) -> Data
     """doc_id, path, own_licence, cosine, licence_file, inherited_from, licence.  `files` has doc_id, path and text."""
     plain = files.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
     idf = inverse_frequency(plain)
-    sent = files.sparkSession.sparkContext.broadcast((idf, template_matrix(idf)))
-    kinds = "doc_id long, path string, line_licence int, line_cosine double, file_licence int, file_cosine double"
-    scanned = plain.mapInArrow(_scan(sent), kinds).withColumn("folder", folder_of(F.col("path"))).withColumn("licence_file", F.col("file_cosine") >= file_min)
+    sent = files.sparkSession.sparkContext.broadcast((
+        idf, template_matrix(idf), template_matrix(idf, NOTICES), np.array([len(unmarked(pa.array([t]))[1]) for _, t in NOTICES]), template_matrix(idf, (*NOTICES, *TEXTS), once=True), line_min,
+    ))
+    kinds = "doc_id long, path string, line_licence int, line_cosine double, file_licence int, file_cosine double, is_text boolean"
+    scanned = plain.mapInArrow(_scan(sent), kinds).withColumn("folder", folder_of(F.col("path"))).withColumn("licence_file", F.col("is_text") | (F.col("file_cosine") >= file_min))
     scanned = stored(scanned, "licences")
     up = stored(inherited(scanned), "folders")
-    name = lambda k: F.get(F.array(*[F.lit(t) for t, _ in TEMPLATES]), k)
+    name = lambda k: F.get(F.array(*[F.lit(t) for t in NAMES]), k)
     own = F.when(F.col("line_cosine") >= line_min, name(F.col("line_licence"))).when(F.col("licence_file"), name(F.col("file_licence")))
     joined = scanned.join(up, "folder", "left").withColumn("own_licence", own)
     return joined.select(
