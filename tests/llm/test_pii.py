@@ -129,3 +129,50 @@ def test_odd_rows(make):
     out = pii.report(make([*ODD, (20, "x@y.zz"), (20, "x@y.zz")])).collect()
     assert len(out) == len(ODD) + 2 and sum(r["n_email"] for r in out) == 2
     assert pii.report(make([])).collect() == []
+
+
+def test_terms_of_whole_texts(make):
+    r = random.Random(2)
+    common = ["the", "of", "and", "call", "it", "was", "then", "so"]
+    filler = lambda n: [r.choice(common) for _ in range(n)]
+    rows = []
+    for k in range(40):
+        name = "Surname" + "abcd"[k % 4]
+        rows.append((k, " \n ".join([name, " ".join(filler(40)), f"mail:user{k % 4}@example.org", " ".join(filler(40)), name + "\t " + name.upper(), f"{k}"])))
+    rows += [(100 + k, " ".join(filler(30))) for k in range(40)] + [(200, f"Surnamea {' '.join(filler(5))}")]
+    frame = make([*rows, rows[0]])
+    terms, with_entity = Counter(), Counter()
+    both, texts = Counter(), defaultdict(set)
+    every = [*rows, rows[0]]
+    unique = {(i, t) for i, t in every}
+    for _, t in every:
+        terms.update(set(t.lower().split()))
+    for i, t in unique:
+        for s in {(s[1], s[3].lower()) for s in base(t)}:
+            with_entity[s] += 1
+            for w in set(t.lower().split()):
+                both[s, w] += 1
+                texts[s, w].add(t)
+    want = {}
+    for i, t in unique:
+        marks = set()
+        for s in {(s[1], s[3].lower()) for s in base(t)}:
+            for m in re.finditer(r"\S+", t):
+                w = m.group().lower()
+                if any(c.isalpha() for c in w) and not re.search("[0-9@]", w) and len(texts[s, w]) >= 3:
+                    if 1 - math.log(min(1, both[s, w] / terms[w])) / math.log(with_entity[s] / len(every)) >= 0.5:
+                        marks.add((m.start(), m.end()))
+        want[i] = sorted(marks)
+    found = pii.spans(frame, whole=True)
+    got = found.collect()
+    assert len(got) == len(every)
+    assert {x["doc_id"]: [(m["start"], m["end"]) for m in x["terms"]] for x in got} == want
+    assert len(want[0]) >= 3 and all(not want[k] for k in range(100, 140))
+    clean = {x["doc_id"]: x["text"] for x in pii.sanitised(frame, found).collect()}
+    assert all("surname" not in clean[k].lower() for k in range(40)) and "Surnamea" in clean[200]
+
+
+def test_whole_odd_rows(make):
+    out = pii.report(make([*ODD, (20, "x@y.zz"), (20, "x@y.zz")]), whole=True).collect()
+    assert len(out) == len(ODD) + 2 and sum(r["n_email"] for r in out) == 2
+    assert pii.report(make([]), whole=True).collect() == []

@@ -15,7 +15,9 @@ pointwise mutual information over the entity's own information,
 0 for an independent term and 1 for one that occurs with this entity alone.  A
 term seen with an entity in at least `support` different texts is generalised
 from `generalise` on and removed from `remove` on, where it stands in that
-entity's context.  Only terms with a letter and without digit or "@" count, so
+entity's context.  With `whole` the context of an entity is each whole text that
+holds it, and a term is marked wherever it stands in such a text; the terms near
+a span that no blank divides from it count too.  Only terms with a letter and without digit or "@" count, so
 term spans never overlap base spans.
 
 Defined cases: null and empty texts have no spans; repeated rows give a row
@@ -25,7 +27,7 @@ nothing discloses it; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from trialstats.llm.store import stored
 
@@ -120,10 +122,48 @@ def described(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
 
 
-def disclosing(found: DataFrame, docs: DataFrame, support: int, generalise: float) -> DataFrame:
+def entity_of(s: Column) -> Column:
+    return F.xxhash64(s["kind"], F.lower(s["value"]))
+
+
+def is_term(x: Column) -> Column:
+    return x.rlike(r"\p{L}") & ~x.rlike("[0-9@]")
+
+
+def whole_pairs(found: DataFrame, support: int) -> DataFrame:
+    """(row, t, entity, term) once each, for the terms of whole texts and entities in at least `support` different ones."""
+    held = found.where(F.size("base") > 0).select("row", "t", F.explode("base").alias("s")).select("row", "t", entity_of(F.col("s")).alias("entity")).distinct()
+    often = held.groupBy("entity").agg(F.countDistinct("t").alias("texts")).where(F.col("texts") >= support).select("entity")
+    entities = held.join(often, "entity").groupBy("row").agg(F.collect_list("entity").alias("entities"))
+    rows = found.where(F.size("base") > 0).select("row", "t", "words", "context").dropDuplicates(["row"])
+    one = rows.join(entities, "row").select("row", "t", "words", "context", F.explode("entities").alias("entity"))
+    beside = F.transform(F.filter("context", lambda c: c["entity"] == F.col("entity")), lambda c: c["term"])
+    return one.select("row", "t", "entity", F.explode(F.array_union("words", beside)).alias("term"))
+
+
+def whole_places(found: DataFrame, plain: DataFrame, strong: DataFrame) -> DataFrame:
+    """(row, start, end, term, disclosure) wherever a disclosing term is a word of a text that holds its entity."""
+    held = found.where(F.size("base") > 0).select("row", F.explode("base").alias("s")).select("row", entity_of(F.col("s")).alias("entity")).distinct()
+    words = found.where(F.size("base") > 0).dropDuplicates(["row"]).select("row", "words")
+    many = held.join(strong, "entity").groupBy("row", "term").agg(F.max("disclosure").alias("disclosure"))
+    here = many.join(words, "row").where(F.array_contains("words", F.col("term"))).select("row", "term", "disclosure")
+    texts = plain.select(F.xxhash64("doc_id", "text").alias("row"), "text").join(here.select("row").distinct(), "row").dropDuplicates(["row"])
+    # blanks are single characters here, so that the lengths before a word give its place
+    each = texts.select("row", F.posexplode(F.split("text", r"[ \t\n\x0B\f\r]")).alias("k", "word"))
+    before = Window.partitionBy("row").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    placed = each.withColumn("start", (F.coalesce(F.sum(F.length("word") + 1).over(before), F.lit(0))).cast("int"))
+    placed = placed.select("row", "start", (F.col("start") + F.length("word")).alias("end"), F.lower("word").alias("term"))
+    return placed.join(here, ["row", "term"]).select("row", "start", "end", "term", "disclosure")
+
+
+def disclosing(found: DataFrame, docs: DataFrame, support: int, generalise: float, whole: bool = False) -> DataFrame:
     """(entity, term, disclosure) from all documents, for what reaches `generalise`."""
-    pairs = found.select("row", "t", F.explode("context").alias("c")).select("row", "t", "c.entity", "c.term").distinct()
-    together = pairs.groupBy("entity", "term").agg(F.count("*").alias("both"), F.countDistinct("t").alias("texts")).where(F.col("texts") >= support)
+    if whole:
+        by_text = whole_pairs(found, support).groupBy("entity", "term", "t").agg(F.count("*").alias("n"))
+        together = by_text.groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count("*").alias("texts")).where(F.col("texts") >= support)
+    else:
+        pairs = found.select("row", "t", F.explode("context").alias("c")).select("row", "t", "c.entity", "c.term").distinct()
+        together = pairs.groupBy("entity", "term").agg(F.count("*").alias("both"), F.countDistinct("t").alias("texts")).where(F.col("texts") >= support)
     entities = (
         found.select("row", F.explode("base").alias("s")).select("row", F.xxhash64("s.kind", F.lower("s.value")).alias("entity"))
         .distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
@@ -141,19 +181,23 @@ def disclosing(found: DataFrame, docs: DataFrame, support: int, generalise: floa
     return known.select("entity", "term", measure.alias("disclosure")).where(F.col("disclosure") >= generalise)
 
 
-def spans(docs: DataFrame, support: int = 3, generalise: float = 0.5, remove: float = 0.8) -> DataFrame:
+def spans(docs: DataFrame, support: int = 3, generalise: float = 0.5, remove: float = 0.8, whole: bool = False) -> DataFrame:
     """doc_id, row, base, terms: the base spans of each document, and the term spans with what happens to them.
 
     `row` identifies equal (doc_id, text) pairs.  terms: array of (start, kind, end, value, removed)."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     base = plain.withColumn("base", base_spans(F.col("text")))
     near = F.when(F.size("base") > 0, contexts(F.col("text"), F.col("base"))).otherwise(F.array().cast(CONTEXT))
-    found = stored(base.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.xxhash64("text").alias("t"), "base", near.alias("context")), "pii")
-    strong = disclosing(found, plain, support, generalise)
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[ \t\n\x0B\f\r]+"), is_term))
+    kept = [F.when(F.size("base") > 0, words).otherwise(F.array().cast("array<string>")).alias("words")] if whole else []
+    found = stored(base.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.xxhash64("text").alias("t"), "base", near.alias("context"), *kept), "pii")
+    strong = disclosing(found, plain, support, generalise, whole)
+    strong = stored(strong, "strong") if whole else strong
     near_rows = found.where(F.size("context") > 0).select("row", F.explode("context").alias("c")).select("row", "c.*").distinct()
+    places = near_rows.join(strong, ["entity", "term"]).select("row", "start", "end", "term", "disclosure")
+    places = places.unionByName(whole_places(found, plain, strong)) if whole else places
     terms = (
-        near_rows.join(strong, ["entity", "term"])
-        .groupBy("row", "start", "end", "term").agg(F.max("disclosure").alias("disclosure"))
+        places.groupBy("row", "start", "end", "term").agg(F.max("disclosure").alias("disclosure"))
         .groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", F.col("term").alias("value"), (F.col("disclosure") >= remove).alias("removed")))).alias("terms"))
     )
     none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string,removed:boolean>>")
@@ -184,9 +228,9 @@ def sanitised(docs: DataFrame, found: DataFrame) -> DataFrame:
     return keyed.withColumn("text", F.when(F.col("marks").isNotNull(), text).otherwise(F.col("text"))).select(*docs.columns)
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, whole: bool = False) -> DataFrame:
     """A row for each document: counts by kind, a digest of the base spans, and all spans."""
-    found = spans(docs)
+    found = spans(docs, whole=whole)
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
     removed = F.size(F.filter("terms", lambda s: s["removed"])).cast("long").alias("n_terms_removed")
     return found.select(

@@ -41,7 +41,7 @@ def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
-    return pii.report(table(spark, folder, "documents"))
+    return pii.report(table(spark, folder, "documents"), whole=True)
 
 
 def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
