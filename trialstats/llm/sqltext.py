@@ -48,3 +48,71 @@ reached AS (
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id
 FROM (SELECT d AS doc_id, min(r) AS component_id FROM reached GROUP BY d) LEFT JOIN sizes USING (doc_id)
 """
+
+
+def _bits(text: str) -> str:
+    """The bits of an ASCII text, lowest first in each byte."""
+    return f"list_transform(range(8 * length({text})), lambda k: (ascii(substr({text}, CAST(k // 8 + 1 AS INT), 1)) >> CAST(k % 8 AS INT)) & 1)"
+
+
+def crc32(text: str) -> str:
+    """CRC-32 of an ASCII text, bit by bit."""
+    return f"xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform({_bits(text)}, lambda b: CAST(b AS BIGINT))), lambda a, b: xor(a >> 1, 3988292384 * (xor(a, b) & 1))))"
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+_SIDES = """coalesce(array_to_string(ds[1:idx % 16], ''), '') AS b, coalesce(array_to_string(ds[idx % 16 + 2:], ''), '') AS a"""
+
+MERKLE = f"""
+WITH RECURSIVE
+rows_ AS (
+    SELECT doc_id, source, {_leaf("text")} AS leaf,
+        CASE WHEN {crc32("CAST(doc_id AS VARCHAR)")} % 5 = 0 THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS changed
+    FROM documents
+),
+leaves AS (
+    SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, changed) - 1 AS idx, count(*) OVER (PARTITION BY source) AS total FROM rows_
+),
+nodes(source, level, idx, digest, total) AS (
+    SELECT source, 0, idx, leaf, total FROM leaves
+    UNION ALL
+    SELECT source, max(level) + 1, idx // 16, sha256(string_agg(digest, '' ORDER BY idx)), (max(total) + 15) // 16
+    FROM nodes WHERE total > 1 GROUP BY source, idx // 16
+),
+subs AS (
+    SELECT source, digest AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS idx, count(*) OVER () AS total FROM nodes WHERE total = 1
+),
+tops(level, idx, digest, total) AS (
+    SELECT 0, idx, subroot, total FROM subs
+    UNION ALL
+    SELECT max(level) + 1, idx // 16, sha256(string_agg(digest, '' ORDER BY idx)), (max(total) + 15) // 16
+    FROM tops WHERE total > 1 GROUP BY idx // 16
+),
+runs AS (SELECT source, level, idx // 16 AS run, list(digest ORDER BY idx) AS ds FROM nodes GROUP BY ALL),
+top_runs AS (SELECT level, idx // 16 AS run, list(digest ORDER BY idx) AS ds FROM tops GROUP BY ALL),
+walk(source, place, level, idx, total, d, proof) AS (
+    SELECT source, idx, 0, idx, total, coalesce(changed, leaf), '' FROM leaves
+    UNION ALL
+    SELECT source, place, level + 1, idx // 16, (total + 15) // 16, sha256(b || d || a), proof || b || a
+    FROM (SELECT w.*, {_SIDES} FROM walk w JOIN runs r ON r.source IS NOT DISTINCT FROM w.source AND r.level = w.level AND r.run = w.idx // 16 WHERE w.total > 1)
+),
+climb(source, place, copies, level, idx, total, d, proof) AS (
+    SELECT w.source, place, w.level, 0, s.idx, s.total, d, proof FROM walk w JOIN subs s ON s.source IS NOT DISTINCT FROM w.source WHERE w.total = 1
+    UNION ALL
+    SELECT source, place, copies, level + 1, idx // 16, (total + 15) // 16, sha256(b || d || a), proof || b || a
+    FROM (SELECT w.*, {_SIDES} FROM climb w JOIN top_runs r ON r.level = w.level AND r.run = w.idx // 16 WHERE w.total > 1)
+)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, d AS folded_root, d = root AS verified, CAST(copies + level + 1 AS BIGINT) AS n_copied
+FROM climb c
+JOIN leaves l ON l.source IS NOT DISTINCT FROM c.source AND l.idx = c.place
+JOIN subs s ON s.source IS NOT DISTINCT FROM c.source
+CROSS JOIN (SELECT digest AS root FROM tops WHERE total = 1)
+WHERE c.total = 1
+"""
