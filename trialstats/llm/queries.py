@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trialstats.llm import decontaminate, fingerprints, jaccard_join, licences, lines, merkle, packing, pii, quality, sqltext, substrings, toxicity
+from trialstats.llm import decontaminate, fingerprints, jaccard_join, licences, lines, merkle, packing, pii, quality, runs, sharding, sqltext, substrings, toxicity
 from trialstats.llm.store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,14 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, folder, "documents"))
 
 
+def op11_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return runs.report(table(spark, folder, "documents"))
+
+
+def op12_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.report(table(spark, folder, "documents"))
+
+
 def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.report(table(spark, folder, "documents"))
 
@@ -65,7 +73,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_quality_knn, op2_line_dedup, op3_licence_scan, op4_toxicity_ftrl, op5_decontamination,
         op6_pii, op7_packing, op8_substring_dedup, op9_jaccard_join, op10_simhash,
-        op13_merkle,
+        op11_runs, op12_sharding, op13_merkle,
     )
 }
 # The other operators rest on hashes, models or dynamic programming; tests hold them against brute force.
