@@ -119,12 +119,84 @@ def test_level_that_is_not_listed_is_refused(frame):
         factor_levels(frame, ["kind"], max_levels=1)
 
 
-def test_collinear_and_constant_predictors_are_errors(frame):
-    twice = frame.selectExpr("*", "2 * age AS age2", "1.0D AS one")
-    with pytest.raises(np.linalg.LinAlgError):
-        fit_ols(twice, [ModelSpec("m", "time", ("age", "age2"))])
-    with pytest.raises(np.linalg.LinAlgError):
-        fit_ols(twice, [ModelSpec("m", "time", ("one",))])
+def test_aliased_terms_are_left_out(spark, frame):
+    """Constant terms and sums of earlier ones have no estimate; the others are as without them."""
+    from trialstats.models.glmm import fit_glmm
+    from trialstats.models.lmm import fit_lmm
+    from trialstats.models.panel import fit_panel
+
+    twice = frame.selectExpr("*", "2 * age AS age2", "1.0D AS one", "age + flag AS both", "CAST(floor(age) AS INT) % 7 AS g")
+    fits = [
+        (lambda s: fit_ols(twice, [s])[0], "time", {}),
+        (lambda s: fit_logit(twice, [s])[0], "correct", {"family": "binomial"}),
+        (lambda s: fit_lmm(twice, s), "time", {"group": "g"}),
+        (lambda s: fit_panel(twice, s), "time", {"group": "g"}),
+        (lambda s: fit_glmm(twice, s), "correct", {"family": "binomial", "group": "g"}),
+    ]
+    for fit, outcome, how in fits:
+        full = fit(ModelSpec("m", outcome, ("one", "age", "age2", "flag", "both"), **how))
+        plain = fit(ModelSpec("m", outcome, ("age", "flag"), **how))
+        assert full.terms == ["(Intercept)", "one", "age", "age2", "flag", "both"] and full.n == plain.n
+        assert np.isnan(full.estimate).tolist() == [False, True, False, True, False, True]
+        assert np.allclose(full.estimate[[0, 2, 4]], plain.estimate, rtol=1e-6) and np.allclose(full.std_error[[0, 2, 4]], plain.std_error, rtol=1e-6)
+        assert all(math.isclose(full.stats[k], plain.stats[k], rel_tol=1e-8) for k in ("loglik", "aic") if k in plain.stats)
+        rows = {r["term"]: r for r in report.coefficients(spark, [full]).collect()}
+        assert rows["age2"]["estimate"] is None and rows["age2"]["p_value"] is None and rows["age"]["p_value"] is not None
+
+
+def test_leading_nulls_do_not_move_the_result(spark):
+    """The first 1,500 of 5,000 values are missing, the others lie at 1e8."""
+    rng = np.random.default_rng(8)
+    n = 5000
+    x = 1e8 + rng.normal(0, 1, n)
+    y = 2 * (x - 1e8) + rng.normal(0, 1, n)
+    g = rng.integers(0, 40, n)
+    pdf = pd.DataFrame({"x": [None] * 1500 + x[1500:].tolist(), "y": y, "g": g})
+    df = spark.createDataFrame(pdf, "x double, y double, g int").coalesce(1)
+    near = spark.createDataFrame(pdf.assign(x=pdf["x"] - 1e8), "x double, y double, g int").repartition(5)
+    q, r = np.linalg.qr(np.column_stack([np.ones(n - 1500), x[1500:] - x[1500:].mean()]))
+    want = np.linalg.solve(r, q.T @ y[1500:])
+    fit, other = (fit_ols(frame, [ModelSpec("m", "y", ("x",)), ModelSpec("n", "y", ("x",))])[0] for frame in (df, near))
+    assert fit.n == 3500 and abs(fit.estimate[1] - want[1]) < 1e-8 and abs(other.estimate[1] - want[1]) < 1e-8
+    assert np.isclose(fit.std_error[1], other.std_error[1], rtol=1e-8)
+
+
+@pytest.mark.parametrize("offset", [1e4, 1e6])
+def test_a_random_slope_does_not_depend_on_the_place_of_its_column(spark, offset):
+    from trialstats.models.lmm import fit_lmm
+
+    rng = np.random.default_rng(9)
+    n = 2000
+    x, g = rng.normal(0, 1, n), rng.integers(0, 40, n)
+    y = 1 + (2 + rng.normal(0, 0.5, 40)[g]) * x + rng.normal(0, 1, 40)[g] + rng.normal(0, 1, n)
+    spec = ModelSpec("m", "y", ("x",), group="g", slope="x")
+    close, far = (fit_lmm(spark.createDataFrame(pd.DataFrame({"x": x + o, "y": y, "g": g})), spec) for o in (0.0, offset))
+    assert close.converged and far.converged
+    assert math.isclose(far.estimate[1], close.estimate[1], rel_tol=1e-7) and math.isclose(far.std_error[1], close.std_error[1], rel_tol=1e-6)
+    for k in ("sigma", "slope_sd", "reml"):
+        assert math.isclose(far.stats[k], close.stats[k], rel_tol=1e-5)
+
+
+def test_states_merge_in_any_order():
+    from trialstats.models import moments
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(1e7, 1, (900, 4))
+    x[rng.random((900, 4)) < 0.1] = np.nan
+    for cuts in ([300, 600], [1, 2, 3, 899], []):
+        merged = moments._Merged()
+        for part in np.split(x, cuts):
+            merged.add(*moments.block_states(part)[1:])
+        for use in ([0, 1], [0, 1, 2, 3], [3]):
+            full = x[~np.isnan(x[:, use]).any(axis=1)][:, use]
+            state = moments.complete(list(merged.parts.values()), use)
+            apart = full - full.mean(axis=0)
+            assert state.n == len(full) and np.allclose(state.mean, full.mean(axis=0), rtol=1e-14)
+            assert np.allclose(state.product, apart.T @ apart, rtol=1e-8, atol=1e-5)
+    codes = rng.integers(0, 7, 900)
+    code, count, mean, product = moments.block_states(x, codes)
+    for k in range(7):
+        assert count[code == k].sum() == (codes == k).sum()
 
 
 LOGITS = [

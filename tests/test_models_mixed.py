@@ -228,11 +228,11 @@ def test_glmm_standard_errors_are_from_the_full_curvature(df, pdf):
 
 @pytest.mark.parametrize("spec", [LOGIT, LOGIT_SLOPE], ids=["intercept", "slope"])
 def test_laplace_gradient(df, spec):
-    data = LaplaceData(df, spec, None, 10**6)
+    data = LaplaceData(df, [spec])
     try:
-        point = np.array([-0.2, 0.3, 0.1, 0.6] if data.q == 1 else [-0.2, 0.3, 0.1, 0.6, 0.2, 0.4])
+        point = np.array([-0.2, 0.3, 0.1, 0.6] if data.models[0].q == 1 else [-0.2, 0.3, 0.1, 0.6, 0.2, 0.4])
         h, k = 1e-5, len(point)
-        f, g = data.evaluate(np.vstack([point, point + h * np.eye(k), point - h * np.eye(k)]))
+        f, g = data.evaluate({0: np.vstack([point, point + h * np.eye(k), point - h * np.eye(k)])})[0]
     finally:
         data.close()
     assert np.allclose(g[0], (f[1 : k + 1] - f[k + 1 :]) / (2 * h), rtol=1e-5, atol=1e-5)
@@ -279,3 +279,33 @@ def test_grid_equals_single_fits(spark, df, single, grid, base):
         alone = single(frame, spec)
         assert fit.n == alone.n and fit.terms == alone.terms
         assert np.allclose(fit.estimate, alone.estimate, rtol=1e-5, atol=1e-7) and np.allclose(fit.std_error, alone.std_error, rtol=1e-5)
+
+
+@pytest.mark.parametrize("hot", [10**6, 10], ids=["cold", "hot"])
+def test_a_grid_of_intercepts_and_slopes_takes_the_jobs_of_its_longest_search(spark, df, hot):
+    from dataclasses import replace
+
+    specs = [replace(LOGIT, name="one", fixed=("x",)), replace(LOGIT, name="two"), replace(LOGIT_SLOPE, name="slope")]
+    context = spark.sparkContext
+
+    def counted(name, run):
+        context.setJobGroup(f"{name}-{hot}", name)
+        out = run()
+        return out, len(context.statusTracker().getJobIdsForGroup(f"{name}-{hot}"))
+
+    grid, jobs = counted("grid", lambda: fit_glmm_grid(df, specs, hot_patterns=hot))
+    most = 0
+    for spec, fit in zip(specs, grid, strict=True):
+        alone, own = counted(spec.name, lambda spec=spec: fit_glmm(df, spec, hot_patterns=hot))
+        most = max(most, own)
+        assert np.allclose(fit.estimate, alone.estimate, rtol=1e-5, atol=1e-6) and math.isclose(fit.stats["loglik"], alone.stats["loglik"], rel_tol=1e-9)
+    assert jobs <= 2 * most
+
+
+def test_linear_grid_holds_slopes_too(df):
+    from dataclasses import replace
+
+    specs = [replace(SPEC, name="a"), replace(SLOPE, name="b"), replace(SPEC, name="c", fixed=("x",))]
+    for spec, fit in zip(specs, fit_lmm_grid(df, specs), strict=True):
+        alone = fit_lmm(df, spec)
+        assert np.allclose(fit.estimate, alone.estimate, rtol=1e-7) and math.isclose(fit.stats["reml"], alone.stats["reml"], rel_tol=1e-10)

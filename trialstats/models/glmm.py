@@ -5,6 +5,10 @@ is partitioned by group, so one task finds the modes of the random effects of
 all its groups and returns a single vector per parameter point: the objective
 and its gradient.  A fit is a few jobs, each for a whole batch of points.
 
+The models of a grid lie in one table, each with its own patterns, and share
+every job: their searches run side by side, and a round evaluates the points of
+all that have not converged yet.
+
 A group with very many patterns is spread over several partitions.  Its tasks
 return sums over their patterns, and its mode is iterated on the driver, which
 holds one or two numbers per such group.
@@ -14,23 +18,25 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialstats import runtime
 from trialstats.models.lmm import lower_factor, random_effect_stats
 from trialstats.models.logit import SEPARATED, log1p_exp, logistic
-from trialstats.models.optimise import newton_gradients
+from trialstats.models.moments import State, independent
+from trialstats.models.optimise import together
 from trialstats.models.shared import SharedRows
-from trialstats.models.spec import INTERCEPT, Fit, Levels, ModelSpec
+from trialstats.models.spec import INTERCEPT, Fit, Levels, ModelSpec, triangle, unpack, unscaled, with_aliased
 
 # Patterns per partition, and the size above which a group is spread out.
 ROWS_PER_PARTITION = 500_000
 SMALL_PARTITION = 5_000
-HOT_PATTERNS = 1_000_000
+HOT_PATTERNS = 250_000
 # Up to this many tasks their vectors are added on the driver, saving a shuffle.
 FEW_TASKS = 64
 # Patterns a task works on at a time; a group that is not spread out stays together.
@@ -46,18 +52,23 @@ def _group_sums(x, z, m, s, eta, starts) -> dict[str, np.ndarray]:
     resid = s - m * mu
     skew = w * (1 - 2 * mu)
     zz = z[:, :, None] * z[:, None, :]
+    q = z.shape[1]
 
     def add(values: np.ndarray) -> np.ndarray:
         return np.add.reduceat(values, starts, axis=0)
 
+    # one pair of effects after the other: no array is larger than the rows of x
+    d = np.empty((len(starts), x.shape[1], q, q))
+    for a, b in triangle(q):
+        d[:, :, a, b] = d[:, :, b, a] = add(x * (zz[:, a, b] * skew)[:, None])
     return {
         "ll": add(s * eta - m * log1p_exp(eta)),
         "r": add(z * resid[:, None]),
         "h": add(zz * w[:, None, None]),
         "gx": add(x * resid[:, None]),
-        "c": add(x[:, :, None] * z[:, None, :] * w[:, None, None]),
+        "c": np.stack([add(x * (z[:, a] * w)[:, None]) for a in range(q)], axis=2),
         "t": add(zz[:, :, :, None] * z[:, None, None, :] * skew[:, None, None, None]),
-        "d": add(x[:, :, None, None] * zz[:, None, :, :] * skew[:, None, None, None]),
+        "d": d,
     }
 
 
@@ -128,156 +139,197 @@ def _starts(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
 
 
+class Laplace:
+    """One model of a grid: its terms and what standardises them."""
+
+    def __init__(self, spec: ModelSpec, terms: list[str], slope: list[str]):
+        self.spec = spec
+        self.all_terms = [INTERCEPT, *terms]
+        if spec.slope is not None and len(slope) != 1:
+            raise ValueError("a random slope must be a single numeric or two-level column")
+        self.of = slope[0] if slope else None
+
+    def settle(self, state: State | None, rows: int, successes: float) -> None:
+        if state is None or not rows:
+            raise ValueError(f"{self.spec.name}: no complete rows")
+        kept = independent(state, len(self.all_terms) - 1)
+        self.terms = [INTERCEPT, *[self.all_terms[k + 1] for k in kept]]
+        if self.of is not None and self.of not in self.terms:
+            raise ValueError(f"{self.spec.name}: the column of the random slope is constant or follows from others")
+        self.names = [f"c{k + 1}" for k in kept]
+        self.mean, self.spread = state.mean[kept], state.spread[kept]
+        self.rows, self.n, self.successes = rows, state.n, successes
+        self.slope = None if self.of is None else self.terms.index(self.of)
+        self.p, self.q = len(self.terms), 1 if self.of is None else 2
+
+    def start(self) -> np.ndarray:
+        """The intercept-only logit with moderate variance components."""
+        rate = min(max(self.successes / self.n, 1e-6), 1 - 1e-6)
+        beta = np.zeros(self.p)
+        beta[0] = math.log(rate / (1 - rate))
+        return np.concatenate([beta, [0.5] if self.q == 1 else [0.5, 0.0, 0.5]])
+
+    def plain(self) -> tuple:
+        """What a task needs, as plain data."""
+        return self.names, self.mean, self.spread, self.p, self.slope
+
+
 class LaplaceData:
-    """Patterns of one model, laid out for repeated evaluation."""
-
-    def __init__(
-        self, df: DataFrame, spec: ModelSpec, levels: Levels | None, hot_patterns: int, shared: SharedRows | None = None
-    ):
-        rows = shared or SharedRows(df, [spec], levels)
-        self.terms = [INTERCEPT, *rows.terms(spec.fixed)]
-        self.p = len(self.terms)
-        self.slope = None
-        if spec.slope is not None:
-            names = rows.terms((spec.slope,))
-            if len(names) != 1:
-                raise ValueError("a random slope must be a single numeric or two-level column")
-            self.slope = self.terms.index(names[0])
-        self.q = 1 if self.slope is None else 2
-        self.names = [f"c{i}" for i in range(1, self.p)]
-        merged = rows.frame(spec).groupBy("g", *self.names).agg(F.sum("m").alias("m"), F.sum("s").alias("s"))
-        merged = runtime.stored(merged, "patterns")
+    """Patterns of some models of one outcome and group, laid out for repeated evaluation."""
+
+    def __init__(self, df: DataFrame, specs: list[ModelSpec], levels: Levels | None = None, hot_patterns: int = HOT_PATTERNS):
+        shared = SharedRows(df, specs, levels)
+        self.models = [Laplace(s, shared.terms(s.fixed), shared.terms((s.slope,)) if s.slope else []) for s in specs]
+        self.names = [f"c{i}" for i in range(1, max(len(m.all_terms) for m in self.models))]
+        parts = []
+        for k, model in enumerate(self.models):
+            own = [f"c{i}" for i in range(1, len(model.all_terms))]
+            merged = shared.frame(model.spec).groupBy("g", *own).agg(F.sum("m").alias("m"), F.sum("s").alias("s"))
+            blank = [F.lit(None).cast("double").alias(c) for c in self.names if c not in own]
+            parts.append(merged.select("g", *own, *blank, "m", "s", F.lit(k).alias("model")).select("model", "g", *self.names, "m", "s"))
+        merged = runtime.stored(reduce(DataFrame.unionAll, parts), "patterns")
         self._moments(merged)
         self._lay_out(merged, hot_patterns)
 
     def _moments(self, merged: DataFrame) -> None:
-        """Row counts, and the means and spreads that standardise the predictors."""
-        sums = [F.count(F.lit(1)).alias("rows"), F.sum("m").alias("n"), F.sum("s").alias("successes")]
-        for c in self.names:
-            sums += [F.sum(F.col("m") * F.col(c)).alias(f"{c}_1"), F.sum(F.col("m") * F.col(c) ** 2).alias(f"{c}_2")]
-        row = merged.agg(*sums).first()
-        if not row["rows"]:
-            raise ValueError("no complete rows")
-        self.rows, self.n, self.successes = row["rows"], row["n"], row["successes"]
-        mean = np.array([row[f"{c}_1"] / self.n for c in self.names])
-        square = np.array([row[f"{c}_2"] / self.n for c in self.names])
-        spread = np.sqrt(np.clip(square - mean**2, 0.0, None))
-        if np.any(spread <= 1e-12 * np.maximum(np.abs(mean), 1.0)):
-            raise ValueError("a predictor is constant")
-        self.mean, self.spread = mean, spread
+        """Counts, means and centred cross-products of each model's predictors."""
+        weighted = [F.sum(F.col("m") * F.col(c)).alias(c) for c in self.names]
+        first = {r["model"]: r for r in merged.groupBy("model").agg(F.count(F.lit(1)).alias("rows"), F.sum("m").alias("n"), F.sum("s").alias("successes"), *weighted).collect()}
+        mean = {k: np.array([(r[c] or 0.0) / r["n"] for c in self.names]) for k, r in first.items()}
+        apart = [F.col(c) - F.array(*[F.lit(float(mean[k][i]) if k in mean else 0.0) for k in range(len(self.models))])[F.col("model")] for i, c in enumerate(self.names)]
+        squares = [F.sum(F.col("m") * apart[i] * apart[j]).alias(f"p{i}_{j}") for i, j in triangle(len(apart))]
+        products = {r["model"]: r for r in merged.groupBy("model").agg(F.first("model").alias("of"), *squares).collect()}
+        for k, model in enumerate(self.models):
+            own = list(range(len(model.all_terms) - 1))
+            state = None
+            if k in first:
+                product = unpack([products[k][f"p{i}_{j}"] for i, j in triangle(len(apart))], len(apart))
+                state = State(float(first[k]["n"]), mean[k][own], product[np.ix_(own, own)])
+            model.settle(state, first[k]["rows"] if k in first else 0, first[k]["successes"] if k in first else 0.0)
+        self.rows = sum(m.rows for m in self.models)
 
     def _lay_out(self, merged: DataFrame, hot_patterns: int) -> None:
-        # At most rows / hot_patterns groups, counted exactly.
-        counts = merged.groupBy(F.xxhash64("g").alias("g")).agg(F.count(F.lit(1)).alias("patterns"))
-        hot = {r["g"]: r["patterns"] for r in counts.filter(F.col("patterns") > hot_patterns).collect()}
-        slices = max(2, math.ceil(max(hot.values(), default=0) / hot_patterns))
-        number = F.lit(-1)
-        if hot:
-            table = F.create_map(*[F.lit(v) for pair in zip(hot, range(len(hot))) for v in pair])
-            group = F.xxhash64("g")
-            number = F.when(group.isin(*hot), table[group]).otherwise(number)
+        # At most rows / hot_patterns groups, counted exactly and numbered where they are.
+        counts = merged.groupBy("model", "g").agg(F.count(F.lit(1)).alias("patterns")).filter(F.col("patterns") > hot_patterns)
+        numbered = counts.withColumn("hot", F.row_number().over(Window.partitionBy("model").orderBy("g")) - 1)
+        hot = runtime.stored(numbered, "hot")
+        sizes = hot.groupBy("model").agg(F.count(F.lit(1)).alias("groups"), F.max("patterns").alias("most")).collect()
+        self.hot = [0] * len(self.models)
+        for row in sizes:
+            self.hot[row["model"]] = row["groups"]
+        slices = max(2, math.ceil(max((r["most"] for r in sizes), default=0) / hot_patterns))
+        if sizes:
+            merged = merged.join(hot.select("model", "g", "hot"), ["model", "g"], "left").withColumn("hot", F.coalesce("hot", F.lit(-1)))
+        else:
+            merged = merged.withColumn("hot", F.lit(-1))
         piece = F.when(F.col("hot") >= 0, F.pmod(F.xxhash64("g", *self.names), F.lit(slices))).otherwise(F.lit(0))
         cores = merged.sparkSession.sparkContext.defaultParallelism
-        parts = max(min(cores, math.ceil(self.rows / SMALL_PARTITION)), math.ceil(self.rows / ROWS_PER_PARTITION))
-        self.hot, self.parts = len(hot), parts
-        self.modes = np.zeros((self.hot, self.q))
+        self.parts = max(min(cores, math.ceil(self.rows / SMALL_PARTITION)), math.ceil(self.rows / ROWS_PER_PARTITION))
+        self.modes = [np.zeros((h, m.q)) for h, m in zip(self.hot, self.models, strict=True)]
         self.frame = (
-            merged.withColumn("hot", number)
-            .withColumn("piece", piece)
-            .repartition(parts, "g", "piece")
-            .sortWithinPartitions("hot", "g")
+            merged.withColumn("piece", piece)
+            .repartition(self.parts, "model", "g", "piece")
+            .sortWithinPartitions("model", "hot", "g")
             .persist()
         )
 
     def close(self) -> None:
         self.frame.unpersist()
 
-    def start(self) -> np.ndarray:
-        """The intercept-only logit with moderate variance components."""
-        rate = min(max(self.successes / self.n, 1e-6), 1 - 1e-6)
-        beta = np.zeros(self.p)
-        beta[0] = math.log(rate / (1 - rate))
-        return np.concatenate([beta, [0.5] if self.q == 1 else [0.5, 0.0, 0.5]])
-
-    def evaluate(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Negative Laplace log-likelihood and gradient at each parameter point."""
-        size = points.shape[1] + 1
-        total, sums = self._job(points, np.repeat(self.modes[None], len(points), axis=0), cold=True)
-        if self.hot:
-            total += self._hot_groups(points, sums, size)
-        return -total[:, 0], -total[:, 1:]
-
-    def _hot_groups(self, points: np.ndarray, sums: list, size: int) -> np.ndarray:
-        factors = [lower_factor(t[self.p :]) for t in points]
-        modes = [self.modes.copy() for _ in points]
+    def evaluate(self, asked: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """Negative Laplace log-likelihood and gradient of each model at its parameter points."""
+        modes = {k: np.repeat(self.modes[k][None], len(points), axis=0) for k, points in asked.items()}
+        total, sums = self._job(asked, modes, cold=True)
+        spread = {k: points for k, points in asked.items() if self.hot[k]}
+        if spread:
+            for k, extra in self._hot_groups(spread, {k: sums[k] for k in spread}).items():
+                total[k] += extra
+        return {k: (-t[:, 0], -t[:, 1:]) for k, t in total.items()}
+
+    def _hot_groups(self, asked: dict[int, np.ndarray], sums: dict[int, list]) -> dict[int, np.ndarray]:
+        factors = {k: [lower_factor(t[self.models[k].p :]) for t in points] for k, points in asked.items()}
+        modes = {k: [self.modes[k].copy() for _ in points] for k, points in asked.items()}
         for _ in range(MODE_STEPS):
-            steps = [_mode_step(s["r"], s["h"], v, f) for s, v, f in zip(sums, modes, factors, strict=True)]
-            if max(np.abs(step).max() for step in steps) < MODE_TOLERANCE * 10:
+            steps = {k: [_mode_step(s["r"], s["h"], v, f) for s, v, f in zip(sums[k], modes[k], factors[k], strict=True)] for k in asked}
+            if max(np.abs(step).max() for own in steps.values() for step in own) < MODE_TOLERANCE * 10:
                 break
-            modes = [v + step for v, step in zip(modes, steps, strict=True)]
-            _, sums = self._job(points, np.array(modes), cold=False)
-        self.modes = modes[0]
-        return np.array([_objective(s, v, f) for s, v, f in zip(sums, modes, factors, strict=True)]).reshape(-1, size)
+            modes = {k: [v + step for v, step in zip(modes[k], steps[k], strict=True)] for k in asked}
+            _, sums = self._job(asked, {k: np.array(v) for k, v in modes.items()}, cold=False)
+        for k in asked:
+            self.modes[k] = modes[k][0]
+        return {k: np.array([_objective(s, v, f) for s, v, f in zip(sums[k], modes[k], factors[k], strict=True)]).reshape(len(asked[k]), -1) for k in asked}
 
-    def _job(self, points: np.ndarray, modes: np.ndarray, cold: bool) -> tuple[np.ndarray, list[dict]]:
+    def _job(self, asked: dict[int, np.ndarray], modes: dict[int, np.ndarray], cold: bool) -> tuple[dict[int, np.ndarray], dict[int, list[dict]]]:
         """One pass: totals of the groups solved in tasks, pattern sums of the spread-out ones."""
-        task = _task(points, modes, self.p, self.slope, self.names, self.mean, self.spread)
+        task = _task({k: (points, modes[k], self.models[k].plain()) for k, points in asked.items()})
         frame = self.frame if cold else self.frame.filter("hot >= 0")
-        parts = frame.select("g", "hot", *self.names, "m", "s").mapInPandas(task, "hot int, point int, at int, part double")
-        total = np.zeros((len(points), points.shape[1] + 1))
-        if not self.hot and self.parts <= FEW_TASKS:
-            rows = parts.toPandas()
-            np.add.at(total, (rows["point"].to_numpy(), rows["at"].to_numpy()), rows["part"].to_numpy())
-            return total, []
-        rows = parts.groupBy("hot", "point", "at").agg(F.sum("part").alias("part")).toPandas()
-        own = rows[rows["hot"] < 0]
-        total[own["point"], own["at"]] = own["part"]
-        if not self.hot:
-            return total, []
-        shapes = _shapes(self.p, self.q)
-        width = sum(math.prod(s) for s in shapes.values())
-        table = np.zeros((self.hot, len(points), width))
-        rest = rows[rows["hot"] >= 0]
-        table[rest["hot"], rest["point"], rest["at"]] = rest["part"]
-        sums = []
-        for k in range(len(points)):
-            at, one = 0, {}
-            for name, shape in shapes.items():
-                length = math.prod(shape)
-                one[name] = table[:, k, at : at + length].reshape(self.hot, *shape)
-                at += length
-            sums.append(one)
+        if len(asked) < len(self.models):
+            frame = frame.filter(F.col("model").isin(*asked))
+        parts = frame.select("model", "g", "hot", *self.names, "m", "s").mapInPandas(task, "model int, hot int, point int, at int, part double")
+        if any(self.hot) or self.parts > FEW_TASKS:
+            parts = parts.groupBy("model", "hot", "point", "at").agg(F.sum("part").alias("part"))
+        rows = parts.toPandas()
+        total, sums = {}, {}
+        for k, points in asked.items():
+            own = rows[rows["model"] == k]
+            cold_rows = own[own["hot"] < 0]
+            total[k] = np.zeros((len(points), points.shape[1] + 1))
+            np.add.at(total[k], (cold_rows["point"].to_numpy(), cold_rows["at"].to_numpy()), cold_rows["part"].to_numpy())
+            if self.hot[k]:
+                sums[k] = _hot_sums(own[own["hot"] >= 0], self.hot[k], len(points), _shapes(self.models[k].p, self.models[k].q))
         return total, sums
 
 
+def _hot_sums(rows: pd.DataFrame, groups: int, points: int, shapes: dict[str, tuple[int, ...]]) -> list[dict]:
+    table = np.zeros((groups, points, sum(math.prod(s) for s in shapes.values())))
+    table[rows["hot"], rows["point"], rows["at"]] = rows["part"]
+    sums = []
+    for k in range(points):
+        at, one = 0, {}
+        for name, shape in shapes.items():
+            length = math.prod(shape)
+            one[name] = table[:, k, at : at + length].reshape(groups, *shape)
+            at += length
+        sums.append(one)
+    return sums
+
+
 def _chunks(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
-    """The partition in pieces of about ``rows`` rows that end with a group."""
+    """The partition in pieces of about ``rows`` rows, each of one model, that end with a group."""
     held: list[pd.DataFrame] = []
     size = 0
     for batch in batches:
-        held.append(batch)
-        size += len(batch)
-        if size < rows:
-            continue
-        block = pd.concat(held)
-        keys = block["g"].to_numpy()
-        # Rows of a spread-out group may be cut anywhere.
-        last = len(block) if block["hot"].iloc[-1] >= 0 else int(_starts(keys)[-1])
-        if last:
-            yield block.iloc[:last]
-        held, size = [block.iloc[last:]], len(block) - last
+        cuts = [*_starts(batch["model"].to_numpy()).tolist(), len(batch)]
+        for a, b in zip(cuts, cuts[1:]):
+            part = batch.iloc[a:b]
+            if held and held[-1]["model"].iloc[-1] != part["model"].iloc[0]:
+                yield pd.concat(held)
+                held, size = [], 0
+            held.append(part)
+            size += b - a
+            if size < rows:
+                continue
+            block = pd.concat(held)
+            # Rows of a spread-out group may be cut anywhere.
+            last = len(block) if block["hot"].iloc[-1] >= 0 else int(_starts(block["g"].to_numpy())[-1])
+            if last:
+                yield block.iloc[:last]
+            held, size = ([block.iloc[last:]], len(block) - last) if last < len(block) else ([], 0)
     if size:
         yield pd.concat(held)
 
 
-def _task(points, modes, p, slope, names, mean, spread):
+def _task(asked: dict[int, tuple]):
     """The per-partition function; closes over arrays only."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for block in _chunks(batches, CHUNK_ROWS):
-            yield from evaluate(block)
+            k = int(block["model"].iloc[0])
+            for part in evaluate(block, *asked[k]):
+                yield part.assign(model=k)[["model", "hot", "point", "at", "part"]]
 
-    def evaluate(block: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    def evaluate(block: pd.DataFrame, points, modes, plain) -> Iterator[pd.DataFrame]:
+        names, mean, spread, p, slope = plain
         x = np.column_stack([np.ones(len(block)), (block[names].to_numpy(dtype=float) - mean) / spread])
         z = x[:, :1] if slope is None else x[:, [0, slope]]
         m, s = block["m"].to_numpy(dtype=float), block["s"].to_numpy(dtype=float)
@@ -313,39 +365,33 @@ def _task(points, modes, p, slope, names, mean, spread):
 BOUNDARY = 1e-3
 
 
-def fit_glmm_grid(df: DataFrame, specs: list[ModelSpec], levels: Levels | None = None) -> list[Fit]:
-    """Laplace fits of several models of one outcome and group from one scan of the trials."""
-    rows = SharedRows(df, specs, levels)
-    return [fit_glmm(df, spec, levels, shared=rows) for spec in specs]
+def fit_glmm(df: DataFrame, spec: ModelSpec, levels: Levels | None = None, hot_patterns: int = HOT_PATTERNS) -> Fit:
+    """Laplace fit with one grouping factor: (1 | g) or (1 + slope | g)."""
+    return fit_glmm_grid(df, [spec], levels, hot_patterns)[0]
 
 
-def fit_glmm(
-    df: DataFrame,
-    spec: ModelSpec,
-    levels: Levels | None = None,
-    hot_patterns: int = HOT_PATTERNS,
-    shared: SharedRows | None = None,
-) -> Fit:
-    """Laplace fit with one grouping factor: (1 | g) or (1 + slope | g)."""
-    data = LaplaceData(df, spec, levels, hot_patterns, shared)
+def fit_glmm_grid(df: DataFrame, specs: list[ModelSpec], levels: Levels | None = None, hot_patterns: int = HOT_PATTERNS) -> list[Fit]:
+    """Laplace fits of several models of one outcome and group: one scan of the trials, and a job for each round of all searches."""
+    data = LaplaceData(df, specs, levels, hot_patterns)
     try:
-        point, value, hessian, converged = newton_gradients(data.evaluate, data.start())
+        found = together(data.evaluate, [m.start() for m in data.models])
     finally:
         data.close()
-    p, q = data.p, data.q
+    return [_fit(model, *best) for model, best in zip(data.models, found, strict=True)]
+
+
+def _fit(model: Laplace, point: np.ndarray, value: float, hessian: np.ndarray, converged: bool) -> Fit:
+    p = model.p
     theta = point[p:]
     # A vanishing component has a flat or even objective; its row says nothing about beta.
     keep = list(range(p)) + [p + i for i in range(len(theta)) if abs(theta[i]) > BOUNDARY]
     covariance = np.linalg.pinv(hessian[np.ix_(keep, keep)])[:p, :p]
-    # Back from standardised predictors.
-    back = np.eye(p)
-    back[1:, 1:] = np.diag(1 / data.spread)
-    back[0, 1:] = -data.mean / data.spread
+    covariance, estimate = unscaled(covariance, point[:p], model.mean, model.spread)
     factor = lower_factor(theta)
-    if q == 2:
-        j = data.slope - 1
-        factor = np.array([[1.0, -data.mean[j] / data.spread[j]], [0.0, 1.0 / data.spread[j]]]) @ factor
-    n, k = int(round(data.n)), len(point)
+    if model.q == 2:
+        j = model.slope - 1
+        factor = np.array([[1.0, -model.mean[j] / model.spread[j]], [0.0, 1.0 / model.spread[j]]]) @ factor
+    n, k = int(round(model.n)), len(point)
     # Coefficients of standardised predictors that run away: the outcome is separated.
     converged = converged and not bool(np.any(np.abs(point[:p]) > SEPARATED))
     spreads = random_effect_stats(factor @ factor.T)
@@ -359,4 +405,4 @@ def fit_glmm(
         "bic": 2 * value + k * math.log(n),
         **spreads,
     }
-    return Fit(spec, data.terms, back @ point[:p], back @ covariance @ back.T, n, converged=converged, stats=stats)
+    return with_aliased(Fit(model.spec, model.terms, estimate, covariance, n, converged=converged, stats=stats), model.all_terms)

@@ -1,10 +1,13 @@
 """Linear mixed models by REML from per-group cross-products.
 
 For group g with random-effect design Z the data enter the criterion only
-through Z'Z, Z'[X y] and the overall [X y]'[X y].  One scan sums the
-cross-products of [1, X, y] per group.  Groups with equal Z'Z are then merged,
-because their contribution is linear in the outer products of Z'[X y]: for a
-random intercept this leaves one row per distinct group size.
+through Z'Z, Z'[X y] and the overall [X y]'[X y].  One scan makes mergeable
+states (means and centred cross-products) per group, for all models of a grid at
+once; each model cuts its own blocks from them, standardised by the overall mean
+and spread.  Groups with equal Z'Z are then merged, because their contribution is
+linear in the outer products of Z'[X y]: for a random intercept this leaves one
+row per distinct group size.  A random slope is fitted on its standardised column
+as well and the covariance mapped back, so its place and units do not matter.
 """
 
 from __future__ import annotations
@@ -13,24 +16,29 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trialstats.models.moments import GroupStates, complete, independent
 from trialstats.models.optimise import newton_values, root
 from trialstats.models.reduce import LOCAL_ROWS, Kernel, SumOverRows
-from trialstats.models.shared import SharedRows
 from trialstats.models.spec import (
     INTERCEPT,
     Fit,
     Levels,
     ModelSpec,
-    rough_levels,
+    factor_levels,
+    predictor_columns,
     solve_normal,
     triangle,
     unpack,
-    unshifted,
+    unscaled,
+    with_aliased,
 )
 
+# Decimals, in units of the slope's spread, to which groups must agree in Z'Z to be merged.
+AGREE = 11
+
 
 @dataclass(frozen=True)
 class Layout:
@@ -101,8 +109,29 @@ def _ratio_kernel(layout: Layout, ratios: np.ndarray) -> Kernel:
     return kernel
 
 
+class LinearRows:
+    """Group states of the union design of some models with one group: one scan of the trials."""
+
+    def __init__(self, df: DataFrame, specs: list[ModelSpec], levels: Levels | None = None):
+        if len({s.group for s in specs}) != 1:
+            raise ValueError("models of one grid must share the group")
+        self.levels = factor_levels(df, sorted({n for s in specs for n in s.fixed}), levels)
+        columns = {t: c for s in specs for t, c in predictor_columns(s.fixed, self.levels).items()}
+        columns.update({f"y:{s.outcome}": F.col(s.outcome).cast("double") for s in specs})
+        self.where = {t: i for i, t in enumerate(columns)}
+        group = F.col(specs[0].group)
+        keyed = df.filter(group.isNotNull()).select(group.alias("g"), *[c.alias(f"c{i}") for i, c in enumerate(columns.values())])
+        self.groups = GroupStates(keyed)
+
+    def terms(self, names: tuple[str, ...]) -> list[str]:
+        return list(predictor_columns(names, self.levels))
+
+
 class GroupMoments:
-    """Merged cross-products of [1, X, y] per group, X and y less their rough levels, and sums over them."""
+    """Merged cross-products of [1, X, y] per group, X standardised and y less its mean, and sums over them.
+
+    ``terms`` are those that take part, ``all_terms`` the whole design.
+    """
 
     def __init__(
         self,
@@ -110,22 +139,34 @@ class GroupMoments:
         spec: ModelSpec,
         levels: Levels | None = None,
         local_rows: int = LOCAL_ROWS,
-        shared: SharedRows | None = None,
+        shared: LinearRows | None = None,
     ):
-        rows = shared or SharedRows(df, [spec], levels)
-        self.terms = [INTERCEPT, *rows.terms(spec.fixed)]
+        rows = shared or LinearRows(df, [spec], levels)
+        names = rows.terms(spec.fixed)
+        use = [*[rows.where[t] for t in names], rows.where[f"y:{spec.outcome}"]]
+        state = complete(rows.groups.states, use)
+        if state is None:
+            raise ValueError(f"{spec.name}: no complete rows")
+        kept = independent(state, len(names))
+        state = state.pick([*kept, len(names)])
+        self.all_terms = [INTERCEPT, *names]
+        self.terms = [INTERCEPT, *[names[k] for k in kept]]
         self.p = len(self.terms)
         self.width = self.p + 1
+        self.mean, self.spread = state.mean, np.append(state.spread[:-1], 1.0)
         self.slope = None
         if spec.slope is not None:
-            names = rows.terms((spec.slope,))
-            if len(names) != 1:
+            own = rows.terms((spec.slope,))
+            if len(own) != 1:
                 raise ValueError("a random slope must be a single numeric or two-level column")
-            self.slope = self.terms.index(names[0])
+            if own[0] not in self.terms:
+                raise ValueError(f"{spec.name}: the column of the random slope is constant or follows from others")
+            self.slope = self.terms.index(own[0])
         self.z = [0] if self.slope is None else [0, self.slope]
         self.q = len(self.z)
         self.layout = Layout(self.q, self.width)
-        self.table = SumOverRows(self._merged(rows, spec), local_rows)
+        sums = rows.groups.sums([use[k] for k in [*kept, len(names)]], self.mean, self.spread)
+        self.table = SumOverRows(self._merged(sums), local_rows)
         whole = self.table.sum(self.layout.totals)
         self.groups = int(round(whole[0]))
         self.gram = unpack(whole[1:], self.width)
@@ -137,26 +178,12 @@ class GroupMoments:
     def __exit__(self, *exc) -> None:
         self.table.__exit__(*exc)
 
-    def _merged(self, rows: SharedRows, spec: ModelSpec) -> DataFrame:
-        frame = rows.frame(spec)
-        names = [f"c{i}" for i in range(1, self.p)]
-        self.shift = np.append(rough_levels(frame.select(*names)) if names else [], rows.level)
-        if self.slope is not None:
-            # The random effects are those of the slope as it stands.
-            self.shift[self.slope - 1] = 0.0
-        vector = [F.lit(1.0)] + [F.col(c) - F.lit(float(v)) for c, v in zip(names, self.shift[:-1], strict=True)]
-
-        def product(i: int, j: int) -> Column:
-            if i == self.p:
-                return F.col("ss")
-            return vector[i] * (F.col("s") if j == self.p else F.col("m") * vector[j])
-
+    def _merged(self, per_group: DataFrame) -> DataFrame:
         name = {ij: f"s_{ij[0]}_{ij[1]}" for ij in triangle(self.width)}
-        per_group = frame.groupBy("g").agg(*[F.sum(product(i, j)).alias(name[i, j]) for i, j in name])
         zz = [name[self.z[a], self.z[b]] for a, b in triangle(self.q)]
         zw = [F.col(name[min(a, j), max(a, j)]) for a in self.z for j in range(self.width)]
         # A group key must not hide a column of the same name from the sums.
-        keyed = per_group.withColumns({f"z{i}": F.col(c) for i, c in enumerate(zz)})
+        keyed = per_group.withColumns({f"z{i}": F.round(F.col(c), AGREE) for i, c in enumerate(zz)})
         return keyed.groupBy(*[f"z{i}" for i in range(len(zz))]).agg(
             F.count(F.lit(1)).alias("cnt"),
             *[F.sum(c).alias(f"t{i}") for i, c in enumerate(name.values())],
@@ -175,17 +202,19 @@ class GroupMoments:
 
     def generalised(self, correction: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
         """Generalised least squares: inverse of X'VX, coefficients, residual sum."""
-        inverse, beta, rss = self._shifted(correction)
-        return *unshifted(inverse, beta, self.shift), rss
+        inverse, beta, rss = self._standard(correction)
+        return *unscaled(inverse, beta, self.mean[:-1], self.spread[:-1], self.mean[-1]), rss
 
-    def _shifted(self, correction: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        """The same for columns less their rough levels, on which the criterion does not depend."""
+    def _standard(self, correction: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """The same for the standardised columns."""
         return solve_normal(self.gram - correction)
 
     def reml(self, logdet: float, correction: np.ndarray) -> float:
-        inverse, _, rss = self._shifted(correction)
+        inverse, _, rss = self._standard(correction)
         df = self.n - self.p
-        return df * (math.log(2 * math.pi * rss / df) + 1) + logdet - np.linalg.slogdet(inverse)[1]
+        # The determinant is that of the columns as they stand.
+        units = 2 * np.log(self.spread).sum()
+        return df * (math.log(2 * math.pi * rss / df) + 1) + logdet - np.linalg.slogdet(inverse)[1] + units
 
     def criterion(self, factors: list[np.ndarray]) -> np.ndarray:
         return np.array([self.reml(*c) for c in self.corrections(factors)])
@@ -196,7 +225,7 @@ class GroupMoments:
         changes = self.table.sum(_ratio_kernel(self.layout, ratios)).reshape(len(ratios), 1 + self.width**2)
         out = []
         for (_, correction), change in zip(corrections, changes, strict=True):
-            inverse, beta, rss = self._shifted(correction)
+            inverse, beta, rss = self._standard(correction)
             moved = -change[1:].reshape(self.width, self.width)
             residual = np.append(-beta, 1.0)
             relative = residual @ moved @ residual / rss
@@ -212,10 +241,11 @@ class GroupMoments:
             return 0.0
         return root(self.reml_slopes, low, high)
 
-    def slope_map(self) -> np.ndarray:
+    def to_raw(self) -> np.ndarray:
         """Effects on (1, standardised slope) to effects on (1, slope)."""
-        mean = self.gram[0, self.slope] / self.n
-        spread = math.sqrt(max(self.gram[self.slope, self.slope] / self.n - mean**2, 0.0))
+        if self.slope is None:
+            return np.eye(1)
+        mean, spread = self.mean[self.slope - 1], self.spread[self.slope - 1]
         return np.array([[1.0, -mean / spread], [0.0, 1.0 / spread]])
 
 
@@ -224,8 +254,8 @@ def lower_factor(theta: np.ndarray) -> np.ndarray:
 
 
 def fit_lmm_grid(df: DataFrame, specs: list[ModelSpec], levels: Levels | None = None) -> list[Fit]:
-    """REML fits of several models of one outcome and group from one scan of the trials."""
-    rows = SharedRows(df, specs, levels)
+    """REML fits of several models with one group, random intercepts and slopes alike, from one scan of the trials."""
+    rows = LinearRows(df, specs, levels)
     return [fit_lmm(df, spec, levels, shared=rows) for spec in specs]
 
 
@@ -234,7 +264,7 @@ def fit_lmm(
     spec: ModelSpec,
     levels: Levels | None = None,
     local_rows: int = LOCAL_ROWS,
-    shared: SharedRows | None = None,
+    shared: LinearRows | None = None,
 ) -> Fit:
     """REML fit of a model with one grouping factor: (1 | g) or (1 + slope | g)."""
     with GroupMoments(df, spec, levels, local_rows, shared) as data:
@@ -242,15 +272,14 @@ def fit_lmm(
         if data.q == 1:
             factor = np.array([[math.sqrt(data.best_ratio())]])
         else:
-            to_raw = data.slope_map()
 
             def values(points: np.ndarray) -> np.ndarray:
-                return data.criterion([to_raw @ lower_factor(t) for t in points])
+                return data.criterion([lower_factor(t) for t in points])
 
             starts = np.array([[a, 0.0, b] for a in (0.05, 0.3, 1.0) for b in (0.05, 0.3, 1.0)])
             start = starts[int(np.argmin(values(starts)))]
             theta, converged = newton_values(values, start)
-            factor = to_raw @ lower_factor(theta)
+            factor = lower_factor(theta)
         ((logdet, correction),) = data.corrections([factor])
         inverse, beta, rss = data.generalised(correction)
         s2 = rss / (data.n - data.p)
@@ -264,9 +293,9 @@ def fit_lmm(
             "bic": reml + parameters * math.log(data.n),
             "groups": data.groups,
             "theta": float(abs(factor[0, 0])) if data.q == 1 else None,
-            **random_effect_stats(s2 * factor @ factor.T),
+            **random_effect_stats(s2 * data.to_raw() @ factor @ factor.T @ data.to_raw().T),
         }
-        return Fit(spec, data.terms, beta, s2 * inverse, data.n, converged=converged, stats=stats)
+        return with_aliased(Fit(spec, data.terms, beta, s2 * inverse, data.n, converged=converged, stats=stats), data.all_terms)
 
 
 def random_effect_stats(covariance: np.ndarray) -> dict[str, float]:
@@ -294,7 +323,8 @@ def reml_profile_slope(df: DataFrame, spec: ModelSpec, points: list[tuple[float,
 def _profile(df: DataFrame, spec: ModelSpec, factors: list[np.ndarray], levels: Levels | None) -> DataFrame:
     with GroupMoments(df, spec, levels) as data:
         rows = []
-        for point, (logdet, correction) in enumerate(data.corrections(factors)):
+        standard = [np.linalg.solve(data.to_raw(), f) for f in factors]
+        for point, (logdet, correction) in enumerate(data.corrections(standard)):
             _, beta, rss = data.generalised(correction)
             rows.append((point, *map(float, beta), float(rss) / (data.n - data.p), float(data.reml(logdet, correction))))
     betas = "".join(f", beta{i} double" for i in range(data.p))

@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trialstats.models.moments import State, independent
 from trialstats.models.reduce import LOCAL_ROWS, Kernel, SumOverRows
 from trialstats.models.spec import (
     INTERCEPT,
@@ -22,6 +23,7 @@ from trialstats.models.spec import (
     factor_levels,
     predictor_columns,
     scaled_inverse,
+    with_aliased,
 )
 
 MAX_STEPS = 30
@@ -65,7 +67,11 @@ def newton_sums(x: np.ndarray, m: np.ndarray, s: np.ndarray, beta: np.ndarray) -
 def fit_logit(
     df: DataFrame, specs: list[ModelSpec], levels: Levels | None = None, local_rows: int = LOCAL_ROWS
 ) -> list[Fit]:
-    """Maximum likelihood for each specification on its own complete rows."""
+    """Maximum likelihood for each specification on its own complete rows.
+
+    A term that is constant or follows from those before it is left out and
+    reported without an estimate.
+    """
     outcomes = {s.outcome for s in specs}
     if len(outcomes) != 1:
         raise ValueError("all models of one call must share the outcome")
@@ -77,7 +83,12 @@ def fit_logit(
     where = {t: i for i, t in enumerate(columns)}
     uses = [[where[t] for t in terms] for terms in designs]
     with SumOverRows(merged, local_rows) as table:
-        return _newton(specs, designs, uses, table)
+        states = _states(uses, table)
+        kept = [independent(state, len(use)) for state, use in zip(states, uses, strict=True)]
+        terms = [[list(d)[k] for k in own] for d, own in zip(designs, kept, strict=True)]
+        states = [state.pick(own) for state, own in zip(states, kept, strict=True)]
+        fits = _newton(specs, terms, [[use[k] for k in own] for use, own in zip(uses, kept, strict=True)], states, table)
+    return [with_aliased(fit, [INTERCEPT, *d]) for fit, d in zip(fits, designs, strict=True)]
 
 
 def _design(block: np.ndarray, use: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,7 +103,7 @@ def _newton_kernel(points: list[tuple[list[int], np.ndarray]]) -> Kernel:
     return kernel
 
 
-def _newton(specs, designs, uses, table: SumOverRows) -> list[Fit]:
+def _newton(specs, designs, uses, states: list[State], table: SumOverRows) -> list[Fit]:
     sizes = [len(u) + 1 for u in uses]
     beta = [np.zeros(p) for p in sizes]
     best: list[tuple[float, np.ndarray] | None] = [None] * len(specs)
@@ -122,31 +133,30 @@ def _newton(specs, designs, uses, table: SumOverRows) -> list[Fit]:
                 best[k] = (part[0], beta[k] + step)
             beta[k] = beta[k] + step
     return [
-        _finish(specs[k], [INTERCEPT, *designs[k]], best[k], sums[k], done[k], *location)
-        for k, location in enumerate(_locations(uses, table))
+        _finish(specs[k], [INTERCEPT, *designs[k]], best[k], sums[k], done[k], state.mean, state.spread)
+        for k, state in enumerate(states)
     ]
 
 
-def _locations(uses: list[list[int]], table: SumOverRows) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Mean and spread of the predictors of each model: means first, then squares around them."""
+def _states(uses: list[list[int]], table: SumOverRows) -> list[State]:
+    """Trials, means and centred products of the predictors of each model: means first, then products around them."""
 
-    def sums(centres: list[np.ndarray], power: int) -> list[np.ndarray]:
+    def sums(part_of) -> list[np.ndarray]:
         def kernel(block: np.ndarray) -> np.ndarray:
-            parts = []
-            for use, centre in zip(uses, centres, strict=True):
-                x, m, _ = _design(block, use)
-                parts.append(np.append(m.sum(), m @ (x[:, 1:] - centre) ** power))
-            return np.concatenate(parts)
+            return np.concatenate([part_of(k, *_design(block, use)[:2]) for k, use in enumerate(uses)])
 
         flat, start, out = table.sum(kernel), 0, []
-        for use in uses:
-            part = flat[start : start + len(use) + 1]
-            out.append(part[1:] / max(part[0], 1.0))
-            start += len(part)
+        for k, use in enumerate(uses):
+            size = len(part_of(k, np.ones((0, len(use) + 1)), np.ones(0)))
+            out.append(flat[start : start + size])
+            start += size
         return out
 
-    means = sums([np.zeros(len(use)) for use in uses], 1)
-    return [(m, np.sqrt(v)) for m, v in zip(means, sums(means, 2), strict=True)]
+    totals = sums(lambda k, x, m: m @ x)
+    counts = [t[0] for t in totals]
+    means = [t[1:] / max(t[0], 1.0) for t in totals]
+    products = sums(lambda k, x, m: ((x[:, 1:] - means[k]) * m[:, None]).T.dot(x[:, 1:] - means[k]).ravel())
+    return [State(n, mean, flat.reshape(len(mean), len(mean))) for n, mean, flat in zip(counts, means, products, strict=True)]
 
 
 def _safe_solve(information: np.ndarray, score: np.ndarray) -> np.ndarray:

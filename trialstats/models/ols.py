@@ -1,4 +1,4 @@
-"""Linear regression from cross-products: one scan for any number of models."""
+"""Linear regression from mergeable cross-products: one scan for any number of models."""
 
 from __future__ import annotations
 
@@ -9,22 +9,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialstats.functions.distributions import f_upper
-from trialstats.models.reduce import Kernel, sum_over_frame
-from trialstats.models.spec import (
-    INTERCEPT,
-    Fit,
-    Levels,
-    ModelSpec,
-    factor_levels,
-    predictor_columns,
-    rough_levels,
-    solve_normal,
-    unshifted,
-)
+from trialstats.models.moments import State, complete, independent, overall
+from trialstats.models.spec import INTERCEPT, Fit, Levels, ModelSpec, factor_levels, predictor_columns, solve_normal, unscaled, with_aliased
 
 
 def fit_ols(df: DataFrame, specs: list[ModelSpec], levels: Levels | None = None) -> list[Fit]:
-    """Least squares for each specification on its own complete rows."""
+    """Least squares for each specification on its own complete rows.
+
+    A term that is constant or follows from those before it is left out and
+    reported without an estimate.
+    """
     names = sorted({n for s in specs for n in s.fixed})
     known = factor_levels(df, names, levels)
     designs = [predictor_columns(s.fixed, known) for s in specs]
@@ -32,52 +26,27 @@ def fit_ols(df: DataFrame, specs: list[ModelSpec], levels: Levels | None = None)
     columns = {t: c for terms in designs for t, c in terms.items()}
     columns.update({f"y:{s.outcome}": F.col(s.outcome).cast("double") for s in specs})
     where = {t: i for i, t in enumerate(columns)}
-    frame = df.select(*[c.alias(f"c{i}") for i, c in enumerate(columns.values())])
-    # Deviations from a rough level of each column, so that values far from zero keep their digits.
-    shift = rough_levels(frame)
-    frame = frame.select(*[(F.col(c) - F.lit(float(v))).alias(c) for c, v in zip(frame.columns, shift, strict=True)])
-    uses = [[where[t] for t in terms] + [where[f"y:{s.outcome}"]] for s, terms in zip(specs, designs, strict=True)]
-    grams = _grams(frame, uses)
-    return [
-        from_gram(spec, [INTERCEPT, *terms], gram, shift[use])
-        for spec, terms, gram, use in zip(specs, designs, grams, uses, strict=True)
-    ]
-
-
-def _grams(frame: DataFrame, uses: list[list[int]]) -> list[np.ndarray]:
-    flat, start, out = sum_over_frame(frame, _gram_kernel(uses)), 0, []
-    for use in uses:
-        size = len(use) + 1
-        out.append(flat[start : start + size * size].reshape(size, size))
-        start += size * size
-    return out
-
-
-def _gram_kernel(uses: list[list[int]]) -> Kernel:
-    def kernel(block: np.ndarray) -> np.ndarray:
-        parts = []
-        missing = np.isnan(block)
-        for use in uses:
-            part = block[:, use]
-            gaps = missing[:, use].any(axis=1)
-            if gaps.any():
-                part = part[~gaps]
-            x = np.column_stack([np.ones(len(part)), part])
-            parts.append((x.T @ x).ravel())
-        return np.concatenate(parts)
-
-    return kernel
-
-
-def from_gram(spec: ModelSpec, terms: list[str], gram: np.ndarray, shift: np.ndarray) -> Fit:
-    """Least squares from the cross-products of [1, predictors, outcome] less ``shift``."""
-    p = len(terms)
-    n = int(round(gram[0, 0]))
+    states = overall(df.select(*[c.alias(f"c{i}") for i, c in enumerate(columns.values())]))
+    fits = []
+    for spec, terms in zip(specs, designs, strict=True):
+        state = complete(states, [*[where[t] for t in terms], where[f"y:{spec.outcome}"]])
+        fits.append(from_state(spec, [INTERCEPT, *terms], state))
+    return fits
+
+
+def from_state(spec: ModelSpec, terms: list[str], state: State | None) -> Fit:
+    """Least squares from the state of the predictors and the outcome."""
+    kept = independent(state, len(terms) - 1) if state else []
+    own = state.pick([*kept, len(terms) - 1]) if state else None
+    p, n = len(kept) + 1, int(round(own.n)) if own else 0
     if n <= p:
         raise ValueError(f"{spec.name}: {n} complete rows for {p} coefficients")
-    inverse, estimate, rss = solve_normal(gram)
-    inverse, estimate = unshifted(inverse, estimate, shift)
-    tss = gram[p, p] - gram[0, p] ** 2 / n
+    spread = own.spread[:-1]
+    scale = np.append(spread, 1.0)
+    scaled = State(own.n, np.zeros(p), own.product / scale[:, None] / scale[None, :])
+    inverse, estimate, rss = solve_normal(scaled.gram())
+    inverse, estimate = unscaled(inverse, estimate, own.mean[:-1], spread, own.mean[-1])
+    tss = own.product[-1, -1]
     df = n - p
     s2 = rss / df
     loglik = -n / 2 * (math.log(2 * math.pi) + math.log(rss / n) + 1) if rss > 0 else math.inf
@@ -89,4 +58,5 @@ def from_gram(spec: ModelSpec, terms: list[str], gram: np.ndarray, shift: np.nda
     k = p + 1
     stats["aic"] = -2 * loglik + 2 * k
     stats["bic"] = -2 * loglik + math.log(n) * k
-    return Fit(spec, terms, estimate, s2 * inverse, n, df_resid=df, stats=stats)
+    fit = Fit(spec, [INTERCEPT, *[terms[k + 1] for k in kept]], estimate, s2 * inverse, n, df_resid=df, stats=stats)
+    return with_aliased(fit, terms)

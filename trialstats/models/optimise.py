@@ -6,12 +6,12 @@ stencil, or all step lengths of a line search.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Generator
 
 import numpy as np
 
 Values = Callable[[np.ndarray], np.ndarray]
-ValuesAndGradients = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]
+Minimum = tuple[np.ndarray, float, np.ndarray, bool]
 
 STEP_LENGTHS = np.array([1.0, 0.5, 0.25, 0.1, 0.02])
 
@@ -66,19 +66,19 @@ def newton_values(evaluate: Values, start: np.ndarray, h: float = 1e-3, rounds:
     return x, False
 
 
-def newton_gradients(
-    evaluate: ValuesAndGradients, start: np.ndarray, h: float = 1e-4, rounds: int = 60
-) -> tuple[np.ndarray, float, np.ndarray, bool]:
+def newton_steps(start: np.ndarray, h: float = 1e-4, rounds: int = 60) -> Generator[np.ndarray, tuple[np.ndarray, np.ndarray], Minimum]:
     """Newton's method with the Hessian differenced from a batch of gradients.
 
-    Each request holds the stencil around the full Newton step and a few shorter
-    steps, so a round that accepts the full step costs a single job.  Returns the
-    minimiser, its value, the Hessian there and whether it converged.
+    A generator that asks for values and gradients at points: many searches can
+    then share each evaluation.  Each request holds the stencil around the full
+    Newton step and a few shorter steps, so a round that accepts the full step
+    costs a single one.  Returns the minimiser, its value, the Hessian there and
+    whether it converged.
     """
     x, k = start.copy(), len(start)
     offsets = np.vstack([np.zeros(k), h * np.eye(k), -h * np.eye(k)])
     shorter = STEP_LENGTHS[1:, None]
-    f, g = evaluate(x + offsets)
+    f, g = yield x + offsets
     stalled = 0
     for _ in range(rounds):
         hessian = (g[1 : k + 1] - g[k + 1 : 2 * k + 1]) / (2 * h)
@@ -90,15 +90,30 @@ def newton_gradients(
             return x + step, float(f[0]), hessian, True
         if stalled == 2:
             return x, float(f[0]), hessian, True
-        trial, slopes = evaluate(np.vstack([x + step + offsets, x + shorter * step]))
+        trial, slopes = yield np.vstack([x + step + offsets, x + shorter * step])
         short = trial[len(offsets) :]
         best = int(np.argmin(short))
         if trial[0] < f[0] and trial[0] <= short[best]:
             gain, x, f, g = f[0] - trial[0], x + step, trial, slopes
         elif short[best] < f[0]:
             gain, x = f[0] - short[best], x + shorter[best] * step
-            f, g = evaluate(x + offsets)
+            f, g = yield x + offsets
         else:
             return x, float(f[0]), hessian, bool(np.abs(step).max() < 1e-4)
         stalled = stalled + 1 if gain < 1e-6 else 0
     return x, float(f[0]), hessian, False
+
+
+def together(evaluate: Callable[[dict[int, np.ndarray]], dict[int, tuple[np.ndarray, np.ndarray]]], starts: list[np.ndarray]) -> list[Minimum]:
+    """Minima of several functions; each round evaluates the points of all searches that go on at once."""
+    searches = {k: newton_steps(start) for k, start in enumerate(starts)}
+    asked = {k: next(search) for k, search in searches.items()}
+    found: dict[int, Minimum] = {}
+    while asked:
+        for k, answer in evaluate(asked).items():
+            try:
+                asked[k] = searches[k].send(answer)
+            except StopIteration as end:
+                found[k] = end.value
+                del asked[k]
+    return [found[k] for k in range(len(starts))]

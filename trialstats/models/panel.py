@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from trialstats.models.lmm import GroupMoments
-from trialstats.models.spec import Fit, Levels, ModelSpec, scaled_inverse
+from trialstats.models.spec import Fit, Levels, ModelSpec, scaled_inverse, with_aliased
 
 
 def fit_panel(df: DataFrame, spec: ModelSpec, levels: Levels | None = None) -> Fit:
@@ -41,7 +41,7 @@ def fit_panel(df: DataFrame, spec: ModelSpec, levels: Levels | None = None) -> F
             # Share removed from each observation when all panels are of average length.
             "theta": 1.0 - 1.0 / math.sqrt(1.0 + ratio * n / groups),
         }
-        return Fit(spec, data.terms, beta, s2 * inverse, n, stats=stats)
+        return with_aliased(Fit(spec, data.terms, beta, s2 * inverse, n, stats=stats), data.all_terms)
 
 
 def _within_variance(data: GroupMoments, means: np.ndarray) -> float:

@@ -1,4 +1,4 @@
-"""Rows of mixed models: one scan of the trials for any number of specifications."""
+"""Rows of logistic mixed models: one scan of the trials for any number of specifications."""
 
 from __future__ import annotations
 
@@ -6,16 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialstats import runtime
-from trialstats.models.spec import Levels, ModelSpec, factor_levels, predictor_columns, rough_levels
+from trialstats.models.spec import Levels, ModelSpec, factor_levels, predictor_columns
 
 
 class SharedRows:
-    """Trials with weight ``m`` and the sums of the outcome and of its square.
+    """Trials with weight ``m`` and the sum ``s`` of the outcome.
 
     For a single model every trial is a row.  For a grid trials of the same
     group that agree in every predictor of the grid are merged and written to
     the shared folder once; each model then reads that table and not the trials.
-    The outcome of a linear model is taken less its rough level.
     """
 
     def __init__(self, df: DataFrame, specs: list[ModelSpec], levels: Levels | None = None):
@@ -30,14 +29,10 @@ class SharedRows:
             F.col(first.outcome).cast("double").alias("y"),
             *[c.alias(self.names[t]) for t, c in columns.items()],
         ).dropna(subset=["g", "y"])
-        self.level = float(rough_levels(base.select("y"))[0]) if first.family == "gaussian" else 0.0
-        moved = F.col("y") - F.lit(self.level)
         if len(specs) == 1:
-            self.table = base.select("g", *self.names.values(), F.lit(1.0).alias("m"), moved.alias("s"), (moved * moved).alias("ss"))
+            self.table = base.select("g", *self.names.values(), F.lit(1.0).alias("m"), F.col("y").alias("s"))
         else:
-            merged = base.groupBy("g", *self.names.values()).agg(
-                F.count(F.lit(1)).cast("double").alias("m"), F.sum(moved).alias("s"), F.sum(moved * moved).alias("ss")
-            )
+            merged = base.groupBy("g", *self.names.values()).agg(F.count(F.lit(1)).cast("double").alias("m"), F.sum("y").alias("s"))
             self.table = runtime.stored(merged, "grid")
 
     def terms(self, names: tuple[str, ...]) -> list[str]:
@@ -45,8 +40,8 @@ class SharedRows:
         return list(predictor_columns(names, self.levels))
 
     def frame(self, spec: ModelSpec) -> DataFrame:
-        """g, c1, c2, ... (the predictors), m, s, ss: the rows that are complete for this model."""
+        """g, c1, c2, ... (the predictors), m, s: the rows that are complete for this model."""
         terms = self.terms(spec.fixed)
         places = [f"c{i}" for i in range(1, len(terms) + 1)]
         columns = [F.col(self.names[t]).alias(p) for t, p in zip(terms, places, strict=True)]
-        return self.table.select("g", *columns, "m", "s", "ss").dropna(subset=["g", *places])
+        return self.table.select("g", *columns, "m", "s").dropna(subset=["g", *places])

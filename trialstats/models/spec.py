@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -139,25 +139,23 @@ def unpack(values, size: int) -> np.ndarray:
     return out
 
 
-# Rows from which a column's rough level is taken.
-ROUGH_ROWS = 1_000
-
-
-def rough_levels(frame: DataFrame) -> np.ndarray:
-    """Roughly where each numeric column lies, from a few rows.
-
-    Cross-products are taken of deviations from these values.  Any value near
-    the data will do: it decides how many digits are lost, not the result.
-    """
-    row = frame.limit(ROUGH_ROWS).agg(*[F.avg(F.when(~F.isnan(c), F.col(c))).alias(c) for c in frame.columns]).first()
-    levels = np.array([0.0 if v is None else float(v) for v in row])
-    return np.where(np.isfinite(levels), levels, 0.0)
-
-
-def unshifted(inverse: np.ndarray, beta: np.ndarray, shift: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Inverse and coefficients of [1, X] from those for X and y less ``shift`` (of X, then y)."""
+def unscaled(inverse: np.ndarray, beta: np.ndarray, mean: np.ndarray, spread: np.ndarray, level: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Inverse and coefficients of [1, X] from those for (X - mean) / spread and an outcome less ``level``."""
     back = np.eye(len(beta))
-    back[0, 1:] = -shift[:-1]
+    back[1:, 1:] = np.diag(1 / spread)
+    back[0, 1:] = -mean / spread
     moved = back @ beta
-    moved[0] += shift[-1]
+    moved[0] += level
     return back @ inverse @ back.T, moved
+
+
+def with_aliased(fit: Fit, terms: list[str]) -> Fit:
+    """The fit with a row for every term: those left out because others determine them have no estimate."""
+    if len(terms) == len(fit.terms):
+        return fit
+    at = [terms.index(t) for t in fit.terms]
+    estimate = np.full(len(terms), np.nan)
+    covariance = np.full((len(terms), len(terms)), np.nan)
+    estimate[at] = fit.estimate
+    covariance[np.ix_(at, at)] = fit.covariance
+    return replace(fit, terms=terms, estimate=estimate, covariance=covariance)
