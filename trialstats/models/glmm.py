@@ -406,3 +406,25 @@ def _fit(model: Laplace, point: np.ndarray, value: float, hessian: np.ndarray, c
         **spreads,
     }
     return with_aliased(Fit(model.spec, model.terms, estimate, covariance, n, converged=converged, stats=stats), model.all_terms)
+
+
+def laplace_profile(df: DataFrame, spec: ModelSpec, points: list[tuple[float, ...]], levels: Levels | None = None) -> DataFrame:
+    """The Laplace log-likelihood at given points: coefficients, then the lower factor of the random effects' covariance."""
+    data = LaplaceData(df, [spec], levels)
+    (model,) = data.models
+    try:
+        ahead = np.eye(model.p)
+        ahead[0, 1:], ahead[1:, 1:] = model.mean, np.diag(model.spread)
+        standard = []
+        for point in np.array(points, dtype=float):
+            factor = lower_factor(point[model.p :])
+            if model.q == 2:
+                j = model.slope - 1
+                moved = np.array([[1.0, model.mean[j]], [0.0, model.spread[j]]]) @ factor
+                # the lower factor of the same covariance
+                factor = np.linalg.qr(moved.T)[1].T
+            standard.append(np.concatenate([ahead @ point[: model.p], factor[np.tril_indices(model.q)]]))
+        values, _ = data.evaluate({0: np.array(standard)})[0]
+    finally:
+        data.close()
+    return df.sparkSession.createDataFrame([(k, -float(v)) for k, v in enumerate(values)], "point int, loglik double")

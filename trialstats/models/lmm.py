@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -56,6 +57,10 @@ class Layout:
     def start(self) -> int:
         return self.first + 1 + self.width * (self.width + 1) // 2
 
+    @property
+    def size(self) -> int:
+        return self.start + self.q * self.width * (self.q * self.width + 1) // 2
+
     def totals(self, block: np.ndarray) -> np.ndarray:
         return block[:, self.first : self.start].sum(axis=0)
 
@@ -71,6 +76,20 @@ class Layout:
         return zz, block[:, self.first], outer.reshape(rows, q, width, q, width)
 
 
+def merged_groups(layout: Layout, z: list[int], sums: np.ndarray) -> np.ndarray:
+    """Rows of the layout from the cross-products of some groups: one for each different Z'Z."""
+    i, j = np.triu_indices(layout.q)
+    zz = sums[:, np.array(z)[i], np.array(z)[j]]
+    zw = sums[:, z, :].reshape(len(sums), -1)
+    i, j = np.triu_indices(layout.width)
+    a, b = np.triu_indices(zw.shape[1])
+    keys, of = np.unique(np.round(zz, AGREE), axis=0, return_inverse=True)
+    order = np.argsort(of.reshape(-1), kind="stable")
+    starts = np.flatnonzero(np.r_[True, np.diff(of.reshape(-1)[order]) > 0])
+    rows = np.column_stack([np.ones(len(sums)), sums[:, i, j], zw[:, a] * zw[:, b]])[order]
+    return np.column_stack([keys, np.add.reduceat(rows, starts, axis=0)])
+
+
 def _weighted_kernel(layout: Layout, weights) -> Kernel:
     def kernel(block: np.ndarray) -> np.ndarray:
         zz, _, outer = layout.parts(block)
@@ -112,7 +131,7 @@ def _ratio_kernel(layout: Layout, ratios: np.ndarray) -> Kernel:
 class LinearRows:
     """Group states of the union design of some models with one group: one scan of the trials."""
 
-    def __init__(self, df: DataFrame, specs: list[ModelSpec], levels: Levels | None = None):
+    def __init__(self, df: DataFrame, specs: list[ModelSpec], levels: Levels | None = None, local_rows: int = LOCAL_ROWS):
         if len({s.group for s in specs}) != 1:
             raise ValueError("models of one grid must share the group")
         self.levels = factor_levels(df, sorted({n for s in specs for n in s.fixed}), levels)
@@ -121,7 +140,7 @@ class LinearRows:
         self.where = {t: i for i, t in enumerate(columns)}
         group = F.col(specs[0].group)
         keyed = df.filter(group.isNotNull()).select(group.alias("g"), *[c.alias(f"c{i}") for i, c in enumerate(columns.values())])
-        self.groups = GroupStates(keyed)
+        self.groups = GroupStates(keyed, local_rows)
 
     def terms(self, names: tuple[str, ...]) -> list[str]:
         return list(predictor_columns(names, self.levels))
@@ -141,7 +160,7 @@ class GroupMoments:
         local_rows: int = LOCAL_ROWS,
         shared: LinearRows | None = None,
     ):
-        rows = shared or LinearRows(df, [spec], levels)
+        rows = shared or LinearRows(df, [spec], levels, local_rows)
         names = rows.terms(spec.fixed)
         use = [*[rows.where[t] for t in names], rows.where[f"y:{spec.outcome}"]]
         state = complete(rows.groups.states, use)
@@ -165,8 +184,9 @@ class GroupMoments:
         self.z = [0] if self.slope is None else [0, self.slope]
         self.q = len(self.z)
         self.layout = Layout(self.q, self.width)
-        sums = rows.groups.sums([use[k] for k in [*kept, len(names)]], self.mean, self.spread)
-        self.table = SumOverRows(self._merged(sums), local_rows)
+        make = partial(merged_groups, self.layout, self.z)
+        found = rows.groups.rows([use[k] for k in [*kept, len(names)]], self.mean, self.spread, make, self.layout.size)
+        self.table = SumOverRows(found, local_rows)
         whole = self.table.sum(self.layout.totals)
         self.groups = int(round(whole[0]))
         self.gram = unpack(whole[1:], self.width)
@@ -178,18 +198,6 @@ class GroupMoments:
     def __exit__(self, *exc) -> None:
         self.table.__exit__(*exc)
 
-    def _merged(self, per_group: DataFrame) -> DataFrame:
-        name = {ij: f"s_{ij[0]}_{ij[1]}" for ij in triangle(self.width)}
-        zz = [name[self.z[a], self.z[b]] for a, b in triangle(self.q)]
-        zw = [F.col(name[min(a, j), max(a, j)]) for a in self.z for j in range(self.width)]
-        # A group key must not hide a column of the same name from the sums.
-        keyed = per_group.withColumns({f"z{i}": F.round(F.col(c), AGREE) for i, c in enumerate(zz)})
-        return keyed.groupBy(*[f"z{i}" for i in range(len(zz))]).agg(
-            F.count(F.lit(1)).alias("cnt"),
-            *[F.sum(c).alias(f"t{i}") for i, c in enumerate(name.values())],
-            *[F.sum(zw[i] * zw[j]).alias(f"o{i}_{j}") for i, j in triangle(len(zw))],
-        )
-
     def weighted(self, weights) -> np.ndarray:
         """Sum over groups of [1 X y]'Z W Z'[1 X y] for W = weights(Z'Z)."""
         return self.table.sum(_weighted_kernel(self.layout, weights)).reshape(self.width, self.width)

@@ -13,7 +13,7 @@ number of models, each on its own complete rows, come from one scan.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,13 +22,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialstats import runtime
+from trialstats.models.reduce import LOCAL_ROWS
 
 # Rows of a block when states are made for each group.
 BLOCK_ROWS = 50_000
 # Tasks that merge the states of all others before the driver does.
 MERGERS = 16
+# States worked on at a time when groups are put together.
+GROUPS = 4_000
 KIND = "n double, mean array<double>, product array<double>"
 
+Make = Callable[[np.ndarray], np.ndarray]
+
 
 @dataclass(frozen=True)
 class State:
@@ -211,28 +216,73 @@ def complete(states: list[State], use: list[int]) -> State | None:
 class GroupStates:
     """States for each group, written once; every model of a grid is cut from them."""
 
-    def __init__(self, keyed: DataFrame):
+    def __init__(self, keyed: DataFrame, local_rows: int = LOCAL_ROWS):
         """`keyed` has the group g and numeric columns."""
         columns = [c for c in keyed.columns if c != "g"]
         kind = keyed.schema["g"].dataType.simpleString()
         self.table = runtime.stored(keyed.mapInArrow(_grouped(columns), f"g {kind}, {KIND}"), "states")
-        self.width = len(columns)
         self.states = _collected(self.table.select("n", "mean", "product"))
+        self._local = self.table.toArrow().to_batches() if self.table.count() <= local_rows else None
+
+    def rows(self, use: list[int], centre: np.ndarray, scale: np.ndarray, make: Make, width: int) -> np.ndarray | DataFrame:
+        """What `make` returns for the groups' cross-products of [1, (columns - centre) / scale] over their complete rows.
+
+        `make` takes some groups at a time (groups x size x size) and returns rows
+        of `width` numbers.  Few groups are worked on here, many where they are.
+        """
+        run = _by_group(use, centre, scale, make, width)
+        if self._local is not None:
+            keyed = pa.Table.from_batches(self._local, schema=self.table.limit(0).toArrow().schema).sort_by("g") if self._local else None
+            parts = [_stacked(b.column("row"), len(b)) for b in run(iter(keyed.combine_chunks().to_batches()))] if keyed is not None else []
+            return np.concatenate(parts) if parts else np.zeros((0, width))
+        dealt = self.table.repartition("g").sortWithinPartitions("g")
+        made = dealt.mapInArrow(run, "row array<double>")
+        return made.select(*[F.col("row")[i].alias(f"r{i}") for i in range(width)])
+
+
+def _by_group(use: list[int], centre: np.ndarray, scale: np.ndarray, make: Make, width: int):
+    """Over states sorted by group, in pieces that end with a group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            for at in range(0, len(batch), GROUPS):
+                held.append(batch.slice(at, GROUPS))
+                size += len(held[-1])
+                if size < GROUPS:
+                    continue
+                block = pa.Table.from_batches(held).combine_chunks()
+                codes = _codes(block)
+                last = int(np.flatnonzero(codes != codes[-1])[-1]) + 1 if (codes != codes[-1]).any() else 0
+                if last:
+                    yield from rows(block.slice(0, last), codes[:last])
+                held, size = block.slice(last).to_batches(), len(block) - last
+        if size:
+            block = pa.Table.from_batches(held).combine_chunks()
+            yield from rows(block, _codes(block))
+
+    def rows(block: pa.Table, codes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        n = block.column("n").to_numpy()
+        mean, product = (_stacked(block.column(c).combine_chunks(), len(block)) for c in ("mean", "product"))
+        whole = ~np.isnan(mean[:, use]).any(axis=1)
+        if not whole.any():
+            return
+        n, codes, k = n[whole], codes[whole], mean.shape[1]
+        apart = (mean[whole][:, use] - centre) / scale
+        sums = np.empty((len(n), len(use) + 1, len(use) + 1))
+        sums[:, 0, 0] = n
+        sums[:, 0, 1:] = sums[:, 1:, 0] = n[:, None] * apart
+        inner = _square(product[whole], k)[:, use][:, :, use] / scale[:, None] / scale[None, :]
+        sums[:, 1:, 1:] = inner + n[:, None, None] * apart[:, :, None] * apart[:, None, :]
+        out = make(np.add.reduceat(sums, np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]), axis=0))
+        yield pa.RecordBatch.from_arrays([_lists(out)], ["row"])
+
+    return run
+
 
-    def sums(self, use: list[int], centre: np.ndarray, scale: np.ndarray) -> DataFrame:
-        """g, n, s_i_j: for each group the cross-products of [1, (columns - centre) / scale] over its complete rows."""
-        place = {pair: at for at, pair in enumerate(zip(*np.triu_indices(self.width)))}
-        apart = [(F.col("mean")[c] - F.lit(float(m))) / F.lit(float(s)) for c, m, s in zip(use, centre, scale, strict=True)]
-        sums = {"s_0_0": F.sum("n")}
-        for a, x in enumerate(apart):
-            sums[f"s_0_{a + 1}"] = F.sum(F.col("n") * x)
-            for b in range(a, len(apart)):
-                product = F.col("product")[place[min(use[a], use[b]), max(use[a], use[b])]] / F.lit(float(scale[a] * scale[b]))
-                sums[f"s_{a + 1}_{b + 1}"] = F.sum(product + F.col("n") * x * apart[b])
-        whole = self.table
-        for c in use:
-            whole = whole.filter(~F.isnan(F.col("mean")[c]))
-        return whole.groupBy("g").agg(*[c.alias(k) for k, c in sums.items()])
+def _codes(block: pa.Table) -> np.ndarray:
+    return block.column("g").combine_chunks().dictionary_encode().indices.to_numpy()
 
 
 # A column counts as determined by those before it if it keeps less than this share of its sum of squares.

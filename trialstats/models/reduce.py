@@ -45,7 +45,10 @@ def sum_over_frame(frame: DataFrame, kernel: Kernel) -> np.ndarray:
 class SumOverRows:
     """Numeric rows, kept on the cluster unless they are few."""
 
-    def __init__(self, frame: DataFrame, local_rows: int = LOCAL_ROWS):
+    def __init__(self, frame: DataFrame | np.ndarray, local_rows: int = LOCAL_ROWS):
+        if isinstance(frame, np.ndarray):
+            self._frame, self._local, self.rows = None, frame, len(frame)
+            return
         self.columns = frame.columns
         self._frame = frame.select(*[F.col(c).cast("double").alias(c) for c in frame.columns]).persist()
         self.rows = self._frame.count()
@@ -58,7 +61,8 @@ class SumOverRows:
         return self
 
     def __exit__(self, *exc) -> None:
-        self._frame.unpersist()
+        if self._frame is not None:
+            self._frame.unpersist()
 
     def sum(self, kernel: Kernel) -> np.ndarray:
         """``kernel`` maps (rows, columns) to a vector; returns the sum over all rows."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialstats.models import catalogue, report
-from trialstats.models.glmm import fit_glmm
+from trialstats.models.glmm import fit_glmm, fit_glmm_grid, laplace_profile
 from trialstats.models.lmm import fit_lmm, fit_lmm_grid, reml_profile, reml_profile_slope
 from trialstats.models.logit import fit_logit
 from trialstats.models.ols import fit_ols
@@ -333,23 +333,58 @@ def _other_intercepts(task: str, outcome: str) -> list[ModelSpec]:
     ]
 
 
+def _slopes(task: str, outcome: str) -> list[ModelSpec]:
+    """Every random-slope model of a task."""
+    families = catalogue.FAMILIES[task].items()
+    return [catalogue.spec(task, outcome, "mes", catalogue.MAIN[main], c) for (of, kind, main), sets in families if (of, kind) == (outcome, "mes") for c in sets]
+
+
+def _grid(spark, d, specs: list[ModelSpec]) -> list[Fit]:
+    fit = fit_glmm_grid if specs[0].family == "binomial" else fit_lmm_grid
+    return fit(model_frame(spark, d, specs), specs, LEVELS)
+
+
 def _register_mixed_grids() -> None:
-    """The remaining linear random-intercept models of each task, from one scan of the trials."""
+    """All other mixed models of each task, a grid for each outcome, from one scan of the trials.
+
+    The SQL of the single models is too slow with this many terms; tests hold
+    grids against single fits, and the profiles are checked in SQL.
+    """
     for task in catalogue.TASKS:
-        specs = _other_intercepts(task, "time")
+        lines, logits = _other_intercepts(task, "time"), _other_intercepts(task, "acc")
 
-        def run(spark, d, specs=specs):
-            fits = fit_lmm_grid(model_frame(spark, d, specs), specs, LEVELS)
+        def linear(spark, d, specs=lines):
+            fits = _grid(spark, d, specs)
             known = report.fit_table(spark, fits).select("model", "n", "converged")
             return _mixed_table(spark, fits).join(known, "model")
 
-        # The SQL of the single models is too slow with this many terms; a test holds grids against single fits.
-        query(f"model_grid_lmm_{task}")(run)
+        def logistic(spark, d, specs=logits):
+            fits = _grid(spark, d, specs)
+            known = report.fit_table(spark, fits).select("model", "n", "converged")
+            return _logistic_tables(spark, fits).join(known, "model")
+
+        query(f"model_grid_lmm_{task}")(linear)
+        query(f"model_grid_glmm_{task}")(logistic)
+        for outcome, kind in (("time", "lmm"), ("acc", "glmm")):
+
+            def slopes(spark, d, specs=_slopes(task, outcome)):
+                return _mixed_summaries(spark, _grid(spark, d, specs))
+
+            query(f"model_grid_{kind}_slope_{task}")(slopes)
 
 
 _register_mixed_grids()
 
 
+@query("post_learning_tsp")
+def post_learning_tsp(spark, d):
+    """The linear random-slope models that are fitted to the trials after the learning phase only."""
+    wanted = set(catalogue.POST_LEARNING["tsp"])
+    specs = [s for s in _slopes("tsp", "time") if s.name in wanted]
+    late = model_frame(spark, d, specs, ("TrialNumber",)).filter(F.col("TrialNumber") > 6)
+    return _mixed_summaries(spark, fit_lmm_grid(late, specs, LEVELS))
+
+
 @query("lmm_slope_time_pt")
 def lmm_slope_time_pt(spark, d):
     spec = catalogue.spec("sat", "time", "mes", "InPhaseTransition")
@@ -401,6 +436,55 @@ def glmm_slope_acc_pt(spark, d):
     return _mixed_summary(spark, fit_glmm(model_frame(spark, d, [spec]), spec, LEVELS))
 
 
+# Points (intercept, slope, and the lower factor of the covariance of their random effects).
+LAPLACE_POINTS = [(0.5, -0.3, 0.4, 0.1, 0.3), (0.2, 0.1, 0.0, 0.0, 0.0), (1.0, -0.8, 1.2, -0.5, 0.7), (0.4, 0.0, 0.1, 0.6, 0.05)]
+
+
+def _sql_laplace(where: str) -> str:
+    """The Laplace objective of a binary slope: the mode of a group's two effects by Newton steps on its four counts."""
+    points = ", ".join(f"({k}, {', '.join(f'{v}::DOUBLE' for v in p)})" for k, p in enumerate(LAPLACE_POINTS))
+    mu = "(1 / (1 + exp(-({}))))"
+    e0, e1 = "b0 + l1 * v0", "b0 + b1 + (l1 + l2) * v0 + l3 * v1"
+    m0, m1 = mu.format(e0), mu.format(e1)
+    state = f"""SELECT *, s0 - n0 * m0 AS r0, s1 - n1 * m1 AS r1, n0 * m0 * (1 - m0) AS w0, n1 * m1 * (1 - m1) AS w1
+        FROM (SELECT *, {m0} AS m0, {m1} AS m1 FROM (SELECT * FROM modes))"""
+    curved = """SELECT *, 1 + w0 * l1 * l1 + w1 * (l1 + l2) * (l1 + l2) AS a00, w1 * (l1 + l2) * l3 AS a01, 1 + w1 * l3 * l3 AS a11,
+        r0 * l1 + r1 * (l1 + l2) - v0 AS q0, r1 * l3 - v1 AS q1"""
+    return f"""WITH RECURSIVE f AS (SELECT participant_id AS g, CASE WHEN InPhaseTransition = 'Yes' THEN 1 ELSE 0 END AS x, correct AS y
+          FROM ({b.SQL_ANALYSIS}) WHERE {where}),
+      gr AS (SELECT g, count(*) FILTER (x = 0)::DOUBLE AS n0, coalesce(sum(y) FILTER (x = 0), 0)::DOUBLE AS s0,
+          count(*) FILTER (x = 1)::DOUBLE AS n1, coalesce(sum(y) FILTER (x = 1), 0)::DOUBLE AS s1 FROM f WHERE g IS NOT NULL AND y IS NOT NULL GROUP BY g),
+      pts(point, b0, b1, l1, l2, l3) AS (VALUES {points}),
+      modes AS (
+        SELECT 0 AS k, *, 0.0::DOUBLE AS v0, 0.0::DOUBLE AS v1 FROM gr, pts
+        UNION ALL
+        SELECT k + 1, g, n0, s0, n1, s1, point, b0, b1, l1, l2, l3, v0 + d0 * least(1, 2 / big), v1 + d1 * least(1, 2 / big)
+        FROM (SELECT *, greatest(abs(d0), abs(d1), 1e-300) AS big FROM (
+          SELECT *, (a11 * q0 - a01 * q1) / (a00 * a11 - a01 * a01) AS d0, (a00 * q1 - a01 * q0) / (a00 * a11 - a01 * a01) AS d1
+          FROM ({curved} FROM ({state})))) WHERE k < 30
+      )
+      SELECT point, round(sum(s0 * ({e0}) - n0 * ln(1 + exp({e0})) + s1 * ({e1}) - n1 * ln(1 + exp({e1}))
+          - 0.5 * (v0 * v0 + v1 * v1) - 0.5 * ln(a00 * a11 - a01 * a01)), 4) AS loglik
+      FROM ({curved} FROM ({state})) WHERE k = 30 GROUP BY point"""
+
+
+def _laplace_profile(spark, d, late: bool) -> DataFrame:
+    spec = catalogue.spec("sat", "acc", "mes", "InPhaseTransition")
+    frame = model_frame(spark, d, [spec], ("TrialNumber",))
+    return rounded(laplace_profile(frame.filter(F.col("TrialNumber") > 6) if late else frame, spec, LAPLACE_POINTS, LEVELS), 4)
+
+
+@query("glmm_slope_profile", _sql_laplace("TRUE"))
+def glmm_slope_profile(spark, d):
+    """The Laplace log-likelihood of the random-slope model at fixed points."""
+    return _laplace_profile(spark, d, late=False)
+
+
+@query("glmm_slope_profile_post_learning", _sql_laplace("TrialNumber > 6"))
+def glmm_slope_profile_post_learning(spark, d):
+    return _laplace_profile(spark, d, late=True)
+
+
 @query("glmm_slope_acc_post_learning")
 def glmm_slope_acc_post_learning(spark, d):
     """The random-slope model on the trials after the learning phase."""
