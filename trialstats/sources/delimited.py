@@ -1,10 +1,11 @@
 """Participant log files: preamble lines, a header line, separated values.
 
-Small files are read whole, one row per file, and split in place: their header
-is at hand and nothing is shuffled.  Files above a size limit are read as
-splittable lines, so a single huge log spreads over as many tasks as it has
-blocks.  Both ways end a line at a line feed, drop one carriage return before
-it, and number the lines of a file from 0; the header is line ``skip``.
+Logs of every size are read by one data source (``logs``) in byte ranges, without
+a copy or a shuffle.  In stores that only Spark's own readers reach, small files
+are read whole, one row per file, and split in place; files above a size limit
+are read as splittable lines.  All ways end a line at a line feed, drop one
+carriage return before it, and number the lines of a file from 0; the header is
+line ``skip``.
 """
 
 from __future__ import annotations
@@ -18,11 +19,12 @@ from pyspark.sql import types as T
 
 from trialstats import runtime
 from trialstats.operators.joins import natural_join
+from trialstats.sources import logs, stores
 
 LOG_KINDS = {"instances": "InstancesInfo.txt", "trials": "TrialInfo.txt", "times": "TimeStamps.txt"}
 # Preamble lines before the header, per kind of log.
 PREAMBLE = {"instances": 1, "trials": 1, "times": 2}
-# Files up to this size are read as a single row.
+# Files up to this size are read as a single row where only Spark reaches them.
 WHOLE_FILE_BYTES = 32 * 1024 * 1024
 
 
@@ -86,14 +88,17 @@ def _columns(schema: T.StructType, mapping: dict[str, str] | None) -> list[Colum
     for field in schema.fields:
         source = (mapping or {}).get(field.name, field.name)
         position = F.array_position("names", F.lit(source))
-        text = F.when(position > 0, F.get("fields", (position - 1).cast("int")))
-        text = F.when(text != "NA", text)
-        if not isinstance(field.dataType, T.StringType):
-            text = F.trim(text).try_cast(field.dataType)
-        outputs.append(text.alias(field.name))
+        outputs.append(_typed(F.when(position > 0, F.get("fields", (position - 1).cast("int"))), field))
     return outputs
 
 
+def _typed(text: Column, field: T.StructField) -> Column:
+    text = F.when(text != "NA", text)
+    if not isinstance(field.dataType, T.StringType):
+        text = F.trim(text).try_cast(field.dataType)
+    return text.alias(field.name)
+
+
 def _names(line: Column, split: str) -> Column:
     return F.transform(F.split(line, split), clean_name)
 
@@ -138,19 +143,33 @@ def read_delimited(
     sep: str = ";",
     skip: int = 1,
     mapping: dict[str, str] | None = None,
-    whole_bytes: int = WHOLE_FILE_BYTES,
+    whole_bytes: int | None = None,
+    range_bytes: int = logs.RANGE_BYTES,
 ) -> DataFrame:
     """All files under a glob as one frame, tagged with path, line number and participant.
 
-    The size test is on file metadata, so it selects files before any is opened.
+    Files are read in ranges of ``range_bytes``.  Given ``whole_bytes``, or for a
+    store that Python tasks don't reach, Spark's own readers take their place,
+    files up to that size as single rows.
     """
+    if whole_bytes is None and stores.reached(path):
+        sources = [(mapping or {}).get(name, name) for name in schema.names]
+        fields = logs.read_fields(spark, path, sources, sep, skip, range_bytes)
+        parsed = fields.select("path", "line_no", *[_typed(F.col(f"field_{k}"), f) for k, f in enumerate(schema.fields)])
+    else:
+        parsed = _by_spark(spark, path, schema, sep, skip, mapping, WHOLE_FILE_BYTES if whole_bytes is None else whole_bytes)
+    return parsed.withColumn("participant_id", participant_from_path(F.col("path")))
+
+
+def _by_spark(spark: SparkSession, path: str, schema: T.StructType, sep: str, skip: int, mapping: dict[str, str] | None, whole_bytes: int) -> DataFrame:
+    # The size test is on file metadata, so it selects files before any is opened.
     size = F.col("_metadata.file_size")
     whole = spark.read.text(path, wholetext=True).filter(size <= whole_bytes)
     parsed = parse_files(whole.select(F.col("_metadata.file_path").alias("path"), "value"), schema, sep, skip, mapping)
     if not spark.read.text(path).filter(size > whole_bytes).isEmpty():
         lines = read_lines(spark, path, above=whole_bytes)
         parsed = parsed.unionByName(parse_lines(lines, schema, sep, skip, mapping))
-    return parsed.withColumn("participant_id", participant_from_path(F.col("path")))
+    return parsed
 
 
 def repair_header(df: DataFrame, shifted: dict[str, str]) -> DataFrame:
