@@ -65,10 +65,13 @@ SHIFTS = {"eventType": "elapsedTime", "instanceNumber": "eventType"}
 
 @dataclass(frozen=True)
 class Experiment:
-    """Where one task's files are and how its labels and logs are laid out."""
+    """Where one task's files are and how its labels and logs are laid out.
+
+    ``folder`` holds all logs, or names a folder for each kind of log.
+    """
 
     task: str
-    folder: str
+    folder: str | dict[str, str]
     demographics: str | None = None
     complexity: str | None = None
 
@@ -78,7 +81,7 @@ class Experiment:
 
 
 def _logs(spark: SparkSession, e: Experiment, kind: str, schema: T.StructType, mapping=None) -> DataFrame:
-    path = delimited.log_glob(e.folder, kind)
+    path = delimited.log_glob(e.folder if isinstance(e.folder, str) else e.folder[kind], kind)
     return delimited.read_delimited(spark, path, schema, skip=delimited.PREAMBLE[kind], mapping=mapping)
 
 
