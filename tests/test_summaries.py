@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trialstats.operators import summaries
+from trialstats.operators.relational import stack_tasks
 from trialstats.operators.orderstats import order_statistics, qq_points, quantiles
 from trialstats.operators.permute import shuffle_column
 
@@ -38,6 +39,15 @@ def test_multi_mean_skips_nulls_and_the_null_key(spark):
     assert got == {"a": 15.0, "b": 5.0, "c": 7.0}
 
 
+def test_stacked_summary_equals_stacked_summaries(spark):
+    rows = [("A", "x", 1.0), ("A", "x", 0.0), ("A", None, 1.0), ("B", "x", None), ("B", "y", 3.0), (None, "y", 4.0)]
+    df = spark.createDataFrame(rows, "task string, g string, v double")
+    frames = {t: summaries.group_summary(df.filter(F.col("task") == t), ["g"], "v") for t in "AB"}
+    want = stack_tasks(frames).select("category", "g", "mean", "sd", "n", "se").collect()
+    got = summaries.stacked_summary(df, "task", ["g"], "v").collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == 4
+
+
 def test_contingency_ignores_nulls(spark):
     got = {(r["g"], r["correct"]): r["n"] for r in summaries.contingency(frame(spark), "g", "correct").collect()}
     assert got == {("a", 0.0): 1, ("a", 1.0): 1, ("b", 0.0): 1, ("b", 1.0): 1, ("c", 1.0): 1}
@@ -59,13 +69,14 @@ def test_error_band(spark):
 
 
 @pytest.mark.parametrize("read_off", [50_000, 20, 0])
-def test_quantiles_match_numpy(spark, read_off):
-    """Also when nearly all rows share one value and outliers stretch the range."""
+@pytest.mark.parametrize("sketch, slack", [(1 << 14, 1.5), (8, 0.5), (8, 0.0)])
+def test_quantiles_match_numpy(spark, read_off, sketch, slack):
+    """Also when nearly all rows share one value, outliers stretch the range, and ranks miss their brackets."""
     rng = random.Random(5)
     values = [5.0] * 700 + [rng.gauss(0, 1) for _ in range(900)] + [1e9, -1e12] + [float(rng.randrange(50)) for _ in range(400)]
     df = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double").repartition(5)
     probabilities = [0.0, 0.001, 0.1, 0.25, 0.5, 0.77, 0.999, 1.0]
-    got = quantiles(df, "x", probabilities, read_off=read_off)
+    got = quantiles(df, "x", probabilities, read_off=read_off, sketch=sketch, slack=slack)
     want = np.quantile(np.array(values), probabilities)
     assert np.allclose([got[p] for p in probabilities], want, rtol=1e-12, atol=0)
 
@@ -77,6 +88,21 @@ def test_order_statistics_at_the_limits_of_doubles(spark):
     assert [got[k] for k in range(40)] == sorted(values[:40])
 
 
+def test_quantiles_scan_the_source_twice(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(200_000).select((F.col("id") * 7919 % 200_003).cast("double").alias("x")).mapInArrow(count, "x double")
+    got = quantiles(df, "x", [0.1, 0.5, 0.9], read_off=10)
+    values = np.arange(200_000) * 7919 % 200_003
+    assert np.allclose([got[p] for p in (0.1, 0.5, 0.9)], np.quantile(values, [0.1, 0.5, 0.9]), rtol=1e-12)
+    assert seen.value == 400_000
+
+
 def test_order_statistics_of_nothing(spark):
     assert order_statistics(spark.createDataFrame([(None,)], "x double"), "x", lambda n: [0]) == {}
 

@@ -32,6 +32,15 @@ def group_summary(df: DataFrame, by: list[str], value: str) -> DataFrame:
     )
 
 
+def stacked_summary(df: DataFrame, task: str, by: list[str], value: str, tag: str = "category") -> DataFrame:
+    """The summaries of all tasks of a table, stacked and tagged: one scan and one grouping.
+
+    Equal to a ``group_summary`` of every task's rows under one another; rows without a task are in none.
+    """
+    tagged = df.filter(F.col(task).isNotNull()).withColumnRenamed(task, tag)
+    return group_summary(tagged, [tag, *by], value)
+
+
 def accuracy_and_time(df: DataFrame, by: list[str], with_sd: bool = True) -> DataFrame:
     """Mean accuracy (and its spread) and mean time, per instance, participant or trial."""
     outputs = [mean(F.col("correct")).alias("accuracy")]

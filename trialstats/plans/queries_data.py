@@ -570,10 +570,6 @@ _register_stacks()
         FROM ({b.SQL_ANALYSIS}) GROUP BY 1, 2""",
 )
 def stack_tasks(spark, d):
-    """The same summary built per task and stacked."""
+    """The same summary of every task, stacked."""
     trials = b.analysis(spark, d, participant=True)
-    frames = {
-        task: summaries.group_summary(trials.filter(F.col("task") == task), ["InPhaseTransition"], "correct")
-        for task in b.TASK_OF_STATUS.values()
-    }
-    return rounded(relational.stack_tasks(frames))
+    return rounded(summaries.stacked_summary(trials, "task", ["InPhaseTransition"], "correct"))
