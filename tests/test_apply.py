@@ -1,0 +1,67 @@
+"""Summaries of groups by states that merge."""
+
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from trialstats.operators import apply
+from trialstats.operators.apply import Summary, group_apply, regression, shape
+
+COUNT = Summary(lambda rows: [len(rows)], lambda s, t: [s[0] + t[0]], lambda s: [(int(s[0]),)], "n long")
+
+
+def test_regression_equals_lstsq_far_from_zero(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(g), float(x), float(2 * x + g + e)) for g, x, e in zip(rng.integers(0, 5, 4000), 1e8 + rng.normal(size=4000), rng.normal(size=4000))]
+    rows += [(0, None, 1.0), (1, 2.0, None), (9, 4.0, 4.0), (10, None, None)]
+    df = spark.createDataFrame(rows, "g int, x double, y double").repartition(7)
+    got = {r["g"]: r for r in group_apply(df, ["g"], ["x", "y"], regression("x", "y")).collect()}
+    assert len(got) == 7 and got[9]["n"] == 1 and got[9]["slope"] is None and got[10]["n"] == 0
+    for g in range(5):
+        x, y = (np.array([r[i] for r in rows[:4000] if r[0] == g]) for i in (1, 2))
+        assert got[g]["n"] == len(x)
+        assert math.isclose(got[g]["slope"], np.polyfit(x - x.mean(), y, 1)[0], rel_tol=1e-7)
+        assert math.isclose(got[g]["correlation"], np.corrcoef(x, y)[0, 1], rel_tol=1e-7)
+
+
+def test_shape_in_any_cuts(spark):
+    v = np.random.default_rng(4).gamma(2.0, size=3000) + 1000
+    df = spark.createDataFrame([(float(x),) for x in v], "v double").withColumn("g", F.lit("one"))
+    d = v - v.mean()
+    want = (v.mean(), (d**3).mean() / v.var() ** 1.5, (d**4).mean() / v.var() ** 2)
+    for parts in (1, 40):
+        row = group_apply(df.repartition(parts), ["g"], ["v"], shape("v")).first()
+        assert row["n"] == 3000 and np.allclose(row[2:], want, rtol=1e-8)
+
+
+def test_keys_of_all_kinds(spark, monkeypatch):
+    """NULL, NaN and zero keys; several columns; a column that is key and value; more groups than are held."""
+    monkeypatch.setattr(apply, "HELD", 3)
+    rows = [(k, t) for k in (None, math.nan, 0.0, -0.0, 1.5) for t in (None, "", "a") for _ in range(4)]
+    df = spark.createDataFrame(rows, "k double, t string").repartition(5)
+    got = sorted(str(tuple(r)) for r in group_apply(df, ["k", "t"], ["k"], COUNT).collect())
+    want = sorted(str(tuple(r)) for r in df.groupBy("k", "t").agg(F.count(F.lit(1)).alias("n")).collect())
+    assert got == want and len(got) == 12
+    days = spark.sql("SELECT DATE'2024-01-01' + CAST(id % 3 AS INT) AS day, id % 2 = 0 AS even FROM range(60)")
+    assert {r["n"] for r in group_apply(days, ["day", "even"], [], COUNT).collect()} == {10}
+
+
+def test_many_rows_for_a_group_or_none(spark):
+    """States of any length, and results of several rows."""
+    distinct = Summary(
+        lambda rows: sorted(set(rows["v"])), lambda s, t: sorted({*s, *t}), lambda s: [(x,) for x in s if x > 1], "value double"
+    )
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 3.0), ("a", 2.0), ("b", 1.0)], "g string, v double").repartition(4)
+    assert sorted(map(tuple, group_apply(df, ["g"], ["v"], distinct).collect())) == [("a", 2.0), ("a", 3.0)]
+    empty = group_apply(df.limit(0), ["g"], ["v"], distinct)
+    assert empty.columns == ["g", "value"] and empty.collect() == []
+
+
+def test_refused_names(spark):
+    df = spark.createDataFrame([(1, 1.0)], "n int, v double")
+    with pytest.raises(ValueError, match="clash"):
+        group_apply(df, ["n"], ["v"], COUNT)
+    with pytest.raises(ValueError, match="grouping"):
+        group_apply(df, [], ["v"], COUNT)
