@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
+from functools import reduce
+from itertools import product
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -17,7 +19,10 @@ MAX_LEVELS = 200
 
 @dataclass(frozen=True)
 class ModelSpec:
-    """outcome ~ 1 + fixed [+ (1 | group)] [+ (1 + slope | group)]."""
+    """outcome ~ 1 + fixed [+ (1 | group)] [+ (1 + slope | group)].
+
+    A predictor "a:b" is the interaction of a and b.
+    """
 
     name: str
     outcome: str
@@ -43,6 +48,7 @@ def factor_levels(
 
     A factor with more than ``max_levels`` levels is refused, none is left out.
     """
+    names = list(dict.fromkeys(v for n in names for v in n.split(":")))
     text = {f.name for f in df.schema if isinstance(f.dataType, T.StringType)}
     found = {n: sorted(known[n]) for n in names if known and n in known}
     todo = [n for n in names if n in text and n not in found]
@@ -58,20 +64,31 @@ def factor_levels(
 def predictor_columns(names: tuple[str, ...], levels: Levels) -> dict[str, Column]:
     """Term name -> numeric column; a factor gives one 0/1 column per non-reference level.
 
-    A value that is not among the levels is an error, not the reference.
+    A value that is not among the levels is an error, not the reference.  An interaction
+    gives a product for each choice of its variables' columns; a factor in it needs the
+    term without that factor beside it, as its reference level has no column.
     """
     terms: dict[str, Column] = {}
+    sets = {frozenset(n.split(":")) for n in names}
     for n in names:
-        if n in levels:
-            listed = F.col(n).isNull() | F.col(n).isin(*levels[n])
-            refused = F.raise_error(F.concat(F.lit(f"{n} has a level that is not listed: "), F.col(n).cast("string"))).cast("double")
-            for level in levels[n][1:]:
-                terms[f"{n}{level}"] = F.when(listed, (F.col(n) == level).cast("double")).otherwise(refused)
-        else:
-            terms[n] = F.col(n).cast("double")
+        variables = n.split(":")
+        for v in variables if len(variables) > 1 else []:
+            if v in levels and frozenset(variables) - {v} not in sets:
+                raise ValueError(f"{n} needs {':'.join(w for w in variables if w != v)} beside it, as {v} is a factor")
+        parts = [_own_columns(v, levels) for v in variables]
+        for chosen in product(*(p.items() for p in parts)):
+            terms[":".join(k for k, _ in chosen)] = reduce(lambda x, y: x * y, [c for _, c in chosen])
     return terms
 
 
+def _own_columns(n: str, levels: Levels) -> dict[str, Column]:
+    if n not in levels:
+        return {n: F.col(n).cast("double")}
+    listed = F.col(n).isNull() | F.col(n).isin(*levels[n])
+    refused = F.raise_error(F.concat(F.lit(f"{n} has a level that is not listed: "), F.col(n).cast("string"))).cast("double")
+    return {f"{n}{level}": F.when(listed, (F.col(n) == level).cast("double")).otherwise(refused) for level in levels[n][1:]}
+
+
 @dataclass
 class Fit:
     """Estimates of one model, small enough to live on the driver."""

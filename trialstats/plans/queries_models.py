@@ -26,7 +26,7 @@ COMPLEXITY = {"propagations", "decisions"}
 
 def model_frame(spark, d, specs: list[ModelSpec], extra: tuple[str, ...] = ()) -> DataFrame:
     """The analysis columns a set of models needs, joining only the tables behind them."""
-    names = {n for s in specs for n in (*s.fixed, s.outcome, s.group) if n} | set(extra)
+    names = {v for s in specs for n in (*s.fixed, s.outcome, s.group) if n for v in n.split(":")} | set(extra)
     frame = b.analysis(
         spark,
         d,
@@ -261,10 +261,10 @@ def lmm_time_pt_profile(spark, d):
 
 @query("lmm_time_pt", sqltext.lmm("lmm_time_pt", b.SQL_ANALYSIS, "TimeOnTask", catalogue.PARTICIPANT, ["InPhaseTransitionYes"]))
 def lmm_time_pt(spark, d):
-    return _mixed_table(spark, [fit_lmm(model_frame(spark, d, [LMM_PT]), LMM_PT, LEVELS)])
+    return mixed_table(spark, [fit_lmm(model_frame(spark, d, [LMM_PT]), LMM_PT, LEVELS)])
 
 
-def _mixed_table(spark, fits: list[Fit]) -> DataFrame:
+def mixed_table(spark, fits: list[Fit]) -> DataFrame:
     """Coefficients with the variance components of their model, at display precision."""
     effects = report.coefficients(spark, fits).select("model", "term", *[F.round(c, 4).alias(c) for c in ("estimate", "std_error")], F.round("statistic", 3).alias("statistic"))
     parts = report.fit_table(spark, fits).select(
@@ -281,7 +281,7 @@ def _register_mixed() -> None:
             accuracy = catalogue.spec("knapsack", "acc", "me", catalogue.MAIN[short], control)
 
             def linear(spark, d, spec=time):
-                return _mixed_table(spark, [fit_lmm(model_frame(spark, d, [spec]), spec, LEVELS)])
+                return mixed_table(spark, [fit_lmm(model_frame(spark, d, [spec]), spec, LEVELS)])
 
             def logistic(spark, d, spec=accuracy):
                 return _logistic_table(spark, fit_glmm(model_frame(spark, d, [spec]), spec, LEVELS))
@@ -356,7 +356,7 @@ def _register_mixed_grids() -> None:
         def linear(spark, d, specs=lines):
             fits = _grid(spark, d, specs)
             known = report.fit_table(spark, fits).select("model", "n", "converged")
-            return _mixed_table(spark, fits).join(known, "model")
+            return mixed_table(spark, fits).join(known, "model")
 
         def logistic(spark, d, specs=logits):
             fits = _grid(spark, d, specs)

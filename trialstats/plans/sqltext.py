@@ -33,6 +33,8 @@ def t_p(t: str, df: str) -> str:
 
 def term_sql(term: str) -> str:
     """Numeric SQL expression of a model term."""
+    if ":" in term:
+        return " * ".join(f"({term_sql(t)})" for t in term.split(":"))
     if term == "InPhaseTransitionYes":
         return "CASE WHEN InPhaseTransition = 'Yes' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
     return f"CAST({term} AS DOUBLE)"
