@@ -2,9 +2,11 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import ODD
 from trialstats.llm import pii
@@ -118,6 +120,16 @@ def test_edges_of_the_patterns(make):
     assert result(make(rows)) == brute(rows)
 
 
+def test_many_matches_in_a_text(make):
+    """Time grows with the length of a text, not with its square."""
+    rows = [(1, " ".join(str(10 + k % 90) + "x" * (k % 3) for k in range(40_000))), (2, "a@b.cc " * 20_000), (3, "1.2.3.4 " * 20_000)]
+    frame = make(rows)
+    started = time.time()
+    got = frame.select("doc_id", pii.base_spans(F.col("text")).alias("s")).collect()
+    assert time.time() - started < 30
+    assert {r["doc_id"]: [tuple(s) for s in r["s"]] for r in got} == {i: base(t) for i, t in rows}
+
+
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.text("ab1234567890@.+-() _\n\té", max_size=60), min_size=1, max_size=40))
 def test_random_texts(make, texts):
@@ -131,6 +143,53 @@ def test_odd_rows(make):
     assert pii.report(make([])).collect() == []
 
 
+def brute_whole(every, support=3, generalise=0.5):
+    """doc_id -> places of the terms of whole texts; rows may repeat"""
+    terms, with_entity = Counter(), Counter()
+    both, texts = Counter(), defaultdict(set)
+    unique = {(i, t) for i, t in every}
+    found, words, held = {}, {}, {}
+    for t in {t for _, t in every}:
+        found[t] = base(t)
+        words[t] = set(re.split(r"[ \t\n\x0b\f\r]+", (t or "").lower()))
+        held[t] = {(s[1], s[3].lower()) for s in found[t]}
+    for _, t in every:
+        terms.update(words[t])
+    for _, t in unique:
+        # words that no blank divides from a span count as well
+        beside = defaultdict(set)
+        for s in found[t]:
+            beside[s[1], s[3].lower()] |= {w for _, _, w in context(t, s)}
+        for e in held[t]:
+            with_entity[e] += 1
+            for w in words[t] | beside[e]:
+                both[e, w] += 1
+                texts[e, w].add(t)
+    rate = {}
+    for (e, w), n in both.items():
+        if len(texts[e, w]) >= support and terms[w] and with_entity[e] < len(every):
+            rate[e, w] = 1 - math.log(min(1, n / terms[w])) / math.log(with_entity[e] / len(every))
+    want = {}
+    for i, t in unique:
+        marks = set()
+        for m in re.finditer(r"[^ \t\n\x0b\f\r]+", t or "") if held[t] else ():
+            w = m.group().lower()
+            if any(c.isalpha() for c in w) and not re.search("[0-9@]", w) and any(rate.get((e, w), -1) >= generalise for e in held[t]):
+                marks.add((m.start(), m.end()))
+        for s in found[t]:
+            for a, b, w in context(t, s):
+                if rate.get(((s[1], s[3].lower()), w), -1) >= generalise:
+                    marks.add((a, b))
+        want[i] = sorted(marks)
+    return want
+
+
+def test_whole_mode_on_documents(documents):
+    rows = [(r["doc_id"], r["text"]) for r in documents.select("doc_id", "text").collect()]
+    got = pii.spans(documents, whole=True).select("doc_id", "terms").collect()
+    assert {x["doc_id"]: [(m["start"], m["end"]) for m in x["terms"]] for x in got} == brute_whole(rows)
+
+
 def test_terms_of_whole_texts(make):
     r = random.Random(2)
     common = ["the", "of", "and", "call", "it", "was", "then", "so"]
@@ -141,28 +200,8 @@ def test_terms_of_whole_texts(make):
         rows.append((k, " \n ".join([name, " ".join(filler(40)), f"mail:user{k % 4}@example.org", " ".join(filler(40)), name + "\t " + name.upper(), f"{k}"])))
     rows += [(100 + k, " ".join(filler(30))) for k in range(40)] + [(200, f"Surnamea {' '.join(filler(5))}")]
     frame = make([*rows, rows[0]])
-    terms, with_entity = Counter(), Counter()
-    both, texts = Counter(), defaultdict(set)
     every = [*rows, rows[0]]
-    unique = {(i, t) for i, t in every}
-    for _, t in every:
-        terms.update(set(t.lower().split()))
-    for i, t in unique:
-        for s in {(s[1], s[3].lower()) for s in base(t)}:
-            with_entity[s] += 1
-            for w in set(t.lower().split()):
-                both[s, w] += 1
-                texts[s, w].add(t)
-    want = {}
-    for i, t in unique:
-        marks = set()
-        for s in {(s[1], s[3].lower()) for s in base(t)}:
-            for m in re.finditer(r"\S+", t):
-                w = m.group().lower()
-                if any(c.isalpha() for c in w) and not re.search("[0-9@]", w) and len(texts[s, w]) >= 3:
-                    if 1 - math.log(min(1, both[s, w] / terms[w])) / math.log(with_entity[s] / len(every)) >= 0.5:
-                        marks.add((m.start(), m.end()))
-        want[i] = sorted(marks)
+    want = brute_whole(every)
     found = pii.spans(frame, whole=True)
     got = found.collect()
     assert len(got) == len(every)

@@ -46,19 +46,29 @@ SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 CONTEXT = "array<struct<entity:bigint,term:string,start:int,end:int>>"
 
 
+def _sums(lengths: Column) -> Column:
+    """Running sums of an array, by doubling: each round adds what stands 1, 2, 4, ... places before."""
+    places = F.transform(F.sequence(F.lit(0), F.length(F.bin(F.size(lengths)))), lambda k: F.pow(F.lit(2), k).cast("int"))
+    step = lambda sums, by: F.transform(sums, lambda x, i: x + F.when(i >= by, F.get(sums, i - by)).otherwise(0))
+    return F.aggregate(places, lengths, step)
+
+
+def _with(value: Column, body) -> Column:
+    """The array that `body` makes of `value`, which is evaluated once."""
+    return F.flatten(F.transform(F.array(value), body))
+
+
 def matches(text: Column, pattern: str, kind: int) -> Column:
     """Array of (start, kind, end, value) of all matches."""
-    between, value = F.split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    step = lambda acc, x: F.struct(
-        (acc["at"] + F.length(x["b"]) + F.length(x["v"])).alias("at"),
-        F.concat(acc["out"], F.array(F.struct(
-            (acc["at"] + F.length(x["b"])).alias("start"), F.lit(kind).alias("kind"),
-            (acc["at"] + F.length(x["b"]) + F.length(x["v"])).alias("end"), x["v"].alias("value"),
-        ))).alias("out"),
-    )
-    both = F.zip_with(F.slice(between, F.lit(1), F.size(value)), value, lambda b, v: F.struct(b.alias("b"), v.alias("v")))
-    none = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-    return F.aggregate(both, none, step, lambda acc: acc["out"])
+    between = F.split(text, pattern)
+
+    def placed(values: Column) -> Column:
+        lengths = F.zip_with(F.slice(between, F.lit(1), F.size(values)), values, lambda b, v: F.length(b) + F.length(v))
+        return _with(_sums(lengths), lambda ends: F.zip_with(values, ends, lambda v, end: F.struct(
+            (end - F.length(v)).alias("start"), F.lit(kind).alias("kind"), end.alias("end"), v.alias("value"),
+        )))
+
+    return _with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 
 
 def _digits(x: Column) -> Column:
