@@ -15,8 +15,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int)
 
     The ids with the smallest hashes are taken, so the choice depends on nothing
     but the ids.  Only ids are sorted; `max_rows` of them are broadcast.  An id
-    with several labels counts with the largest; documents that share an id all
-    count.
+    with several labels counts with the largest, one with several texts with the
+    smallest, so `max_rows` bounds what a model is made from also where many
+    documents share an id.
     """
     ids = (
         labels.select("doc_id", F.col(label).cast("double").alias("y"))
@@ -24,4 +25,6 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int)
         .groupBy("doc_id").agg(F.max("y").alias("y"))
         .withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(max_rows).drop("h")
     )
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    known = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    # the smallest text of each task goes on, so a hot id does not reach one task whole
+    return known.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))

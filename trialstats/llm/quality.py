@@ -11,7 +11,9 @@ matrix product; the NEIGHBOURS nearest vote with weight cosine**POWER, label 0 m
 rarity among the labelled (at most MOST_RARITY).
 
 Defined cases: null and empty texts, and texts without weight in the latent
-space, score the share of label 1; without usable labels every score is 0.5;
+space, score the share of label 1; labelled vectors that tie for the last place
+among the neighbours are taken in an order that depends on the labelled rows
+alone; very long texts count whole, in constant memory; without usable labels every score is 0.5;
 repeated rows score alike, one row out for each row in; an empty table gives no
 rows; extra columns are ignored.
 """
