@@ -195,3 +195,28 @@ def test_nothing_stored_is_left_but_the_result(spark, make):
     before = set(os.listdir(folder))
     lines.deduplicated(make([(k, f"line {k} of many\nthe same for all") for k in range(30)])).count()
     assert len(set(os.listdir(folder)) - before) <= 1
+
+
+def test_crowded_band_whose_lines_meet_only_there(spark, make, monkeypatch):
+    """Near lines that share a single band are all compared when it is crowded, too."""
+    import numpy as np
+    import pyarrow as pa
+
+    bands = lines._bands
+
+    def one_band(batches):
+        for batch in bands(batches):
+            line, k = batch.column("id").to_numpy(), np.arange(len(batch)) % lines.BANDS
+            band = np.where(k == 0, 1, line * 31 + k)
+            yield pa.RecordBatch.from_arrays([pa.array(band), batch.column("id"), batch.column("sketch")], ["band", "id", "sketch"])
+
+    r = random.Random(9)
+    rows = []
+    for k in range(40):
+        base = noise(r, 200)
+        rows += [(3 * k, base), (3 * k + 1, base[:100] + "Q" + base[101:]), (3 * k + 2, noise(r, 200))]
+    monkeypatch.setattr(lines, "_bands", one_band)
+    for crowd in (4096, 7):
+        monkeypatch.setattr(lines, "CROWD", crowd)
+        found = lines.line_components(make(rows).select("text"), 0.75).collect()
+        assert len(found) == 80 and len({f["component"] for f in found}) == 40

@@ -19,8 +19,10 @@ line of its band and with its neighbour there; what these exact comparisons link
 forms components.  Then, in bands where several components are left, every line
 that has a candidate in another component is taken with its text to one task for
 the band, which compares across components until they are joined; no pair is
-sent anywhere.  A band of more than CROWD such lines is first cut by every other
-band, as similar lines share several.  The links of both rounds go through a
+sent anywhere.  A band of more than CROWD lines is dealt in blocks of about CROWD,
+and every two blocks that can hold two components meet in a task of their own, so
+that all its candidates are compared there as well: the work grows with the square
+of the lines that are not of its largest components.  The links of both rounds go through a
 distributed union-find, and the line that comes first (by doc_id and line number)
 stays of each component.  Intermediate tables are deleted when the last step that
 reads them is written.
@@ -52,6 +54,8 @@ PLACES = BANDS * ROWS
 # a pair at 0.75 differs in 6 of 48 bits on average, with a standard deviation of 2.3
 APART = 13
 CROWD = 4096
+# bands of so many lines are compared side by side
+FEW = 24
 SEEN = 1 << 20
 # bytes of lines that are compared at a time
 TOGETHER = 1 << 20
@@ -175,9 +179,9 @@ def _close(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (band, id), the lines of bands with several: least and before are the least line
-    of the band and the one before if they are candidates, else null; the least line itself comes with the second."""
-    last = None  # band, its least id and sketch, the id and sketch before, is the least one told
+    """Of rows sorted by (band, id), the lines of bands with several but the least, which comes with each of them;
+    nth counts a band's lines from the least (0) on, near and next tell if the least and the one before are candidates."""
+    last = None  # band, its least id and sketch, the id and sketch before, how many lines of it were told
     for batch in batches:
         band, line, sketch = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("band", "id", "sketch"))
         if not len(band):
@@ -189,11 +193,13 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least_sketch = np.where(known, sketch[start], last[2] if last else 0)
         before, before_sketch = np.r_[last[3] if last else line[0], line[:-1]], np.r_[last[4] if last else sketch[0], sketch[:-1]]
         keep = ~new & (line != before)
-        last = band[-1], least[-1], least_sketch[-1], line[-1], sketch[-1]
+        told = np.cumsum(keep)
+        nth = told - np.where(known, told[start], -last[5] if last else 0)
+        last = band[-1], least[-1], least_sketch[-1], line[-1], sketch[-1], nth[-1]
         near, next_ = _close(sketch, least_sketch), _close(sketch, before_sketch)
         columns = [band, line, sketch, least, least_sketch, before]
         out = [pa.array(c[keep]) for c in columns]
-        yield pa.RecordBatch.from_arrays([*out, pa.array(near[keep]), pa.array(next_[keep])], ["band", "id", "sketch", "least", "least_sketch", "before", "near", "next"])
+        yield pa.RecordBatch.from_arrays([*out, pa.array(near[keep]), pa.array(next_[keep]), pa.array(nth[keep])], ["band", "id", "sketch", "least", "least_sketch", "before", "near", "next", "nth"])
 
 
 def alike(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
@@ -242,64 +248,87 @@ def _checked(threshold: float):
     return run
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of each band, sorted by it, as one batch."""
+def _bands_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by band in batches that end with a band."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not len(batch):
             continue
         band = batch.column("band").to_numpy()
-        cuts = [0, *(np.flatnonzero(band[1:] != band[:-1]) + 1).tolist(), len(band)]
-        for a, b in zip(cuts, cuts[1:]):
-            if held and held[0].column("band")[0].as_py() != band[a]:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held = []
-            held.append(batch.slice(a, b - a))
+        if held and held[-1].column("band")[-1].as_py() != band[0]:
+            yield _one(held)
+            held = []
+        cut = int(np.flatnonzero(np.r_[True, band[1:] != band[:-1]])[-1])
+        if cut:
+            yield _one([*held, batch.slice(0, cut)])
+            held = []
+        held.append(batch.slice(cut))
     if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        yield _one(held)
 
 
-def _across(sketch: np.ndarray, g: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidates of different components, the closest of a block first."""
-    for at in range(0, len(sketch), 1024):
-        rows = slice(at, at + 1024)
-        bits = np.bitwise_count(sketch[rows, None] ^ sketch[None, :at + 1024])
-        bits[g[rows, None] == g[None, :at + 1024]] = 255
-        i, j = np.nonzero(bits <= APART)
-        i, j = i[j < i + at], j[j < i + at]
-        order = np.argsort(bits[i, j], kind="stable")
-        yield i[order] + at, j[order]
+def _one(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+
+
+def _across(band: np.ndarray, sketch: np.ndarray, g: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidates of one band and different components, the closest of a block first."""
+    start = np.flatnonzero(np.r_[True, band[1:] != band[:-1]])
+    size = np.diff(np.r_[start, len(band)])
+    # rows of small bands: each with the one before it, the second before it and so on
+    place = np.arange(len(band)) - np.repeat(start, size)
+    rows = np.flatnonzero(np.repeat(size <= FEW, size))
+    found = []
+    for back in range(1, FEW):
+        rows = rows[place[rows] >= back]
+        if not len(rows):
+            break
+        bits = np.bitwise_count(sketch[rows] ^ sketch[rows - back])
+        hit = (bits <= APART) & (g[rows] != g[rows - back])
+        found.append((rows[hit], rows[hit] - back, bits[hit]))
+    if found:
+        i, j, bits = (np.concatenate(c) for c in zip(*found))
+        order = np.argsort(bits, kind="stable")
+        yield i[order], j[order]
+    for first, n in zip(start[size > FEW].tolist(), size[size > FEW].tolist()):
+        own, of = sketch[first : first + n], g[first : first + n]
+        for at in range(0, n, 1024):
+            rows = slice(at, at + 1024)
+            bits = np.bitwise_count(own[rows, None] ^ own[None, : at + 1024])
+            bits[of[rows, None] == of[None, : at + 1024]] = 255
+            i, j = np.nonzero(bits <= APART)
+            i, j = i[j < i + at], j[j < i + at]
+            order = np.argsort(bits[i, j], kind="stable")
+            yield i[order] + at + first, j[order] + first
 
 
 def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each band the lines that have a candidate in another component."""
-    for bucket in _buckets(batches):
-        sketch, g = bucket.column("sketch").to_numpy(), bucket.column("g").to_numpy()
+    for batch in _bands_whole(batches):
+        band, sketch, g = (batch.column(k).to_numpy() for k in ("band", "sketch", "g"))
         hit = np.zeros(len(g), bool)
-        for i, j in _across(sketch, g):
+        for i, j in _across(band, sketch, g):
             hit[i] = hit[j] = True
         if hit.any():
-            yield bucket.filter(pa.array(hit))
+            yield batch.filter(pa.array(hit))
 
 
 def _joined(threshold: float):
-    """Of each band the links that join components, found by exact comparisons of candidates not joined yet."""
+    """The links that join components, found by exact comparisons of a band's candidates not joined yet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket in _buckets(batches):
-            sketch, ids = bucket.column("sketch").to_numpy(), bucket.column("id").to_numpy()
-            _, g = np.unique(bucket.column("g").to_numpy(), return_inverse=True)
-            over = list(range(int(g.max()) + 1))
+        over: dict[int, int] = {}  # of components that links of this task joined
 
-            def top(k: int) -> int:
-                while over[k] != k:
-                    over[k] = over[over[k]]
-                    k = over[k]
-                return k
+        def top(k: int) -> int:
+            while (up := over.get(k, k)) != k:
+                over[k] = k = over.get(up, up)
+            return k
 
+        for batch in _bands_whole(batches):
+            band, sketch, ids, g = (batch.column(k).to_numpy() for k in ("band", "sketch", "id", "g"))
             sets: dict[int, np.ndarray] = {}
-            text, links = bucket.column("line"), []
-            for rows, columns in _across(sketch, g):
+            text, links = batch.column("line"), []
+            for rows, columns in _across(band, sketch, g):
                 # the sets that this block needs, a stretch of them at once
                 need = [k for k in np.unique(np.concatenate((rows, columns))).tolist() if k not in sets]
                 for at in range(0, len(need), 256):
@@ -354,10 +383,28 @@ def _by_band(rows: DataFrame) -> DataFrame:
     return rows.repartition(partitions(rows.sparkSession), "band").sortWithinPartitions("band", "id")
 
 
+def _blocks(crowd: DataFrame) -> DataFrame:
+    """The rows of crowded bands (with their number n) once for every two blocks that meet; these share a band of their own.
+
+    A component of CROWD lines and more in a band has blocks of its own, which need not meet each other."""
+    sizes = crowd.groupBy("band", "g").agg(F.count("*").alias("size"))
+    own = F.col("size") >= CROWD
+    part = F.when(own, F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / CROWD))).otherwise(F.pmod(F.xxhash64("g"), F.ceil(F.col("n") / CROWD)))
+    dealt = stored(crowd.join(sizes, ["band", "g"]).select("band", "id", "sketch", "g", F.xxhash64(F.when(own, F.col("g")), part).alias("block")), "dealt")
+    blocks = dealt.groupBy("band", "block").agg(F.min("g").alias("low"), F.max("g").alias("high"))
+    blocks = stored(blocks, "blocks")
+    other = blocks.select("band", F.col("block").alias("other"), F.col("low").alias("other_low"), F.col("high").alias("other_high"))
+    # a block of a single component needs no task for itself, nor for one with the same component
+    apart = (F.least("low", "other_low") < F.greatest("high", "other_high")) & (F.col("block") <= F.col("other"))
+    met = blocks.join(other, "band").where(apart).select("band", "block", "other", F.xxhash64("band", "block", "other").alias("pair"))
+    met = met.select("band", "pair", F.explode(F.array_distinct(F.array("block", "other"))).alias("block"))
+    return dealt.join(stored(met, "pairs"), ["band", "block"]).select(F.col("pair").alias("band"), "id", "sketch", "g")
+
+
 def line_components(plain: DataFrame, threshold: float) -> DataFrame:
     """(node, component) of lines linked to others, by id."""
     bands = plain.select("text").mapInArrow(_bands, "band long, id long, sketch long")
-    kinds = "band long, id long, sketch long, least long, least_sketch long, before long, near boolean, next boolean"
+    kinds = "band long, id long, sketch long, least long, least_sketch long, before long, near boolean, next boolean, nth long"
     met = stored(_by_band(bands).mapInArrow(_met, kinds), "bands")
     pair = lambda other: F.struct(F.greatest("id", other).alias("a"), F.least("id", other).alias("b"))
     tried = F.array(F.when(F.col("near"), pair("least")), F.when(F.col("next") & ((F.col("before") != F.col("least")) | ~F.col("near")), pair("before")))
@@ -365,19 +412,13 @@ def line_components(plain: DataFrame, threshold: float) -> DataFrame:
     first = stored(_linked(pairs, plain, threshold), "links")
     groups = stored(components(first), "groups")
     # what is left: candidates in different components of one band
-    members = met.select("band", "id", "sketch").unionAll(met.select("band", F.col("least").alias("id"), F.col("least_sketch").alias("sketch"))).distinct()
-    placed = stored(members.join(groups, members["id"] == groups["node"], "left").select("band", "id", "sketch", F.coalesce("component", "id").alias("g")), "placed")
-    mixed = placed.groupBy("band").agg(F.min("g").alias("low"), F.max("g").alias("high"), F.count("*").alias("n")).where("low <> high")
-    mixed = stored(mixed.select("band", "n"), "mixed")
-    rest = placed.join(mixed, "band")
-    small = rest.where(F.col("n") <= CROWD).drop("n")
-    if not mixed.where(F.col("n") > CROWD).isEmpty():
-        # a line of a crowded band meets there only those it meets in a second band as well
-        crowd = rest.where(F.col("n") > CROWD).select("id", "sketch", "g", F.col("band").alias("one"))
-        other = placed.select("id", F.col("band").alias("two"))
-        again = crowd.join(other, "id").where("one <> two").select(F.xxhash64(F.least("one", "two"), F.greatest("one", "two")).alias("band"), "id", "sketch", "g")
-        small = small.unionByName(again.distinct())
-    rest = stored(_by_band(small).mapInArrow(_apart, "band long, id long, sketch long, g long"), "rest")
+    members = met.select("band", "id", "sketch").unionAll(met.where("nth = 1").select("band", F.col("least").alias("id"), F.col("least_sketch").alias("sketch")))
+    placed = members.join(groups, members["id"] == groups["node"], "left").select("band", "id", "sketch", F.coalesce("component", "id").alias("g"))
+    crowds = stored(met.where(F.col("nth") >= CROWD).groupBy("band").agg((F.max("nth") + 1).alias("n")), "crowds")
+    if not crowds.isEmpty():
+        placed = stored(placed, "placed")
+        placed = placed.join(crowds, "band", "left_anti").unionByName(_blocks(placed.join(crowds, "band")))
+    rest = stored(_by_band(placed).mapInArrow(_apart, "band long, id long, sketch long, g long"), "rest")
     texts = _texts(plain, rest.select("id"))
     second = _by_band(rest.join(texts, "id")).select("band", "id", "sketch", "g", "line").mapInArrow(_joined(threshold), "a long, b long")
     return components(first.unionByName(stored(second.distinct(), "links")))
