@@ -94,3 +94,28 @@ def test_odd_rows(make):
     assert {r["component_id"] for r in out if r["doc_id"] == 2} == {2}
     assert sorted(r["n_shingles"] for r in out if r["doc_id"] == 7) == [1, 1, 2]
     assert jaccard_join.join(make([])).collect() == []
+
+
+def test_unlinked_documents_that_share_a_passage(make, monkeypatch):
+    """Documents too far apart for a link that share a passage are few groups for a shingle, not one each."""
+    r = random.Random(5)
+    passage = [f"p{k}" for k in range(60)]
+    rows = []
+    for k in range(80):
+        t = list(passage)
+        for at in (r.randrange(5, 25), r.randrange(32, 55)):
+            t[at] = f"own{k}x{at}"
+        rows.append((k, " ".join(t)))
+    matrices, stored = [], jaccard_join.stored
+
+    def noted(frame, name):
+        out = stored(frame, name)
+        if name == "matrix" and "g2" in out.columns:
+            matrices.append(out)
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stored", noted)
+    want = brute(rows)
+    assert result(make(rows)) == want
+    assert len({c for _, c in want.values()}) >= 8
+    assert max(x["count"] for x in matrices[0].groupBy("token").count().collect()) <= 8

@@ -11,16 +11,19 @@ the component of each document.  All steps are exact.
    each (more exactly: the first seventh of the smaller).  Only these prefixes
    are shuffled, and only shingles of at least two nodes go on.
 3. Groups: each node is compared with the few nodes that lead most of its shared
-   shingles, if they lead many; linked nodes form the groups of similar documents.
+   shingles, if they lead many; linked nodes form groups of similar documents.
+   Nodes without a link so far form loose groups, by the node that leads most of
+   their shared shingles.
 4. Matrix: for each group (in chunks of CHUNK shingles' worth of members) the
    union of its members' prefixes.  A node (the query) has with any member of a
    group at most as many prefix shingles in common as with the union; groups
    whose count cannot reach the threshold for the sizes in them stay closed,
-   the others are opened and their members compared until one links.  Queries
-   are the members of the smaller of two groups.
+   the others are opened and the query counted against all members at once.
+   Queries are the members of the smaller of two groups; those of a loose group
+   also ask their own group, without the matrix.
 
-Only whether two groups are connected is asked, so no pairs inside a group are
-made.  Defined cases: without words or text a document is empty and alone; with
+Only whether nodes are connected is asked, so no pairs inside a group of linked
+nodes are made.  Defined cases: without words or text a document is empty and alone; with
 fewer than five words its whole sequence is one shingle; equal texts link;
 repeated rows give a row each; a row with null doc_id takes part and reports the
 component's smallest id; an empty table gives no rows; extra columns are ignored.
@@ -223,8 +226,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def led(shared: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(a, b): each node with the LEADERS nodes that lead most of its shared shingles, if they lead a
-    share of LIKELY of its prefix.  A shingle is led by the node with the smallest share of
+    """(a, place, b, likely): each node with the LEADERS nodes that lead most of its shared shingles, and
+    whether they lead a share of LIKELY of its prefix.  A shingle is led by the node with the smallest share of
     shingles of its own.  What is left out here is found in the matrix."""
     alone = 1 - F.col("kept") / F.greatest(F.col("n") - F.floor((3 * F.col("n") + 3) / 4) + 1, F.lit(1))
     rank = shared.groupBy("node").agg(F.count("*").alias("kept")).join(sizes, "node").select("node", "n", F.round(alone, 3).alias("alone"))
@@ -233,35 +236,57 @@ def led(shared: DataFrame, sizes: DataFrame) -> DataFrame:
     pairs = rows.join(lead, "token").where("node <> lead.node and 4 * least(n, lead.n) >= 3 * greatest(n, lead.n)")
     counted = pairs.groupBy(F.col("node").alias("a"), F.col("lead.node").alias("b")).agg(F.count("*").alias("both"), F.first("n").alias("n"))
     prefix = F.col("n") - F.floor((3 * F.col("n") + 3) / 4) + 1
-    likely = counted.where(F.col("both") >= LIKELY * prefix)
-    best = F.slice(F.sort_array(F.collect_list(F.struct("both", "b")), asc=False), 1, LEADERS)
-    return likely.groupBy("a").agg(best.alias("best")).select("a", F.explode("best.b").alias("b"))
+    ranked = counted.select("a", F.struct("both", "b", (F.col("both") >= LIKELY * prefix).alias("likely")).alias("leader"))
+    best = F.slice(F.sort_array(F.collect_list("leader"), asc=False), 1, LEADERS)
+    placed = ranked.groupBy("a").agg(best.alias("best")).select("a", F.posexplode("best").alias("place", "leader"))
+    return placed.select("a", "place", "leader.b", "leader.likely")
 
 
 def _opened(key, members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-    """For each query the first member of the group that links with it."""
+    """Links of the queries with members of the group, enough to join all components that such links join."""
     out = []
     if len(members) and len(queries):
         sets = [np.frombuffer(t, np.uint64) for t in members["tokens"]]
-        union = np.unique(np.concatenate(sets))
-        for node, tokens in zip(queries["node"], queries["tokens"]):
+        size = np.array([len(x) for x in sets])
+        token, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+        order = np.argsort(token)
+        token, owner = token[order], owner[order]
+        node, component = members["node"].to_numpy(), members["component"].to_numpy()
+        over: dict[int, int] = {}  # of components that links found here joined
+
+        def top(k: int) -> int:
+            while (up := over.get(k, k)) != k:
+                over[k] = k = over.get(up, up)
+            return k
+
+        for a, of, tokens in zip(queries["node"].tolist(), queries["component"].tolist(), queries["tokens"]):
             s = np.frombuffer(tokens, np.uint64)
-            at = np.minimum(np.searchsorted(union, s), len(union) - 1)
-            if 4 * int((union[at] == s).sum()) < 3 * len(s):
-                continue
-            for member, t in zip(members["node"], sets):
-                if alike(s, t):
-                    out.append((node, member))
-                    break
+            low = np.searchsorted(token, s, "left")
+            count = np.searchsorted(token, s, "right") - low
+            ends = np.cumsum(count)
+            at = np.arange(ends[-1]) - np.repeat(ends - count - low, count)
+            both = np.bincount(owner[at], minlength=len(sets))
+            for k in np.flatnonzero((100 * both >= 75 * (len(s) + size - both)) & (component != of)).tolist():
+                x, y = top(of), top(int(component[k]))
+                if x != y:
+                    over[max(x, y)] = min(x, y)
+                    out.append((a, int(node[k])))
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
-def opened(docs: DataFrame, shared: DataFrame, sizes: DataFrame, groups: DataFrame) -> DataFrame:
-    """(a, b) links between nodes of different groups, enough to connect all groups that are connected."""
-    placed = sizes.join(shared.select("node").distinct(), "node", "left_semi").join(groups.withColumnRenamed("component", "g"), "node", "left").withColumn("g", F.coalesce("g", "node"))
+def opened(docs: DataFrame, shared: DataFrame, sizes: DataFrame, groups: DataFrame, leaders: DataFrame) -> DataFrame:
+    """(a, b) links between nodes of different components, enough to connect all that are connected.
+
+    groups: (node, component) of the nodes linked so far; leaders: (node, leader), at most one for a node."""
+    # a loose node goes by its leader's component, or its leader, or itself; any way of grouping gives the same components
+    above = leaders.join(groups.select(F.col("node").alias("leader"), F.col("component").alias("up")), "leader", "left").select("node", F.coalesce("up", "leader").alias("up"))
+    placed = sizes.join(shared.select("node").distinct(), "node", "left_semi").join(groups, "node", "left").join(above, "node", "left")
+    loose = F.xxhash64(F.coalesce("up", "node"), F.lit("loose"))
+    placed = placed.select("node", "n", F.col("component").isNull().alias("loose"), F.coalesce("component", loose).alias("g"), F.coalesce("component", "node").alias("component"))
+    placed = stored(placed, "nodes")
     weight = stored(placed.groupBy("g").agg(F.count("*").alias("members"), F.ceil(F.sum("n") / CHUNK).alias("chunks")), "weight")
     placed = stored(placed.join(weight, "g").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")), "placed")
-    rows = stored(shared.join(placed, "node"), "matrix")
+    rows = stored(shared.join(placed.drop("component", "loose"), "node"), "matrix")
     matrix = rows.groupBy("token", "g", "chunk").agg(F.max("members").alias("m2"), F.max("indexes").alias("i2"), F.min("n").alias("lo"), F.max("n").alias("hi"))
     matrix = stored(matrix.withColumnRenamed("g", "g2").withColumnRenamed("chunk", "c2"), "matrix")
     smaller = (F.col("g") != F.col("g2")) & ((F.col("members") < F.col("m2")) | ((F.col("members") == F.col("m2")) & (F.col("g") < F.col("g2"))))
@@ -272,15 +297,17 @@ def opened(docs: DataFrame, shared: DataFrame, sizes: DataFrame, groups: DataFra
     least = F.greatest("lo", F.ceil(F.col("n") * 3 / 4))
     below = F.when(least <= F.col("n"), F.ceil((F.col("n") + least) * 3 / 7) - F.floor((3 * F.col("n") + 3) / 4) + 1).otherwise(F.lit(1 << 40))
     top = F.least("hi", F.floor(F.col("n") * 4 / 3))
-    above = F.when(F.col("hi") > F.col("n"), F.floor((F.col("n") + top) * 3 / 7) - F.floor((3 * top + 3) / 4)).otherwise(F.lit(1 << 40))
-    calls = stored(counted.where("indexed").where(F.col("both") >= F.least(below, above)).select("node", "g2", "c2"), "calls")
+    beyond = F.when(F.col("hi") > F.col("n"), F.floor((F.col("n") + top) * 3 / 7) - F.floor((3 * top + 3) / 4)).otherwise(F.lit(1 << 40))
+    calls = counted.where("indexed").where(F.col("both") >= F.least(below, beyond)).select("node", "g2", "c2")
+    within = placed.where("loose and members > 1").select("node", F.col("g").alias("g2"), F.explode(F.sequence(F.lit(0), (F.col("chunks") - 1).cast("int"))).alias("c2"))
+    calls = stored(calls.unionByName(within), "calls")
     called = calls.groupBy("g2", "c2").agg(F.ceil(F.count("*") / QUERIES).alias("salts"))
     called = stored(called, "called")
-    members = placed.select("node", F.col("g").alias("g2"), F.col("chunk").alias("c2")).join(called, ["g2", "c2"])
-    asked = calls.join(called, ["g2", "c2"]).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
+    members = placed.select("node", "component", F.col("g").alias("g2"), F.col("chunk").alias("c2")).join(called, ["g2", "c2"])
+    asked = calls.join(placed.select("node", "component"), "node").join(called, ["g2", "c2"]).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
     sets = sets_of(docs, members.select("node").union(asked.select("node"))).select("node", "tokens")
-    left = members.withColumn("salt", F.explode(F.sequence(F.lit(0), (F.col("salts") - 1).cast("int")))).select("g2", "c2", "salt", "node").join(sets, "node")
-    right = asked.select("g2", "c2", "salt", "node").join(sets, "node")
+    left = members.withColumn("salt", F.explode(F.sequence(F.lit(0), (F.col("salts") - 1).cast("int")))).select("g2", "c2", "salt", "node", "component").join(sets, "node")
+    right = asked.select("g2", "c2", "salt", "node", "component").join(sets, "node")
     keys = ["g2", "c2", "salt"]
     left, right = (side.select(*[F.col(c).alias(c) for c in side.columns]) for side in (left, right))  # columns of their own
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_opened, "a long, b long")
@@ -299,11 +326,12 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     dealt = rows.repartition(partitions(spark), "token", salt).sortWithinPartitions("token", "node")
     shared = stored(dealt.mapInArrow(_shared, "token long, node long, indexes boolean"), "shared")
     sizes = profiles.where("n > 0").groupBy("node").agg(F.max("n").alias("n"))
-    pairs = stored(led(shared, sizes), "pairs")
+    leaders = stored(led(shared, sizes), "leaders")
+    pairs = leaders.where("likely")
     sets = sets_of(texts, pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))))
     near = stored(verified(pairs, sets), "links")
     groups = stored(components(near), "groups")
-    links = opened(texts, shared, sizes, groups)
+    links = opened(texts, shared, sizes, groups, leaders.where("place = 0").select(F.col("a").alias("node"), F.col("b").alias("leader")))
     return profiles, stored(components(near.union(links)), "components")
 
 
