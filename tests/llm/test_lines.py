@@ -220,3 +220,48 @@ def test_crowded_band_whose_lines_meet_only_there(spark, make, monkeypatch):
         monkeypatch.setattr(lines, "CROWD", crowd)
         found = lines.line_components(make(rows).select("text"), 0.75).collect()
         assert len(found) == 80 and len({f["component"] for f in found}) == 40
+
+
+def test_one_pass_over_the_texts_for_all_comparisons(make, monkeypatch):
+    """The lines of both rounds come from one pass."""
+    passes, texts = [], lines._texts
+    monkeypatch.setattr(lines, "_texts", lambda *a: passes.append(1) or texts(*a))
+    r = random.Random(10)
+    base = noise(r, 300)
+    near = [base[:at] + "Q" + base[at + 1 :] for at in range(5, 290, 15)]
+    got = result(make([*enumerate(near), *((k, noise(r, 200)) for k in range(100, 120))]))
+    assert sum(bool(t) for t in got.values()) == 21 and len(passes) == 1
+
+
+def test_bands_travel_in_blocks():
+    """A row for each bucket, not for each line and band; every line of every band is in one."""
+    import numpy as np
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"text": ["\n".join(f"line {k} of text {t}, {k * t}" for k in range(40)) for t in range(50)]})
+    plain = [x for b in lines._bands([batch]) for x in zip(*(b.column(k).to_pylist() for k in ("band", "id", "sketch")))]
+    blocks = [x for b in lines._blocked(lines._bands, 16)([batch]) for x in zip(b.column("bucket").to_pylist(), b.column("data").to_pylist())]
+    assert len(blocks) == 16 and len(plain) >= 12 * 1900
+    assert sorted(tuple(row) for _, data in blocks for row in np.frombuffer(data, np.int64).reshape(-1, 3).tolist()) == sorted(plain)
+    assert all(int(band) * 16 >> 64 == bucket for bucket, data in blocks for band in np.frombuffer(data, np.uint64)[::3])
+
+
+def test_lines_ids_and_shingles_by_definition():
+    import pyarrow as pa
+
+    r = random.Random(11)
+    texts = ["".join(r.choice("ab cdé ñ漢\U0001f600字\n \t") for _ in range(r.randrange(60))) for _ in range(800)] + [" " * 50 + "a b" + " " * 50, "x" * 5000]
+    want = [(i, k, x.strip(b" \t\n\r\x0b\x0c")) for i, t in enumerate(texts) for k, x in enumerate(t.encode().split(b"\n"))]
+    want = [w for w in want if w[2]]
+    data, row, number, a, b = lines.lines(pa.array(texts))
+    assert [(i, k, data[x:y].tobytes()) for i, k, x, y in zip(row.tolist(), number.tolist(), a, b)] == want
+    ids = lines.line_ids(data, a, b)
+    assert len({(w[2], i) for w, i in zip(want, ids.tolist())}) == len({w[2] for w in want}) == len(set(ids.tolist()))
+    hashes, starts = lines.shingles_of(data, a, b, ids)
+    seen = set()
+    for (_, _, line), x, y in zip(want, starts[:-1], starts[1:]):
+        own = line.decode()
+        own = [own[j : j + 5] for j in range(len(own) - 4)] or [own]
+        assert len(own) == y - x
+        seen.update(zip(own, hashes[x:y].tolist()))
+    assert len(seen) == len({s for s, _ in seen}) == len({h for _, h in seen})

@@ -14,12 +14,14 @@ band with a chance of 0.989, and all meet again by one bit for each place, the
 sketch: candidates whose sketches differ in more than APART bits (3 standard
 deviations for a pair at 0.75) are not compared.
 
-Lines that meet in a band are candidates.  First each is compared with the least
-line of its band and with its neighbour there; what these exact comparisons link
-forms components.  Then, in bands where several components are left, every line
-that has a candidate in another component is taken with its text to one task for
-the band, which compares across components until they are joined; no pair is
-sent anywhere.  A band of more than CROWD lines is dealt in blocks of about CROWD,
+Lines that meet in a band are candidates.  A task sends its bands' rows in blocks,
+each for a range of bands; the tasks that read them hold one range at a time.  First,
+in a band of at most ALL lines all candidates are compared, in a larger one each line
+with the least line of its band and with its neighbour there; what these exact
+comparisons link forms components.  Then, in larger bands where several components are
+left, every line that has a candidate in another component is taken with its text to
+one task for the band, which compares across components until they are joined; no pair
+is sent anywhere.  A band of more than CROWD lines is dealt in blocks of about CROWD,
 and every two blocks that can hold two components meet in a task of their own, so
 that all its candidates are compared there as well: the work grows with the square
 of the lines that are not of its largest components.  The links of both rounds go through a
@@ -46,7 +48,7 @@ from pyspark.sql import DataFrame, functions as F
 from trialstats.llm.bitmap import bitmap, marked
 from trialstats.llm.components import components
 from trialstats.llm.store import lasting, partitions, passing, stored
-from trialstats.llm.words import SPACE, hashed, mix, pieces, raw
+from trialstats.llm.words import SPACE, hashed, pieces, raw
 
 SHINGLE = 5
 BANDS, ROWS = 12, 4
@@ -56,6 +58,13 @@ APART = 13
 CROWD = 4096
 # bands of so many lines are compared side by side
 FEW = 24
+# in bands of so many lines all candidates are pairs at once
+ALL = 6
+# rows of bands that a task puts into blocks at a time, and buckets for each partition
+HELD = 1 << 19
+BUCKETS = 4
+# bytes of text worked on at a time: arrays of eight bytes for each stay in a processor's cache
+STRETCH = 1 << 17
 SEEN = 1 << 20
 # bytes of lines that are compared at a time
 TOGETHER = 1 << 20
@@ -70,58 +79,125 @@ def lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     begin = begin[begin < len(data)]
     end = np.r_[begin[1:], len(data)]
     row = np.searchsorted(offsets, begin, "right") - 1
-    # a line feed between two lines belongs to neither; the end of a text may have none
-    inside = np.flatnonzero(~SPACE[data])
-    low = np.searchsorted(inside, begin)
-    high = np.searchsorted(inside, end)
     feeds = np.searchsorted(feed, begin) - np.searchsorted(feed, offsets[:-1])[row]
-    keep = high > low
-    low, high = low[keep], high[keep]
-    return data, row[keep], feeds[keep], inside[low] if len(low) else low, inside[high - 1] + 1 if len(high) else high
+    # a line feed between two lines belongs to neither; the end of a text may have none
+    if len(begin):
+        begin, end = _trimmed(data, begin, end)
+    keep = end > begin
+    return data, row[keep], feeds[keep], begin[keep], end[keep]
+
+
+def _trimmed(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each stretch begins and ends without the blanks around it."""
+    begin, end = begin.copy(), end.copy()
+    for _ in range(4):  # as many as most lines have
+        end -= (end > begin) & SPACE[data[end - 1]]
+        begin += (end > begin) & SPACE[data[np.minimum(begin, len(data) - 1)]]
+    more = np.flatnonzero((end > begin) & (SPACE[data[end - 1]] | SPACE[data[np.minimum(begin, len(data) - 1)]]))
+    if len(more):
+        inside = np.flatnonzero(~SPACE[data])
+        low, high = np.searchsorted(inside, begin[more]), np.searchsorted(inside, end[more])
+        some = high > low
+        end[more[~some]] = begin[more[~some]]
+        begin[more[some]], end[more[some]] = inside[low[some]], inside[high[some] - 1] + 1
+    return begin, end
+
+
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """`words.mix` in place."""
+    shifted = x >> np.uint64(30)
+    x ^= shifted
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    np.right_shift(x, np.uint64(27), out=shifted)
+    x ^= shifted
+    x *= np.uint64(0x94D049BB133111EB)
+    np.right_shift(x, np.uint64(31), out=shifted)
+    x ^= shifted
+    return x
+
+
+def _eight(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on, zeros after the last."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.lib.stride_tricks.as_strided(padded[:8].view(np.uint64), (len(data) + 1,), (1,))
+
+
+def line_ids(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each line: the sum of its words of eight bytes, each mixed with its place.
+
+    All words of all lines at once, so that one long line costs no more than many short ones."""
+    if not len(a):
+        return np.zeros(0, np.int64)
+    size = b - a
+    count = (size + 7) >> 3
+    ends = np.cumsum(count)
+    nth = np.arange(ends[-1]) - np.repeat(ends - count, count)
+    word = _eight(data)[np.repeat(a, count) + (nth << 3)]
+    word[ends - 1] &= _BYTES[size - ((count - 1) << 3)]
+    word += (nth + 1).view(np.uint64) * _ODD
+    total = np.add.reduceat(_mix(word), ends - count)
+    return _mix(total ^ (size.astype(np.uint64) * _ODD)).view(np.int64)
 
 
 def _lines_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, t, line_no, id) of every line."""
     for batch in batches:
-        for piece in pieces(batch):
+        for piece in pieces(batch, limit=STRETCH):
             data, row, number, a, b = lines(piece.column("text"))
             rows = pa.array(row)
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id").take(rows), piece.column("t").take(rows), pa.array(number.astype(np.int32)), pa.array(hashed(data, a, b).view(np.int64))], ["doc_id", "t", "line_no", "id"])
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id").take(rows), piece.column("t").take(rows), pa.array(number.astype(np.int32)), pa.array(line_ids(data, a, b))], ["doc_id", "t", "line_no", "id"])
 
 
 _EMPTY = np.iinfo(np.uint32).max
 _STEP = np.uint64(0xD6E8FEB86659FD93)
-_MANY = np.uint64(0x9E3779B97F4A7C15)
 
 
 def characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of the SHINGLE characters from each character on, and the number of characters before each byte."""
-    first = (data & 0xC0) != 0x80
-    before = np.concatenate([[0], np.cumsum(first)])
-    points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.uint64)
-    n = len(points) - SHINGLE + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), before
-    h = points[:n].copy()
-    for k in range(1, SHINGLE):
-        h *= _MANY
-        h += points[k : k + n]
-    return mix(h), before
+    """A hash of the SHINGLE characters from each character on (of what follows, near the end), and the places of the
+    bytes that begin no character."""
+    rest = np.flatnonzero((data & 0xC0) == 0x80)
+    if not len(rest):
+        return _mix(_eight(data)[:-1] & _BYTES[SHINGLE]), rest
+    points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    # up to 255 a character is a byte here; sequences with others get a hash of their code points
+    h = _eight(points.astype(np.uint8))[:-1] & _BYTES[SHINGLE]
+    large = points > 255
+    if large.any():
+        near = large.copy()
+        for k in range(1, SHINGLE):
+            near[:-k] |= large[k:]
+        at = np.flatnonzero(near)
+        own = np.zeros(len(at), np.uint64)
+        points = np.concatenate([points, np.zeros(SHINGLE - 1, np.uint32)])
+        for k in range(SHINGLE):
+            own *= _ODD
+            own += points[at + k]
+        h[at] = own | np.uint64(1 << 63)
+    return _mix(h), rest
 
 
 def shingles_of(data: np.ndarray, a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles of all lines one after the other, and where each line's begin (and the end)."""
-    every, before = characters(data)
-    begin, size = before[a], before[b] - before[a] - SHINGLE + 1
-    count = np.maximum(size, 1)
+    """The shingles of all lines (in the order of their places) one after the other, and where each line's begin (and the end)."""
+    every, rest = characters(data)
+    begin, end = (a - np.searchsorted(rest, a), b - np.searchsorted(rest, b)) if len(rest) else (a, b)
+    count = np.maximum(end - begin - SHINGLE + 1, 1)
+    inside = np.zeros(len(every) + 1, np.int8)
+    inside[begin] = 1
+    np.subtract.at(inside, begin + count, 1)
+    out = every[np.cumsum(inside[:-1], dtype=np.int8).view(bool)]
     starts = np.r_[0, np.cumsum(count)]
-    at = np.arange(starts[-1]) - np.repeat(starts[:-1] - begin, count)
-    out = every[np.minimum(at, max(len(every) - 1, 0))] if len(every) else np.zeros(starts[-1], np.uint64)
-    short = np.flatnonzero(size < 1)
-    out[starts[short]] = mix(ids[short].view(np.uint64))
+    short = np.flatnonzero(end - begin < SHINGLE)
+    out[starts[short]] = _mix(ids[short].view(np.uint64).copy())
     return out, starts
 
 
+_TURNS = np.arange(2 * PLACES, dtype=np.uint64) * _STEP
+
+
 def signatures(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """PLACES values for each line."""
     n = len(starts) - 1
@@ -132,7 +208,7 @@ def signatures(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
         count = starts[active + 1] - starts[active]
         ends = np.cumsum(count)
         at = shingles if len(active) == n else shingles[np.arange(ends[-1]) - np.repeat(ends - count - starts[active], count)]
-        drawn = mix(at + np.uint64(turn + 1) * _STEP)
+        drawn = _mix(at + _TURNS[turn]) if turn else at
         value = (drawn & np.uint64((1 << 25) - 1)).astype(np.uint32) | np.uint32(turn << 25)
         place = ((drawn >> np.uint64(32)) * np.uint64(PLACES) >> np.uint64(32)).astype(np.int64) if turn < PLACES else turn - PLACES
         np.minimum.at(flat, np.repeat(active * PLACES, count) + place, value)
@@ -150,56 +226,112 @@ def bands_of(signature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     parts = signature.reshape(len(signature), BANDS, ROWS).astype(np.uint64)
     keys = np.broadcast_to(_SALT, (len(signature), BANDS)).copy()
     for k in range(ROWS):
-        keys = mix(keys ^ parts[:, :, k])
+        keys = _mix(keys ^ parts[:, :, k])
     bits = (signature & 1).astype(np.int64) << np.arange(PLACES)
     return keys.view(np.int64), bits.sum(axis=1)
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(band, id, sketch) of the lines of a task, each signed once (but for more than SEEN of them)."""
-    seen = np.zeros(0, np.int64)
+    seen: set[int] = set()
     for batch in batches:
-        for piece in pieces(batch):
+        for piece in pieces(batch, limit=STRETCH):
             data, _, _, a, b = lines(piece.column("text"))
-            ids, first = np.unique(hashed(data, a, b).view(np.int64), return_index=True)
-            new = ~np.isin(ids, seen)
+            ids, first = np.unique(line_ids(data, a, b), return_index=True)
+            own = ids.tolist()
+            new = np.fromiter((k not in seen for k in own), bool, len(own))
             ids, first = ids[new], first[new]
             if not len(ids):
                 continue
             if len(seen) < SEEN:
-                seen = np.concatenate([seen, ids])
+                seen.update(own)
             order = np.argsort(first)
             ids, first = ids[order], first[order]
             keys, sketch = bands_of(signatures(*shingles_of(data, a[first], b[first], ids)))
             yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(ids, BANDS)), pa.array(np.repeat(sketch, BANDS))], ["band", "id", "sketch"])
 
 
+def _blocked(bands, buckets: int):
+    """The rows of `bands` in blocks: (bucket, rows of (band, id, sketch) as bytes), a bucket being a range of bands.
+
+    Most bands have one line; rows of blocks are moved and sorted much faster than theirs."""
+
+    def block(held: list[np.ndarray]) -> pa.RecordBatch:
+        rows = np.concatenate(held)
+        bucket = (rows[:, 0].view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+        order = np.argsort(bucket, kind="stable")
+        rows, bucket = rows[order], bucket[order]
+        start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        offsets = np.r_[start, len(rows)].astype(np.int32) * (8 * rows.shape[1])
+        data = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(rows)])
+        return pa.RecordBatch.from_arrays([pa.array(bucket[start].astype(np.int32)), data], ["bucket", "data"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in bands(batches):
+            held.append(np.stack([batch.column(k).to_numpy() for k in ("band", "id", "sketch")], axis=1))
+            size += len(batch)
+            if size >= HELD:
+                yield block(held)
+                held, size = [], 0
+        if size:
+            yield block(held)
+
+    return run
+
+
 def _close(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x ^ y) <= APART
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (band, id), the lines of bands with several but the least, which comes with each of them;
-    nth counts a band's lines from the least (0) on, near and next tell if the least and the one before are candidates."""
-    last = None  # band, its least id and sketch, the id and sketch before, how many lines of it were told
+    """Of blocks sorted by bucket: (id, other) to be compared, and (band, id, sketch, n) of the lines of a band of
+    n > ALL that have to be compared with more than these."""
+    held, last = [], None
     for batch in batches:
-        band, line, sketch = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("band", "id", "sketch"))
-        if not len(band):
-            continue
-        new = np.r_[last is None or band[0] != last[0], band[1:] != band[:-1]]
-        start = np.maximum.accumulate(np.where(new, np.arange(len(band)), -1))
-        known = start >= 0
-        least = np.where(known, line[start], last[1] if last else 0)
-        least_sketch = np.where(known, sketch[start], last[2] if last else 0)
-        before, before_sketch = np.r_[last[3] if last else line[0], line[:-1]], np.r_[last[4] if last else sketch[0], sketch[:-1]]
-        keep = ~new & (line != before)
-        told = np.cumsum(keep)
-        nth = told - np.where(known, told[start], -last[5] if last else 0)
-        last = band[-1], least[-1], least_sketch[-1], line[-1], sketch[-1], nth[-1]
-        near, next_ = _close(sketch, least_sketch), _close(sketch, before_sketch)
-        columns = [band, line, sketch, least, least_sketch, before]
-        out = [pa.array(c[keep]) for c in columns]
-        yield pa.RecordBatch.from_arrays([*out, pa.array(near[keep]), pa.array(next_[keep]), pa.array(nth[keep])], ["band", "id", "sketch", "least", "least_sketch", "before", "near", "next", "nth"])
+        for bucket, data in zip(batch.column("bucket").to_pylist(), batch.column("data")):
+            if bucket != last and held:
+                yield _of_bucket(held)
+                held = []
+            last = bucket
+            held.append(np.frombuffer(data.as_buffer(), np.int64).reshape(-1, 3))
+    if held:
+        yield _of_bucket(held)
+
+
+def _of_bucket(held: list[np.ndarray]) -> pa.RecordBatch:
+    rows = np.concatenate(held)
+    order = np.argsort(rows[:, 0])
+    band = rows[order, 0]
+    same = band[1:] == band[:-1]
+    rows = rows[order[np.r_[False, same] | np.r_[same, False]]]
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    # a line that several tasks signed
+    rows = rows[np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)][: len(rows)]]
+    band, ids, sketch = np.ascontiguousarray(rows.T)
+    start = np.flatnonzero(np.r_[True, band[1:] != band[:-1]][: len(band)])
+    size = np.diff(np.r_[start, len(band)])
+    first, n = np.repeat(start, size), np.repeat(size, size)
+    place = np.arange(len(band)) - first
+    # each line with those before it; in larger bands with the least and the one before
+    left, right = [], []
+    for back in range(1, ALL):
+        at = np.flatnonzero((place >= back) & ((n <= ALL) | (back == 1)))
+        left.append(at)
+        right.append(at - back)
+    at = np.flatnonzero((n > ALL) & (place > 1))
+    left, right = np.concatenate([*left, at]), np.concatenate([*right, first[at]])
+    hit = _close(sketch[left], sketch[right])
+    a, b = ids[left[hit]], ids[right[hit]]
+    # of a band that is compared whole later, only lines with a candidate
+    many = n > CROWD
+    whole = np.flatnonzero((n > ALL) & ~many)
+    if len(whole):
+        for i, j in _across(band[whole], sketch[whole], ids[whole]):
+            many[whole[i]] = many[whole[j]] = True
+    columns = [np.r_[np.zeros(len(a), np.int64), band[many]], np.r_[a, ids[many]], np.r_[np.zeros(len(a), np.int64), sketch[many]], np.r_[np.zeros(len(a), np.int64), n[many]]]
+    other = pa.concat_arrays([pa.array(b), pa.nulls(int(many.sum()), pa.int64())])
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), other], ["band", "id", "sketch", "n", "other"])
 
 
 def alike(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
@@ -354,7 +486,7 @@ def _line_texts(wanted):
         for batch in batches:
             for piece in pieces(batch):
                 data, _, _, a, b = lines(piece.column("text"))
-                ids = hashed(data, a, b).view(np.int64)
+                ids = line_ids(data, a, b)
                 out = []
                 for k in np.flatnonzero(marked(bits, ids)).tolist():
                     if int(ids[k]) not in seen:
@@ -373,8 +505,7 @@ def _texts(plain: DataFrame, ids: DataFrame) -> DataFrame:
     return stored(made.dropDuplicates(["id"]), "lines")
 
 
-def _linked(pairs: DataFrame, plain: DataFrame, threshold: float) -> DataFrame:
-    texts = _texts(plain, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))))
+def _linked(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     left, right = texts.select(F.col("id").alias("a"), F.col("line").alias("left")), texts.select(F.col("id").alias("b"), F.col("line").alias("right"))
     return pairs.join(left, "a").join(right, "b").mapInArrow(_checked(threshold), "a long, b long")
 
@@ -403,23 +534,23 @@ def _blocks(crowd: DataFrame) -> DataFrame:
 
 def line_components(plain: DataFrame, threshold: float) -> DataFrame:
     """(node, component) of lines linked to others, by id."""
-    bands = plain.select("text").mapInArrow(_bands, "band long, id long, sketch long")
-    kinds = "band long, id long, sketch long, least long, least_sketch long, before long, near boolean, next boolean, nth long"
-    met = stored(_by_band(bands).mapInArrow(_met, kinds), "bands")
-    pair = lambda other: F.struct(F.greatest("id", other).alias("a"), F.least("id", other).alias("b"))
-    tried = F.array(F.when(F.col("near"), pair("least")), F.when(F.col("next") & ((F.col("before") != F.col("least")) | ~F.col("near")), pair("before")))
-    pairs = stored(met.where("near or next").select(F.explode(tried).alias("p")).where("p is not null").select("p.a", "p.b").distinct(), "pairs")
-    first = stored(_linked(pairs, plain, threshold), "links")
+    spread = partitions(plain.sparkSession)
+    blocks = plain.select("text").mapInArrow(_blocked(_bands, BUCKETS * spread), "bucket int, data binary")
+    dealt = blocks.repartition(spread, "bucket").sortWithinPartitions("bucket")
+    met = stored(dealt.mapInArrow(_met, "band long, id long, sketch long, n long, other long"), "bands")
+    pair = met.where("other is not null").select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b"))
+    pairs = stored(pair.distinct(), "pairs")
+    members = met.where("other is null").select("band", "id", "sketch", "n")
+    # the lines of both rounds of comparisons, in one pass over the texts
+    texts = _texts(plain, pairs.select(F.explode(F.array("a", "b")).alias("id")).unionAll(members.select("id")))
+    first = stored(_linked(pairs, texts, threshold), "links")
     groups = stored(components(first), "groups")
     # what is left: candidates in different components of one band
-    members = met.select("band", "id", "sketch").unionAll(met.where("nth = 1").select("band", F.col("least").alias("id"), F.col("least_sketch").alias("sketch")))
-    placed = members.join(groups, members["id"] == groups["node"], "left").select("band", "id", "sketch", F.coalesce("component", "id").alias("g"))
-    crowds = stored(met.where(F.col("nth") >= CROWD).groupBy("band").agg((F.max("nth") + 1).alias("n")), "crowds")
-    if not crowds.isEmpty():
+    placed = members.join(groups, members["id"] == groups["node"], "left").select("band", "id", "sketch", "n", F.coalesce("component", "id").alias("g"))
+    if not members.where(F.col("n") > CROWD).isEmpty():
         placed = stored(placed, "placed")
-        placed = placed.join(crowds, "band", "left_anti").unionByName(_blocks(placed.join(crowds, "band")))
-    rest = stored(_by_band(placed).mapInArrow(_apart, "band long, id long, sketch long, g long"), "rest")
-    texts = _texts(plain, rest.select("id"))
+        placed = placed.where(F.col("n") <= CROWD).drop("n").unionByName(_blocks(placed.where(F.col("n") > CROWD)))
+    rest = stored(_by_band(placed.select("band", "id", "sketch", "g")).mapInArrow(_apart, "band long, id long, sketch long, g long"), "rest")
     second = _by_band(rest.join(texts, "id")).select("band", "id", "sketch", "g", "line").mapInArrow(_joined(threshold), "a long, b long")
     return components(first.unionByName(stored(second.distinct(), "links")))
 
@@ -434,7 +565,8 @@ def dropped(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     with passing(docs.sparkSession):
         plain = _plain(docs)
         found = line_components(plain, threshold)
-        every = stored(plain.mapInArrow(_lines_of, "doc_id long, t long, line_no int, id long").distinct(), "occurrences")
+        # a row that is there twice gives a line's place twice, which changes neither the first place nor what goes
+        every = stored(plain.mapInArrow(_lines_of, "doc_id long, t long, line_no int, id long"), "occurrences")
         place = F.struct("doc_id", "t", "line_no")
         ids = every.groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("copies"))
         ids = ids.join(found, ids["id"] == found["node"], "left").select("id", "first", "copies", F.coalesce("component", "id").alias("g"), F.col("node").isNotNull().alias("linked"))
