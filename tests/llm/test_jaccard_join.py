@@ -119,3 +119,25 @@ def test_unlinked_documents_that_share_a_passage(make, monkeypatch):
     assert result(make(rows)) == want
     assert len({c for _, c in want.values()}) >= 8
     assert max(x["count"] for x in matrices[0].groupBy("token").count().collect()) <= 8
+
+
+def test_sets_are_sent_and_not_stored(make, monkeypatch):
+    """Sets, larger than the texts, go to where they are compared without a table of them."""
+    names, stored = [], jaccard_join.stored
+    monkeypatch.setattr(jaccard_join, "stored", lambda frame, name: names.append(name) or stored(frame, name))
+    base = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(base[:k] + [f"own{k}"] + base[k + 1 :])) for k in (0, 1, 58, 59)] + [(100 + k, " ".join(f"x{k}y{j}" for j in range(30))) for k in range(5)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.join(make(rows)).collect()}
+    assert got == {0: 0, 1: 0, 58: 0, 59: 0} | {100 + k: 100 + k for k in range(5)}
+    assert "shared" in names and "sets" not in names
+
+
+def test_shared_shingles_come_from_blocks():
+    import numpy as np
+
+    from trialstats.llm import blocks
+
+    rows = np.array([[8, 1], [8, 2], [8, 2], [12, 1], [18, 5], [20, 7], [20, 7]], np.int64)  # 8: two nodes; 18: hot; 12, 20: one node
+    batches = list(blocks.packed(iter([(np.zeros(len(part), np.uint64), part) for part in (rows[:3], rows[3:])])))
+    out = [x for b in jaccard_join._shared(iter(batches)) for x in zip(b.column("token").to_pylist(), b.column("node").to_pylist(), b.column("indexes").to_pylist())]
+    assert [b.num_rows for b in batches] == [1] and sorted(out) == [(2, 1, False), (2, 2, False), (4, 5, False)]

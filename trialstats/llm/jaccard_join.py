@@ -34,14 +34,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
-from trialstats.llm.components import components
 from trialstats.llm.bitmap import bitmap, marked
-from trialstats.llm.store import partitions, stored
+from trialstats.llm.blocks import BUCKETS, SCHEMA, buckets, dealt, packed, whole
+from trialstats.llm.components import components
+from trialstats.llm.store import lasting, partitions, passing, stored
 from trialstats.llm.words import first_words, hash_words, mix, pieces, rolled, signed, words
 
 SIZE = 5
@@ -131,10 +131,11 @@ def hot_tokens(counts: DataFrame, most: int = HOT) -> tuple[np.ndarray, np.ndarr
     return token[order], rows["level"].to_numpy().astype(np.int8)[order]
 
 
-def _prefixes(hot):
-    """(key, node): key is a shingle's upper 62 bits, then whether it is hot, then whether it indexes."""
+def _prefixes(hot, spread: int):
+    """Blocks of (key, node): key is a shingle's upper 62 bits, then whether it is hot, then whether it indexes.
+    A shingle's rows share a bucket, a hot one's one of 64."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         token, level = hot.value
         often = np.zeros(MARKS, bool)
         often[(token & np.uint64(MARKS - 1)).astype(np.int64)] = True
@@ -161,35 +162,32 @@ def _prefixes(hot):
                     keys.append(key)
                     nodes.append(np.full(probe, node, np.int64))
                 if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), pa.array(np.concatenate(nodes))], ["key", "node"])
+                    key, node = np.concatenate(keys), np.concatenate(nodes)
+                    salt = np.where(key & np.uint64(2), node.view(np.uint64) & np.uint64(63), np.uint64(0))
+                    yield buckets(mix((key >> np.uint64(2)) + salt * np.uint64(0x9E3779B97F4A7C15)), spread), np.stack([signed(key), node], axis=1)
 
-    return run
+    return lambda batches: packed(run(batches))
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (token, node): one for each token and node, of tokens of several nodes or hot ones."""
-    last = None  # (token, node, key, live) of a row not yet written
-    for batch in batches:
-        token, key, node = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("token", "key", "node"))
-        before = np.zeros(len(token), bool)
-        if last is not None:
-            token, key, node, before = np.r_[last[0], token], np.r_[last[2], key], np.r_[last[1], node], np.r_[last[3], before]
-        fresh = np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])]
-        token, key, node, before = token[fresh], key[fresh], node[fresh], before[fresh]
+    """Of whole buckets: a row for each token and node, of tokens of several nodes or hot ones."""
+    for rows in whole(batches, 2):
+        order = np.argsort(rows[:, 0])
+        token = rows[order, 0] >> 2
+        same = token[1:] == token[:-1]
+        rows = rows[order[np.r_[False, same] | np.r_[same, False] | ((rows[order, 0] & 2) > 0)]]
+        # a node has one key for a token, so repeated rows are equal
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        rows = rows[np.r_[True, (rows[1:] != rows[:-1]).any(axis=1)][: len(rows)]]
+        key, node = rows[:, 0], rows[:, 1]
+        token = key >> 2
         same = token[1:] == token[:-1]
-        live = before | ((key & 2) > 0)
-        live[1:] |= same
-        live[:-1] |= same
-        if len(token):
-            last = token[-1], node[-1], key[-1], live[-1]
-            out = np.flatnonzero(live[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(token[out]), pa.array(node[out]), pa.array((key[out] & 1) > 0)], ["token", "node", "indexes"])
-    if last is not None and last[3]:
-        yield pa.RecordBatch.from_arrays([pa.array([last[0]], pa.int64()), pa.array([last[1]], pa.int64()), pa.array([bool(last[2] & 1)])], ["token", "node", "indexes"])
+        live = (np.r_[False, same] | np.r_[same, False])[: len(token)] | ((key & 2) > 0)
+        yield pa.RecordBatch.from_arrays([pa.array(token[live]), pa.array(node[live]), pa.array((key[live] & 1) > 0)], ["token", "node", "indexes"])
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, n, tokens) for at least the given nodes: one pass over the texts, which leaves out
+    """(node, tokens), once for each of at least the given nodes: one pass over the texts, which leaves out
     most others by a bitmap of fixed size."""
     sent = docs.sparkSession.sparkContext.broadcast(bitmap(nodes.select("node")))
 
@@ -204,25 +202,68 @@ def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                     if (node := int(nodes[k])) not in seen:
                         if len(seen) < COUNTED:
                             seen.add(node)
-                        out.append((node, len(sets[k]), sets[k].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.binary())], ["node", "n", "tokens"])
+                        out.append((node, sets[k].tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary())], ["node", "tokens"])
 
-    made = docs.mapInArrow(run, "node long, n long, tokens binary").join(nodes.select("node").distinct(), "node", "left_semi")
-    return stored(made.dropDuplicates(["node"]), "sets")
+    return docs.mapInArrow(run, "node long, tokens binary").dropDuplicates(["node"])
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b = batch.column("left"), batch.column("right")
-        keep = [alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(a, b)]
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def _of_groups(links):
+    """`links` of each group's rows: a table with the columns below."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        out: list[tuple[int, int]] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            group = batch.column("group").to_numpy()
+            cuts = np.r_[0, np.flatnonzero(group[1:] != group[:-1]) + 1, len(group)].tolist()
+            for at, to in zip(cuts[:-1], cuts[1:]):
+                if held and held[0].column("group")[0].as_py() != group[at]:
+                    out += links(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(at, to - at))
+            if len(out) > 10_000:
+                yield _links(out)
+                out = []
+        if held:
+            out += links(pa.Table.from_batches(held))
+        yield _links(out)
 
+    return run
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
-    left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("left"))
-    right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("right"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(_verified, "a long, b long")
+
+def _links(out: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"])
+
+
+def compared(docs: DataFrame, where: DataFrame, links) -> DataFrame:
+    """(a, b): `links` of each group of `where` (group, node, component, member, asks) with the nodes' sets.
+
+    A set is sent by its node once, and from there once to each of its groups."""
+    where = stored(where.groupBy("group", "node").agg(F.min("component").alias("component"), F.max("member").alias("member"), F.max("asks").alias("asks")), "where")
+    sent = where.join(sets_of(docs, where), "node").select("group", "node", "component", "member", "asks", "tokens")
+    return sent.repartition(partitions(docs.sparkSession), "group").sortWithinPartitions("group").mapInArrow(_of_groups(links), "a long, b long")
+
+
+def _with_leaders(rows: pa.Table) -> list[tuple[int, int]]:
+    """Links of those who ask with the group's leader."""
+    node, member, asks = (rows.column(k).to_numpy() for k in ("node", "member", "asks"))
+    sets = [np.frombuffer(t.as_buffer(), np.uint64) for t in rows.column("tokens")]
+    return [(int(node[i]), int(node[j])) for j in np.flatnonzero(member) for i in np.flatnonzero(asks) if i != j and alike(sets[i], sets[j])]
+
+
+def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets link; at most QUERIES or so of a leader b meet it in a group."""
+    led_by = stored(pairs.groupBy("b").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("salts")), "led")
+    group = F.xxhash64("b", "salt").alias("group")
+    none = F.lit(0).cast("long").alias("component")
+    asked = pairs.join(led_by, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int"))
+    leaders = led_by.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    asked = asked.select(group, F.col("a").alias("node"), none, F.lit(False).alias("member"), F.lit(True).alias("asks"))
+    leaders = leaders.select(group, F.col("b").alias("node"), none, F.lit(True).alias("member"), F.lit(False).alias("asks"))
+    return compared(docs, asked.unionAll(leaders), _with_leaders)
 
 
 def led(shared: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -242,36 +283,38 @@ def led(shared: DataFrame, sizes: DataFrame) -> DataFrame:
     return placed.select("a", "place", "leader.b", "leader.likely")
 
 
-def _opened(key, members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-    """Links of the queries with members of the group, enough to join all components that such links join."""
-    out = []
-    if len(members) and len(queries):
-        sets = [np.frombuffer(t, np.uint64) for t in members["tokens"]]
-        size = np.array([len(x) for x in sets])
-        token, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
-        order = np.argsort(token)
-        token, owner = token[order], owner[order]
-        node, component = members["node"].to_numpy(), members["component"].to_numpy()
-        over: dict[int, int] = {}  # of components that links found here joined
-
-        def top(k: int) -> int:
-            while (up := over.get(k, k)) != k:
-                over[k] = k = over.get(up, up)
-            return k
-
-        for a, of, tokens in zip(queries["node"].tolist(), queries["component"].tolist(), queries["tokens"]):
-            s = np.frombuffer(tokens, np.uint64)
-            low = np.searchsorted(token, s, "left")
-            count = np.searchsorted(token, s, "right") - low
-            ends = np.cumsum(count)
-            at = np.arange(ends[-1]) - np.repeat(ends - count - low, count)
-            both = np.bincount(owner[at], minlength=len(sets))
-            for k in np.flatnonzero((100 * both >= 75 * (len(s) + size - both)) & (component != of)).tolist():
-                x, y = top(of), top(int(component[k]))
-                if x != y:
-                    over[max(x, y)] = min(x, y)
-                    out.append((a, int(node[k])))
-    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+def _opened(rows: pa.Table) -> list[tuple[int, int]]:
+    """Links of those who ask with members of the group, enough to join all components that such links join."""
+    out: list[tuple[int, int]] = []
+    node, component, member, asks = (rows.column(k).to_numpy() for k in ("node", "component", "member", "asks"))
+    every = [np.frombuffer(t.as_buffer(), np.uint64) for t in rows.column("tokens")]
+    members = np.flatnonzero(member)
+    if not len(members) or not asks.any():
+        return out
+    size = np.array([len(every[k]) for k in members])
+    token, owner = np.concatenate([every[k] for k in members]), np.repeat(np.arange(len(members)), size)
+    order = np.argsort(token)
+    token, owner = token[order], owner[order]
+    over: dict[int, int] = {}  # of components that links found here joined
+
+    def top(k: int) -> int:
+        while (up := over.get(k, k)) != k:
+            over[k] = k = over.get(up, up)
+        return k
+
+    for q in np.flatnonzero(asks).tolist():
+        s, of = every[q], int(component[q])
+        low = np.searchsorted(token, s, "left")
+        count = np.searchsorted(token, s, "right") - low
+        ends = np.cumsum(count)
+        at = np.arange(ends[-1]) - np.repeat(ends - count - low, count)
+        both = np.bincount(owner[at], minlength=len(members))
+        for k in members[(100 * both >= 75 * (len(s) + size - both)) & (component[members] != of)].tolist():
+            x, y = top(of), top(int(component[k]))
+            if x != y:
+                over[max(x, y)] = min(x, y)
+                out.append((int(node[q]), int(node[k])))
+    return out
 
 
 def opened(docs: DataFrame, shared: DataFrame, sizes: DataFrame, groups: DataFrame, leaders: DataFrame) -> DataFrame:
@@ -305,12 +348,9 @@ def opened(docs: DataFrame, shared: DataFrame, sizes: DataFrame, groups: DataFra
     called = stored(called, "called")
     members = placed.select("node", "component", F.col("g").alias("g2"), F.col("chunk").alias("c2")).join(called, ["g2", "c2"])
     asked = calls.join(placed.select("node", "component"), "node").join(called, ["g2", "c2"]).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
-    sets = sets_of(docs, members.select("node").union(asked.select("node"))).select("node", "tokens")
-    left = members.withColumn("salt", F.explode(F.sequence(F.lit(0), (F.col("salts") - 1).cast("int")))).select("g2", "c2", "salt", "node", "component").join(sets, "node")
-    right = asked.select("g2", "c2", "salt", "node", "component").join(sets, "node")
-    keys = ["g2", "c2", "salt"]
-    left, right = (side.select(*[F.col(c).alias(c) for c in side.columns]) for side in (left, right))  # columns of their own
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_opened, "a long, b long")
+    members = members.withColumn("salt", F.explode(F.sequence(F.lit(0), (F.col("salts") - 1).cast("int"))))
+    meets = lambda rows, member: rows.select(F.xxhash64("g2", "c2", "salt").alias("group"), "node", "component", F.lit(member).alias("member"), F.lit(not member).alias("asks"))
+    return compared(docs, meets(members, True).unionAll(meets(asked, False)), _opened)
 
 
 def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -319,17 +359,16 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     both = stored(plain.mapInArrow(_profiles, "doc_id long, n long, node long, token long, count long"), "profiles")
     profiles = both.where("token is null").select("doc_id", "n", "node")
-    hot = spark.sparkContext.broadcast(hot_tokens(both.where("token is not null").select("token", "count")))
+    with passing(spark):
+        hot = spark.sparkContext.broadcast(hot_tokens(both.where("token is not null").select("token", "count")))
     texts = plain.select("text")
-    rows = texts.mapInArrow(_prefixes(hot), "key long, node long").select(F.shiftright("key", 2).alias("token"), "key", "node")
-    salt = F.when(F.col("key").bitwiseAND(F.lit(2)) > 0, F.col("node").bitwiseAND(F.lit(63))).otherwise(F.lit(0))
-    dealt = rows.repartition(partitions(spark), "token", salt).sortWithinPartitions("token", "node")
-    shared = stored(dealt.mapInArrow(_shared, "token long, node long, indexes boolean"), "shared")
+    blocks = texts.mapInArrow(_prefixes(hot, BUCKETS * partitions(spark)), SCHEMA)
+    shared = stored(dealt(blocks).mapInArrow(_shared, "token long, node long, indexes boolean"), "shared")
     sizes = profiles.where("n > 0").groupBy("node").agg(F.max("n").alias("n"))
-    leaders = stored(led(shared, sizes), "leaders")
-    pairs = leaders.where("likely")
-    sets = sets_of(texts, pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))))
-    near = stored(verified(pairs, sets), "links")
+    with passing(spark):
+        leaders = lasting(led(shared, sizes), "leaders")
+    with passing(spark):
+        near = lasting(verified(texts, leaders.where("likely").select("a", "b")), "links")
     groups = stored(components(near), "groups")
     links = opened(texts, shared, sizes, groups, leaders.where("place = 0").select(F.col("a").alias("node"), F.col("b").alias("leader")))
     return profiles, stored(components(near.union(links)), "components")

@@ -46,6 +46,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
 from trialstats.llm.bitmap import bitmap, marked
+from trialstats.llm.blocks import BUCKETS, SCHEMA, buckets, dealt, packed, whole
 from trialstats.llm.components import components
 from trialstats.llm.store import lasting, partitions, passing, stored
 from trialstats.llm.words import SPACE, hashed, pieces, raw
@@ -60,9 +61,6 @@ CROWD = 4096
 FEW = 24
 # in bands of so many lines all candidates are pairs at once
 ALL = 6
-# rows of bands that a task puts into blocks at a time, and buckets for each partition
-HELD = 1 << 19
-BUCKETS = 4
 # bytes of text worked on at a time: arrays of eight bytes for each stay in a processor's cache
 STRETCH = 1 << 17
 SEEN = 1 << 20
@@ -251,33 +249,15 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(ids, BANDS)), pa.array(np.repeat(sketch, BANDS))], ["band", "id", "sketch"])
 
 
-def _blocked(bands, buckets: int):
-    """The rows of `bands` in blocks: (bucket, rows of (band, id, sketch) as bytes), a bucket being a range of bands.
+def _blocked(bands, spread: int):
+    """The rows of `bands` in blocks, a bucket being a range of bands; most bands have one line."""
 
-    Most bands have one line; rows of blocks are moved and sorted much faster than theirs."""
-
-    def block(held: list[np.ndarray]) -> pa.RecordBatch:
-        rows = np.concatenate(held)
-        bucket = (rows[:, 0].view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-        order = np.argsort(bucket, kind="stable")
-        rows, bucket = rows[order], bucket[order]
-        start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-        offsets = np.r_[start, len(rows)].astype(np.int32) * (8 * rows.shape[1])
-        data = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(rows)])
-        return pa.RecordBatch.from_arrays([pa.array(bucket[start].astype(np.int32)), data], ["bucket", "data"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for batch in bands(batches):
-            held.append(np.stack([batch.column(k).to_numpy() for k in ("band", "id", "sketch")], axis=1))
-            size += len(batch)
-            if size >= HELD:
-                yield block(held)
-                held, size = [], 0
-        if size:
-            yield block(held)
+            own = np.stack([batch.column(k).to_numpy() for k in ("band", "id", "sketch")], axis=1)
+            yield buckets(own[:, 0], spread), own
 
-    return run
+    return lambda batches: packed(rows(batches))
 
 
 def _close(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -287,20 +267,11 @@ def _close(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of blocks sorted by bucket: (id, other) to be compared, and (band, id, sketch, n) of the lines of a band of
     n > ALL that have to be compared with more than these."""
-    held, last = [], None
-    for batch in batches:
-        for bucket, data in zip(batch.column("bucket").to_pylist(), batch.column("data")):
-            if bucket != last and held:
-                yield _of_bucket(held)
-                held = []
-            last = bucket
-            held.append(np.frombuffer(data.as_buffer(), np.int64).reshape(-1, 3))
-    if held:
-        yield _of_bucket(held)
+    for rows in whole(batches, 3):
+        yield _of_bucket(rows)
 
 
-def _of_bucket(held: list[np.ndarray]) -> pa.RecordBatch:
-    rows = np.concatenate(held)
+def _of_bucket(rows: np.ndarray) -> pa.RecordBatch:
     order = np.argsort(rows[:, 0])
     band = rows[order, 0]
     same = band[1:] == band[:-1]
@@ -325,10 +296,10 @@ def _of_bucket(held: list[np.ndarray]) -> pa.RecordBatch:
     a, b = ids[left[hit]], ids[right[hit]]
     # of a band that is compared whole later, only lines with a candidate
     many = n > CROWD
-    whole = np.flatnonzero((n > ALL) & ~many)
-    if len(whole):
-        for i, j in _across(band[whole], sketch[whole], ids[whole]):
-            many[whole[i]] = many[whole[j]] = True
+    small = np.flatnonzero((n > ALL) & ~many)
+    if len(small):
+        for i, j in _across(band[small], sketch[small], ids[small]):
+            many[small[i]] = many[small[j]] = True
     columns = [np.r_[np.zeros(len(a), np.int64), band[many]], np.r_[a, ids[many]], np.r_[np.zeros(len(a), np.int64), sketch[many]], np.r_[np.zeros(len(a), np.int64), n[many]]]
     other = pa.concat_arrays([pa.array(b), pa.nulls(int(many.sum()), pa.int64())])
     return pa.RecordBatch.from_arrays([*map(pa.array, columns), other], ["band", "id", "sketch", "n", "other"])
@@ -534,10 +505,8 @@ def _blocks(crowd: DataFrame) -> DataFrame:
 
 def line_components(plain: DataFrame, threshold: float) -> DataFrame:
     """(node, component) of lines linked to others, by id."""
-    spread = partitions(plain.sparkSession)
-    blocks = plain.select("text").mapInArrow(_blocked(_bands, BUCKETS * spread), "bucket int, data binary")
-    dealt = blocks.repartition(spread, "bucket").sortWithinPartitions("bucket")
-    met = stored(dealt.mapInArrow(_met, "band long, id long, sketch long, n long, other long"), "bands")
+    blocks = plain.select("text").mapInArrow(_blocked(_bands, BUCKETS * partitions(plain.sparkSession)), SCHEMA)
+    met = stored(dealt(blocks).mapInArrow(_met, "band long, id long, sketch long, n long, other long"), "bands")
     pair = met.where("other is not null").select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b"))
     pairs = stored(pair.distinct(), "pairs")
     members = met.where("other is null").select("band", "id", "sketch", "n")

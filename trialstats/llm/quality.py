@@ -107,9 +107,15 @@ def _training_vectors(idf: np.ndarray):
     return run
 
 
+def products(x: np.ndarray) -> np.ndarray:
+    """x.T @ x in single precision."""
+    x = x.astype(np.float32, copy=False)
+    return x.T @ x
+
+
 def fit(x: np.ndarray) -> np.ndarray:
     """Right singular vectors of the DIMS largest singular values (SLOTS x DIMS)."""
-    _, vectors = np.linalg.eigh(x.T @ x)
+    _, vectors = np.linalg.eigh(products(x))
     return np.ascontiguousarray(vectors[:, ::-1][:, :DIMS]).astype(np.float32)
 
 
@@ -118,14 +124,17 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
 
     The driver holds at most max_rows half-precision rows of SLOTS (24 MB)."""
     idf = inverse_frequency(docs)
-    rows = training_rows(docs, labels, label, max_rows).mapInArrow(_training_vectors(idf), "doc_id long, y double, x binary").collect()
-    if not rows:
+    rows = training_rows(docs, labels, label, max_rows).mapInArrow(_training_vectors(idf), "doc_id long, y double, x binary").toArrow()
+    if not rows.num_rows:
         return None
-    rows.sort(key=lambda r: (r["doc_id"], r["y"], bytes(r["x"])))
-    x = np.stack([np.frombuffer(r["x"], np.float16) for r in rows]).astype(np.float32)
-    y = np.array([r["y"] for r in rows], np.float32)
+    order = np.argsort(rows["doc_id"].to_numpy())  # a row for each id
+    y = rows["y"].to_numpy()[order].astype(np.float32)
+    x = np.empty((len(order), SLOTS), np.float16)
+    for k, at in enumerate(order.tolist()):
+        x[k] = np.frombuffer(rows["x"][at].as_buffer(), np.float16)
+    del rows  # half precision only while the eigenvectors are made
     projection = fit(x)
-    v = x @ projection
+    v = x.astype(np.float32) @ projection
     norm = np.linalg.norm(v, axis=1)
     keep = norm > 1e-6
     return idf, projection, (v[keep] / norm[keep, None]).astype(np.float32), y[keep], float(y.mean())
