@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trialstats.llm import decontaminate, jaccard_join, lines, packing, quality
+from trialstats.llm.bitmap import parted
 from trialstats.llm.store import stored, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -31,11 +32,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def jaccard_groups(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Of each group of near-equal documents the one with the smallest doc_id; rows that repeat that id stay once."""
-    groups = jaccard_join.join(docs)
-    keep = stored(groups.where("doc_id is null or n_shingles = 0 or doc_id = component_id").select("doc_id").distinct(), "keep")
-    first = docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
-    return first.dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
+    """Of each group of near-equal documents the one with the smallest doc_id; rows that repeat that id stay once.
+
+    Only rows that may go or repeat an id are shuffled with their texts."""
+    stays = F.expr("doc_id is null or n_shingles = 0 or doc_id = component_id")
+    ids = jaccard_join.join(docs).groupBy("doc_id").agg(F.bool_or(stays).alias("stays"), F.count("*").alias("rows"))
+    odd = stored(ids.where("not stays or rows > 1").select("doc_id", "stays"), "odd")
+    some, others = parted(docs, F.xxhash64(F.col("doc_id").cast("long")), odd.select(F.xxhash64("doc_id").alias("hash")))
+    first = some.join(odd.where("not stays").select("doc_id"), "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
+    return first.select(*COLUMNS).unionAll(others.select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -56,3 +56,20 @@ def test_odd_rows(spark, folder, make):
         assert stage(spark, make([]).select(COLUMNS), folder).count() == 0, name
     kept = corpus_pipeline.jaccard_groups(spark, make(ODD).select(COLUMNS), folder)
     assert kept.where("doc_id = 7").count() == 2  # repeated rows once, the other text too: the id stands for both
+
+
+def test_texts_that_stay_are_not_shuffled(spark, folder, make, monkeypatch):
+    """Only rows that may go, or whose id is there twice, are sent with their texts."""
+    parts, parted = [], corpus_pipeline.parted
+    monkeypatch.setattr(corpus_pipeline, "parted", lambda *given: parts.append(parted(*given)) or parts[-1])
+    base = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(f"x{k}y{j}" for j in range(30))) for k in range(20)] + [(100 + k, " ".join([*base[:k], "own", *base[k + 1 :]])) for k in (0, 1, 59)]
+    rows += [(30, "twice the same"), (30, "twice the same"), (31, "one text"), (31, "another text"), (40, None), (41, ""), (None, "no id"), (None, "no id"), (None, "nor here")]
+    kept = corpus_pipeline.jaccard_groups(spark, make(rows).select(COLUMNS), folder)
+    gone = {rows.index(r) for r in rows if r[0] in (101, 159)} | {rows.index((30, "twice the same")) + 1, rows.index((None, "no id")) + 1}
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    assert kept.columns == COLUMNS
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert sorted(got, key=key) == sorted((r for k, r in enumerate(rows) if k not in gone), key=key)
+    ((some, others),) = parts
+    assert {r["doc_id"] for r in others.collect()} == {*range(20), 40, 41, 100} and some.count() + others.count() == len(rows)

@@ -141,3 +141,20 @@ def test_shared_shingles_come_from_blocks():
     batches = list(blocks.packed(iter([(np.zeros(len(part), np.uint64), part) for part in (rows[:3], rows[3:])])))
     out = [x for b in jaccard_join._shared(iter(batches)) for x in zip(b.column("token").to_pylist(), b.column("node").to_pylist(), b.column("indexes").to_pylist())]
     assert [b.num_rows for b in batches] == [1] and sorted(out) == [(2, 1, False), (2, 2, False), (4, 5, False)]
+
+
+def test_texts_are_sent_in_place_of_sets(make):
+    """Where sets are compared they are made again, equal, from texts a good deal smaller."""
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(9)
+    texts = [" ".join(r.choice(("Die", "größte", "of", "many", "words", "漢字", "here", "there")) + str(r.randrange(50)) for _ in range(n)) for n in (1, 4, 5, 900, 20_000)]
+    rows = [*enumerate(texts), (10, None), (11, ""), (12, texts[3])]
+    want = {jaccard_join.node_of(s): s for s in jaccard_join.shingle_sets(pa.array(texts))}
+    nodes = make(rows).sparkSession.createDataFrame([(n,) for n in want], "node long")
+    sent = jaccard_join.texts_of(make(rows).select("text"), nodes).toArrow()
+    got = dict(zip(sent.column("node").to_pylist(), jaccard_join.sets_sent(sent)))
+    assert got.keys() == want.keys() and all(np.array_equal(got[n], want[n]) for n in want)
+    assert 2 * sum(map(len, sent.column("text").to_pylist())) < sum(8 * len(s) for s in want.values())
+    assert jaccard_join.sets_sent(sent.slice(0, 0)) == []

@@ -265,3 +265,14 @@ def test_lines_ids_and_shingles_by_definition():
         assert len(own) == y - x
         seen.update(zip(own, hashes[x:y].tolist()))
     assert len(seen) == len({s for s, _ in seen}) == len({h for _, h in seen})
+
+
+def test_documents_that_lose_nothing_are_not_sent(make, monkeypatch):
+    """Only documents with a line that goes are joined with the lines' numbers."""
+    parts, parted = [], lines.parted
+    monkeypatch.setattr(lines, "parted", lambda *given: parts.append(parted(*given)) or parts[-1])
+    frame = make([(k, f"x{k * 7919} of its own {k * 104729}") for k in range(20)] + [(50, "a line that is there twice"), (51, "first\na line that is there twice"), (52, None), (None, "no id"), (None, "no id")])
+    got = {(r["doc_id"], r["text"], r["n_lines_removed"]) for r in lines.deduplicated(frame).collect()}
+    assert {(51, "first", 1), (50, "a line that is there twice", 0), (52, None, 0), (None, "no id", 0)} <= got and len(got) == 24
+    ((some, others),) = parts
+    assert [r["doc_id"] for r in some.collect()] == [51] and others.count() == 24

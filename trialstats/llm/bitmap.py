@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
 BITS = 1 << 26
 
@@ -22,3 +23,14 @@ def marked(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Which of the int64 values may be in the bitmap."""
     slot = values & (BITS - 1)
     return ((bits[slot >> 6] >> (slot & 63)) & 1).astype(bool)
+
+
+def parted(frame: DataFrame, key: Column, hashes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key (a long, not null) may be among the hashes, and the others, which need no join to tell that they match nothing."""
+    sent = frame.sparkSession.sparkContext.broadcast(bitmap(hashes))
+
+    @F.arrow_udf("boolean")
+    def among(keys: pa.Array) -> pa.Array:
+        return pa.array(marked(sent.value, keys.to_numpy()))
+
+    return frame.where(among(key)), frame.where(~among(key))

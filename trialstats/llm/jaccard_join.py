@@ -31,6 +31,7 @@ component's smallest id; an empty table gives no rows; extra columns are ignored
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +43,7 @@ from trialstats.llm.bitmap import bitmap, marked
 from trialstats.llm.blocks import BUCKETS, SCHEMA, buckets, dealt, packed, whole
 from trialstats.llm.components import components
 from trialstats.llm.store import lasting, partitions, passing, stored
-from trialstats.llm.words import first_words, hash_words, mix, pieces, rolled, signed, words
+from trialstats.llm.words import PIECE_BYTES, first_words, hash_words, mix, pieces, rolled, signed, words
 
 SIZE = 5
 HOT = 1 << 18
@@ -186,26 +187,40 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(token[live]), pa.array(node[live]), pa.array((key[live] & 1) > 0)], ["token", "node", "indexes"])
 
 
-def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, tokens), once for each of at least the given nodes: one pass over the texts, which leaves out
-    most others by a bitmap of fixed size."""
+def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text), once for each of at least the given nodes: one pass over the texts, which leaves out
+    most others by a bitmap of fixed size.  Hashes can't be compressed, so texts are sent, a third the size of their sets."""
     sent = docs.sparkSession.sparkContext.broadcast(bitmap(nodes.select("node")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = sent.value, set()
         for batch in batches:
             for piece in pieces(batch):
-                sets = [s for s in shingle_sets(piece.column("text")) if len(s)]
-                nodes = np.array([node_of(s) for s in sets], np.int64)
+                sets = shingle_sets(piece.column("text"))
+                some = np.flatnonzero([len(s) > 0 for s in sets])
+                nodes = np.array([node_of(sets[k]) for k in some], np.int64)
                 out = []
                 for k in np.flatnonzero(marked(bits, nodes)):
                     if (node := int(nodes[k])) not in seen:
                         if len(seen) < COUNTED:
                             seen.add(node)
-                        out.append((node, sets[k].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary())], ["node", "tokens"])
+                        text = piece.column("text")[int(some[k])].as_py()
+                        out.append((node, zlib.compress(text.encode(), 1)))
+                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary())], ["node", "text"])
 
-    return docs.mapInArrow(run, "node long, tokens binary").dropDuplicates(["node"])
+    return docs.mapInArrow(run, "node long, text binary").dropDuplicates(["node"])
+
+
+def sets_sent(rows: pa.Table) -> list[np.ndarray]:
+    """The sets of the rows' texts, made in pieces."""
+    sets, held, size = [], [], 0
+    for sent in rows.column("text").to_pylist():
+        held.append(zlib.decompress(sent))
+        size += len(held[-1])
+        if size >= PIECE_BYTES:
+            sets += shingle_sets(pa.array(held, pa.binary()).cast(pa.string()))
+            held, size = [], 0
+    return sets + shingle_sets(pa.array(held, pa.binary()).cast(pa.string()))
 
 
 def _of_groups(links):
@@ -239,18 +254,18 @@ def _links(out: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def compared(docs: DataFrame, where: DataFrame, links) -> DataFrame:
-    """(a, b): `links` of each group of `where` (group, node, component, member, asks) with the nodes' sets.
+    """(a, b): `links` of each group of `where` (group, node, component, member, asks) with the nodes' texts.
 
-    A set is sent by its node once, and from there once to each of its groups."""
+    A text is sent by its node once, and from there once to each of its groups."""
     where = stored(where.groupBy("group", "node").agg(F.min("component").alias("component"), F.max("member").alias("member"), F.max("asks").alias("asks")), "where")
-    sent = where.join(sets_of(docs, where), "node").select("group", "node", "component", "member", "asks", "tokens")
+    sent = where.join(texts_of(docs, where), "node").select("group", "node", "component", "member", "asks", "text")
     return sent.repartition(partitions(docs.sparkSession), "group").sortWithinPartitions("group").mapInArrow(_of_groups(links), "a long, b long")
 
 
 def _with_leaders(rows: pa.Table) -> list[tuple[int, int]]:
     """Links of those who ask with the group's leader."""
     node, member, asks = (rows.column(k).to_numpy() for k in ("node", "member", "asks"))
-    sets = [np.frombuffer(t.as_buffer(), np.uint64) for t in rows.column("tokens")]
+    sets = sets_sent(rows)
     return [(int(node[i]), int(node[j])) for j in np.flatnonzero(member) for i in np.flatnonzero(asks) if i != j and alike(sets[i], sets[j])]
 
 
@@ -287,10 +302,10 @@ def _opened(rows: pa.Table) -> list[tuple[int, int]]:
     """Links of those who ask with members of the group, enough to join all components that such links join."""
     out: list[tuple[int, int]] = []
     node, component, member, asks = (rows.column(k).to_numpy() for k in ("node", "component", "member", "asks"))
-    every = [np.frombuffer(t.as_buffer(), np.uint64) for t in rows.column("tokens")]
     members = np.flatnonzero(member)
     if not len(members) or not asks.any():
         return out
+    every = sets_sent(rows)
     size = np.array([len(every[k]) for k in members])
     token, owner = np.concatenate([every[k] for k in members]), np.repeat(np.arange(len(members)), size)
     order = np.argsort(token)

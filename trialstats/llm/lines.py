@@ -45,7 +45,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
-from trialstats.llm.bitmap import bitmap, marked
+from trialstats.llm.bitmap import bitmap, marked, parted
 from trialstats.llm.blocks import BUCKETS, SCHEMA, buckets, dealt, packed, whole
 from trialstats.llm.components import components
 from trialstats.llm.store import lasting, partitions, passing, stored
@@ -547,15 +547,20 @@ def dropped(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """The documents (all columns) without the lines that go, and n_lines_removed; texts may become empty."""
+    """The documents (all columns) without the lines that go, and n_lines_removed; texts may become empty.
+
+    Only documents that may lose lines are sent to the join; the others stay where they are."""
     gone = dropped(docs, threshold).select(F.col("doc_id").alias("__d"), F.col("t").alias("__t"), "gone")
+    doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(LOW))
+    some, others = parted(docs, F.xxhash64(doc_id), gone.select(F.xxhash64("__d").alias("hash")))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.withColumn("__d", F.coalesce(F.col("doc_id").cast("long"), F.lit(LOW))).withColumn("__t", F.xxhash64(text))
+    keyed = some.withColumn("__d", doc_id).withColumn("__t", F.xxhash64(text))
     joined = keyed.join(gone, ["__d", "__t"], "left")
     # the text is split once: a lambda's argument is a value
     cut = F.transform(F.array(F.split("text", "\n")), lambda own: F.transform(F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col("gone")), lambda k: F.get(own, k)))
     changed = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(cut[0], "\n"))
-    return joined.withColumn("text", changed).withColumn("n_lines_removed", F.coalesce(F.size("gone"), F.lit(0)).cast("long")).select(*docs.columns, "n_lines_removed")
+    cleaned = joined.withColumn("text", changed).withColumn("n_lines_removed", F.coalesce(F.size("gone"), F.lit(0)).cast("long"))
+    return cleaned.select(*docs.columns, "n_lines_removed").unionAll(others.withColumn("n_lines_removed", F.lit(0).cast("long")).select(*docs.columns, "n_lines_removed"))
 
 
 def report(docs: DataFrame) -> DataFrame:
