@@ -276,3 +276,60 @@ def test_documents_that_lose_nothing_are_not_sent(make, monkeypatch):
     assert {(51, "first", 1), (50, "a line that is there twice", 0), (52, None, 0), (None, "no id", 0)} <= got and len(got) == 24
     ((some, others),) = parts
     assert [r["doc_id"] for r in some.collect()] == [51] and others.count() == 24
+
+
+def test_places_travel_with_the_bands():
+    """One pass gives bands and places; of a line in all documents a task sends one place by id, the others by document."""
+    import numpy as np
+    import pyarrow as pa
+
+    rows = [(t, 7 * t, "the line that everybody has\n" + f"own line {t * 7919} of {t ** 3}\n" * 2) for t in range(50)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [r[0] for r in rows], "t": [r[1] for r in rows], "text": [r[2] for r in rows]})
+    first, again = [], []
+    for b in lines._blocked(lines._bands, 4)([batch, batch]):  # a row that is there twice counts once
+        for bucket, data in zip(b.column("bucket").to_pylist(), b.column("data").to_pylist()):
+            if 4 <= bucket < 8:
+                first += np.frombuffer(data, np.int64).reshape(-1, 4)[:, 1:].tolist()
+            elif bucket >= 8:
+                again += np.frombuffer(data, np.int64).reshape(-1, 3).tolist()
+    assert sorted(first) == sorted([[0, 0, 0], *([t, 7 * t, 1] for t in range(50))])
+    assert sorted(again) == sorted([*([t, 7 * t, 0] for t in range(1, 50)), *([t, 7 * t, 2] for t in range(50))])
+
+
+def test_two_passes_over_the_texts(make, monkeypatch):
+    """Places come with the bands: the texts are hashed for these and for the lines to compare, not again for the places."""
+    steps, stored = [], lines.stored
+    monkeypatch.setattr(lines, "stored", lambda frame, name: steps.append(name) or stored(frame, name))
+    lines.dropped(make([(k, f"line {k} of many\nthe same for all") for k in range(30)])).count()
+    assert steps.count("bands") == 1 and steps.count("lines") == 1 and "occurrences" not in steps
+
+
+def test_blank_lines_are_not_counted(make):
+    text = "a\n \t\n\n!\n  x\n\x0b\f\r\n\x01\né\n\u00a0\n"
+    (row,) = lines.report(make([(1, text)])).collect()
+    assert (row["n_lines"], row["n_removed"]) == (6, 0)
+
+
+def test_links_between_components_of_the_first_round(make, monkeypatch):
+    """The second round's links join whole components, and lines that had no link before."""
+
+    def none(threshold):
+        return lambda batches: iter(())
+
+    r = random.Random(12)
+    chains = []
+    for c in range(8):
+        line = list(noise(r, 160))
+        for step in range(10):
+            chains.append((c * 100 + step, "".join(line)))
+            for at in r.sample(range(160), 3):
+                line[at] = r.choice("ABCDEFGH")
+    want = brute(chains)
+    # nothing is compared in the first round
+    monkeypatch.setattr(lines, "_checked", none)
+    monkeypatch.setattr(lines, "ALL", 1)
+    got = result(make(chains))
+    agree(got, want)
+    assert sum(bool(t) for t in got.values()) <= sum(bool(t) for t in want.values()) + 1
+    monkeypatch.setattr(lines, "_joined", none)
+    assert sum(bool(t) for t in result(make(chains)).values()) > 70

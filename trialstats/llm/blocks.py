@@ -5,6 +5,7 @@ reads a bucket has all its rows at once, so buckets should be many."""
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,16 +36,17 @@ def _block(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
 
 
 def packed(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """(bucket, data) of pairs of buckets and rows (int64, a line for each row)."""
-    held, size = [], 0
+    """(bucket, data) of pairs of buckets and rows (int64, a line for each row); a bucket's rows are of one width."""
+    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
+    size: dict[int, int] = defaultdict(int)
     for bucket, rows in pairs:
-        held.append((bucket, rows))
-        size += len(rows)
-        if size >= HELD:
-            yield _block(held)
-            held, size = [], 0
-    if size:
-        yield _block(held)
+        width = rows.shape[1]
+        held[width].append((bucket, rows))
+        size[width] += len(rows)
+        if size[width] >= HELD:
+            yield _block(held.pop(width))
+            size[width] = 0
+    yield from (_block(held[width]) for width in held if size[width])
 
 
 def dealt(blocks: DataFrame) -> DataFrame:
@@ -54,13 +56,19 @@ def dealt(blocks: DataFrame) -> DataFrame:
 
 def whole(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[np.ndarray]:
     """The rows of one bucket after the other, of blocks sorted by bucket."""
+    for _, values in filled(batches):
+        yield values.reshape(-1, width)
+
+
+def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    """One bucket after the other, of blocks sorted by bucket, and the values of all its rows."""
     held, last = [], None
     for batch in batches:
         for bucket, data in zip(batch.column("bucket").to_pylist(), batch.column("data")):
             if bucket != last and held:
-                yield np.concatenate(held)
+                yield last, np.concatenate(held)
                 held = []
             last = bucket
-            held.append(np.frombuffer(data.as_buffer(), np.int64).reshape(-1, width))
+            held.append(np.frombuffer(data.as_buffer(), np.int64))
     if held:
-        yield np.concatenate(held)
+        yield last, np.concatenate(held)

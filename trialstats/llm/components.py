@@ -2,10 +2,47 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from trialstats.llm.store import stored
 
+# edges that a task contracts at a time
+EDGES = 1 << 18
+
+
+def least_connected(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every node of these edges, and the least node that they connect it to."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        x, y = root[x], root[y]
+        apart = x != y
+        if not apart.any():
+            return nodes, nodes[root]
+        x, y = x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b): every node of a task's edges with the least node they connect it to; contracted whenever EDGES more are there."""
+    a, b, new = [], [], 0
+    for batch in batches:
+        a.append(batch.column("a").to_numpy())
+        b.append(batch.column("b").to_numpy())
+        new += len(batch)
+        if new >= EDGES:
+            nodes, least = least_connected(np.concatenate(a), np.concatenate(b))
+            a, b, new = [nodes], [least], 0
+    if a:
+        yield pa.RecordBatch.from_arrays([*map(pa.array, least_connected(np.concatenate(a), np.concatenate(b)))], ["a", "b"])
+
 
 def _toward_least(edges: DataFrame, large: bool) -> DataFrame:
     """One star step (Kiveris et al. 2014): neighbours above (large) or below (small) a node move to its least neighbour."""
@@ -31,14 +68,19 @@ def _are_stars(edges: DataFrame) -> bool:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): every node of an edge with the least node it is connected to.
 
-    Alternates large-star and small-star steps until only stars are left; self
+    Tasks of about EDGES edges each replace them by stars.  If there are several,
+    large-star and small-star steps alternate until only stars are left.  Self
     loops and repeated edges are allowed, nulls are not connected."""
     known = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    every = stored(known.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "edges")
-    at = every.where("a <> b")
+    every = stored(known.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")), "edges")
+    tasks = -(-every.count() // EDGES)
+    every = stored(every.coalesce(max(tasks, 1)).mapInArrow(_contracted, "a long, b long"), "edges")
+    if tasks <= 1:
+        return every.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    at = stored(every.where("a <> b").distinct(), "edges")
     while not _are_stars(at):
         at = stored(_toward_least(stored(_toward_least(at, True), "edges"), False), "edges")
     # stars point down, as the first edges do, so the node that points nowhere is the least
     labels = at.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    nodes = every.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    nodes = every.select(F.col("a").alias("node")).distinct()
     return nodes.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -15,7 +15,9 @@ sketch: candidates whose sketches differ in more than APART bits (3 standard
 deviations for a pair at 0.75) are not compared.
 
 Lines that meet in a band are candidates.  A task sends its bands' rows in blocks,
-each for a range of bands; the tasks that read them hold one range at a time.  First,
+each for a range of bands; the tasks that read them hold one range at a time.  The
+lines' places go with them: by id the first that a task has of a line, so that a line
+in all documents is a row for each task; every other place of it is a repeat.  First,
 in a band of at most ALL lines all candidates are compared, in a larger one each line
 with the least line of its band and with its neighbour there; what these exact
 comparisons link forms components.  Then, in larger bands where several components are
@@ -24,8 +26,8 @@ one task for the band, which compares across components until they are joined; n
 is sent anywhere.  A band of more than CROWD lines is dealt in blocks of about CROWD,
 and every two blocks that can hold two components meet in a task of their own, so
 that all its candidates are compared there as well: the work grows with the square
-of the lines that are not of its largest components.  The links of both rounds go through a
-distributed union-find, and the line that comes first (by doc_id and line number)
+of the lines that are not of its largest components.  The links of the first round and
+then those between its components go through a distributed union-find, and the line that comes first (by doc_id and line number)
 stays of each component.  Intermediate tables are deleted when the last step that
 reads them is written.
 
@@ -46,7 +48,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
 from trialstats.llm.bitmap import bitmap, marked, parted
-from trialstats.llm.blocks import BUCKETS, SCHEMA, buckets, dealt, packed, whole
+from trialstats.llm.blocks import BUCKETS, HELD, SCHEMA, buckets, dealt, filled, packed
 from trialstats.llm.components import components
 from trialstats.llm.store import lasting, partitions, passing, stored
 from trialstats.llm.words import SPACE, hashed, pieces, raw
@@ -141,15 +143,6 @@ def line_ids(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _mix(total ^ (size.astype(np.uint64) * _ODD)).view(np.int64)
 
 
-def _lines_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, t, line_no, id) of every line."""
-    for batch in batches:
-        for piece in pieces(batch, limit=STRETCH):
-            data, row, number, a, b = lines(piece.column("text"))
-            rows = pa.array(row)
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id").take(rows), piece.column("t").take(rows), pa.array(number.astype(np.int32)), pa.array(line_ids(data, a, b))], ["doc_id", "t", "line_no", "id"])
-
-
 _EMPTY = np.iinfo(np.uint32).max
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -230,12 +223,17 @@ def bands_of(signature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(band, id, sketch) of the lines of a task, each signed once (but for more than SEEN of them)."""
+    """(band, id, sketch) of the lines of a task, each signed once (but for more than SEEN of them); of texts that have
+    a doc_id and t also (id, doc_id, t, line_no) of every line."""
     seen: set[int] = set()
     for batch in batches:
         for piece in pieces(batch, limit=STRETCH):
-            data, _, _, a, b = lines(piece.column("text"))
-            ids, first = np.unique(line_ids(data, a, b), return_index=True)
+            data, row, number, a, b = lines(piece.column("text"))
+            ids = line_ids(data, a, b)
+            if "doc_id" in piece.schema.names:
+                doc, t = (piece.column(k).to_numpy()[row] for k in ("doc_id", "t"))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (ids, doc, t, number.astype(np.int64)))], ["id", "doc_id", "t", "line_no"])
+            ids, first = np.unique(ids, return_index=True)
             own = ids.tolist()
             new = np.fromiter((k not in seen for k in own), bool, len(own))
             ids, first = ids[new], first[new]
@@ -250,25 +248,76 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _blocked(bands, spread: int):
-    """The rows of `bands` in blocks, a bucket being a range of bands; most bands have one line."""
+    """The rows of `bands` in blocks, a bucket being a range of bands; most bands have one line.
+
+    Places of lines have `spread` buckets more, by id, and as many for those of repeats, by document."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        held, size = [], 0
         for batch in bands(batches):
-            own = np.stack([batch.column(k).to_numpy() for k in ("band", "id", "sketch")], axis=1)
-            yield buckets(own[:, 0], spread), own
+            if "line_no" in batch.schema.names:
+                held.append(np.stack(batch.columns, axis=1))
+                size += len(batch)
+                if size >= HELD:
+                    yield from placed(np.concatenate(held))
+                    held, size = [], 0
+            else:
+                own = np.stack([batch.column(k).to_numpy() for k in ("band", "id", "sketch")], axis=1)
+                yield buckets(own[:, 0], spread), own
+        if held:
+            yield from placed(np.concatenate(held))
+
+    def placed(places: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        # a line's first place here; the others go, wherever its very first is
+        places, first = _first_places(places)
+        yield buckets(places[first, 0], spread) + np.uint64(spread), places[first]
+        again = np.ascontiguousarray(places[~first, 1:])
+        yield buckets(_mix(again[:, 1].view(np.uint64) ^ again[:, 0].view(np.uint64) * _ODD), spread) + np.uint64(2 * spread), again
 
     return lambda batches: packed(rows(batches))
 
 
+def _first_places(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (id, doc_id, t, line_no) sorted, each once, and which of them are the first of their id."""
+    places = places[np.lexsort(places.T[::-1])]
+    places = places[np.r_[True, (places[1:] != places[:-1]).any(axis=1)][: len(places)]]
+    return places, np.r_[True, places[1:, 0] != places[:-1, 0]][: len(places)]
+
+
 def _close(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x ^ y) <= APART
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+MET = "band long, id long, sketch long, n long, other long, doc_id long, t long, line_no int"
+
+
+def _met(spread: int):
     """Of blocks sorted by bucket: (id, other) to be compared, and (band, id, sketch, n) of the lines of a band of
-    n > ALL that have to be compared with more than these."""
-    for rows in whole(batches, 3):
-        yield _of_bucket(rows)
+    n > ALL that have to be compared with more than these; (id, doc_id, t, line_no) of each line's first place, and
+    without id the places of its repeats."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, values in filled(batches):
+            if bucket < spread:
+                yield _filled_up(_of_bucket(values.reshape(-1, 3)))
+            elif bucket < 2 * spread:
+                places, first = _first_places(values.reshape(-1, 4))
+                yield _of_places(places[:, 1:], pa.array(places[:, 0], mask=~first))
+            else:
+                yield _of_places(values.reshape(-1, 3), pa.nulls(len(values) // 3, pa.int64()))
+
+    return run
+
+
+def _filled_up(rows: pa.RecordBatch) -> pa.RecordBatch:
+    none = pa.nulls(len(rows), pa.int64())
+    return pa.RecordBatch.from_arrays([*rows.columns, none, none, none.cast(pa.int32())], [*rows.schema.names, "doc_id", "t", "line_no"])
+
+
+def _of_places(rows: np.ndarray, ids: pa.Array) -> pa.RecordBatch:
+    none, (doc, t, number) = pa.nulls(len(rows), pa.int64()), np.ascontiguousarray(rows.T)
+    columns = [none, ids, none, none, none, pa.array(doc), pa.array(t), pa.array(number.astype(np.int32))]
+    return pa.RecordBatch.from_arrays(columns, ["band", "id", "sketch", "n", "other", "doc_id", "t", "line_no"])
 
 
 def _of_bucket(rows: np.ndarray) -> pa.RecordBatch:
@@ -417,7 +466,7 @@ def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _joined(threshold: float):
-    """The links that join components, found by exact comparisons of a band's candidates not joined yet."""
+    """The links of components, found by exact comparisons of a band's candidates not joined yet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         over: dict[int, int] = {}  # of components that links of this task joined
@@ -428,7 +477,7 @@ def _joined(threshold: float):
             return k
 
         for batch in _bands_whole(batches):
-            band, sketch, ids, g = (batch.column(k).to_numpy() for k in ("band", "sketch", "id", "g"))
+            band, sketch, g = (batch.column(k).to_numpy() for k in ("band", "sketch", "g"))
             sets: dict[int, np.ndarray] = {}
             text, links = batch.column("line"), []
             for rows, columns in _across(band, sketch, g):
@@ -443,7 +492,7 @@ def _joined(threshold: float):
                         continue
                     if alike(sets[i], sets[j], threshold):
                         over[max(x, y)] = min(x, y)
-                        links.append((max(ids[i], ids[j]), min(ids[i], ids[j])))
+                        links.append((max(g[i], g[j]), min(g[i], g[j])))
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in links], pa.int64()), pa.array([p[1] for p in links], pa.int64())], ["a", "b"])
 
@@ -503,13 +552,21 @@ def _blocks(crowd: DataFrame) -> DataFrame:
     return dealt.join(stored(met, "pairs"), ["band", "block"]).select(F.col("pair").alias("band"), "id", "sketch", "g")
 
 
+def _candidates(plain: DataFrame) -> DataFrame:
+    """What lines meet in bands and, if the texts have a doc_id and t, where they are: one pass over the texts."""
+    spread = BUCKETS * partitions(plain.sparkSession)
+    return stored(dealt(plain.mapInArrow(_blocked(_bands, spread), SCHEMA)).mapInArrow(_met(spread), MET), "bands")
+
+
 def line_components(plain: DataFrame, threshold: float) -> DataFrame:
     """(node, component) of lines linked to others, by id."""
-    blocks = plain.select("text").mapInArrow(_blocked(_bands, BUCKETS * partitions(plain.sparkSession)), SCHEMA)
-    met = stored(dealt(blocks).mapInArrow(_met, "band long, id long, sketch long, n long, other long"), "bands")
+    return _components_of(plain, _candidates(plain), threshold)
+
+
+def _components_of(plain: DataFrame, met: DataFrame, threshold: float) -> DataFrame:
     pair = met.where("other is not null").select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b"))
     pairs = stored(pair.distinct(), "pairs")
-    members = met.where("other is null").select("band", "id", "sketch", "n")
+    members = met.where("band is not null and other is null").select("band", "id", "sketch", "n")
     # the lines of both rounds of comparisons, in one pass over the texts
     texts = _texts(plain, pairs.select(F.explode(F.array("a", "b")).alias("id")).unionAll(members.select("id")))
     first = stored(_linked(pairs, texts, threshold), "links")
@@ -521,7 +578,11 @@ def line_components(plain: DataFrame, threshold: float) -> DataFrame:
         placed = placed.where(F.col("n") <= CROWD).drop("n").unionByName(_blocks(placed.where(F.col("n") > CROWD)))
     rest = stored(_by_band(placed.select("band", "id", "sketch", "g")).mapInArrow(_apart, "band long, id long, sketch long, g long"), "rest")
     second = _by_band(rest.join(texts, "id")).select("band", "id", "sketch", "g", "line").mapInArrow(_joined(threshold), "a long, b long")
-    return components(first.unionByName(stored(second.distinct(), "links")))
+    over = components(second).select(F.col("node").alias("g"), F.col("component").alias("least"))
+    groups = groups.select("node", F.col("component").alias("g"))
+    # a line without a link of the first round is a component of its own
+    alone = over.join(groups.select("g"), "g", "left_anti").select(F.col("g").alias("node"), F.col("least").alias("component"))
+    return groups.join(over, "g", "left").select("node", F.coalesce("least", "g").alias("component")).unionAll(alone)
 
 
 def _plain(docs: DataFrame) -> DataFrame:
@@ -533,16 +594,15 @@ def dropped(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     """(doc_id, t, gone): the numbers of the lines that go from each document; t is the text's hash, a null doc_id LOW."""
     with passing(docs.sparkSession):
         plain = _plain(docs)
-        found = line_components(plain, threshold)
-        # a row that is there twice gives a line's place twice, which changes neither the first place nor what goes
-        every = stored(plain.mapInArrow(_lines_of, "doc_id long, t long, line_no int, id long"), "occurrences")
+        met = _candidates(plain)
+        found = _components_of(plain, met, threshold)
+        places = met.where("line_no is not null").select("id", "doc_id", "t", "line_no")
+        # a repeat goes, whatever its line is linked to; of lines linked to others all but the first go
         place = F.struct("doc_id", "t", "line_no")
-        ids = every.groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("copies"))
-        ids = ids.join(found, ids["id"] == found["node"], "left").select("id", "first", "copies", F.coalesce("component", "id").alias("g"), F.col("node").isNotNull().alias("linked"))
-        ids = stored(ids.where("copies > 1 or linked"), "ids")
-        kept = ids.groupBy("g").agg(F.min("first").alias("kept"))
-        of = stored(ids.select("id", "g").join(kept, "g").select("id", "kept"), "of")
-        gone = every.join(of, "id").where(place != F.col("kept"))
+        linked = stored(places.join(found, places["id"] == found["node"]).select("component", place.alias("place")), "linked")
+        kept = linked.groupBy("component").agg(F.min("place").alias("kept"))
+        gone = linked.join(kept, "component").where(F.col("place") != F.col("kept")).select("place.*")
+        gone = gone.unionAll(places.where("id is null").select("doc_id", "t", "line_no"))
         return lasting(gone.groupBy("doc_id", "t").agg(F.sort_array(F.collect_set("line_no")).alias("gone")), "gone")
 
 
@@ -566,7 +626,9 @@ def deduplicated(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines (not blank), n_removed, kept_sha256 of the text that stays."""
     clean = deduplicated(docs.select("doc_id", "text"))
-    left = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line: line.rlike(r"[^ \t\n\x0B\f\r]")))
+    # most lines begin with a character above the blanks; the others are looked through
+    full = lambda line: (line >= "!") | line.rlike(r"[^ \t\n\x0B\f\r]")
+    left = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), full))
     return clean.select(
         F.col("doc_id").cast("long").alias("doc_id"), (left + F.col("n_lines_removed")).cast("long").alias("n_lines"),
         F.col("n_lines_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
