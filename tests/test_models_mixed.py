@@ -309,3 +309,35 @@ def test_linear_grid_holds_slopes_too(df):
     for spec, fit in zip(specs, fit_lmm_grid(df, specs), strict=True):
         alone = fit_lmm(df, spec)
         assert np.allclose(fit.estimate, alone.estimate, rtol=1e-7) and math.isclose(fit.stats["reml"], alone.stats["reml"], rel_tol=1e-10)
+
+
+def test_linear_slopes_of_many_groups_share_their_jobs(spark, df):
+    """Models with their own complete rows and slopes: the jobs of a grid don't grow with its models."""
+    from dataclasses import replace
+
+    holes = df.select("*").limit(5).withColumn("t", F.lit(None).cast("double"))
+    frame = df.unionByName(holes).withColumn("u", F.col("t") + F.col("x"))
+    specs = [SLOPE, replace(SLOPE, name="one", fixed=("x",)), replace(SLOPE, name="t", slope="t"), replace(SLOPE, name="u", fixed=("x", "t", "u"))]
+    context = spark.sparkContext
+
+    def counted(name, wanted, local_rows):
+        context.setJobGroup(name, name)
+        return fit_lmm_grid(frame, wanted, local_rows=local_rows), len(context.statusTracker().getJobIdsForGroup(name))
+
+    (one,), own = counted("one slope", specs[:1], 0)
+    grid, jobs = counted("all slopes", specs, 0)
+    assert jobs <= 2 * own
+    for spec, fit in zip(specs, grid, strict=True):
+        (alone,), _ = counted("alone", [spec], 20_000)
+        assert fit.n == alone.n and fit.terms == alone.terms and fit.stats["groups"] == alone.stats["groups"] == 24
+        assert np.allclose(fit.estimate, alone.estimate, rtol=1e-6, equal_nan=True) and math.isclose(fit.stats["reml"], alone.stats["reml"], rel_tol=1e-9)
+        assert all(math.isclose(fit.stats[k], alone.stats[k], rel_tol=1e-4) for k in ("sigma", "group_sd", "slope_sd", "group_cor"))
+    assert np.allclose(one.estimate, grid[0].estimate, rtol=1e-6)
+
+
+def test_rows_of_a_group_come_together_before_their_state_is_made(spark, df):
+    """One state for each group, not one for each group and task that has some of its rows."""
+    from trialstats.models.moments import GroupStates
+
+    states = GroupStates(df.repartition(7).select("g", "x", "t", "w"))
+    assert states.size == 24

@@ -8,6 +8,10 @@ and spread.  Groups with equal Z'Z are then merged, because their contribution i
 linear in the outer products of Z'[X y]: for a random intercept this leaves one
 row per distinct group size.  A random slope is fitted on its standardised column
 as well and the covariance mapped back, so its place and units do not matter.
+
+Groups with a random slope seldom agree in Z'Z.  Where there are many, each keeps
+one short row of Z'[X y] for all models of a grid (`slopes`), and the models'
+searches run side by side, a job for each round of all.
 """
 
 from __future__ import annotations
@@ -21,8 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialstats.models.moments import GroupStates, complete, independent
-from trialstats.models.optimise import newton_values, root
+from trialstats.models.optimise import newton_values, root, side_by_side, value_steps
 from trialstats.models.reduce import LOCAL_ROWS, Kernel, SumOverRows
+from trialstats.models.slopes import SlopeSums, slope_rows
 from trialstats.models.spec import (
     INTERCEPT,
     Fit,
@@ -36,6 +41,7 @@ from trialstats.models.spec import (
     unscaled,
     with_aliased,
 )
+from trialstats.runtime import held
 
 # Decimals, in units of the slope's spread, to which groups must agree in Z'Z to be merged.
 AGREE = 11
@@ -146,21 +152,14 @@ class LinearRows:
         return list(predictor_columns(names, self.levels))
 
 
-class GroupMoments:
-    """Merged cross-products of [1, X, y] per group, X standardised and y less its mean, and sums over them.
+class Design:
+    """Which columns of the union design a model uses, and what follows from its overall cross-products.
 
     ``terms`` are those that take part, ``all_terms`` the whole design.
     """
 
-    def __init__(
-        self,
-        df: DataFrame,
-        spec: ModelSpec,
-        levels: Levels | None = None,
-        local_rows: int = LOCAL_ROWS,
-        shared: LinearRows | None = None,
-    ):
-        rows = shared or LinearRows(df, [spec], levels, local_rows)
+    def __init__(self, rows: LinearRows, spec: ModelSpec):
+        self.spec = spec
         names = rows.terms(spec.fixed)
         use = [*[rows.where[t] for t in names], rows.where[f"y:{spec.outcome}"]]
         state = complete(rows.groups.states, use)
@@ -168,6 +167,8 @@ class GroupMoments:
             raise ValueError(f"{spec.name}: no complete rows")
         kept = independent(state, len(names))
         state = state.pick([*kept, len(names)])
+        #: Columns that must be there, and those that take part; the outcome comes last.
+        self.needed, self.use = use, [use[k] for k in [*kept, len(names)]]
         self.all_terms = [INTERCEPT, *names]
         self.terms = [INTERCEPT, *[names[k] for k in kept]]
         self.p = len(self.terms)
@@ -184,8 +185,50 @@ class GroupMoments:
         self.z = [0] if self.slope is None else [0, self.slope]
         self.q = len(self.z)
         self.layout = Layout(self.q, self.width)
+        self.n = int(round(state.n))
+        self.gram = np.zeros((self.width, self.width))
+        self.gram[0, 0] = state.n
+        self.gram[1:, 1:] = state.product / self.spread[:, None] / self.spread[None, :]
+
+    def generalised(self, correction: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Generalised least squares: inverse of X'VX, coefficients, residual sum."""
+        inverse, beta, rss = self._standard(correction)
+        return *unscaled(inverse, beta, self.mean[:-1], self.spread[:-1], self.mean[-1]), rss
+
+    def _standard(self, correction: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """The same for the standardised columns."""
+        return solve_normal(self.gram - correction)
+
+    def reml(self, logdet: float, correction: np.ndarray) -> float:
+        inverse, _, rss = self._standard(correction)
+        df = self.n - self.p
+        # The determinant is that of the columns as they stand.
+        units = 2 * np.log(self.spread).sum()
+        return df * (math.log(2 * math.pi * rss / df) + 1) + logdet - np.linalg.slogdet(inverse)[1] + units
+
+    def to_raw(self) -> np.ndarray:
+        """Effects on (1, standardised slope) to effects on (1, slope)."""
+        if self.slope is None:
+            return np.eye(1)
+        mean, spread = self.mean[self.slope - 1], self.spread[self.slope - 1]
+        return np.array([[1.0, -mean / spread], [0.0, 1.0 / spread]])
+
+
+class GroupMoments(Design):
+    """Merged cross-products of [1, X, y] per group, X standardised and y less its mean, and sums over them."""
+
+    def __init__(
+        self,
+        df: DataFrame,
+        spec: ModelSpec,
+        levels: Levels | None = None,
+        local_rows: int = LOCAL_ROWS,
+        shared: LinearRows | None = None,
+    ):
+        rows = shared or LinearRows(df, [spec], levels, local_rows)
+        super().__init__(rows, spec)
         make = partial(merged_groups, self.layout, self.z)
-        found = rows.groups.rows([use[k] for k in [*kept, len(names)]], self.mean, self.spread, make, self.layout.size)
+        found = rows.groups.rows(self.use, self.mean, self.spread, make, self.layout.size)
         self.table = SumOverRows(found, local_rows)
         whole = self.table.sum(self.layout.totals)
         self.groups = int(round(whole[0]))
@@ -208,22 +251,6 @@ class GroupMoments:
         flat = self.table.sum(_correction_kernel(self.layout, factors)).reshape(len(factors), 1 + self.width**2)
         return [(row[0], row[1:].reshape(self.width, self.width)) for row in flat]
 
-    def generalised(self, correction: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        """Generalised least squares: inverse of X'VX, coefficients, residual sum."""
-        inverse, beta, rss = self._standard(correction)
-        return *unscaled(inverse, beta, self.mean[:-1], self.spread[:-1], self.mean[-1]), rss
-
-    def _standard(self, correction: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        """The same for the standardised columns."""
-        return solve_normal(self.gram - correction)
-
-    def reml(self, logdet: float, correction: np.ndarray) -> float:
-        inverse, _, rss = self._standard(correction)
-        df = self.n - self.p
-        # The determinant is that of the columns as they stand.
-        units = 2 * np.log(self.spread).sum()
-        return df * (math.log(2 * math.pi * rss / df) + 1) + logdet - np.linalg.slogdet(inverse)[1] + units
-
     def criterion(self, factors: list[np.ndarray]) -> np.ndarray:
         return np.array([self.reml(*c) for c in self.corrections(factors)])
 
@@ -249,61 +276,81 @@ class GroupMoments:
             return 0.0
         return root(self.reml_slopes, low, high)
 
-    def to_raw(self) -> np.ndarray:
-        """Effects on (1, standardised slope) to effects on (1, slope)."""
-        if self.slope is None:
-            return np.eye(1)
-        mean, spread = self.mean[self.slope - 1], self.spread[self.slope - 1]
-        return np.array([[1.0, -mean / spread], [0.0, 1.0 / spread]])
-
 
 def lower_factor(theta: np.ndarray) -> np.ndarray:
     return np.array([[theta[0]]]) if len(theta) == 1 else np.array([[theta[0], 0.0], [theta[1], theta[2]]])
 
 
-def fit_lmm_grid(df: DataFrame, specs: list[ModelSpec], levels: Levels | None = None) -> list[Fit]:
+def fit_lmm_grid(df: DataFrame, specs: list[ModelSpec], levels: Levels | None = None, local_rows: int = LOCAL_ROWS) -> list[Fit]:
     """REML fits of several models with one group, random intercepts and slopes alike, from one scan of the trials."""
-    rows = LinearRows(df, specs, levels)
-    return [fit_lmm(df, spec, levels, shared=rows) for spec in specs]
+    rows = LinearRows(df, specs, levels, local_rows)
+    slopes = [k for k, spec in enumerate(specs) if spec.slope is not None]
+    if rows.groups.size * len(slopes) <= local_rows:
+        slopes = []
+    fits = dict(zip(slopes, _fit_slopes([Design(rows, specs[k]) for k in slopes], rows), strict=True))
+    return [fits[k] if k in fits else _fit_own(df, spec, levels, local_rows, rows) for k, spec in enumerate(specs)]
 
 
-def fit_lmm(
-    df: DataFrame,
-    spec: ModelSpec,
-    levels: Levels | None = None,
-    local_rows: int = LOCAL_ROWS,
-    shared: LinearRows | None = None,
-) -> Fit:
+def fit_lmm(df: DataFrame, spec: ModelSpec, levels: Levels | None = None, local_rows: int = LOCAL_ROWS) -> Fit:
     """REML fit of a model with one grouping factor: (1 | g) or (1 + slope | g)."""
+    return fit_lmm_grid(df, [spec], levels, local_rows)[0]
+
+
+def _fit_own(df: DataFrame, spec: ModelSpec, levels: Levels | None, local_rows: int, shared: LinearRows) -> Fit:
+    """A model fitted alone, from its merged groups."""
     with GroupMoments(df, spec, levels, local_rows, shared) as data:
-        converged = True
         if data.q == 1:
-            factor = np.array([[math.sqrt(data.best_ratio())]])
-        else:
-
-            def values(points: np.ndarray) -> np.ndarray:
-                return data.criterion([lower_factor(t) for t in points])
-
-            starts = np.array([[a, 0.0, b] for a in (0.05, 0.3, 1.0) for b in (0.05, 0.3, 1.0)])
-            start = starts[int(np.argmin(values(starts)))]
-            theta, converged = newton_values(values, start)
-            factor = lower_factor(theta)
-        ((logdet, correction),) = data.corrections([factor])
-        inverse, beta, rss = data.generalised(correction)
-        s2 = rss / (data.n - data.p)
-        reml = data.reml(logdet, correction)
-        parameters = data.p + data.q * (data.q + 1) // 2 + 1
-        stats = {
-            "sigma": math.sqrt(s2),
-            "reml": reml,
-            "loglik": -reml / 2,
-            "aic": reml + 2 * parameters,
-            "bic": reml + parameters * math.log(data.n),
-            "groups": data.groups,
-            "theta": float(abs(factor[0, 0])) if data.q == 1 else None,
-            **random_effect_stats(s2 * data.to_raw() @ factor @ factor.T @ data.to_raw().T),
-        }
-        return with_aliased(Fit(spec, data.terms, beta, s2 * inverse, data.n, converged=converged, stats=stats), data.all_terms)
+            return _fit(data, np.array([[math.sqrt(data.best_ratio())]]), True, data.corrections, data.groups)
+
+        def values(points: np.ndarray) -> np.ndarray:
+            return data.criterion([lower_factor(t) for t in points])
+
+        theta, converged = newton_values(values, STARTS[int(np.argmin(values(STARTS)))])
+        return _fit(data, lower_factor(theta), converged, data.corrections, data.groups)
+
+
+def _fit_slopes(models: list[Design], rows: LinearRows) -> list[Fit]:
+    """Models with a random slope and many groups: their searches share every job."""
+    if not models:
+        return []
+    with held(*slope_rows(models, rows)) as table:
+        sums = SlopeSums(table, models, rows)
+
+        def values(asked: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+            found = sums.corrections({k: [lower_factor(t) for t in points] for k, points in asked.items()})
+            return {k: np.array([models[k].reml(*c) for c in own]) for k, own in found.items()}
+
+        best = side_by_side(values, [_slope_search() for _ in models])
+        last = sums.corrections({k: [lower_factor(theta)] for k, (theta, _) in enumerate(best)})
+        return [_fit(m, lower_factor(theta), converged, lambda _, k=k: last[k], sums.groups[k]) for k, (m, (theta, converged)) in enumerate(zip(models, best, strict=True))]
+
+
+# Where a search for the covariance of two effects may begin.
+STARTS = np.array([[a, 0.0, b] for a in (0.05, 0.3, 1.0) for b in (0.05, 0.3, 1.0)])
+
+
+def _slope_search():
+    f = yield STARTS
+    return (yield from value_steps(STARTS[int(np.argmin(f))]))
+
+
+def _fit(data: Design, factor: np.ndarray, converged: bool, corrections, groups: int) -> Fit:
+    ((logdet, correction),) = corrections([factor])
+    inverse, beta, rss = data.generalised(correction)
+    s2 = rss / (data.n - data.p)
+    reml = data.reml(logdet, correction)
+    parameters = data.p + data.q * (data.q + 1) // 2 + 1
+    stats = {
+        "sigma": math.sqrt(s2),
+        "reml": reml,
+        "loglik": -reml / 2,
+        "aic": reml + 2 * parameters,
+        "bic": reml + parameters * math.log(data.n),
+        "groups": groups,
+        "theta": float(abs(factor[0, 0])) if data.q == 1 else None,
+        **random_effect_stats(s2 * data.to_raw() @ factor @ factor.T @ data.to_raw().T),
+    }
+    return with_aliased(Fit(data.spec, data.terms, beta, s2 * inverse, data.n, converged=converged, stats=stats), data.all_terms)
 
 
 def random_effect_stats(covariance: np.ndarray) -> dict[str, float]:

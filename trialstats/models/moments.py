@@ -220,9 +220,12 @@ class GroupStates:
         """`keyed` has the group g and numeric columns."""
         columns = [c for c in keyed.columns if c != "g"]
         kind = keyed.schema["g"].dataType.simpleString()
-        self.table = runtime.stored(keyed.mapInArrow(_grouped(columns), f"g {kind}, {KIND}"), "states")
+        # A state is many times as large as a row, so a group's rows come together first; the rows of a large group may lie in several tasks.
+        dealt = keyed.hint("rebalance", "g").sortWithinPartitions("g")
+        self.table = runtime.stored(dealt.mapInArrow(_grouped(columns), f"g {kind}, {KIND}"), "states")
         self.states = _collected(self.table.select("n", "mean", "product"))
-        self._local = self.table.toArrow().to_batches() if self.table.count() <= local_rows else None
+        self.size = self.table.count()
+        self._local = self.table.toArrow().to_batches() if self.size <= local_rows else None
 
     def rows(self, use: list[int], centre: np.ndarray, scale: np.ndarray, make: Make, width: int) -> np.ndarray | DataFrame:
         """What `make` returns for the groups' cross-products of [1, (columns - centre) / scale] over their complete rows.

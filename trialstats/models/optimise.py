@@ -36,25 +36,50 @@ def _descent(gradient: np.ndarray, hessian: np.ndarray) -> np.ndarray:
 
 
 def newton_values(evaluate: Values, start: np.ndarray, h: float = 1e-3, rounds: int = 40) -> tuple[np.ndarray, bool]:
-    """Newton's method with all derivatives from one batch of values per round."""
+    """Newton's method with all derivatives from batches of values."""
+    search = value_steps(start, h, rounds)
+    points = next(search)
+    while True:
+        try:
+            points = search.send(evaluate(points))
+        except StopIteration as end:
+            return end.value
+
+
+def _stencil(x: np.ndarray, h: float) -> np.ndarray:
+    """The point, its neighbours along each axis and at the corners of each pair of axes."""
+    eye = np.eye(len(x)) * h
+    points = [x]
+    for i in range(len(x)):
+        points += [x + eye[i], x - eye[i]]
+    for i, j in _corners(len(x)):
+        points += [x + eye[i] + eye[j], x - eye[i] - eye[j], x + eye[i] - eye[j], x - eye[i] + eye[j]]
+    return np.array(points)
+
+
+def _corners(k: int) -> list[tuple[int, int]]:
+    return [(i, j) for i in range(k) for j in range(i + 1, k)]
+
+
+def value_steps(start: np.ndarray, h: float = 1e-3, rounds: int = 40) -> Generator[np.ndarray, np.ndarray, tuple[np.ndarray, bool]]:
+    """The same as a generator that asks for values at points.
+
+    Each request holds the stencil around the full Newton step and the shorter
+    steps, so a round that accepts the full step costs a single one.
+    """
     x, k = start.copy(), len(start)
-    eye = np.eye(k) * h
+    f = yield _stencil(x, h)
     for _ in range(rounds):
-        stencil = [x]
-        for i in range(k):
-            stencil += [x + eye[i], x - eye[i]]
-        corners = [(i, j) for i in range(k) for j in range(i + 1, k)]
-        for i, j in corners:
-            stencil += [x + eye[i] + eye[j], x - eye[i] - eye[j], x + eye[i] - eye[j], x - eye[i] + eye[j]]
-        f = evaluate(np.array(stencil))
         gradient = np.array([(f[1 + 2 * i] - f[2 + 2 * i]) / (2 * h) for i in range(k)])
         hessian = np.diag([(f[1 + 2 * i] - 2 * f[0] + f[2 + 2 * i]) / h**2 for i in range(k)])
-        for c, (i, j) in enumerate(corners):
+        for c, (i, j) in enumerate(_corners(k)):
             a = f[1 + 2 * k + 4 * c : 5 + 2 * k + 4 * c]
             hessian[i, j] = hessian[j, i] = (a[0] + a[1] - a[2] - a[3]) / (4 * h**2)
         step = _descent(gradient, hessian)
         step *= min(1.0, 2.0 / max(np.abs(step).max(), 1e-300))
-        trial = evaluate(x + STEP_LENGTHS[:, None] * step)
+        ahead = _stencil(x + step, h)
+        got = yield np.vstack([ahead, x + STEP_LENGTHS[1:, None] * step])
+        trial = np.append(got[0], got[len(ahead) :])
         best = int(np.argmin(trial))
         if trial[best] > f[0] - 1e-11 * abs(f[0]):
             if trial[best] < f[0]:
@@ -63,6 +88,7 @@ def newton_values(evaluate: Values, start: np.ndarray, h: float = 1e-3, rounds:
         x = x + STEP_LENGTHS[best] * step
         if np.abs(STEP_LENGTHS[best] * step).max() < 1e-7:
             return x, True
+        f = got[: len(ahead)] if best == 0 else (yield _stencil(x, h))
     return x, False
 
 
@@ -106,9 +132,13 @@ def newton_steps(start: np.ndarray, h: float = 1e-4, rounds: int = 60) -> Genera
 
 def together(evaluate: Callable[[dict[int, np.ndarray]], dict[int, tuple[np.ndarray, np.ndarray]]], starts: list[np.ndarray]) -> list[Minimum]:
     """Minima of several functions; each round evaluates the points of all searches that go on at once."""
-    searches = {k: newton_steps(start) for k, start in enumerate(starts)}
-    asked = {k: next(search) for k, search in searches.items()}
-    found: dict[int, Minimum] = {}
+    return side_by_side(evaluate, [newton_steps(start) for start in starts])
+
+
+def side_by_side(evaluate: Callable[[dict], dict], searches: list[Generator]) -> list:
+    """What the searches return; each round answers the requests of all that go on at once."""
+    asked = {k: next(search) for k, search in enumerate(searches)}
+    found = {}
     while asked:
         for k, answer in evaluate(asked).items():
             try:
@@ -116,4 +146,4 @@ def together(evaluate: Callable[[dict[int, np.ndarray]], dict[int, tuple[np.ndar
             except StopIteration as end:
                 found[k] = end.value
                 del asked[k]
-    return [found[k] for k in range(len(starts))]
+    return [found[k] for k in range(len(searches))]
