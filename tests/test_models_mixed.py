@@ -12,7 +12,9 @@ from trialstats.models.glmm import LaplaceData, fit_glmm, fit_glmm_grid
 from trialstats.models.lmm import fit_lmm, fit_lmm_grid, lower_factor, reml_profile
 from trialstats.models.logit import fit_logit
 from trialstats.models.ols import fit_ols
+from trialstats.models.optimise import newton_steps, side_by_side
 from trialstats.models.panel import fit_panel
+from trialstats.models.patterns import _block, opened
 from trialstats.models.spec import ModelSpec
 
 
@@ -341,3 +343,55 @@ def test_rows_of_a_group_come_together_before_their_state_is_made(spark, df):
 
     states = GroupStates(df.repartition(7).select("g", "x", "t", "w"))
     assert states.size == 24
+
+
+@pytest.mark.parametrize("hot", [10**6, 10], ids=["cold", "hot"])
+def test_laplace_hessian(df, hot):
+    """A search gets the Hessian from one point; with spread-out groups from differences.  Constant, free and missing columns."""
+    from dataclasses import replace
+
+    frame = df.withColumn("c", F.hash("g") % 3 / 2.0).withColumn("h", F.when(F.hash("g", "t") % 4 > 0, F.col("t") * F.col("x")))
+    specs = [replace(LOGIT, fixed=("x", "t", "c")), replace(LOGIT_SLOPE, fixed=("x", "t", "c", "h")), replace(LOGIT, fixed=("t", "h", "c"), slope="t")]
+    data = LaplaceData(frame, specs, hot_patterns=hot)
+    try:
+        assert bool(data.hot) == (hot == 10)
+        points = {k: np.linspace(-0.4, 0.6, m.p + (1 if m.q == 1 else 3)) for k, m in enumerate(data.models)}
+        found = data.search({k: (x[None], True) for k, x in points.items()})
+        h = 1e-5
+        near = data.evaluate({k: np.vstack([x + h * np.eye(len(x)), x - h * np.eye(len(x))]) for k, x in points.items()})
+    finally:
+        data.close()
+    for k, x in points.items():
+        _, g, hessian = found[k]
+        f, slopes = near[k]
+        assert np.allclose(g[0], (f[: len(x)] - f[len(x) :]) / (2 * h), rtol=1e-4, atol=1e-4)
+        assert np.allclose(hessian[0], (slopes[: len(x)] - slopes[len(x) :]) / (2 * h), rtol=1e-4, atol=1e-3)
+
+
+def test_a_round_of_a_logistic_search_takes_one_point(df):
+    """A full step that keeps its promise is not tried at a stencil of points, nor at shorter steps."""
+    data = LaplaceData(df, [LOGIT_SLOPE])
+    asked = []
+
+    def counted(wanted):
+        asked.extend(len(points) for points, _ in wanted.values())
+        return data.search(wanted)
+
+    try:
+        ((point, *_, converged),) = side_by_side(counted, [newton_steps(data.models[0].start())])
+    finally:
+        data.close()
+    assert converged and sum(asked) < 3 * len(asked) and max(asked) < len(point)
+
+
+def test_models_share_merged_patterns():
+    """Rows that agree in a model's varying columns are merged, once for all models that differ in constant ones."""
+    x = np.array([[0.0, 0, 1, 1, 0, 1], [5, 5, 5, 5, 7, 7], [1, 2, 3, np.nan, 5, 6]])
+    block = _block(x, np.ones(6), np.array([1.0, 0, 1, 1, 0, 1]), np.array([0, 0, 0, 0, 1, 1]), np.full(6, -1), [[0], [0, 1], [0, 2], [1]])
+    assert block["of"] == [0, 0, 1, 2] and sorted(block["constant"]) == [1]
+    groups, places = opened(block, 1, [0, 1], np.zeros(2), np.ones(2), None)
+    assert places.tolist() == [0, 1] and groups.counts.tolist() == [2, 2]
+    assert groups.m.tolist() == [2, 2, 1, 1] and groups.s.tolist() == [1, 2, 0, 1]
+    assert groups.predictors().tolist() == [[1, 0, 5], [1, 1, 5], [1, 0, 7], [1, 1, 7]]
+    lacking, _ = opened(block, 2, [0, 2], np.zeros(2), np.ones(2), 2)
+    assert lacking.counts.tolist() == [3, 2] and lacking.predictors()[:, 2].tolist() == [1, 2, 3, 5, 6]

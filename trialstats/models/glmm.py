@@ -1,35 +1,39 @@
 """Logistic mixed models by the Laplace approximation.
 
-Rows are merged into (group, covariate pattern, trials, successes).  The result
-is partitioned by group, so one task finds the modes of the random effects of
-all its groups and returns a single vector per parameter point: the objective
-and its gradient.  A fit is a few jobs, each for a whole batch of points.
+Rows are merged into (group, covariate pattern, trials, successes) and laid out
+by group in blocks that serve all models of a grid (`patterns`).  One task finds
+the modes of the random effects of all its groups and returns a single vector for
+each model and parameter point: the objective, its gradient and, where a search
+has arrived, its Hessian (`laplace`).
 
-The models of a grid lie in one table, each with its own patterns, and share
-every job: their searches run side by side, and a round evaluates the points of
-all that have not converged yet.
+The searches of a grid's models run side by side and share every job; a round
+evaluates the points of all that have not converged yet.
 
 A group with very many patterns is spread over several partitions.  Its tasks
 return sums over their patterns, and its mode is iterated on the driver, which
-holds one or two numbers per such group.
+holds one or two numbers per such group; the Hessian of models with such groups
+is differenced from gradients.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
-from functools import reduce
+from contextlib import ExitStack
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialstats import runtime
+from trialstats.models.laplace import MODE_STEPS, MODE_TOLERANCE, Groups
 from trialstats.models.lmm import lower_factor, random_effect_stats
 from trialstats.models.logit import SEPARATED, log1p_exp, logistic
-from trialstats.models.moments import State, independent
-from trialstats.models.optimise import together
+from trialstats.models.moments import MERGERS, State, _collected, _lists, complete, independent
+from trialstats.models.optimise import newton_steps, side_by_side
+from trialstats.models.patterns import SCHEMA, blocks, opened
 from trialstats.models.shared import SharedRows
 from trialstats.models.spec import INTERCEPT, Fit, Levels, ModelSpec, triangle, unpack, unscaled, with_aliased
 
@@ -40,9 +44,9 @@ HOT_PATTERNS = 250_000
 # Up to this many tasks their vectors are added on the driver, saving a shuffle.
 FEW_TASKS = 64
 # Patterns a task works on at a time; a group that is not spread out stays together.
-CHUNK_ROWS = 50_000
-MODE_STEPS = 100
-MODE_TOLERANCE = 1e-9
+CHUNK_ROWS = 16_000
+# Step of the differences that give the Hessian of models with spread-out groups.
+DIFFERENCE = 1e-4
 
 
 def _group_sums(x, z, m, s, eta, starts) -> dict[str, np.ndarray]:
@@ -113,32 +117,6 @@ def _objective(sums: dict[str, np.ndarray], v: np.ndarray, factor: np.ndarray) -
     return np.concatenate([[value.sum()], beta.sum(axis=0), theta])
 
 
-def _cold_groups(x, z, m, s, starts, beta, factor, v) -> tuple[np.ndarray, np.ndarray]:
-    """Objective and gradient of groups that lie completely in ``x``, and their
-    modes, searched from ``v``."""
-    counts = np.diff(np.append(starts, len(x)))
-    fixed = x @ beta
-    zz = z[:, :, None] * z[:, None, :]
-    for _ in range(MODE_STEPS):
-        eta = fixed + (z * np.repeat(v @ factor.T, counts, axis=0)).sum(axis=1)
-        mu = logistic(eta)
-        r = np.add.reduceat(z * (s - m * mu)[:, None], starts, axis=0)
-        h = np.add.reduceat(zz * (m * mu * (1 - mu))[:, None, None], starts, axis=0)
-        step = _mode_step(r, h, v, factor)
-        v = v + step
-        if np.abs(step).max() < MODE_TOLERANCE:
-            break
-    eta = fixed + (z * np.repeat(v @ factor.T, counts, axis=0)).sum(axis=1)
-    return _objective(_group_sums(x, z, m, s, eta, starts), v, factor), v
-
-
-def _starts(keys: np.ndarray) -> np.ndarray:
-    """Where each run of equal keys begins."""
-    if not len(keys):
-        return np.zeros(0, dtype=int)
-    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-
-
 class Laplace:
     """One model of a grid: its terms and what standardises them."""
 
@@ -149,16 +127,17 @@ class Laplace:
             raise ValueError("a random slope must be a single numeric or two-level column")
         self.of = slope[0] if slope else None
 
-    def settle(self, state: State | None, rows: int, successes: float) -> None:
-        if state is None or not rows:
+    def settle(self, state: State | None, columns: list[int]) -> None:
+        """``state`` has the columns of all terms and the share of successes."""
+        if state is None:
             raise ValueError(f"{self.spec.name}: no complete rows")
-        kept = independent(state, len(self.all_terms) - 1)
+        kept = independent(state, len(columns))
         self.terms = [INTERCEPT, *[self.all_terms[k + 1] for k in kept]]
         if self.of is not None and self.of not in self.terms:
             raise ValueError(f"{self.spec.name}: the column of the random slope is constant or follows from others")
-        self.names = [f"c{k + 1}" for k in kept]
+        self.columns = [columns[k] for k in kept]
         self.mean, self.spread = state.mean[kept], state.spread[kept]
-        self.rows, self.n, self.successes = rows, state.n, successes
+        self.n, self.successes = state.n, state.n * state.mean[-1]
         self.slope = None if self.of is None else self.terms.index(self.of)
         self.p, self.q = len(self.terms), 1 if self.of is None else 2
 
@@ -171,7 +150,7 @@ class Laplace:
 
     def plain(self) -> tuple:
         """What a task needs, as plain data."""
-        return self.names, self.mean, self.spread, self.p, self.slope
+        return self.columns, self.mean, self.spread, self.p, self.slope
 
 
 class LaplaceData:
@@ -180,71 +159,66 @@ class LaplaceData:
     def __init__(self, df: DataFrame, specs: list[ModelSpec], levels: Levels | None = None, hot_patterns: int = HOT_PATTERNS):
         shared = SharedRows(df, specs, levels)
         self.models = [Laplace(s, shared.terms(s.fixed), shared.terms((s.slope,)) if s.slope else []) for s in specs]
-        self.names = [f"c{i}" for i in range(1, max(len(m.all_terms) for m in self.models))]
-        parts = []
-        for k, model in enumerate(self.models):
-            own = [f"c{i}" for i in range(1, len(model.all_terms))]
-            merged = shared.frame(model.spec).groupBy("g", *own).agg(F.sum("m").alias("m"), F.sum("s").alias("s"))
-            blank = [F.lit(None).cast("double").alias(c) for c in self.names if c not in own]
-            parts.append(merged.select("g", *own, *blank, "m", "s", F.lit(k).alias("model")).select("model", "g", *self.names, "m", "s"))
-        merged = runtime.stored(reduce(DataFrame.unionAll, parts), "patterns")
-        self._moments(merged)
-        self._lay_out(merged, hot_patterns)
-
-    def _moments(self, merged: DataFrame) -> None:
-        """Counts, means and centred cross-products of each model's predictors."""
-        weighted = [F.sum(F.col("m") * F.col(c)).alias(c) for c in self.names]
-        first = {r["model"]: r for r in merged.groupBy("model").agg(F.count(F.lit(1)).alias("rows"), F.sum("m").alias("n"), F.sum("s").alias("successes"), *weighted).collect()}
-        mean = {k: np.array([(r[c] or 0.0) / r["n"] for c in self.names]) for k, r in first.items()}
-        apart = [F.col(c) - F.array(*[F.lit(float(mean[k][i]) if k in mean else 0.0) for k in range(len(self.models))])[F.col("model")] for i, c in enumerate(self.names)]
-        squares = [F.sum(F.col("m") * apart[i] * apart[j]).alias(f"p{i}_{j}") for i, j in triangle(len(apart))]
-        products = {r["model"]: r for r in merged.groupBy("model").agg(F.first("model").alias("of"), *squares).collect()}
-        for k, model in enumerate(self.models):
-            own = list(range(len(model.all_terms) - 1))
-            state = None
-            if k in first:
-                product = unpack([products[k][f"p{i}_{j}"] for i, j in triangle(len(apart))], len(apart))
-                state = State(float(first[k]["n"]), mean[k][own], product[np.ix_(own, own)])
-            model.settle(state, first[k]["rows"] if k in first else 0, first[k]["successes"] if k in first else 0.0)
-        self.rows = sum(m.rows for m in self.models)
-
-    def _lay_out(self, merged: DataFrame, hot_patterns: int) -> None:
+        columns = [[shared.where[t] for t in m.all_terms[1:]] for m in self.models]
+        self._stack = ExitStack()
+        try:
+            self._lay_out(shared, columns, hot_patterns)
+            states = _collected(self.table.filter("n IS NOT NULL").select("n", "mean", "product"))
+            for model, own in zip(self.models, columns, strict=True):
+                model.settle(complete(states, [*own, len(shared.names)]), own)
+        except BaseException:
+            self.close()
+            raise
+        self.modes = [np.zeros((self.hot, m.q)) for m in self.models]
+
+    def _lay_out(self, shared: SharedRows, columns: list[list[int]], hot_patterns: int) -> None:
+        merged = shared.table
+        rows = merged.count()
         # At most rows / hot_patterns groups, counted exactly and numbered where they are.
-        counts = merged.groupBy("model", "g").agg(F.count(F.lit(1)).alias("patterns")).filter(F.col("patterns") > hot_patterns)
-        numbered = counts.withColumn("hot", F.row_number().over(Window.partitionBy("model").orderBy("g")) - 1)
-        hot = runtime.stored(numbered, "hot")
-        sizes = hot.groupBy("model").agg(F.count(F.lit(1)).alias("groups"), F.max("patterns").alias("most")).collect()
-        self.hot = [0] * len(self.models)
-        for row in sizes:
-            self.hot[row["model"]] = row["groups"]
-        slices = max(2, math.ceil(max((r["most"] for r in sizes), default=0) / hot_patterns))
-        if sizes:
-            merged = merged.join(hot.select("model", "g", "hot"), ["model", "g"], "left").withColumn("hot", F.coalesce("hot", F.lit(-1)))
+        counts = merged.groupBy("g").agg(F.count(F.lit(1)).alias("patterns")).filter(F.col("patterns") > hot_patterns)
+        hot = runtime.stored(counts.withColumn("hot", F.row_number().over(Window.orderBy("g")) - 1), "hot")
+        sizes = hot.agg(F.count(F.lit(1)).alias("groups"), F.max("patterns").alias("most")).first()
+        self.hot = sizes["groups"]
+        slices = max(2, math.ceil((sizes["most"] or 0) / hot_patterns))
+        if self.hot:
+            merged = merged.join(hot.select("g", "hot"), ["g"], "left").withColumn("hot", F.coalesce("hot", F.lit(-1)))
         else:
             merged = merged.withColumn("hot", F.lit(-1))
-        piece = F.when(F.col("hot") >= 0, F.pmod(F.xxhash64("g", *self.names), F.lit(slices))).otherwise(F.lit(0))
+        piece = F.when(F.col("hot") >= 0, F.pmod(F.xxhash64("g", *shared.names), F.lit(slices))).otherwise(F.lit(0))
         cores = merged.sparkSession.sparkContext.defaultParallelism
-        self.parts = max(min(cores, math.ceil(self.rows / SMALL_PARTITION)), math.ceil(self.rows / ROWS_PER_PARTITION))
-        self.modes = [np.zeros((h, m.q)) for h, m in zip(self.hot, self.models, strict=True)]
-        self.frame = (
-            merged.withColumn("piece", piece)
-            .repartition(self.parts, "model", "g", "piece")
-            .sortWithinPartitions("model", "hot", "g")
-            .persist()
-        )
+        self.parts = max(min(cores, math.ceil(rows / SMALL_PARTITION)), math.ceil(rows / ROWS_PER_PARTITION), 1)
+        if self.parts > cores:
+            self.parts = cores * math.ceil(self.parts / cores)
+        dealt = merged.withColumn("piece", piece).repartition(self.parts, "g", "piece").sortWithinPartitions("hot", "g")
+        made = dealt.select("g", "hot", *shared.names, "m", "s").mapInArrow(blocks(shared.names, columns, CHUNK_ROWS), SCHEMA)
+        self.table = self._stack.enter_context(runtime.held(made, "patterns"))
 
     def close(self) -> None:
-        self.frame.unpersist()
+        self._stack.close()
 
     def evaluate(self, asked: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         """Negative Laplace log-likelihood and gradient of each model at its parameter points."""
-        modes = {k: np.repeat(self.modes[k][None], len(points), axis=0) for k, points in asked.items()}
+        return {k: (f, g) for k, (f, g, _) in self._found({k: (points, False) for k, points in asked.items()}).items()}
+
+    def search(self, asked: dict[int, tuple[np.ndarray, bool]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+        """The same with Hessians, if asked for."""
+        if not self.hot:
+            return self._found(asked)
+        found = self._found({k: (_stencil(points) if curved else points, False) for k, (points, curved) in asked.items()})
+        return {k: _differenced(*found[k][:2], points) if curved else found[k] for k, (points, curved) in asked.items()}
+
+    def _found(self, asked: dict[int, tuple[np.ndarray, bool]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+        modes = {k: np.repeat(self.modes[k][None], len(points), axis=0) for k, (points, _) in asked.items()}
         total, sums = self._job(asked, modes, cold=True)
-        spread = {k: points for k, points in asked.items() if self.hot[k]}
-        if spread:
-            for k, extra in self._hot_groups(spread, {k: sums[k] for k in spread}).items():
+        if self.hot:
+            for k, extra in self._hot_groups({k: points for k, (points, _) in asked.items()}, sums).items():
                 total[k] += extra
-        return {k: (-t[:, 0], -t[:, 1:]) for k, t in total.items()}
+        out = {}
+        for k, (points, curved) in asked.items():
+            size = points.shape[1]
+            hessian = np.array([unpack(-row[1 + size :], size) for row in total[k]]) if curved else None
+            out[k] = -total[k][:, 0], -total[k][:, 1 : 1 + size], hessian
+        return out
 
     def _hot_groups(self, asked: dict[int, np.ndarray], sums: dict[int, list]) -> dict[int, np.ndarray]:
         factors = {k: [lower_factor(t[self.models[k].p :]) for t in points] for k, points in asked.items()}
@@ -254,35 +228,47 @@ class LaplaceData:
             if max(np.abs(step).max() for own in steps.values() for step in own) < MODE_TOLERANCE * 10:
                 break
             modes = {k: [v + step for v, step in zip(modes[k], steps[k], strict=True)] for k in asked}
-            _, sums = self._job(asked, {k: np.array(v) for k, v in modes.items()}, cold=False)
+            _, sums = self._job({k: (points, False) for k, points in asked.items()}, {k: np.array(v) for k, v in modes.items()}, cold=False)
         for k in asked:
             self.modes[k] = modes[k][0]
         return {k: np.array([_objective(s, v, f) for s, v, f in zip(sums[k], modes[k], factors[k], strict=True)]).reshape(len(asked[k]), -1) for k in asked}
 
-    def _job(self, asked: dict[int, np.ndarray], modes: dict[int, np.ndarray], cold: bool) -> tuple[dict[int, np.ndarray], dict[int, list[dict]]]:
+    def _job(self, asked: dict[int, tuple[np.ndarray, bool]], modes: dict[int, np.ndarray], cold: bool) -> tuple[dict[int, np.ndarray], dict[int, list[dict]]]:
         """One pass: totals of the groups solved in tasks, pattern sums of the spread-out ones."""
-        task = _task({k: (points, modes[k], self.models[k].plain()) for k, points in asked.items()})
-        frame = self.frame if cold else self.frame.filter("hot >= 0")
-        if len(asked) < len(self.models):
-            frame = frame.filter(F.col("model").isin(*asked))
-        parts = frame.select("model", "g", "hot", *self.names, "m", "s").mapInPandas(task, "model int, hot int, point int, at int, part double")
-        if any(self.hot) or self.parts > FEW_TASKS:
-            parts = parts.groupBy("model", "hot", "point", "at").agg(F.sum("part").alias("part"))
-        rows = parts.toPandas()
+        task = _task({k: (points, curved, modes[k], self.models[k].plain()) for k, (points, curved) in asked.items()})
+        frame = self.table.filter("block IS NOT NULL" if cold else "hot").select("block")
+        parts = frame.mapInArrow(task, PARTS)
+        if self.hot or self.parts > FEW_TASKS:
+            parts = parts.repartition(MERGERS).mapInArrow(_added, PARTS)
+        found = _add({}, parts.toArrow().to_batches())
         total, sums = {}, {}
-        for k, points in asked.items():
-            own = rows[rows["model"] == k]
-            cold_rows = own[own["hot"] < 0]
-            total[k] = np.zeros((len(points), points.shape[1] + 1))
-            np.add.at(total[k], (cold_rows["point"].to_numpy(), cold_rows["at"].to_numpy()), cold_rows["part"].to_numpy())
-            if self.hot[k]:
-                sums[k] = _hot_sums(own[own["hot"] >= 0], self.hot[k], len(points), _shapes(self.models[k].p, self.models[k].q))
+        for k, (points, curved) in asked.items():
+            size = points.shape[1]
+            none = np.zeros(1 + size + curved * (size * (size + 1) // 2))
+            total[k] = np.array([found.get((k, -1, i), none) for i in range(len(points))])
+            if self.hot:
+                sums[k] = _hot_sums(found, k, self.hot, len(points), _shapes(self.models[k].p, self.models[k].q))
         return total, sums
 
 
-def _hot_sums(rows: pd.DataFrame, groups: int, points: int, shapes: dict[str, tuple[int, ...]]) -> list[dict]:
+def _stencil(points: np.ndarray) -> np.ndarray:
+    """Each point, and those beside it along each axis."""
+    offsets = DIFFERENCE * np.eye(points.shape[1])
+    return np.vstack([x + np.vstack([np.zeros(len(x)), offsets, -offsets]) for x in points])
+
+
+def _differenced(f: np.ndarray, g: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    count, size = points.shape
+    f, g = f.reshape(count, -1), g.reshape(count, 2 * size + 1, size)
+    hessian = (g[:, 1 : size + 1] - g[:, size + 1 :]) / (2 * DIFFERENCE)
+    return f[:, 0], g[:, 0], (hessian + hessian.transpose(0, 2, 1)) / 2
+
+
+def _hot_sums(found: dict[tuple, np.ndarray], model: int, groups: int, points: int, shapes: dict[str, tuple[int, ...]]) -> list[dict]:
     table = np.zeros((groups, points, sum(math.prod(s) for s in shapes.values())))
-    table[rows["hot"], rows["point"], rows["at"]] = rows["part"]
+    for (k, group, point), part in found.items():
+        if k == model and group >= 0:
+            table[group, point] = part
     sums = []
     for k in range(points):
         at, one = 0, {}
@@ -294,73 +280,70 @@ def _hot_sums(rows: pd.DataFrame, groups: int, points: int, shapes: dict[str, tu
     return sums
 
 
-def _chunks(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
-    """The partition in pieces of about ``rows`` rows, each of one model, that end with a group."""
-    held: list[pd.DataFrame] = []
-    size = 0
+# Sums of one model and point over groups solved in tasks (hot = -1), or over a spread-out group's patterns.
+PARTS = "model int, hot int, point int, part array<double>"
+
+
+def _add(total: dict[tuple, np.ndarray], batches) -> dict[tuple, np.ndarray]:
     for batch in batches:
-        cuts = [*_starts(batch["model"].to_numpy()).tolist(), len(batch)]
-        for a, b in zip(cuts, cuts[1:]):
-            part = batch.iloc[a:b]
-            if held and held[-1]["model"].iloc[-1] != part["model"].iloc[0]:
-                yield pd.concat(held)
-                held, size = [], 0
-            held.append(part)
-            size += b - a
-            if size < rows:
-                continue
-            block = pd.concat(held)
-            # Rows of a spread-out group may be cut anywhere.
-            last = len(block) if block["hot"].iloc[-1] >= 0 else int(_starts(block["g"].to_numpy())[-1])
-            if last:
-                yield block.iloc[:last]
-            held, size = ([block.iloc[last:]], len(block) - last) if last < len(block) else ([], 0)
-    if size:
-        yield pd.concat(held)
+        for *key, part in zip(*(batch.column(c).to_pylist() for c in ("model", "hot", "point")), batch.column("part"), strict=True):
+            own = part.values.to_numpy(zero_copy_only=False)
+            total[tuple(key)] = total[tuple(key)] + own if tuple(key) in total else own.copy()
+    return total
+
+
+def _rows(total: dict[tuple, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    for key, part in total.items():
+        yield pa.RecordBatch.from_arrays([*(pa.array([k], pa.int32()) for k in key), _lists(part[None])], ["model", "hot", "point", "part"])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _rows(_add({}, batches))
 
 
 def _task(asked: dict[int, tuple]):
     """The per-partition function; closes over arrays only."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for block in _chunks(batches, CHUNK_ROWS):
-            k = int(block["model"].iloc[0])
-            for part in evaluate(block, *asked[k]):
-                yield part.assign(model=k)[["model", "hot", "point", "at", "part"]]
-
-    def evaluate(block: pd.DataFrame, points, modes, plain) -> Iterator[pd.DataFrame]:
-        names, mean, spread, p, slope = plain
-        x = np.column_stack([np.ones(len(block)), (block[names].to_numpy(dtype=float) - mean) / spread])
-        z = x[:, :1] if slope is None else x[:, [0, slope]]
-        m, s = block["m"].to_numpy(dtype=float), block["s"].to_numpy(dtype=float)
-        hot, keys = block["hot"].to_numpy(), block["g"].to_numpy()
-        cut = int((hot < 0).sum())
-        first = _starts(keys[:cut])
-        v = np.zeros((len(first), z.shape[1]))
-        for k, point in enumerate(points):
-            beta, factor = point[:p], lower_factor(point[p:])
-            if cut:
-                # Points of a batch lie close together, so modes carry over.
-                own, v = _cold_groups(x[:cut], z[:cut], m[:cut], s[:cut], first, beta, factor, v)
-                yield pd.DataFrame({"hot": -1, "point": k, "at": np.arange(len(own)), "part": own})
-            if cut < len(block):
-                groups, starts = hot[cut:], _starts(hot[cut:])
-                effect = modes[k][groups] @ factor.T
-                eta = x[cut:] @ beta + (z[cut:] * effect).sum(axis=1)
-                sums = _group_sums(x[cut:], z[cut:], m[cut:], s[cut:], eta, starts)
-                flat = np.concatenate([v.reshape(len(starts), -1) for v in sums.values()], axis=1)
-                yield pd.DataFrame(
-                    {
-                        "hot": np.repeat(groups[starts], flat.shape[1]),
-                        "point": k,
-                        "at": np.tile(np.arange(flat.shape[1]), len(starts)),
-                        "part": flat.ravel(),
-                    }
-                )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            for one in batch.column("block"):
+                block = pickle.loads(one.as_buffer())
+                for k, (points, curved, modes, (columns, mean, spread, p, slope)) in asked.items():
+                    found = opened(block, k, columns, mean, spread, slope)
+                    if found is None:
+                        continue
+                    groups, places = found
+                    parts = _cold(groups, points, curved, p) if block["hot"] is None else _hot(groups, block["hot"][places], points, modes, p)
+                    for (group, point), part in parts:
+                        key = (k, group, point)
+                        total[key] = total[key] + part if key in total else part
+        yield from _rows(total)
 
     return run
 
 
+def _cold(groups: Groups, points: np.ndarray, curved: bool, p: int) -> Iterator[tuple]:
+    """Objective and gradient, and the Hessian if asked for, of groups that lie completely in the block."""
+    v = np.zeros((groups.q, len(groups.counts)))
+    for k, point in enumerate(points):
+        # Points of a batch lie close together, so modes carry over.
+        own, v = groups.evaluate(point[:p], lower_factor(point[p:]), v, curved)
+        yield (-1, k), own
+
+
+def _hot(groups: Groups, hot: np.ndarray, points: np.ndarray, modes: np.ndarray, p: int) -> Iterator[tuple]:
+    """Sums over the patterns of spread-out groups at their modes so far."""
+    x = groups.predictors()
+    z = x[:, :1] if groups.slope is None else x[:, [0, groups.slope]]
+    for k, point in enumerate(points):
+        effect = np.repeat(modes[k][hot] @ lower_factor(point[p:]).T, groups.counts, axis=0)
+        eta = x @ point[:p] + (z * effect).sum(axis=1)
+        sums = _group_sums(x, z, groups.m, groups.s, eta, groups.starts)
+        flat = np.concatenate([v.reshape(len(hot), -1) for v in sums.values()], axis=1)
+        yield from (((int(g), k), part) for g, part in zip(hot, flat, strict=True))
+
+
 # Below this relative size a variance component counts as zero.
 BOUNDARY = 1e-3
 
@@ -374,7 +357,7 @@ def fit_glmm_grid(df: DataFrame, specs: list[ModelSpec], levels: Levels | None =
     """Laplace fits of several models of one outcome and group: one scan of the trials, and a job for each round of all searches."""
     data = LaplaceData(df, specs, levels, hot_patterns)
     try:
-        found = together(data.evaluate, [m.start() for m in data.models])
+        found = side_by_side(data.search, [newton_steps(m.start()) for m in data.models])
     finally:
         data.close()
     return [_fit(model, *best) for model, best in zip(data.models, found, strict=True)]

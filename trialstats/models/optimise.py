@@ -92,47 +92,51 @@ def value_steps(start: np.ndarray, h: float = 1e-3, rounds: int = 40) -> Generat
     return x, False
 
 
-def newton_steps(start: np.ndarray, h: float = 1e-4, rounds: int = 60) -> Generator[np.ndarray, tuple[np.ndarray, np.ndarray], Minimum]:
-    """Newton's method with the Hessian differenced from a batch of gradients.
-
-    A generator that asks for values and gradients at points: many searches can
-    then share each evaluation.  Each request holds the stencil around the full
-    Newton step and a few shorter steps, so a round that accepts the full step
-    costs a single one.  Returns the minimiser, its value, the Hessian there and
-    whether it converged.
+def newton_steps(start: np.ndarray, rounds: int = 60) -> Generator[tuple[np.ndarray, bool], tuple[np.ndarray, np.ndarray, np.ndarray | None], Minimum]:
+    """Newton's method.
+
+    A generator that asks for values and gradients at points, and their Hessians
+    or not: many searches can then share each evaluation.  A full step that gains
+    what the curvature promises, or nearly so, costs one request; else shorter
+    steps are tried too and the best is taken.  Returns the minimiser, its value,
+    the Hessian there and whether it converged.
     """
-    x, k = start.copy(), len(start)
-    offsets = np.vstack([np.zeros(k), h * np.eye(k), -h * np.eye(k)])
+    x = start.copy()
     shorter = STEP_LENGTHS[1:, None]
-    f, g = yield x + offsets
+    f, g, hessian = _only((yield x[None], True))
     stalled = 0
     for _ in range(rounds):
-        hessian = (g[1 : k + 1] - g[k + 1 : 2 * k + 1]) / (2 * h)
-        hessian = (hessian + hessian.T) / 2
-        step = _descent(g[0], hessian)
+        step = _descent(g, hessian)
         step *= min(1.0, 2.0 / max(np.abs(step).max(), 1e-300))
-        small = np.abs(step).max() < 1e-5 and np.abs(g[0] @ step) < 1e-9 * max(1.0, abs(f[0]) * 1e-4)
+        small = np.abs(step).max() < 1e-5 and np.abs(g @ step) < 1e-9 * max(1.0, abs(f) * 1e-4)
         if small:
-            return x + step, float(f[0]), hessian, True
+            return x + step, f, hessian, True
         if stalled == 2:
-            return x, float(f[0]), hessian, True
-        trial, slopes = yield np.vstack([x + step + offsets, x + shorter * step])
-        short = trial[len(offsets) :]
-        best = int(np.argmin(short))
-        if trial[0] < f[0] and trial[0] <= short[best]:
-            gain, x, f, g = f[0] - trial[0], x + step, trial, slopes
-        elif short[best] < f[0]:
-            gain, x = f[0] - short[best], x + shorter[best] * step
-            f, g = yield x + offsets
+            return x, f, hessian, True
+        ahead = _only((yield (x + step)[None], True))
+        promised = -(g @ step + step @ hessian @ step / 2)
+        if 0 < NEARLY * promised <= f - ahead[0]:
+            gain, x, (f, g, hessian) = f - ahead[0], x + step, ahead
         else:
-            return x, float(f[0]), hessian, bool(np.abs(step).max() < 1e-4)
+            short, _, _ = yield x + shorter * step, False
+            best = int(np.argmin(short))
+            if ahead[0] < f and ahead[0] <= short[best]:
+                gain, x, (f, g, hessian) = f - ahead[0], x + step, ahead
+            elif short[best] < f:
+                gain, x = f - short[best], x + shorter[best] * step
+                f, g, hessian = _only((yield x[None], True))
+            else:
+                return x, f, hessian, bool(np.abs(step).max() < 1e-4)
         stalled = stalled + 1 if gain < 1e-6 else 0
-    return x, float(f[0]), hessian, False
+    return x, f, hessian, False
+
+
+# Share of what the curvature promises from which a full step is not compared with shorter ones.
+NEARLY = 0.9
 
 
-def together(evaluate: Callable[[dict[int, np.ndarray]], dict[int, tuple[np.ndarray, np.ndarray]]], starts: list[np.ndarray]) -> list[Minimum]:
-    """Minima of several functions; each round evaluates the points of all searches that go on at once."""
-    return side_by_side(evaluate, [newton_steps(start) for start in starts])
+def _only(found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[float, np.ndarray, np.ndarray]:
+    return float(found[0][0]), found[1][0], found[2][0]
 
 
 def side_by_side(evaluate: Callable[[dict], dict], searches: list[Generator]) -> list:

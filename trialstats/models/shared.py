@@ -12,9 +12,8 @@ from trialstats.models.spec import Levels, ModelSpec, factor_levels, predictor_c
 class SharedRows:
     """Trials with weight ``m`` and the sum ``s`` of the outcome.
 
-    For a single model every trial is a row.  For a grid trials of the same
-    group that agree in every predictor of the grid are merged and written to
-    the shared folder once; each model then reads that table and not the trials.
+    Trials of the same group that agree in every predictor of the models are
+    merged and written to the shared folder once.
     """
 
     def __init__(self, df: DataFrame, specs: list[ModelSpec], levels: Levels | None = None):
@@ -23,25 +22,17 @@ class SharedRows:
         first = specs[0]
         self.levels = factor_levels(df, sorted({n for s in specs for n in s.fixed}), levels)
         columns = {t: c for s in specs for t, c in predictor_columns(s.fixed, self.levels).items()}
-        self.names = {t: f"t{i}" for i, t in enumerate(columns)}
+        #: Place of each term's column t0, t1, ...
+        self.where = {t: i for i, t in enumerate(columns)}
+        self.names = [f"t{i}" for i in range(len(columns))]
         base = df.select(
             F.col(first.group).alias("g"),
             F.col(first.outcome).cast("double").alias("y"),
-            *[c.alias(self.names[t]) for t, c in columns.items()],
+            *[c.alias(name) for name, c in zip(self.names, columns.values(), strict=True)],
         ).dropna(subset=["g", "y"])
-        if len(specs) == 1:
-            self.table = base.select("g", *self.names.values(), F.lit(1.0).alias("m"), F.col("y").alias("s"))
-        else:
-            merged = base.groupBy("g", *self.names.values()).agg(F.count(F.lit(1)).cast("double").alias("m"), F.sum("y").alias("s"))
-            self.table = runtime.stored(merged, "grid")
+        merged = base.groupBy("g", *self.names).agg(F.count(F.lit(1)).cast("double").alias("m"), F.sum("y").alias("s"))
+        self.table = runtime.stored(merged, "grid")
 
     def terms(self, names: tuple[str, ...]) -> list[str]:
         """Terms of some predictors, in their order."""
         return list(predictor_columns(names, self.levels))
-
-    def frame(self, spec: ModelSpec) -> DataFrame:
-        """g, c1, c2, ... (the predictors), m, s: the rows that are complete for this model."""
-        terms = self.terms(spec.fixed)
-        places = [f"c{i}" for i in range(1, len(terms) + 1)]
-        columns = [F.col(self.names[t]).alias(p) for t, p in zip(terms, places, strict=True)]
-        return self.table.select("g", *columns, "m", "s").dropna(subset=["g", *places])
